@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plazaworks.llm import quality
+from plazaworks.llm import linededup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +31,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = quality.with_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return read.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+@_query("op3_line_dedup", linededup.ORACLE_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = linededup.with_line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return read.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.col("line_dedup.text"), 256).alias("kept_sha256"))
