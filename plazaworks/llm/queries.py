@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazaworks.llm import linededup, quality
+from plazaworks.llm import linededup, minhash, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = linededup.with_line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return read.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.col("line_dedup.text"), 256).alias("kept_sha256"))
+
+
+@_query("op1_minhash_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = minhash.near_components(_table(spark, sf_dir, "documents"))
+    return read.withColumnRenamed("doc", "doc_id")
