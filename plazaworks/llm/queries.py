@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazaworks.llm import linededup, minhash, quality
+from plazaworks.llm import bpe, linededup, minhash, packing, quality, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,10 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+#: The vocabulary of the token queries.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,3 +48,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = minhash.near_components(_table(spark, sf_dir, "documents"))
     return read.withColumnRenamed("doc", "doc_id")
+
+
+@_query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@_query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_file_round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@_query("op8_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).select("doc_id", "ids")
+    read = bpe.decode(read, VOCABULARY)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -47,3 +47,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
+
+
+def filesystem(uri: str):
+    """(file system, path) of an address in the shared folder, for byte-range reads and plain files within tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
