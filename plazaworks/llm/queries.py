@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazaworks.llm import bpe, linededup, minhash, packing, quality, tokenfile
+from plazaworks.llm import bpe, licenses, linededup, minhash, packing, quality, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = bpe.decode(read, VOCABULARY)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = licenses.with_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return read.select("doc_id", *[f"licenses.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
