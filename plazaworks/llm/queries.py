@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazaworks.llm import bpe, licenses, linededup, minhash, packing, quality, tokenfile
+from plazaworks.llm import bpe, lattice, licenses, linededup, minhash, packing, quality, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = licenses.with_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return read.select("doc_id", *[f"licenses.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
+@_query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
