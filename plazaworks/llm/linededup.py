@@ -140,6 +140,19 @@ def with_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(*keep, result.alias(name))
 
 
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **how) -> DataFrame:
+    """docs with the repeated lines taken out of their texts; chars_col, if there, holds the new length.
+
+    Rows, other columns and null texts stay as they are; a text that loses all its lines is ''.
+    """
+    read = with_line_dedup(docs, id_col, text_col, **how)
+    (made,) = [c for c in read.columns if c not in docs.columns]
+    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.col(f"`{made}`.text"))
+    kinds = dict(docs.dtypes)
+    new = {text_col: text} | ({chars_col: F.length(text).cast(kinds[chars_col])} if chars_col in kinds else {})
+    return read.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
 ORACLE_SQL = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 k AS (SELECT doc_id, pos, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),

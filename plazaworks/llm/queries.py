@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazaworks.llm import bpe, lattice, licenses, linededup, minhash, packing, quality, tokenfile
+from plazaworks.llm import bpe, html, lattice, licenses, linededup, minhash, packing, quality, tokenfile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_embedding_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op2_html_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = html.with_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), name="text")
+    return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query("op4_warc", warc.ORACLE_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
