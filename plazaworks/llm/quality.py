@@ -127,8 +127,11 @@ def with_quality(df: DataFrame, text: str = "text", name: str = "quality", rules
 
 def quality_filter(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of df whose text passes; columns as they were."""
-    (name,) = fresh(df, "_quality")
-    return with_quality(df, text, name, rules).filter(F.col(f"{name}.kept")).select(*[F.col(f"`{c}`") for c in df.columns])
+    name, verdict = fresh(df, "_quality", "_verdict")
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    # A filter is pushed below projections and would take all measures into its condition; it isn't pushed below explode.
+    judged = with_quality(df, text, name, rules).select(*keep, F.explode(F.array(F.col(f"{name}.kept"))).alias(verdict))
+    return judged.filter(F.col(verdict)).select(*keep)
 
 
 def _sql_check(rule: Rule) -> str:
