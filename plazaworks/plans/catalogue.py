@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plazaworks.plans import scalars  # noqa: F401
 from plazaworks.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
