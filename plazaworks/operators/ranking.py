@@ -54,23 +54,33 @@ def _score(viewer: Viewer, people: Column, distance: Column, match: Column, minu
     return similarity.weighted_present(*[(w, parts[k]) for k, w in WEIGHTS.items()]) + F.when(promoted, PROMOTED).otherwise(0.0)
 
 
-def rank_events(events: DataFrame, attendee_similarity: DataFrame | None, viewer: Viewer, radius_m: float, as_of_filter: Column) -> DataFrame:
-    """The best events near the viewer: a cold viewer's by time, others' by score.
+def _near(events: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column) -> DataFrame:
+    near = events.filter(as_of_filter).filter(geo.within_radius(F.col("lat"), F.col("lon"), viewer.lat, viewer.lon, radius_m))
+    return near.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(viewer.lat), F.lit(viewer.lon)))
+
+
+def scored_events(events: DataFrame, attendee_similarity: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column) -> DataFrame:
+    """The events near the viewer that nothing rules out, with distance and score.
 
     events has event_id, lat, lon, starts_at, tags, title, women_only,
     promoted; attendee_similarity (event_id, people) the mean likeness of those
-    who go. Ties end at the id, so the order is total.
+    who go.
     """
-    near = events.filter(as_of_filter).filter(geo.within_radius(F.col("lat"), F.col("lon"), viewer.lat, viewer.lon, radius_m))
-    near = near.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(viewer.lat), F.lit(viewer.lon)))
-    if viewer.cold:
-        return near.withColumn("score", F.lit(0.0)).orderBy("starts_at", "distance_m", "event_id").limit(COLD_LIMIT)
+    near = _near(events, viewer, radius_m, as_of_filter)
     minute = time.warsaw_minute(F.col("starts_at"))
     for drop in drop_conditions(viewer, F.col("tags"), F.col("women_only"), F.concat(F.col("tags"), F.array("title")), minute):
         near = near.filter(~drop)
-    near = near.join(attendee_similarity, "event_id", "left") if attendee_similarity is not None else near.withColumn("people", F.lit(None).cast("double"))
+    near = near.join(attendee_similarity, "event_id", "left")
     score = _score(viewer, F.col("people"), F.col("distance_m"), F.lit(None).cast("double"), minute, F.col("promoted"))
-    return near.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "distance_m", "starts_at", "event_id").limit(WARM_LIMIT)
+    return near.withColumn("score", F.round(score, 6))
+
+
+def rank_events(events: DataFrame, attendee_similarity: DataFrame | None, viewer: Viewer, radius_m: float, as_of_filter: Column) -> DataFrame:
+    """The best events near the viewer: a cold viewer's by time, others' by score. Ties end at the id, so the order is total."""
+    if viewer.cold:
+        return _near(events, viewer, radius_m, as_of_filter).withColumn("score", F.lit(0.0)).orderBy("starts_at", "distance_m", "event_id").limit(COLD_LIMIT)
+    scored = scored_events(events, attendee_similarity, viewer, radius_m, as_of_filter)
+    return scored.orderBy(F.desc("score"), "distance_m", "starts_at", "event_id").limit(WARM_LIMIT)
 
 
 def likeness(viewer: Viewer) -> Column:
