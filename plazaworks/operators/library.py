@@ -99,3 +99,9 @@ def place_kind(category: Column, kind: Column) -> Column:
     for name, of, kinds in KINDS:
         found = found.when((category == of) & (kind.isin(*kinds) if kinds else F.lit(True)), name)
     return found.otherwise("other_public")
+
+
+def profile_text(bio: Column, likes: Column, dislikes: Column, notes: Column) -> Column:
+    """What a profile says, a line each: bio, likes, dislikes, lasting notes; nothing for what is blank."""
+    listed = lambda name, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"{name}: "), F.array_join(xs, ", ")))
+    return F.concat_ws("\n", F.nullif(F.trim(bio), F.lit("")), listed("likes", likes), listed("dislikes", dislikes), notes)
