@@ -215,9 +215,9 @@ def _log(spark, d):
     return table(spark, d, "events").select(C("event_id").alias("id"), "user_id", C("event_type").alias("kind"), "props", "ts")
 
 
-@query("stream_after", "SELECT event_id AS id, event_type AS kind FROM events WHERE event_id > 5000")
+@query("stream_after", "SELECT event_id AS id, event_type AS kind FROM events WHERE event_id > 500")
 def stream_after(spark, d):
-    return paging.after(_log(spark, d), 5000).select("id", "kind")
+    return paging.after(_log(spark, d), 500).select("id", "kind")
 
 
 @query("prime_cursor", "SELECT user_id, max(event_id) AS cursor FROM events GROUP BY 1")

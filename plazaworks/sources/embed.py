@@ -66,5 +66,5 @@ def with_vectors(df: DataFrame, embedder: Embedder, text: str = "body", kind: st
             yield frame.assign(embedding=vectors, embedding_model=embedder.model)
 
     bare = df.drop("embedding", "embedding_model")
-    schema = bare.select("*", F.array().cast("array<float>").alias("embedding"), F.lit("").alias("embedding_model")).schema
+    schema = bare.select("*", F.lit(None).cast("array<float>").alias("embedding"), F.lit("").alias("embedding_model")).schema
     return bare.mapInPandas(work, schema)

@@ -34,7 +34,7 @@ def fetched(urls: DataFrame, fetch: Fetcher, url: str = "url", wait_s: float = W
             answers = [ask(x) for x in frame[url]]
             yield frame.assign(status=[s for s, _ in answers], html=[b for _, b in answers])
 
-    return urls.mapInPandas(work, urls.select("*", F.lit(0).alias("status"), F.lit("").alias("html")).schema)
+    return urls.mapInPandas(work, urls.select("*", F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("html")).schema)
 
 
 _ADDRESS = ("house_number", "road", "pedestrian", "city", "town", "village", "municipality", "amenity", "shop", "tourism", "leisure")
