@@ -44,5 +44,6 @@ def person_locations(people: DataFrame, events: DataFrame, attendances: DataFram
     """
     hosted = events.select(F.col("host_id").alias("user_id"), F.lit(0).alias("going"), "event_id", "starts_at", "place_id")
     going = attendances.filter("status = 'going'").join(events.select("event_id", "starts_at", "place_id"), "event_id").select("user_id", F.lit(1).alias("going"), "event_id", "starts_at", "place_id")
+    hosted = hosted.join(people.select("user_id"), "user_id", "left_semi")
     first = hosted.unionByName(going).groupBy("user_id").agg(F.min_by(F.struct("event_id", "place_id", "going"), F.struct((-F.col("going")).alias("g"), "starts_at", "event_id")).alias("at"))
     return people.select("user_id").join(first, "user_id").select("user_id", "at.event_id", "at.place_id", "at.going")
