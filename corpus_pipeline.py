@@ -10,6 +10,7 @@ from plazaworks.llm.minhash import near_dedup
 from plazaworks.llm.packing import pack
 from plazaworks.llm.quality import quality_filter
 from plazaworks.llm.shared import stored
+from plazaworks.session import shipped
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +25,13 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    shipped(spark)
     return near_dedup(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' ids in sequences."""
+    shipped(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -40,7 +43,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table, each on what the one before left."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = shipped(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
