@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,20 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(words(text), lambda w: F.length(w) >= 2), lambda w: F.when(w == "paddle", F.lit("padel")).otherwise(w))
 
 
+def words_of(text: str) -> set[str]:
+    """The tokens of a known text, as tokens() has them."""
+    found = {w for w in re.findall(r"[^\W_]+", text.lower()) if len(w) >= 2}
+    return {"padel" if w == "paddle" else w for w in found}
+
+
+def has_word(texts: Column, words: set[str]) -> Column:
+    """One of the texts has one of the known words as a token; one regular expression, which stays within generated code."""
+    if not words:
+        return F.lit(False)
+    known = "|".join(sorted(re.escape(w) for w in words | ({"paddle"} if "padel" in words else set())))
+    return F.coalesce(F.lower(F.array_join(texts, "\n")).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{known})(?![\p{{L}}\p{{N}}])"), F.lit(False))
+
+
 def canonical_tag(tag: Column) -> Column:
     low = F.lower(F.trim(tag))
     return F.when(low == "paddle", F.lit("padel")).otherwise(low)

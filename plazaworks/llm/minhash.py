@@ -35,13 +35,19 @@ DEVIATIONS = 5
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = list(shingle_sets(batch.column(1)))
-        sums = [np.array([s.view(np.uint64).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s.view(np.uint64)))]).view(np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([int(s[0]) for s in sums], pa.int64()), pa.array([int(s[1]) for s in sums], pa.int64()), lists_of([s[:K] for s in sets])],
-            ["doc", "n", "s1", "s2", "sketch"],
-        )
+    for whole in batches:
+        for start in range(0, len(whole), 512):
+            batch = whole.slice(start, 512)
+            sizes, sums, sketches = [], [], []
+            for s in shingle_sets(batch.column(1)):
+                bits = s.view(np.uint64)
+                sizes.append(len(s))
+                sums.append((int(bits.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mixed(bits)).astype(np.int64))))
+                sketches.append(s[:K].copy())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array([x for x, _ in sums], pa.int64()), pa.array([y for _, y in sums], pa.int64()), lists_of(sketches)],
+                ["doc", "n", "s1", "s2", "sketch"],
+            )
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

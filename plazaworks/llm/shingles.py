@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Words in a shingle.
 WIDTH = 5
 #: Texts are hashed together up to so many bytes; a longer one is cut at white space.
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 
 _SPACE = 32
 _FOLD = np.arange(256, dtype=np.uint8)

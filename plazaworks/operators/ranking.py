@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plazaworks.functions import geo, similarity, time
+from plazaworks.functions import geo, similarity, text, time
 
 #: Weights of the parts of an event's score, the bonus of promoted ones, and the distance at which nearness falls to 1/e.
 WEIGHTS = {"people": 0.45, "distance": 0.25, "text": 0.20, "time": 0.10}
@@ -40,7 +40,9 @@ def _strings(values: tuple[str, ...]) -> Column:
 
 def drop_conditions(viewer: Viewer, tags: Column, women_only: Column, texts: Column, minute: Column | None = None) -> list[Column]:
     """What rules an event or a person out for the viewer."""
-    found = [similarity.mobility_conflict(F.lit(viewer.mobility).cast("string"), tags), similarity.dislikes_any(_strings(viewer.dislikes), texts)]
+    blocked = set(similarity.BLOCKED) if viewer.mobility and "wheelchair" in text.words_of(viewer.mobility) else set()
+    disliked = set().union(*map(text.words_of, viewer.dislikes))
+    found = [text.has_word(tags, blocked), text.has_word(texts, disliked)]
     if not viewer.women_only:
         found.append(F.coalesce(women_only, F.lit(False)))
     if viewer.window and minute is not None:
@@ -59,27 +61,26 @@ def _near(events: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Colu
     return near.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(viewer.lat), F.lit(viewer.lon)))
 
 
-def scored_events(events: DataFrame, attendee_similarity: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column) -> DataFrame:
+def scored_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column) -> DataFrame:
     """The events near the viewer that nothing rules out, with distance and score.
 
     events has event_id, lat, lon, starts_at, tags, title, women_only,
-    promoted; attendee_similarity (event_id, people) the mean likeness of those
-    who go.
+    promoted. Only attendances of these events are read on.
     """
     near = _near(events, viewer, radius_m, as_of_filter)
     minute = time.warsaw_minute(F.col("starts_at"))
     for drop in drop_conditions(viewer, F.col("tags"), F.col("women_only"), F.concat(F.col("tags"), F.array("title")), minute):
         near = near.filter(~drop)
-    near = near.join(attendee_similarity, "event_id", "left")
+    near = near.join(attendee_likeness(people, attendances.join(near.select("event_id"), "event_id", "left_semi"), viewer), "event_id", "left")
     score = _score(viewer, F.col("people"), F.col("distance_m"), F.lit(None).cast("double"), minute, F.col("promoted"))
     return near.withColumn("score", F.round(score, 6))
 
 
-def rank_events(events: DataFrame, attendee_similarity: DataFrame | None, viewer: Viewer, radius_m: float, as_of_filter: Column) -> DataFrame:
+def rank_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column) -> DataFrame:
     """The best events near the viewer: a cold viewer's by time, others' by score. Ties end at the id, so the order is total."""
     if viewer.cold:
         return _near(events, viewer, radius_m, as_of_filter).withColumn("score", F.lit(0.0)).orderBy("starts_at", "distance_m", "event_id").limit(COLD_LIMIT)
-    scored = scored_events(events, attendee_similarity, viewer, radius_m, as_of_filter)
+    scored = scored_events(events, people, attendances, viewer, radius_m, as_of_filter)
     return scored.orderBy(F.desc("score"), "distance_m", "starts_at", "event_id").limit(WARM_LIMIT)
 
 

@@ -105,8 +105,8 @@ top AS (SELECT * FROM warm ORDER BY score DESC, distance_m, starts_at, event_id
 
 
 def _warm(spark, d):
-    found = ranking.attendee_likeness(adapt.people(spark, d), adapt.attendances(spark, d), VIEWER)
-    return ranking.rank_events(adapt.events(spark, d).join(adapt.places(spark, d), "place_id"), found, VIEWER, RADIUS, filters.live(AS_OF))
+    placed = adapt.events(spark, d).join(adapt.places(spark, d), "place_id")
+    return ranking.rank_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), VIEWER, RADIUS, filters.live(AS_OF))
 
 
 @query("rank_events_warm", f"{_WARM} SELECT event_id, score, round(distance_m, 3) AS distance_m FROM top")
@@ -117,13 +117,14 @@ def rank_events_warm(spark, d):
 @query("event_score", f"{_WARM} SELECT event_id, score FROM warm")
 def event_score(spark, d):
     """The score of every event that isn't ruled out, without the limit of a page."""
-    found = ranking.attendee_likeness(adapt.people(spark, d), adapt.attendances(spark, d), VIEWER)
-    return ranking.scored_events(adapt.events(spark, d).join(adapt.places(spark, d), "place_id"), found, VIEWER, RADIUS, filters.live(AS_OF)).select("event_id", "score")
+    placed = adapt.events(spark, d).join(adapt.places(spark, d), "place_id")
+    return ranking.scored_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), VIEWER, RADIUS, filters.live(AS_OF)).select("event_id", "score")
 
 
 @query("rank_events_cold", f"{ctes('evs', 'places', 'live')} SELECT event_id, 0e0 AS score, round({distance()}, 3) AS distance_m FROM live WHERE {distance()} <= 30000 ORDER BY starts_at, {distance()}, event_id LIMIT 40")
 def rank_events_cold(spark, d):
-    found = ranking.rank_events(adapt.events(spark, d).join(adapt.places(spark, d), "place_id"), None, COLD, RADIUS, filters.live(AS_OF))
+    placed = adapt.events(spark, d).join(adapt.places(spark, d), "place_id")
+    found = ranking.rank_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), COLD, RADIUS, filters.live(AS_OF))
     return found.select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
 
 

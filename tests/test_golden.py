@@ -120,3 +120,14 @@ def test_word_similarity(spark):
     assert word_similarity_of("word", "two words") == pytest.approx(0.8) and word_similarity_of("", "a") == 0 and word_similarity_of("tea", "a tea house") == 1.0
     df = spark.createDataFrame([("a tea house",), (None,)], "body string")
     assert sorted(r.x for r in df.select(word_similarity("tea", F.col("body")).alias("x")).collect()) == [0.0, 1.0]
+
+
+def test_known_words_are_found_as_tokens_are(spark):
+    from plazaworks.functions import text
+
+    rows = [(["Paddle court", "tea"],), (["golfclub", "xgolf"],), (["Golf-club"],), (["ęgolf golfę"],), ([],), (["a b"],), (["PADEL"],)]
+    df = spark.createDataFrame(rows, "texts array<string>")
+    for known in ("golf", "paddle", "padel tea", "a", "!"):
+        by_tokens = similarity.dislikes_any(strings(known), F.col("texts"))
+        by_words = text.has_word(F.col("texts"), text.words_of(known))
+        assert [r.x for r in df.select(by_tokens.alias("x")).collect()] == [r.x for r in df.select(by_words.alias("x")).collect()], known
