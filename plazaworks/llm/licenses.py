@@ -1,13 +1,15 @@
 """License scans: ordered signature rules over a text's words, as column expressions.
 
 A text is read as its lower-case words with one blank between them. A rule is
-a regular expression on that text behind a keyword that the text must contain.
+a regular expression on that text behind a keyword that the text must contain,
+a literal part of the expression.
 Where detections overlap, one that lies within another of the same or higher
 priority goes.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,86 +26,86 @@ _LOWER_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 BASE_SCORE = 0.9
 
-#: label: (keyword, names as regular expressions over words, SPDX identifiers as words, address as words).
+#: label: (names as regular expressions over words, SPDX identifiers as words, address as words).
 SIGNATURES = {
-    "mit": ("mit", ["(?:the )?mit licen[cs]e", "(?:the )?mit x11 licen[cs]e", "mit style licen[cs]e"], ["mit"], "opensource org licenses mit"),
-    "x11": ("x11", ["x11 licen[cs]e", "x consortium licen[cs]e"], ["x11"], None),
-    "apache-1.1": ("apache", ["apache (?:software )?licen[cs]e (?:version |v )?1 1"], ["apache 1 1"], "apache org licenses license 1 1"),
-    "apache-2": ("apache", ["apache (?:software )?licen[cs]e(?: version| v)? ?2(?: 0)?", "apache 2(?: 0)? licen[cs]e", "asl 2(?: 0)?"], ["apache 2 0"], "apache org licenses license 2 0"),
-    "gpl-1": ("general public", ["gnu general public licen[cs]e(?: version| v)? ?1(?: 0)?"], ["gpl 1 0", "gpl 1 0 only", "gpl 1 0 or later"], None),
-    "gpl-2": ("general public", ["(?:gnu )?general public licen[cs]e(?: version| v)? ?2(?: 0)?"], ["gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"], "gnu org licenses old licenses gpl 2 0"),
-    "gpl-3": ("general public", ["(?:gnu )?general public licen[cs]e(?: version| v)? ?3(?: 0)?"], ["gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"], "gnu org licenses gpl 3 0"),
-    "gpl": ("general public", ["gnu general public licen[cs]e", "gnu gpl"], ["gpl"], "gnu org licenses gpl"),
-    "lgpl-2": ("general public", ["gnu library general public licen[cs]e(?: version| v)? ?2(?: 0)?"], ["lgpl 2 0", "lgpl 2 0 only", "lgpl 2 0 or later"], None),
-    "lgpl-2.1": ("general public", ["gnu lesser general public licen[cs]e(?: version| v)? ?2 1"], ["lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later"], "gnu org licenses old licenses lgpl 2 1"),
-    "lgpl-3": ("general public", ["gnu lesser general public licen[cs]e(?: version| v)? ?3(?: 0)?"], ["lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"], "gnu org licenses lgpl 3 0"),
-    "lgpl": ("general public", ["gnu (?:lesser|library) general public licen[cs]e"], ["lgpl"], "gnu org licenses lgpl"),
-    "agpl-3": ("general public", ["gnu affero general public licen[cs]e(?: version| v)? ?3(?: 0)?"], ["agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"], "gnu org licenses agpl 3 0"),
-    "agpl": ("general public", ["(?:gnu )?affero general public licen[cs]e"], ["agpl 1 0"], "gnu org licenses agpl"),
-    "gfdl": ("documentation", ["gnu free documentation licen[cs]e(?: version 1 [123])?"], ["gfdl 1 1", "gfdl 1 2", "gfdl 1 3"], "gnu org licenses fdl"),
-    "bsd-2": ("bsd", ["(?:simplified|freebsd|2 clause|two clause) bsd licen[cs]e", "bsd 2 clause(?: licen[cs]e)?"], ["bsd 2 clause"], "opensource org licenses bsd 2 clause"),
-    "bsd-3": ("bsd", ["(?:new|modified|revised|3 clause|three clause) bsd licen[cs]e", "bsd 3 clause(?: licen[cs]e)?"], ["bsd 3 clause"], "opensource org licenses bsd 3 clause"),
-    "bsd-4": ("bsd", ["(?:original|4 clause|four clause) bsd licen[cs]e", "bsd 4 clause(?: licen[cs]e)?"], ["bsd 4 clause"], None),
-    "0bsd": ("bsd", ["(?:zero clause|0 clause) bsd licen[cs]e", "bsd zero clause licen[cs]e"], ["0bsd"], "opensource org licenses 0bsd"),
-    "bsd": ("bsd", ["bsd(?: style)? licen[cs]e"], ["bsd"], None),
-    "isc": ("isc", ["isc licen[cs]e", "internet systems consortium licen[cs]e"], ["isc"], "opensource org licenses isc"),
-    "mpl-1.1": ("mozilla", ["mozilla public licen[cs]e(?: version| v)? ?1 1"], ["mpl 1 1"], "mozilla org mpl 1 1"),
-    "mpl-2": ("mozilla", ["mozilla public licen[cs]e(?: version| v)? ?2(?: 0)?"], ["mpl 2 0"], "mozilla org mpl 2 0"),
-    "mpl": ("mozilla", ["mozilla public licen[cs]e"], ["mpl"], "mozilla org mpl"),
-    "epl-1": ("eclipse", ["eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?"], ["epl 1 0"], "eclipse org legal epl v10"),
-    "epl-2": ("eclipse", ["eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?"], ["epl 2 0"], "eclipse org legal epl 2 0"),
-    "cddl-1": ("distribution", ["common development and distribution licen[cs]e(?: version 1 [01])?"], ["cddl 1 0", "cddl 1 1"], None),
-    "cpl-1": ("common public", ["common public licen[cs]e(?: version 1 0)?"], ["cpl 1 0"], None),
-    "cpal-1": ("attribution", ["common public attribution licen[cs]e"], ["cpal 1 0"], None),
-    "cc0": ("cc0", ["cc0(?: 1 0)?(?: universal)?"], ["cc0 1 0"], "creativecommons org publicdomain zero 1 0"),
-    "cc-by-nc-nd": ("by nc nd", ["cc by nc nd(?: [1-4] [05])?"], ["cc by nc nd 3 0", "cc by nc nd 4 0"], "creativecommons org licenses by nc nd"),
-    "cc-by-nc-sa": ("by nc sa", ["cc by nc sa(?: [1-4] [05])?"], ["cc by nc sa 3 0", "cc by nc sa 4 0"], "creativecommons org licenses by nc sa"),
-    "cc-by-nc": ("by nc", ["cc by nc(?: [1-4] [05])?"], ["cc by nc 3 0", "cc by nc 4 0"], "creativecommons org licenses by nc"),
-    "cc-by-nd": ("by nd", ["cc by nd(?: [1-4] [05])?"], ["cc by nd 3 0", "cc by nd 4 0"], "creativecommons org licenses by nd"),
-    "cc-by-sa": ("by sa", ["cc by sa(?: [1-4] [05])?"], ["cc by sa 3 0", "cc by sa 4 0"], "creativecommons org licenses by sa"),
-    "cc-by": ("by", ["cc by(?: [1-4] [05])?"], ["cc by 3 0", "cc by 4 0"], "creativecommons org licenses by"),
-    "cc-attribution-nc": ("commercial", ["creative commons attribution non ?commercial(?: [1-4] [05])?"], [], None),
-    "cc-attribution-sa": ("share", ["creative commons attribution share ?alike(?: [1-4] [05])?"], [], None),
-    "cc-attribution": ("creative commons", ["creative commons attribution(?: [1-4] [05])?(?: international)?(?: licen[cs]e)?"], [], None),
-    "public-domain": ("public domain", ["(?:in|into) the public domain", "dedicated to the public domain"], [], None),
-    "unlicense": ("unlicense", ["the unlicense"], ["unlicense"], "unlicense org"),
-    "wtfpl": ("what the", ["do what the f[a-z]* you want to public licen[cs]e"], ["wtfpl"], "wtfpl net"),
-    "zlib": ("zlib", ["zlib licen[cs]e", "zlib libpng licen[cs]e"], ["zlib"], "zlib net zlib license"),
-    "boost": ("boost", ["boost software licen[cs]e(?: version 1 0)?"], ["bsl 1 0"], "boost org license 1 0"),
-    "artistic-1": ("artistic", ["artistic licen[cs]e 1 0"], ["artistic 1 0"], None),
-    "artistic-2": ("artistic", ["artistic licen[cs]e (?:version )?2(?: 0)?"], ["artistic 2 0"], "opensource org licenses artistic 2 0"),
-    "ofl": ("font", ["sil open font licen[cs]e(?: version 1 1)?", "open font licen[cs]e"], ["ofl 1 1"], "scripts sil org ofl"),
-    "ms-pl": ("microsoft", ["microsoft public licen[cs]e"], ["ms pl"], None),
-    "ms-rl": ("microsoft", ["microsoft reciprocal licen[cs]e"], ["ms rl"], None),
-    "eupl-1.1": ("european", ["european union public licen[cs]e(?: version| v)? ?1 1"], ["eupl 1 1"], None),
-    "eupl-1.2": ("european", ["european union public licen[cs]e(?: version| v)? ?1 2"], ["eupl 1 2"], None),
-    "psf-2": ("python", ["python software foundation licen[cs]e(?: version 2)?"], ["psf 2 0", "python 2 0"], None),
-    "php-3": ("php", ["php licen[cs]e(?: version)? 3 01?"], ["php 3 0", "php 3 01"], None),
-    "ruby": ("ruby", ["ruby licen[cs]e", "same terms as ruby"], ["ruby"], None),
-    "perl": ("perl", ["same terms as perl(?: itself)?"], [], None),
-    "postgresql": ("postgresql", ["postgresql licen[cs]e"], ["postgresql"], None),
-    "ncsa": ("ncsa", ["university of illinois ncsa open source licen[cs]e", "ncsa licen[cs]e"], ["ncsa"], None),
-    "openssl": ("openssl", ["openssl licen[cs]e"], ["openssl"], None),
-    "zpl-2": ("zope", ["zope public licen[cs]e(?: version 2 [01])?"], ["zpl 2 0", "zpl 2 1"], None),
-    "afl-3": ("academic", ["academic free licen[cs]e(?: version| v)? ?3(?: 0)?"], ["afl 3 0"], None),
-    "osl-3": ("open software", ["open software licen[cs]e(?: version| v)? ?3(?: 0)?"], ["osl 3 0"], None),
-    "ecl-2": ("educational", ["educational community licen[cs]e(?: version)? 2(?: 0)?"], ["ecl 2 0"], None),
-    "lppl": ("latex", ["latex project public licen[cs]e(?: version 1 3c?)?"], ["lppl 1 3c"], "latex project org lppl"),
-    "odbl": ("database", ["open database licen[cs]e", "open data commons open database licen[cs]e"], ["odbl 1 0"], "opendatacommons org licenses odbl"),
-    "odc-by": ("data commons", ["open data commons attribution licen[cs]e"], ["odc by 1 0"], "opendatacommons org licenses by"),
-    "pddl": ("data commons", ["open data commons public domain dedication(?: and licen[cs]e)?"], ["pddl 1 0"], "opendatacommons org licenses pddl"),
-    "json": ("good not evil", ["shall be used for good not evil"], ["json"], None),
-    "upl": ("universal", ["universal permissive licen[cs]e"], ["upl 1 0"], None),
-    "mulan": ("mulan", ["mulan (?:psl|permissive software licen[cs]e)(?: version| v)? ?2"], ["mulanpsl 2 0"], None),
-    "w3c": ("w3c", ["w3c software (?:notice and )?licen[cs]e"], ["w3c"], None),
-    "vim": ("vim", ["vim licen[cs]e"], ["vim"], None),
-    "beerware": ("beer", ["beer ?ware licen[cs]e"], ["beerware"], None),
-    "hpnd": ("historical", ["historical permission notice and disclaimer"], ["hpnd"], None),
-    "elastic-2": ("elastic", ["elastic licen[cs]e(?: version)? 2(?: 0)?"], ["elastic 2 0"], None),
-    "sspl": ("server side", ["server side public licen[cs]e"], ["sspl 1 0"], None),
-    "busl": ("business", ["business source licen[cs]e(?: 1 1)?"], ["busl 1 1"], None),
-    "commons-clause": ("commons clause", ["commons clause(?: licen[cs]e)?"], [], None),
-    "all-rights-reserved": ("rights reserved", ["all rights reserved"], [], None),
+    "mit": (["(?:the )?mit licen[cs]e", "(?:the )?mit x11 licen[cs]e", "mit style licen[cs]e"], ["mit"], "opensource org licenses mit"),
+    "x11": (["x11 licen[cs]e", "x consortium licen[cs]e"], ["x11"], None),
+    "apache-1.1": (["apache (?:software )?licen[cs]e (?:version |v )?1 1"], ["apache 1 1"], "apache org licenses license 1 1"),
+    "apache-2": (["apache (?:software )?licen[cs]e(?: version| v)? ?2(?: 0)?", "apache 2(?: 0)? licen[cs]e", "asl 2(?: 0)?"], ["apache 2 0"], "apache org licenses license 2 0"),
+    "gpl-1": (["gnu general public licen[cs]e(?: version| v)? ?1(?: 0)?"], ["gpl 1 0", "gpl 1 0 only", "gpl 1 0 or later"], None),
+    "gpl-2": (["(?:gnu )?general public licen[cs]e(?: version| v)? ?2(?: 0)?"], ["gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"], "gnu org licenses old licenses gpl 2 0"),
+    "gpl-3": (["(?:gnu )?general public licen[cs]e(?: version| v)? ?3(?: 0)?"], ["gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"], "gnu org licenses gpl 3 0"),
+    "gpl": (["gnu general public licen[cs]e", "gnu gpl"], ["gpl"], "gnu org licenses gpl"),
+    "lgpl-2": (["gnu library general public licen[cs]e(?: version| v)? ?2(?: 0)?"], ["lgpl 2 0", "lgpl 2 0 only", "lgpl 2 0 or later"], None),
+    "lgpl-2.1": (["gnu lesser general public licen[cs]e(?: version| v)? ?2 1"], ["lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later"], "gnu org licenses old licenses lgpl 2 1"),
+    "lgpl-3": (["gnu lesser general public licen[cs]e(?: version| v)? ?3(?: 0)?"], ["lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"], "gnu org licenses lgpl 3 0"),
+    "lgpl": (["gnu (?:lesser|library) general public licen[cs]e"], ["lgpl"], "gnu org licenses lgpl"),
+    "agpl-3": (["gnu affero general public licen[cs]e(?: version| v)? ?3(?: 0)?"], ["agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"], "gnu org licenses agpl 3 0"),
+    "agpl": (["(?:gnu )?affero general public licen[cs]e"], ["agpl 1 0"], "gnu org licenses agpl"),
+    "gfdl": (["gnu free documentation licen[cs]e(?: version 1 [123])?"], ["gfdl 1 1", "gfdl 1 2", "gfdl 1 3"], "gnu org licenses fdl"),
+    "bsd-2": (["(?:simplified|freebsd|2 clause|two clause) bsd licen[cs]e", "bsd 2 clause(?: licen[cs]e)?"], ["bsd 2 clause"], "opensource org licenses bsd 2 clause"),
+    "bsd-3": (["(?:new|modified|revised|3 clause|three clause) bsd licen[cs]e", "bsd 3 clause(?: licen[cs]e)?"], ["bsd 3 clause"], "opensource org licenses bsd 3 clause"),
+    "bsd-4": (["(?:original|4 clause|four clause) bsd licen[cs]e", "bsd 4 clause(?: licen[cs]e)?"], ["bsd 4 clause"], None),
+    "0bsd": (["(?:zero clause|0 clause) bsd licen[cs]e", "bsd zero clause licen[cs]e"], ["0bsd"], "opensource org licenses 0bsd"),
+    "bsd": (["bsd(?: style)? licen[cs]e"], ["bsd"], None),
+    "isc": (["isc licen[cs]e", "internet systems consortium licen[cs]e"], ["isc"], "opensource org licenses isc"),
+    "mpl-1.1": (["mozilla public licen[cs]e(?: version| v)? ?1 1"], ["mpl 1 1"], "mozilla org mpl 1 1"),
+    "mpl-2": (["mozilla public licen[cs]e(?: version| v)? ?2(?: 0)?"], ["mpl 2 0"], "mozilla org mpl 2 0"),
+    "mpl": (["mozilla public licen[cs]e"], ["mpl"], "mozilla org mpl"),
+    "epl-1": (["eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?"], ["epl 1 0"], "eclipse org legal epl v10"),
+    "epl-2": (["eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?"], ["epl 2 0"], "eclipse org legal epl 2 0"),
+    "cddl-1": (["common development and distribution licen[cs]e(?: version 1 [01])?"], ["cddl 1 0", "cddl 1 1"], None),
+    "cpl-1": (["common public licen[cs]e(?: version 1 0)?"], ["cpl 1 0"], None),
+    "cpal-1": (["common public attribution licen[cs]e"], ["cpal 1 0"], None),
+    "cc0": (["cc0(?: 1 0)?(?: universal)?"], ["cc0 1 0"], "creativecommons org publicdomain zero 1 0"),
+    "cc-by-nc-nd": (["cc by nc nd(?: [1-4] [05])?"], ["cc by nc nd 3 0", "cc by nc nd 4 0"], "creativecommons org licenses by nc nd"),
+    "cc-by-nc-sa": (["cc by nc sa(?: [1-4] [05])?"], ["cc by nc sa 3 0", "cc by nc sa 4 0"], "creativecommons org licenses by nc sa"),
+    "cc-by-nc": (["cc by nc(?: [1-4] [05])?"], ["cc by nc 3 0", "cc by nc 4 0"], "creativecommons org licenses by nc"),
+    "cc-by-nd": (["cc by nd(?: [1-4] [05])?"], ["cc by nd 3 0", "cc by nd 4 0"], "creativecommons org licenses by nd"),
+    "cc-by-sa": (["cc by sa(?: [1-4] [05])?"], ["cc by sa 3 0", "cc by sa 4 0"], "creativecommons org licenses by sa"),
+    "cc-by": (["cc by(?: [1-4] [05])?"], ["cc by 3 0", "cc by 4 0"], "creativecommons org licenses by"),
+    "cc-attribution-nc": (["creative commons attribution non ?commercial(?: [1-4] [05])?"], [], None),
+    "cc-attribution-sa": (["creative commons attribution share ?alike(?: [1-4] [05])?"], [], None),
+    "cc-attribution": (["creative commons attribution(?: [1-4] [05])?(?: international)?(?: licen[cs]e)?"], [], None),
+    "public-domain": (["(?:in|into) the public domain", "dedicated to the public domain"], [], None),
+    "unlicense": (["the unlicense"], ["unlicense"], "unlicense org"),
+    "wtfpl": (["do what the f[a-z]* you want to public licen[cs]e"], ["wtfpl"], "wtfpl net"),
+    "zlib": (["zlib licen[cs]e", "zlib libpng licen[cs]e"], ["zlib"], "zlib net zlib license"),
+    "boost": (["boost software licen[cs]e(?: version 1 0)?"], ["bsl 1 0"], "boost org license 1 0"),
+    "artistic-1": (["artistic licen[cs]e 1 0"], ["artistic 1 0"], None),
+    "artistic-2": (["artistic licen[cs]e (?:version )?2(?: 0)?"], ["artistic 2 0"], "opensource org licenses artistic 2 0"),
+    "ofl": (["sil open font licen[cs]e(?: version 1 1)?", "open font licen[cs]e"], ["ofl 1 1"], "scripts sil org ofl"),
+    "ms-pl": (["microsoft public licen[cs]e"], ["ms pl"], None),
+    "ms-rl": (["microsoft reciprocal licen[cs]e"], ["ms rl"], None),
+    "eupl-1.1": (["european union public licen[cs]e(?: version| v)? ?1 1"], ["eupl 1 1"], None),
+    "eupl-1.2": (["european union public licen[cs]e(?: version| v)? ?1 2"], ["eupl 1 2"], None),
+    "psf-2": (["python software foundation licen[cs]e(?: version 2)?"], ["psf 2 0", "python 2 0"], None),
+    "php-3": (["php licen[cs]e(?: version)? 3 01?"], ["php 3 0", "php 3 01"], None),
+    "ruby": (["ruby licen[cs]e", "same terms as ruby"], ["ruby"], None),
+    "perl": (["same terms as perl(?: itself)?"], [], None),
+    "postgresql": (["postgresql licen[cs]e"], ["postgresql"], None),
+    "ncsa": (["university of illinois ncsa open source licen[cs]e", "ncsa licen[cs]e"], ["ncsa"], None),
+    "openssl": (["openssl licen[cs]e"], ["openssl"], None),
+    "zpl-2": (["zope public licen[cs]e(?: version 2 [01])?"], ["zpl 2 0", "zpl 2 1"], None),
+    "afl-3": (["academic free licen[cs]e(?: version| v)? ?3(?: 0)?"], ["afl 3 0"], None),
+    "osl-3": (["open software licen[cs]e(?: version| v)? ?3(?: 0)?"], ["osl 3 0"], None),
+    "ecl-2": (["educational community licen[cs]e(?: version)? 2(?: 0)?"], ["ecl 2 0"], None),
+    "lppl": (["latex project public licen[cs]e(?: version 1 3c?)?"], ["lppl 1 3c"], "latex project org lppl"),
+    "odbl": (["open database licen[cs]e", "open data commons open database licen[cs]e"], ["odbl 1 0"], "opendatacommons org licenses odbl"),
+    "odc-by": (["open data commons attribution licen[cs]e"], ["odc by 1 0"], "opendatacommons org licenses by"),
+    "pddl": (["open data commons public domain dedication(?: and licen[cs]e)?"], ["pddl 1 0"], "opendatacommons org licenses pddl"),
+    "json": (["shall be used for good not evil"], ["json"], None),
+    "upl": (["universal permissive licen[cs]e"], ["upl 1 0"], None),
+    "mulan": (["mulan (?:psl|permissive software licen[cs]e)(?: version| v)? ?2"], ["mulanpsl 2 0"], None),
+    "w3c": (["w3c software (?:notice and )?licen[cs]e"], ["w3c"], None),
+    "vim": (["vim licen[cs]e"], ["vim"], None),
+    "beerware": (["beer ?ware licen[cs]e"], ["beerware"], None),
+    "hpnd": (["historical permission notice and disclaimer"], ["hpnd"], None),
+    "elastic-2": (["elastic licen[cs]e(?: version)? 2(?: 0)?"], ["elastic 2 0"], None),
+    "sspl": (["server side public licen[cs]e"], ["sspl 1 0"], None),
+    "busl": (["business source licen[cs]e(?: 1 1)?"], ["busl 1 1"], None),
+    "commons-clause": (["commons clause(?: licen[cs]e)?"], [], None),
+    "all-rights-reserved": (["all rights reserved"], [], None),
 }
 
 _GRANT = "(?:licen[cs]ed|released|distributed|available|published|provided|governed|covered|redistributed) (?:under|by|according to) (?:the )?(?:terms of )?(?:the )?"
@@ -120,12 +122,19 @@ class Rule:
     score: float
 
 
+def _keyword(name: str) -> str:
+    """The longest literal part that every match of a name has: what stands outside groups, sets and repeated characters."""
+    name = re.sub(r"\(\?:[^()]*\)[?*]?|\[[^]]*\][?*]?|.[?*]", "|", name)
+    return max(name.split("|"), key=len)
+
+
 def _rules() -> tuple[Rule, ...]:
     found = []
-    for label, (keyword, names, ids, address) in SIGNATURES.items():
-        found += [Rule(label, "license identifier", f"spdx license identifier {x}(?= )", 4, 1.0) for x in ids]
+    for label, (names, ids, address) in SIGNATURES.items():
+        found += [Rule(label, f"spdx license identifier {x}", f"spdx license identifier {x}(?= )", 4, 1.0) for x in ids]
         found += [Rule(label, address, f"(?:https? )?(?:www )?{address}(?: [0-9] [0-9])?(?= )", 3, 0.95)] * bool(address)
         for x in names:
+            keyword = _keyword(x)
             found += [Rule(label, keyword, f"{_GRANT}{x}(?= )", 2, 0.9), Rule(label, keyword, f"(?<= ){x}(?= )", 1, 0.6)]
     return tuple(found)
 
@@ -133,9 +142,26 @@ def _rules() -> tuple[Rule, ...]:
 #: In order: of equal detections the earlier rule's stays.
 RULES = _rules()
 
-#: A text without any of these (in any case) matches no rule and no base phrase.
-GATES = ("licen", "spdx", "gpl", "apache", "creative", "public", "reserved", "asl", "bsd", "commons", "mulan", "disclaimer", "same", "good", "sspl", "cc0")
-_CC = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+
+def gates(rules: tuple[Rule, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strings and regular expressions (in any case) of which each text that matches a rule or a base phrase has one.
+
+    For each keyword one of its words is among the strings, if possible a long
+    one, and those that most keywords have first; keywords of words too short
+    for that are expressions.
+    """
+    left = {k: {w for w in re.findall("[a-z0-9]+", k) if len(w) > 2} for k in (*(r.keyword for r in rules), *BASE)}
+    short = {" ".join(k.split()) for k, words in left.items() if not words}
+    short = {k for k in short if not any(x != k and x in k for x in short)}
+    left = {k: {w for w in words if len(w) > 4} or words for k, words in left.items() if words}
+    strings = []
+    while left:
+        # In words alone, as a keyword may end within a word of the text.
+        words = sorted(set().union(*left.values()))
+        best = max(words, key=lambda w: (sum(any(w in x for x in xs) for xs in left.values()), len(w)))
+        strings.append(best)
+        left = {k: xs for k, xs in left.items() if not any(best in x for x in xs)}
+    return tuple(strings), tuple(sorted("(?i)" + _GAP.join(map(re.escape, k.split())) for k in short))
 
 
 def _base_hits(words: Column) -> Column:
@@ -211,7 +237,8 @@ def with_licenses(df: DataFrame, text: str = "text", name: str = "licenses", rul
     keep = [F.col(f"`{c}`") for c in df.columns]
     c = F.col
     low = F.lower(c(t))
-    gate = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in GATES]) | F.regexp_like(c(t), F.lit(_CC))
+    strings, expressions = gates(rules)
+    gate = reduce(lambda a, b: a | b, [*(F.contains(low, F.lit(k)) for k in strings), *(F.regexp_like(c(t), F.lit(k)) for k in expressions)])
     read = df.select(*keep, F.coalesce(c(f"`{text}`"), F.lit("")).alias(t))
     read = read.select(*keep, t, F.size(F.array_remove(F.split(c(t), _GAP), "")).cast("long").alias(n), gate.alias(g))
     lower = F.array_remove(F.split(F.translate(c(t), UPPER, LOWER), _LOWER_GAP), "")

@@ -1,7 +1,8 @@
 import random
 import re
+from re import _parser
 
-from plazaworks.llm.licenses import BASE, BASE_SCORE, RULES, with_licenses
+from plazaworks.llm.licenses import BASE, BASE_SCORE, RULES, SIGNATURES, gates, with_licenses
 
 
 def plain(text):
@@ -68,3 +69,52 @@ def test_query_on_the_small_table(spark):
     rows = QUERIES["op9_license_scan"](spark, folder).collect()
     assert {r.doc_id: tuple(r)[1:] for r in rows} == {k: plain(t) for k, t in texts.items()}
     assert any(r.labels for r in rows)
+
+
+def samples(pattern):
+    """Texts that match a pattern: each alternative with all that is optional left out, and with all of it."""
+
+    def of(parsed, full):
+        texts = [""]
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "IN":
+                more = [chr(x if str(o) == "LITERAL" else x[0]) for o, x in arg]
+            elif name == "SUBPATTERN":
+                more = of(arg[-1], full)
+            elif name == "BRANCH":
+                more = [t for branch in arg[1] for t in of(branch, full)]
+            elif name == "MAX_REPEAT":
+                more = of(arg[2], full) if full or arg[0] else [""]
+            else:
+                raise ValueError(name)
+            texts = [a + b for a in texts for b in more]
+        return texts
+
+    return {t for full in (False, True) for t in of(_parser.parse(pattern), full)}
+
+
+def test_every_name_and_address_alone_is_found_as_by_all_rules_without_gates(spark):
+    texts = {t for names, ids, address in SIGNATURES.values() for x in names for t in samples(x)}
+    texts |= {address for _, _, address in SIGNATURES.values() if address}
+    texts |= {f"spdx license identifier {x}" for _, ids, _ in SIGNATURES.values() for x in ids}
+    texts |= {"https://www.wtfpl.net/", "https://mozilla.org/MPL/2.0/", "https://www.eclipse.org/legal/epl-2.0/", "https://scripts.sil.org/OFL", "https://www.latex-project.org/lppl/", "GNU GPL", "ASL 2.0", "X Consortium License"}
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "text string")
+    for r in with_licenses(df, name="result").collect():
+        norm = " " + " ".join(re.findall("[a-z0-9]+", r.text.lower())) + " "
+        found = [(m.start(), m.end(), x.priority, k, x) for k, x in enumerate(RULES) for m in re.finditer(x.pattern, norm)]
+        hides = lambda y, x: y[0] <= x[0] and x[1] <= y[1] and y[2] >= x[2] and (y[:3] != x[:3] or y[3] < x[3])
+        left = [x for x in found if not any(hides(y, x) for y in found if y is not x)]
+        base = {label for phrase, label in BASE.items() if f" {phrase} " in norm}
+        assert left and r.result.labels == ",".join(sorted({*base, *(x[4].label for x in left)})), r.text
+        assert sorted((x.start, x.stop, x.label) for x in r.result.found) == sorted((x[0], x[1], x[4].label) for x in left), r.text
+
+
+def test_keywords_stand_in_every_match_and_gates_in_every_keyword():
+    strings, expressions = gates(RULES)
+    for r in RULES:
+        texts = samples(r.pattern.replace("(?= )", "").replace("(?<= )", ""))
+        assert texts and all(r.keyword in t for t in texts), r
+        assert all(any(g in t for g in strings) or any(re.search(e, t) for e in expressions) for t in texts), r
