@@ -27,6 +27,9 @@ class Viewer:
     women_only: bool = False
     window: tuple[int, int] | None = None
     embedding: tuple[float, ...] = field(default=())
+    #: Keys and values of what is noted of the viewer, and the vector of what they look for (embedding, if empty); neither makes a viewer warm.
+    notes: tuple[str, ...] = ()
+    want: tuple[float, ...] = ()
 
     @property
     def cold(self) -> bool:
@@ -38,6 +41,15 @@ def _strings(values: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
+def _vector(values: tuple[float, ...]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<double>") if values else F.lit(None).cast("array<double>")
+
+
+def _given(df: DataFrame, name: str, kind: str) -> Column:
+    """A column that a table may lack; null then."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
 def drop_conditions(viewer: Viewer, tags: Column, women_only: Column, texts: Column, minute: Column | None = None) -> list[Column]:
     """What rules an event or a person out for the viewer."""
     blocked = set(similarity.BLOCKED) if viewer.mobility and "wheelchair" in text.words_of(viewer.mobility) else set()
@@ -65,14 +77,16 @@ def scored_events(events: DataFrame, people: DataFrame, attendances: DataFrame,
     """The events near the viewer that nothing rules out, with distance and score.
 
     events has event_id, lat, lon, starts_at, tags, title, women_only,
-    promoted. Only attendances of these events are read on.
+    promoted, and may have embedding, which is compared with what the viewer
+    wants. Only attendances of these events are read on.
     """
     near = _near(events, viewer, radius_m, as_of_filter)
     minute = time.warsaw_minute(F.col("starts_at"))
     for drop in drop_conditions(viewer, F.col("tags"), F.col("women_only"), F.concat(F.col("tags"), F.array("title")), minute):
         near = near.filter(~drop)
     near = near.join(attendee_likeness(people, attendances.join(near.select("event_id"), "event_id", "left_semi"), viewer), "event_id", "left")
-    score = _score(viewer, F.col("people"), F.col("distance_m"), F.lit(None).cast("double"), minute, F.col("promoted"))
+    match = similarity.cosine(_given(near, "embedding", "array<double>"), _vector(viewer.want or viewer.embedding))
+    score = _score(viewer, F.col("people"), F.col("distance_m"), match, minute, F.col("promoted"))
     return near.withColumn("score", F.round(score, 6))
 
 
@@ -84,22 +98,27 @@ def rank_events(events: DataFrame, people: DataFrame, attendances: DataFrame, vi
     return scored.orderBy(F.desc("score"), "distance_m", "starts_at", "event_id").limit(WARM_LIMIT)
 
 
-def likeness(viewer: Viewer) -> Column:
-    """How alike a person (age_band, sportiness, tags) and the viewer are."""
-    none = F.lit(None).cast("array<double>")
-    likes = _strings(viewer.likes)
-    complements = similarity.company_complement(likes, F.array().cast("array<string>"), F.col("tags"), F.array().cast("array<string>"))
-    return similarity.profile_similarity((F.lit(viewer.age_band).cast("string"), F.col("age_band")), (F.lit(viewer.sportiness).cast("int"), F.col("sportiness")), (likes, F.col("tags")), (none, none), complements)
+def likeness(people: DataFrame, viewer: Viewer) -> Column:
+    """How alike a person (age_band, sportiness, tags; embedding and notes, an array of keys and values, if there) and the viewer are."""
+    likes, none = _strings(viewer.likes), F.array().cast("array<string>")
+    notes = F.coalesce(_given(people, "notes", "array<string>"), none)
+    complements = similarity.company_complement(likes, _strings(viewer.notes), F.col("tags"), notes)
+    vectors = _vector(viewer.embedding), _given(people, "embedding", "array<double>")
+    return similarity.profile_similarity((F.lit(viewer.age_band).cast("string"), F.col("age_band")), (F.lit(viewer.sportiness).cast("int"), F.col("sportiness")), (likes, F.col("tags")), vectors, complements)
 
 
 def attendee_likeness(people: DataFrame, attendances: DataFrame, viewer: Viewer) -> DataFrame:
     """(event_id, people): the mean likeness of those who go."""
-    rated = people.select("user_id", likeness(viewer).alias("like"))
+    rated = people.select("user_id", likeness(people, viewer).alias("like"))
     return attendances.filter("status = 'going'").join(rated, "user_id").groupBy("event_id").agg(F.avg("like").alias("people"))
 
 
 def rank_people(people: DataFrame, locations: DataFrame, viewer: Viewer) -> DataFrame:
-    """People who aren't ruled out, the most alike first, with a band of distance in place of where they are."""
+    """People who aren't ruled out, with a band of distance in place of where they are.
+
+    Those whose vector is nearest to the viewer's come first and those without
+    one last, then the most alike.
+    """
     near = people.join(locations, "user_id").withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(viewer.lat), F.lit(viewer.lon)))
     if not viewer.cold:
         for drop in drop_conditions(viewer, F.col("tags"), F.col("women_only"), F.col("tags")):
@@ -107,8 +126,9 @@ def rank_people(people: DataFrame, locations: DataFrame, viewer: Viewer) -> Data
         if viewer.window:
             meets = time.windows_overlap(F.lit(viewer.window[0]), F.lit(viewer.window[1]), F.col("start_minute"), F.col("end_minute"))
             near = near.filter(F.coalesce(meets, F.lit(True)))
-    rated = near.withColumn("similarity", F.round(likeness(viewer), 6)).withColumn("band", geo.distance_band(F.col("distance_m"))).withColumn("shared", F.array_join(text_shared(viewer), ","))
-    return rated.orderBy(F.desc("similarity"), "distance_m", "user_id")
+    rated = near.withColumn("profile_cosine", similarity.cosine(_vector(viewer.embedding), _given(near, "embedding", "array<double>")))
+    rated = rated.withColumn("similarity", F.round(likeness(near, viewer), 6)).withColumn("band", geo.distance_band(F.col("distance_m"))).withColumn("shared", F.array_join(text_shared(viewer), ","))
+    return rated.orderBy(F.desc_nulls_last("profile_cosine"), F.desc("similarity"), "distance_m", "user_id")
 
 
 def text_shared(viewer: Viewer) -> Column:

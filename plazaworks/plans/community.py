@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from plazaworks.functions import geo, similarity, time
@@ -176,6 +178,87 @@ def people_text_filter(spark, d):
     return _people(spark, d).filter(filters.contains_text(C("first_name"), "Walk") | filters.contains_text(C("shared"), "Walk")).select("user_id")
 
 
+# The same with vectors and notes.
+
+_NOTES = "CASE user_id % 5 WHEN 0 THEN {a}'mood', 'Lives alone'{b} WHEN 1 THEN {a}'asks', 'wants company'{b} END"
+
+
+def _vectors(spark, d, key: str):
+    return table(spark, d, "embeddings").select(C("vec_id").alias(key), "embedding")
+
+
+def _rich_people(spark, d):
+    return adapt.people(spark, d).join(_vectors(spark, d, "user_id"), "user_id", "left").withColumn("notes", F.expr(_NOTES.format(a="array(", b=")")))
+
+
+def _rich_events(spark, d):
+    return adapt.events(spark, d).join(_vectors(spark, d, "event_id"), "event_id", "left").join(adapt.places(spark, d), "place_id")
+
+
+def _rich_viewer(spark, d) -> ranking.Viewer:
+    """The viewer with a vector, another of what they want (two rows), and notes."""
+    rows = {r.vec_id: tuple(r.embedding) for r in table(spark, d, "embeddings").filter("vec_id IN (0, 1)").collect()}
+    return dataclasses.replace(VIEWER, embedding=rows[0], want=rows[1], notes=("mood", "lonely"))
+
+
+def _cos(k: int) -> str:
+    return f"CASE WHEN embedding IS NOT NULL THEN list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {k})) END"
+
+
+_SAYS = "(list_bool_or(list_transform(list_concat(tags, coalesce(notes, [])), lambda t: regexp_matches(lower(t), '{}'))))"
+#: The viewer is lonely by a note and wants company by a like.
+_MATE = f"({_SAYS.format('wants company|towarzystwo')} OR {_SAYS.format('lonely|lives alone|samotn')})"
+_RICH_PARTS = ", ".join(
+    [
+        "CAST(" + adapt.age_similarity("CAST('25-34' AS VARCHAR)", "age_band") + " AS DOUBLE)",
+        adapt.sport_similarity("1", "sportiness"),
+        adapt.tag_jaccard("['walks','coffee','wants company']", "tags"),
+        _cos(0),
+        f"CASE WHEN {_MATE} THEN 1e0 END",
+    ]
+)
+_RICH_LIKE = f"coalesce(list_avg(list_filter([{_RICH_PARTS}], lambda x: x IS NOT NULL)), 0)"
+_RICH = f"""{ctes('evs', 'places', 'live', 'attendances', 'people', 'signed')},
+rich AS (SELECT people.*, embedding, {_NOTES.format(a='[', b=']')} AS notes FROM people LEFT JOIN embeddings ON vec_id = user_id),
+likes AS (SELECT event_id, avg({_RICH_LIKE}) AS people FROM attendances JOIN rich USING (user_id) WHERE status = 'going' GROUP BY 1)"""
+_RICH_WARM = f"""{_RICH},
+near AS (SELECT live.*, {_cos(1)} AS match, {distance()} AS distance_m, {warsaw('starts_at')} AS minute FROM live LEFT JOIN embeddings ON vec_id = event_id WHERE {distance()} <= 30000),
+warm AS (SELECT near.*, round((coalesce(0.45 * people, 0) + 0.25 * exp(-distance_m / 2500) + coalesce(0.20 * match, 0) + 0.10 * ({_FIT})) / (0.35 + CASE WHEN people IS NULL THEN 0 ELSE 0.45 END + CASE WHEN match IS NULL THEN 0 ELSE 0.20 END) + CASE WHEN promoted THEN 0.05 ELSE 0 END, 6) AS score
+         FROM near LEFT JOIN likes USING (event_id) WHERE NOT ({_DROPPED}) AND {contains('480', '1320', 'minute')}),
+top AS (SELECT * FROM warm ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 50)"""
+
+
+@query("mean_attendee_sim_vectors", f"{_RICH} SELECT event_id, round(people, 6) AS people FROM likes")
+def mean_attendee_sim_vectors(spark, d):
+    return ranking.attendee_likeness(_rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d)).select("event_id", F.round("people", 6).alias("people"))
+
+
+@query("event_score_vectors", f"{_RICH_WARM} SELECT event_id, score FROM warm")
+def event_score_vectors(spark, d):
+    return ranking.scored_events(_rich_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF)).select("event_id", "score")
+
+
+def _rich_warm(spark, d):
+    return ranking.rank_events(_rich_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF))
+
+
+@query("rank_events_vectors", f"{_RICH_WARM} SELECT event_id, score, round(distance_m, 3) AS distance_m FROM top")
+def rank_events_vectors(spark, d):
+    return _rich_warm(spark, d).select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query("first_open_offer_vectors", f"{_RICH_WARM} SELECT event_id, coalesce(n, 0) AS signed_count FROM top LEFT JOIN signed USING (event_id) WHERE capacity IS NULL OR coalesce(n, 0) < capacity ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 1")
+def first_open_offer_vectors(spark, d):
+    order = [F.desc("score"), C("distance_m"), C("starts_at"), C("event_id")]
+    return ranking.first_open(_rich_warm(spark, d), joins.signed_counts(adapt.attendances(spark, d)), order).select("event_id", "signed_count")
+
+
+@query("rank_people_vectors", f"{_RICH}, {_LOCATIONS} SELECT user_id, round({_RICH_LIKE}, 6) AS similarity, round({_cos(0)}, 6) AS profile_cosine FROM rich JOIN located USING (user_id) WHERE NOT women_only AND len(list_intersect({_WORDS_OF('tags')}, ['golf', 'club'])) = 0 AND ({_MEETS})")
+def rank_people_vectors(spark, d):
+    located = person_location(spark, d).join(adapt.places(spark, d), "place_id").select("user_id", "lat", "lon")
+    return ranking.rank_people(_rich_people(spark, d), located, _rich_viewer(spark, d)).select("user_id", "similarity", F.round("profile_cosine", 6).alias("profile_cosine"))
+
+
 @query("constraints_passed", f"{ctes('people')} SELECT user_id, 'dislikes,time_window' AS passed FROM people")
 def constraints_passed(spark, d):
     return adapt.people(spark, d).select("user_id", F.array_join(ranking.constraints_passed(VIEWER), ",").alias("passed"))

@@ -1,5 +1,6 @@
 """Known values of the functions, with nulls and bounds."""
 
+import dataclasses
 import math
 
 import pytest
@@ -131,3 +132,26 @@ def test_known_words_are_found_as_tokens_are(spark):
         by_tokens = similarity.dislikes_any(strings(known), F.col("texts"))
         by_words = text.has_word(F.col("texts"), text.words_of(known))
         assert [r.x for r in df.select(by_tokens.alias("x")).collect()] == [r.x for r in df.select(by_words.alias("x")).collect()], known
+
+
+def test_vectors_and_notes_of_the_ranking(spark):
+    rows = [("1", [1.0, 0.0], None), ("2", [0.6, 0.8], ["mood", "Lonely"]), ("3", None, None), ("4", [0.0, 0.0], [])]
+    known = [("18-24", 1, ["walks"])] * 2 + [("25-34", 1, ["coffee"])] * 2
+    schema = "user_id string, embedding array<float>, notes array<string>, age_band string, sportiness int, tags array<string>, women_only boolean, start_minute int, end_minute int"
+    people = spark.createDataFrame([(*r, *k, False, None, None) for r, k in zip(rows, known)], schema)
+    places = spark.createDataFrame([(r[0], 50.0, 20.0) for r in rows], "user_id string, lat double, lon double")
+    viewer = ranking.Viewer(50.0, 20.0, age_band="25-34", sportiness=1, likes=("coffee",), embedding=(0.0, 1.0), notes=("asks", "wants company"), want=(1.0, 0.0))
+    ranked = ranking.rank_people(people, places, viewer).collect()
+    # By similarity alone, the third would be the first.
+    assert [r.user_id for r in ranked] == ["2", "4", "1", "3"]
+    assert [None if r.profile_cosine is None else round(r.profile_cosine, 6) for r in ranked] == [0.8, 0.0, 0.0, None]
+    wanted = {"1": (0.5 + 1 + 0 + 0) / 4, "2": (0.5 + 1 + 0 + 0.8 + 1) / 5, "3": 1.0, "4": (1 + 1 + 1 + 0) / 4}
+    assert {r.user_id: r.similarity for r in ranked} == {k: round(x, 6) for k, x in wanted.items()}
+
+    events = spark.createDataFrame([(k, 50.0, 20.0, ["tea"], "t", False, False, v) for k, v in ((1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None))], "event_id long, lat double, lon double, tags array<string>, title string, women_only boolean, promoted boolean, embedding array<float>")
+    events = events.withColumn("starts_at", L("2026-01-10 12:00:00").cast("timestamp_ntz"))
+    going = spark.createDataFrame([(1, "1", "going"), (1, "2", "going")], "event_id long, user_id string, status string")
+    scored = {r.event_id: r.score for r in ranking.scored_events(events, people, going, viewer, 1000.0, L(True)).collect()}
+    mean = (wanted["1"] + wanted["2"]) / 2
+    assert ranking.scored_events(events, people, going.limit(0), dataclasses.replace(viewer, want=()), 1000.0, L(True)).filter("event_id = 2").first().score == 1.0
+    assert scored == {1: round(0.45 * mean + 0.25 + 0.20 + 0.10, 6), 2: round(0.35 / 0.55, 6), 3: 1.0}
