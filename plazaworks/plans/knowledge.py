@@ -180,6 +180,15 @@ def chat_search(spark, d):
     return rated.select("id", F.round(trigram_similarity(C("body"), F.lit("the and or")), 6).alias("score"))
 
 
+@query("chat_search_all", f"{ctes('messages')} SELECT id, position('the' IN lower(body)) AS place, round({trigram_sql('body', repr('the and or'))}, 6) AS score FROM messages WHERE contains(lower(body), 'the')")
+def chat_search_all(spark, d):
+    """Every message with the words, with the place it is ordered by; chat_search is the first page of these."""
+    from plazaworks.functions.text import trigram_similarity
+
+    found = adapt.messages(spark, d).filter(filters.contains_text(C("body"), "the")).withColumn("place", F.instr(F.lower("body"), "the"))
+    return found.orderBy("place", "created", "id").select("id", "place", F.round(trigram_similarity(C("body"), F.lit("the and or")), 6).alias("score"))
+
+
 @query("keyset_page", f"{ctes('messages')} SELECT id, created FROM messages WHERE (created, id) < (2, 40002) ORDER BY created DESC, id DESC LIMIT 100")
 def keyset_page(spark, d):
     return paging.page_before(adapt.messages(spark, d), (2, 40002), 100).select("id", "created")
