@@ -274,6 +274,13 @@ def coord_match(spark, d):
     return adapt.places(spark, d).filter("place_id % 5 <> 2").select("place_id", geo.same_coordinates(C("lat"), C("lon"), C("lat") + shift, C("lon") + shift / 2).alias("same"))
 
 
+@query("coord_match_all", f"{ctes('places')} SELECT place_id, abs(lat - (lat + {_SHIFT})) <= 0.002 AND abs(lon - (lon + {_SHIFT} / 2)) <= 0.002 AS same FROM places")
+def coord_match_all(spark, d):
+    """All places, those whose shift is the bound among them: both engines add and compare the same doubles."""
+    shift = F.expr(_SHIFT)
+    return adapt.places(spark, d).select("place_id", geo.same_coordinates(C("lat"), C("lon"), C("lat") + shift, C("lon") + shift / 2).alias("same"))
+
+
 @query("suffix_match", "SELECT p_partkey FROM part WHERE ends_with(p_type, 'ARD') OR ends_with(p_name, ' ' || split_part(p_name, ' ', 1))")
 def suffix_match(spark, d):
     return table(spark, d, "part").filter(C("p_type").endswith("ARD") | C("p_name").endswith(F.concat(F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(1))))).select("p_partkey")

@@ -155,3 +155,12 @@ def test_vectors_and_notes_of_the_ranking(spark):
     mean = (wanted["1"] + wanted["2"]) / 2
     assert ranking.scored_events(events, people, going.limit(0), dataclasses.replace(viewer, want=()), 1000.0, L(True)).filter("event_id = 2").first().score == 1.0
     assert scored == {1: round(0.45 * mean + 0.25 + 0.20 + 0.10, 6), 2: round(0.35 / 0.55, 6), 3: 1.0}
+
+
+def test_the_bound_of_same_coordinates_is_inclusive(spark):
+    from plazaworks.plans import catalogue
+
+    at = lambda lat, lon: one(spark, geo.same_coordinates(L(0.0), L(0.0), L(lat), L(lon)))
+    assert at(0.002, -0.002) and not at(math.nextafter(0.002, 1), 0.0) and not at(0.0, -math.nextafter(0.002, 1))
+    folder = "/root/testdata/sf0.001"
+    assert catalogue.QUERIES["coord_match_all"](spark, folder).count() == spark.read.parquet(f"{folder}/customer.parquet").count()
