@@ -241,6 +241,14 @@ def stream_frames(spark, d):
     return paging.after(_log(spark, d), -1, ["click", "view"]).filter("user_id % 3 = 0").select("id", frame(C("id"), C("kind"), C("props")).alias("frame"))
 
 
+@query("stream_frames_all", "SELECT user_id, event_id AS id, 'id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events WHERE event_type IN ('click', 'view')")
+def stream_frames_all(spark, d):
+    """Frames of all users, each with its user."""
+    from plazaworks.streaming.log import frame
+
+    return paging.after(_log(spark, d), -1, ["click", "view"]).select("user_id", "id", frame(C("id"), C("kind"), C("props")).alias("frame"))
+
+
 @query("delta_assemble", "SELECT user_id, md5(string_agg(event_type || '|', '' ORDER BY event_id)) AS digest FROM events GROUP BY 1")
 def delta_assemble(spark, d):
     deltas = _log(spark, d).select("user_id", "id", F.concat("kind", F.lit("|")).alias("part"))
