@@ -14,9 +14,10 @@ BRIEF_SCHEMA = ", ".join(f"{f} string" for f in ("knowledge_text", *BRIEF_FIELDS
 
 def merged_cards(cards: DataFrame) -> DataFrame:
     """Cards (slug, seq, category, summary) by slug: categories in order of appearance, the longest summary, the first among equals."""
-    longest = F.max_by("summary", F.struct(F.octet_length("summary"), -F.col("seq")))
-    named = F.array_sort(F.collect_list(F.struct("seq", "category")))
-    return cards.groupBy("slug").agg(longest.alias("summary"), F.array_join(F.array_distinct(F.transform(named, lambda x: x["category"])), ",").alias("categories"))
+    # By category first, so that a slug's list has one entry for each, however many cards it has.
+    parts = cards.groupBy("slug", "category").agg(F.min(F.struct("seq", "category")).alias("first"), F.max(F.struct(F.octet_length("summary").alias("size"), (-F.col("seq")).alias("order"), "summary")).alias("best"))
+    named = F.transform(F.array_sort(F.collect_list("first")), lambda x: x["category"])
+    return parts.groupBy("slug").agg(F.max("best")["summary"].alias("summary"), F.array_join(named, ",").alias("categories"))
 
 
 def deduped_links(links: DataFrame, owner: str) -> DataFrame:

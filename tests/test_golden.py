@@ -164,3 +164,13 @@ def test_the_bound_of_same_coordinates_is_inclusive(spark):
     assert at(0.002, -0.002) and not at(math.nextafter(0.002, 1), 0.0) and not at(0.0, -math.nextafter(0.002, 1))
     folder = "/root/testdata/sf0.001"
     assert catalogue.QUERIES["coord_match_all"](spark, folder).count() == spark.read.parquet(f"{folder}/customer.parquet").count()
+
+
+def test_cards_are_merged_by_category_before_they_are_collected(spark):
+    from plazaworks.operators import library
+
+    rows = [("a", 3, "x", "long"), ("a", 1, "y", "four"), ("a", 2, "x", None), ("a", 4, None, "s"), ("b", 5, "x", None), ("b", None, "z", "t")]
+    found = library.merged_cards(spark.createDataFrame(rows, "slug string, seq int, category string, summary string"))
+    assert sorted(map(tuple, found.collect())) == [("a", "four", "y,x"), ("b", "t", "z,x")]
+    # What is collected is one entry for each category, which a first aggregate has made.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
