@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -38,6 +39,9 @@ _HIDDEN_WORDS = frozenset(
 )
 #: The same for an article, which may well be free of ads.
 _OTHER_ARTICLES = frozenset("advert advertisement comment comments promo recommended related replies reply sponsored teaser".split())
+#: Words that make a class or id tell of a state or a kind, before or at the end of it; and words for what only holds the word before it.
+_STATES, _ENDS_OF_STATES = frozenset("has with without no non not is category tag format type status".split()), frozenset("open opened closed off none free less enabled disabled on".split())
+_HOLDERS = frozenset("area bar block body box container content form group holder inner item items left link links list panel right section slot text unit widget wrap wrapper".split())
 #: Open elements that a start tag ends, besides a paragraph, and those it doesn't look beyond.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "body": {"html"}}
@@ -56,6 +60,8 @@ class Line:
     article: int
     main: bool
     hidden: bool
+    #: The innermost element around it that hides by its name (0: none).
+    named: int = 0
 
 
 @dataclass
@@ -65,15 +71,34 @@ class _Open:
     article: int = 0
     main: bool = False
     hidden: bool = False
-    #: Hidden within a line, which goes on after it.
+    #: Hidden within a line, which goes on after it; and the same by a name.
     skipped: bool = False
+    unnamed: bool = False
+    #: The innermost element, this or one around it, that hides by its name (0: none).
+    named: int = 0
+
+
+@lru_cache(1 << 14)
+def head_of(name: str) -> str:
+    """The word that says what an element with this class or id is; empty if it says only what it has, is about or is like.
+
+    That is the name's last word (comments of post-comments), or the one before a word for what holds it (comment of comment-list).
+    """
+    words = [x for x in re.findall(r"[a-z]+|[0-9]+(?=[a-z])", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if x]
+    if not words or _STATES & set(words[:-1]) or len(words) > 1 and words[-1] in _ENDS_OF_STATES:
+        return ""
+    return words[0] if len(words) == 2 and words[1] in _HOLDERS else words[-1]
 
 
 class _Lines(HTMLParser):
-    """Collects a page's lines from the parser's events."""
+    """Collects a page's lines from the parser's events; without names, class and id hide nothing."""
 
-    def __init__(self):
+    def __init__(self, names: bool = True):
         super().__init__(convert_charrefs=True)
+        self._names = names
+        #: Of each element that hides by its name the next one around it, and those that hold an article or main and so don't hide.
+        self._around: dict[int, int] = {}
+        self._holds: set[int] = set()
         self.lines: list[Line] = []
         self._open = [_Open("")]
         self._numbers = 0
@@ -84,7 +109,7 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self._text).split())
         if text:
             x = self._open[-1]
-            self.lines.append(Line(text, self._tags, self._linked, x.section, x.article, x.main, x.hidden))
+            self.lines.append(Line(text, self._tags, self._linked, x.section, x.article, x.main, x.hidden, x.named))
             self._tags = 0
         self._text, self._linked = [], 0
 
@@ -93,11 +118,12 @@ class _Lines(HTMLParser):
             return False
         if tag in _HIDDEN or tag == "header" and not article or "hidden" in attrs or (attrs.get("role") or "").lower() in _HIDDEN_ROLES:
             return True
-        if attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I):
-            return True
-        if not (attrs.get("class") or attrs.get("id")):
+        return attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I))
+
+    def _hides_by_name(self, tag: str, attrs: dict[str, str | None], article: int) -> bool:
+        if not self._names or tag in ("html", "body", "main") or not (attrs.get("class") or attrs.get("id")):
             return False
-        names = set(re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()))
+        names = {head_of(x) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()}
         return bool(names & (_OTHER_ARTICLES if tag == "article" else _HIDDEN_WORDS)) or "header" in names and not article and tag not in ("article", "h1", "h2", "h3")
 
     def _close(self, k: int) -> None:
@@ -123,8 +149,18 @@ class _Lines(HTMLParser):
             self._text += " " * (tag == "br")
             return
         x = self._open[-1]
-        hides = not x.hidden and self._hides(tag, dict(attrs), x.article)
+        given = dict(attrs)
+        hides = not x.hidden and self._hides(tag, given, x.article)
+        by_name = not (x.hidden or hides) and self._hides_by_name(tag, given, x.article)
         self._numbers += 1
+        holder = tag in ("article", "main") and not (x.hidden or hides or by_name)
+        if holder:
+            k = x.named
+            while k and k not in self._holds:
+                self._holds.add(k)
+                k = self._around[k]
+        if by_name:
+            self._around[self._numbers] = x.named
         self._links += tag == "a"
         self._open.append(
             _Open(
@@ -134,6 +170,8 @@ class _Lines(HTMLParser):
                 x.main or tag == "main",
                 x.hidden or hides,
                 x.skipped or hides and tag not in _BLOCKS,
+                not holder and (x.unnamed or by_name and tag not in _BLOCKS),
+                self._numbers if by_name else x.named,
             )
         )
 
@@ -153,7 +191,7 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self._open[-1].skipped:
+        if not (self._open[-1].skipped or self._open[-1].unnamed):
             self._text.append(data)
             if self._links:
                 self._linked += len(data)
@@ -161,10 +199,12 @@ class _Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end_line()
+        for x in self.lines:
+            x.hidden |= x.named > 0 and x.named not in self._holds
 
 
-def lines_of(html: str) -> list[Line]:
-    parser = _Lines()
+def lines_of(html: str, names: bool = True) -> list[Line]:
+    parser = _Lines(names)
     for k in range(0, len(html), 1 << 16):
         parser.feed(html[k : k + (1 << 16)])
     parser.close()
@@ -185,9 +225,12 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     page's articles, without any its main element, without that its sections.
     Those with a high line that isn't mostly links are content and stay whole;
     if there is no such line, all.
-    White space in a block is one blank.
+    White space in a block is one blank. Where names of classes and ids hide
+    every line, they hide none.
     """
     lines = lines_of(html or "")
+    if all(x.hidden for x in lines):
+        lines = lines_of(html or "", names=False)
     ratios = np.array([0.0 if x.hidden else max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
     shown = [i for i, x in enumerate(lines) if not x.hidden]
     if not shown:

@@ -61,3 +61,23 @@ def test_query_gives_the_articles_of_the_small_table(spark):
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         blocks = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:h1|p)>", article))
         assert r.text == "\n".join(filter(None, blocks)) and r.n_chars == len(r.text)
+
+
+def test_containers_that_only_mention_a_part_keep_their_text():
+    text = "A long paragraph of running text that goes on for quite a while, and then some more of it."
+    for attrs in ('class="content has-sidebar"', 'id="page-with-nav"', 'class="post comments-open"', 'class="hentry category-social"', 'class="no-comments tag-ads"', 'class="contentSidebarWrap"', 'class="ad-free"'):
+        for tag in ("div", "section", "x-part"):
+            assert main_text(f"<body><{tag} {attrs}><article><p>{text}</article></{tag}><p>else") == text, (tag, attrs)
+        assert main_text(f"<article {attrs}><p>{text}</article>") == text, attrs
+        assert main_text(f"<body><div {attrs}><p>{text}</div>") == text, attrs
+
+
+def test_names_never_hide_what_holds_an_article_or_the_whole_page():
+    for outer in ("div", "x-part"):
+        assert main_text(f"<{outer} class=widget><{outer} id=sidebar>aside<main><p>The text.</main></{outer}></{outer}>") == "The text."
+        assert main_text(f"<{outer} class=widget><article><p>The text.<div class=ad>Buy</div></article></{outer}>") == "The text."
+    # Hidden within the holder is what holds nothing, and an article that names itself a comment holds nothing either.
+    assert main_text("<p>Text<div class=comments><article class=comment><p>No</article></div>") == "Text"
+    assert main_text("<div class=sidebar><p>All there is <span class=social>here</span>.</div><nav>menu</nav>") == "All there is here."
+    assert main_text("<nav><p class=x>menu</nav>") == ""
+    assert main_text("<p>Text<div class=cookie-notice>a</div><div id=commentList>b</div><div class=post-comments>c</div><div class=sidebar2>d</div>") == "Text"
