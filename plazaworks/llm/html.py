@@ -11,6 +11,8 @@ forms, comments and the like count as tags only.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,12 +33,14 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _SECTIONS = frozenset("article aside body details div footer header main nav section td".split())
-_HIDDEN = frozenset("aside button canvas datalist dialog embed footer form head iframe input menu nav noscript object script select style svg template textarea title".split())
-_HIDDEN_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+_HIDDEN = frozenset("aside button canvas datalist dialog embed footer head iframe input menu nav noscript object script select style svg template textarea title".split())
+_HIDDEN_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 #: Words in a class or an id that name what isn't content.
 _HIDDEN_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related reply replies respond searchbox share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Those of them whose elements may well hold more text than the page's article; its share of high lines says nothing for them.
+_NEVER_WRAPPERS = frozenset("ad ads adsense advert adverts advertisement advertising adbox comment comments consent cookie cookies disclaimer disqus gdpr notice notices promo promoted promotion recommended related reply replies respond sponsor sponsored".split())
 #: The same for an article, which may well be free of ads.
 _OTHER_ARTICLES = frozenset("advert advertisement comment comments promo recommended related replies reply sponsored teaser".split())
 #: Words that make a class or id tell of a state or a kind, before or at the end of it; and words for what only holds the word before it.
@@ -60,7 +64,7 @@ class Line:
     article: int
     main: bool
     hidden: bool
-    #: The innermost element around it that hides by its name (0: none).
+    #: The innermost element around it that hides by its name or as a form (0: none).
     named: int = 0
 
 
@@ -74,7 +78,7 @@ class _Open:
     #: Hidden within a line, which goes on after it; and the same by a name.
     skipped: bool = False
     unnamed: bool = False
-    #: The innermost element, this or one around it, that hides by its name (0: none).
+    #: The innermost element, this or one around it, that hides by its name or as a form (0: none).
     named: int = 0
 
 
@@ -96,11 +100,16 @@ class _Lines(HTMLParser):
     def __init__(self, names: bool = True):
         super().__init__(convert_charrefs=True)
         self._names = names
-        #: Of each element that hides by its name the next one around it, and those that hold an article or main and so don't hide.
+        #: Of each element that hides by its name or as a form the next one around it; those that hold an article or main
+        #: and so don't hide; and those that hide however much they hold.
         self._around: dict[int, int] = {}
         self._holds: set[int] = set()
+        self._strict: set[int] = set()
         self.lines: list[Line] = []
         self._open = [_Open("")]
+        #: Places of the open elements of each tag, and of all sections, in ascending order.
+        self._at: defaultdict[str, list[int]] = defaultdict(list)
+        self._sections: list[int] = []
         self._numbers = 0
         self._text: list[str] = []
         self._tags = self._linked = self._links = 0
@@ -120,30 +129,39 @@ class _Lines(HTMLParser):
             return True
         return attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I))
 
-    def _hides_by_name(self, tag: str, attrs: dict[str, str | None], article: int) -> bool:
+    def _names_of(self, tag: str, attrs: dict[str, str | None], article: int) -> set[str]:
+        """What it names itself that isn't content; a form is one whatever its name."""
+        found = {"form"} if tag == "form" or (attrs.get("role") or "").lower() == "form" else set()
         if not self._names or tag in ("html", "body", "main") or not (attrs.get("class") or attrs.get("id")):
-            return False
+            return found
         names = {head_of(x) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()}
-        return bool(names & (_OTHER_ARTICLES if tag == "article" else _HIDDEN_WORDS)) or "header" in names and not article and tag not in ("article", "h1", "h2", "h3")
+        if "header" in names and not article and tag not in ("article", "h1", "h2", "h3"):
+            found.add("header")
+        return found | names & (_OTHER_ARTICLES if tag == "article" else _HIDDEN_WORDS)
 
     def _close(self, k: int) -> None:
         """Close open element k and all within it."""
         if any(x.tag in _BLOCKS for x in self._open[k:]):
             self._end_line()
-        self._links -= sum(x.tag == "a" for x in self._open[k:])
+        for x in self._open[k:]:
+            self._at[x.tag].pop()
+            self._links -= x.tag == "a"
+        while self._sections and self._sections[-1] >= k:
+            self._sections.pop()
         del self._open[k:]
 
+    def _ended_by(self, tag: str) -> int:
+        """The outermost open element that the start of a block ends (0: none), not beyond what it stands in."""
+        within = _WITHIN.get(tag)
+        edge = max((self._at[x][-1] for x in within if self._at[x]), default=0) if within else (self._sections or [0])[-1]
+        places = [self._at[x][i] for x in {"p"} | _ENDS.get(tag, set()) if (i := bisect_right(self._at[x], edge)) < len(self._at[x])]
+        return min(places, default=0)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
         if tag in _BLOCKS:
             self._end_line()
-            ends, within = {"p"} | _ENDS.get(tag, set()), _WITHIN.get(tag, _SECTIONS)
-            found = None
-            for k in range(len(self._open) - 1, 0, -1):
-                if self._open[k].tag in within:
-                    break
-                found = k if self._open[k].tag in ends else found
-            if found:
+            if found := self._ended_by(tag):
                 self._close(found)
         if tag in _VOID:
             self._text += " " * (tag == "br")
@@ -151,17 +169,22 @@ class _Lines(HTMLParser):
         x = self._open[-1]
         given = dict(attrs)
         hides = not x.hidden and self._hides(tag, given, x.article)
-        by_name = not (x.hidden or hides) and self._hides_by_name(tag, given, x.article)
+        names = set() if x.hidden or hides else self._names_of(tag, given, x.article)
         self._numbers += 1
-        holder = tag in ("article", "main") and not (x.hidden or hides or by_name)
+        holder = tag in ("article", "main") and not (x.hidden or hides or names)
         if holder:
             k = x.named
             while k and k not in self._holds:
                 self._holds.add(k)
                 k = self._around[k]
-        if by_name:
+        if names:
             self._around[self._numbers] = x.named
+            if names & _NEVER_WRAPPERS:
+                self._strict.add(self._numbers)
         self._links += tag == "a"
+        self._at[tag].append(len(self._open))
+        if tag in _SECTIONS:
+            self._sections.append(len(self._open))
         self._open.append(
             _Open(
                 tag,
@@ -170,8 +193,8 @@ class _Lines(HTMLParser):
                 x.main or tag == "main",
                 x.hidden or hides,
                 x.skipped or hides and tag not in _BLOCKS,
-                not holder and (x.unnamed or by_name and tag not in _BLOCKS),
-                self._numbers if by_name else x.named,
+                not holder and (x.unnamed or bool(names) and tag not in _BLOCKS),
+                self._numbers if names else x.named,
             )
         )
 
@@ -182,13 +205,12 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
+        if not self._at[tag]:
+            return
+        k = self._at[tag][-1]
         local = tag not in _BLOCKS or tag in _LOCAL
-        for k in range(len(self._open) - 1, 0, -1):
-            if self._open[k].tag == tag:
-                self._close(k)
-                return
-            if local and self._open[k].tag in _SECTIONS:
-                return
+        if not (local and self._sections and self._sections[-1] > k):
+            self._close(k)
 
     def handle_data(self, data: str) -> None:
         if not (self._open[-1].skipped or self._open[-1].unnamed):
@@ -199,6 +221,22 @@ class _Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end_line()
+        # What a wrapper holds counts for those around it; they were opened before it.
+        high = high_lines(self.lines)
+        share = dict.fromkeys(self._around, 0)
+        for x, is_high in zip(self.lines, high, strict=True):
+            if is_high and x.named:
+                share[x.named] += len(x.text)
+        most = sum(len(x.text) for x, is_high in zip(self.lines, high, strict=True) if is_high) / 2
+        for k in sorted(self._around, reverse=True):
+            if self._around[k]:
+                share[self._around[k]] += share[k]
+        wrappers = {k for k, n in share.items() if n > most and k not in self._strict}
+        for k in sorted(self._around):  # within a strict one nothing wraps
+            if self._around[k] in self._strict - self._holds:
+                self._strict.add(k)
+                wrappers.discard(k)
+        self._holds |= wrappers
         for x in self.lines:
             x.hidden |= x.named > 0 and x.named not in self._holds
 
@@ -218,11 +256,23 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="edge"), weights / weights.sum(), mode="valid")
 
 
+def ratios_of(lines: list[Line]) -> np.ndarray:
+    """The text-to-tag ratio of each line; 0 for hidden ones, so that they part regions."""
+    return np.array([0.0 if x.hidden else max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
+
+
+def high_lines(lines: list[Line], sigma: float = SIGMA, threshold: float = THRESHOLD) -> list[bool]:
+    """Which lines' smoothed ratios reach the threshold and aren't mostly links."""
+    if not lines:
+        return []
+    level = smoothed(ratios_of(lines), sigma)
+    return [bool(y >= threshold * level.std()) and not x.hidden and 2 * x.linked < len(x.text) for x, y in zip(lines, level, strict=True)]
+
+
 def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
     """The main text of a page, its blocks joined by \\n; empty if there is none.
 
-    Ratios of hidden lines are 0, so that they part regions. Regions are the
-    page's articles, without any its main element, without that its sections.
+    Regions are the page's articles, without any its main element, without that its sections.
     Those with a high line that isn't mostly links are content and stay whole;
     if there is no such line, all.
     White space in a block is one blank. Where names of classes and ids hide
@@ -231,13 +281,12 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     lines = lines_of(html or "")
     if all(x.hidden for x in lines):
         lines = lines_of(html or "", names=False)
-    ratios = np.array([0.0 if x.hidden else max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
     shown = [i for i, x in enumerate(lines) if not x.hidden]
     if not shown:
         return ""
     regions = {i: lines[i].article for i in shown if lines[i].article} or {i: 0 for i in shown if lines[i].main} or {i: lines[i].section for i in shown}
-    level = smoothed(ratios, sigma)
-    content = {regions[i] for i in regions if level[i] >= threshold * level.std() and 2 * lines[i].linked < len(lines[i].text)} or set(regions.values())
+    high = high_lines(lines, sigma, threshold)
+    content = {regions[i] for i in regions if high[i]} or set(regions.values())
     return "\n".join(lines[i].text for i in regions if regions[i] in content)
 
 

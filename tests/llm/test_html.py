@@ -78,6 +78,32 @@ def test_names_never_hide_what_holds_an_article_or_the_whole_page():
         assert main_text(f"<{outer} class=widget><article><p>The text.<div class=ad>Buy</div></article></{outer}>") == "The text."
     # Hidden within the holder is what holds nothing, and an article that names itself a comment holds nothing either.
     assert main_text("<p>Text<div class=comments><article class=comment><p>No</article></div>") == "Text"
-    assert main_text("<div class=sidebar><p>All there is <span class=social>here</span>.</div><nav>menu</nav>") == "All there is here."
+    assert main_text("<div class=comments><p>All there is <span class=social>here</span>.</div><nav>menu</nav>") == "All there is here."
     assert main_text("<nav><p class=x>menu</nav>") == ""
     assert main_text("<p>Text<div class=cookie-notice>a</div><div id=commentList>b</div><div class=post-comments>c</div><div class=sidebar2>d</div>") == "Text"
+
+
+def test_wrappers_that_hold_most_of_the_page_hide_nothing():
+    long = "A long paragraph of running text that goes on for quite a while, and then some more of it."
+    menu = "<div><a href=1>one</a> <a href=2>two</a></div>"
+    for start, end in (("<form action=x>", "</form>"), ("<div role=form>", "</div>"), ('<div class="sidebar">', "</div>"), ('<div id="widget">', "</div>"), ("<form><div class=newsletter>", "</div></form>")):
+        assert main_text(f"<body>{menu}{start}<p>{long}<p>{long}<p>Short.{end}{menu}") == f"{long}\n{long}\nShort.", start
+        assert main_text(f"<body>{start}<main><p>{long}</main>{end}") == main_text(f"<body>{start}<article><p>{long}</article>{end}") == long, start
+    # A form beside or within the article goes, and comments go however long they are.
+    assert main_text(f"<body><p>{long}<p>{long}<form><p>Your name, please, and then your address.</form>") == f"{long}\n{long}"
+    assert main_text(f"<article><p>{long}<form><p>Your name, please.</form></article>") == long
+    assert main_text(f"<body><div><p>{long}</div><div id=comments><form><p>{long}</form><div class=widget><p>{long}{long}{long}</div></div>") == long
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    def seconds(page):
+        began = time.perf_counter()
+        lines_of(page)
+        return time.perf_counter() - began
+
+    for part in ("<b>x</i>", "<p><b><i>y</p>", "<b><li>z", "<b>x</p></b><u>"):
+        seconds(part * 500)
+        small, large = (min(seconds("<p><div>" + "<i>" * 3 + part * n) for _ in range(3)) for n in (3000, 24000))
+        assert large < 24 * small + 0.05, part
