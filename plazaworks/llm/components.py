@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plazaworks.llm.shared import stored
+from plazaworks.llm.shared import kept_at, release, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         better = stored(better, "labels")
         onward = better.select(F.col("node").alias("to"), F.col("to").alias("further"))
         found = stored(better.join(onward, "to", "left").select("node", "was", F.coalesce("further", "to").alias("component")), "labels")
-        labels = found.select("node", "component")
+        release(labels, better)
+        labels = kept_at(found.select("node", "component"), found._stored_at)
         if found.filter("was <> component").isEmpty():
+            release(edges)
             return labels

@@ -17,11 +17,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder's address below the folder that the driver and all executors share.
 
-    That folder is the session's spark.checkpoint.dir. Only where it is unset
-    (a local session) a temporary folder takes its place.
+    That folder is the session's spark.checkpoint.dir. A local session without
+    it gets a temporary folder; on a cluster that is an error, as executors
+    don't share theirs.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -34,7 +38,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     where = shared_dir(df.sparkSession, tag)
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    return kept_at(df.sparkSession.read.schema(df.schema).parquet(where), where)
+
+
+def kept_at(df: DataFrame, where: str) -> DataFrame:
+    """df, of which release() knows the folder."""
+    df._stored_at = where
+    return df
+
+
+def release(*stored_ones: DataFrame) -> None:
+    """Deletes what stored() has written for these, which nothing may read any more: neither a result nor a later step."""
+    for df in stored_ones:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -7,8 +7,8 @@ from plazaworks.llm import lattice
 
 
 def plain(rows, threshold=0.93):
-    """{vec_id: (n_links, component)} by comparing all pairs."""
-    good = [(i, label, np.array(v, dtype=float)) for i, v, label in rows if label is not None and v and None not in v and all(map(math.isfinite, v)) and any(v)]
+    """{vec_id: (n_links, component)} by comparing all pairs, vectors divided by their largest component."""
+    good = [(i, label, np.array(v, dtype=float) / max(map(abs, v))) for i, v, label in rows if label is not None and v and None not in v and all(map(math.isfinite, v)) and any(v)]
     links = {i: set() for i, _, _ in rows}
     for (i, a, x), (j, b, y) in itertools.combinations(good, 2):
         if a == b and len(x) == len(y) and x @ y / (math.sqrt(x @ x) * math.sqrt(y @ y)) >= threshold:
@@ -68,6 +68,42 @@ def test_equals_brute_force(spark):
     assert lattice.near_vectors(df.limit(0)).count() == 0
 
 
+def test_the_ends_of_double(spark):
+    turned = [-1.0, *[1.0] * 7]
+    vectors = [[1e-200] * 8, [1.1e-200] * 8, [1e200] * 8, [1e200 * x for x in turned], [5e-324] * 8, [1.7e308] * 8, [1e300, *[1e-300] * 7], [1.0, *[0.0] * 7], [1.0] * 9]
+    rows = [(k, v, 1) for k, v in enumerate(vectors)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == plain(rows) and found[0] == (4, 0) and found[3] == (0, 3) and found[6] == (1, 6) and found[8] == (0, 8)
+
+
+def cloud(rng, base, angles):
+    """Unit vectors at given angles from base."""
+    base = base / np.linalg.norm(base)
+    side = rng.normal(size=(len(angles), len(base)))
+    side -= (side @ base)[:, None] * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return np.cos(angles)[:, None] * base + np.sin(angles)[:, None] * side
+
+
+def test_wide_and_touching_groups_of_several_lengths(spark):
+    rng = np.random.default_rng(11)
+    rows, widest = [], math.acos(0.93)
+    for dim in (16, 64):
+        for label in range(3):
+            base = rng.normal(size=dim)
+            axis = cloud(rng, base, np.array([1.3 * widest]))[0]
+            groups = [cloud(rng, base, rng.uniform(0, 0.4 * widest, 60)), cloud(rng, axis, rng.uniform(0, 0.5 * widest, 40)), cloud(rng, base + axis, rng.uniform(0, 0.9 * widest, 40)), rng.normal(size=(20, dim))]
+            rows += [(v * rng.uniform(0.1, 9)).tolist() for v in np.concatenate(groups)]
+    rows = [(k, v, k // 160 % 3) for k, v in zip(rng.permutation(len(rows)).tolist(), rows)]
+    rows = [(k, v, n // 160 % 3) for n, (k, v, _) in enumerate(rows)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    wanted = plain(rows)
+    links = sum(n for n, _ in wanted.values())
+    assert links > 10_000 and sum(n for n, _ in found.values()) >= 0.999 * links
+    assert all(found[k][0] <= n for k, (n, _) in wanted.items())
+    assert np.mean([found[k] == wanted[k] for k in wanted]) > 0.98
+
+
 def test_rows_without_or_with_the_same_id(spark):
     v, w = [1.0, 0.0], [0.0, 1.0]
     df = spark.createDataFrame([(None, v, 1), (1, v, 1), (1, v, 1), (5, w, 1), (2, v, 1), (2, w, 1)], "vec_id long, embedding array<float>, label int")
