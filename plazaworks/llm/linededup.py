@@ -1,26 +1,33 @@
 """Line dedup: lines seen in an earlier document go.
 
-The keys of all lines seen so far lie in sorted runs on levels, as written
-tables. A batch of documents is joined against every run (merge joins on the
-line hash), then adds the keys that no run holds as a new run. When a level
-has FANOUT runs, they are merged into one run on the next level, so that a
+The keys of all lines seen so far lie in sorted runs on levels. A run is a
+table bucketed and sorted by the hash of the line, all with one number of
+buckets: the keys of a batch of documents are aggregated into the same buckets
+once, and meet every run in merge joins that neither shuffle nor sort it. Keys
+that no run holds are the batch's new run. When a level has FANOUT runs, they
+are merged, by a merge join as well, into one run on the next level, so that a
 batch meets a logarithmic number of runs.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazaworks.llm.shared import LOWER, SPACES, UPPER, fresh, shared_dir, stored
+from plazaworks.llm.shared import LOWER, SPACES, UPPER, fresh, kept_at, release, shared_dir, stored
 
 #: Shorter keys (code points) are never duplicates.
 MIN_CHARS = 10
 #: Batches a whole table is dealt into, and runs a level holds before they merge.
 BATCHES, FANOUT = 4, 2
+#: Lines a bucket of a run is made for, and places of dropped lines up to which they are sent to all executors (about 20 bytes each, so 20 MB).
+BUCKET_LINES, SENT_PLACES = 4_000_000, 1 << 20
 
 
 def line_key(line: Column) -> Column:
@@ -33,7 +40,7 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")]
 
 
-def _keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def keyed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, row, pos, h1, h2) for each line whose key is long enough."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), _row(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
@@ -46,58 +53,97 @@ def _row(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session for what is run within."""
+    values = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 @dataclass
 class LineRuns:
-    """Levels of runs (h1, h2, doc): each key once, with the first document that has it."""
+    """Levels of runs (h1, h2, doc): each key once, with the first document that has it.
+
+    buckets: of all runs; with the session's number of shuffle partitions the
+    keys of a batch fall into them without a second shuffle. Tables are made in
+    the session's catalogue, their files in the shared folder; close() drops both.
+    """
 
     spark: SparkSession
+    buckets: int
     fanout: int = FANOUT
     levels: list[list[DataFrame]] = field(default_factory=list)
+    _tables: list[tuple[str, DataFrame]] = field(default_factory=list)
+
+    def _planned(self):
+        """Runs' order counts (each bucket is one file), and aggregates of what is sorted keep it."""
+        return _settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true", spark__sql__shuffle__partitions=str(self.buckets), spark__sql__sources__bucketing__autoBucketedScan__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1")
 
-    def _write(self, run: DataFrame, level: int) -> DataFrame:
-        """A run is dealt by h1 and sorted within each file."""
-        where = shared_dir(self.spark, f"lines-level{level}")
-        run.repartition("h1").sortWithinPartitions("h1", "h2").write.parquet(where)
-        return self.spark.read.schema(run.schema).parquet(where)
+    def _write(self, df: DataFrame, tag: str) -> DataFrame:
+        where, name = shared_dir(self.spark, tag), f"line_run_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", where).saveAsTable(name)
+        table = kept_at(self.spark.table(name), where)
+        self._tables.append((name, table))
+        return table
 
     def first_seen(self, keys: DataFrame) -> DataFrame:
         """keys with column seen: the document in a run that holds the key, else null. A key is in one run at most."""
         runs = [run for level in self.levels for run in level]
-        if not runs:
-            return keys.withColumn("seen", F.lit(None).cast("long"))
         for k, run in enumerate(runs):
-            keys = keys.join(run.withColumnRenamed("doc", f"seen{k}"), ["h1", "h2"], "left")
-        found = F.coalesce(*[F.col(f"seen{k}") for k in range(len(runs))])
+            keys = keys.join(run.withColumnRenamed("doc", f"seen{k}").hint("merge"), ["h1", "h2"], "left")
+        found = F.coalesce(*[F.col(f"seen{k}") for k in range(len(runs))], F.lit(None).cast("long"))
         return keys.withColumn("seen", found).drop(*[f"seen{k}" for k in range(len(runs))])
 
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """One run of all: merge joins whose keys never match."""
+        whole = runs[0]
+        for run in runs[1:]:
+            both = whole.join(run.withColumnRenamed("doc", "_doc").hint("merge"), ["h1", "h2"], "full")
+            whole = both.select("h1", "h2", F.coalesce("doc", "_doc").alias("doc"))
+        return whole
+
     def add(self, run: DataFrame) -> None:
-        """Add a run of keys that no other run holds; merge full levels upward."""
+        """Add a run, a table of this many buckets, of keys that no other run holds; merge full levels upward."""
         level = 0
-        run = self._write(run, level)
         while True:
             if len(self.levels) == level:
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fanout:
                 return
-            merged = reduce(DataFrame.unionByName, self.levels[level])
+            run = self._write(self._merged(self.levels[level]), f"lines-level{level + 1}")
             self.levels[level] = []
             level += 1
-            run = self._write(merged, level)
 
-    def add_batch(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, last: bool = False) -> DataFrame:
-        """(doc, row, pos) of the lines of docs to drop; the batch's new keys join the runs.
+    def add_batch(self, lines: DataFrame, last: bool = False) -> DataFrame:
+        """(h1, h2, first) of the keys of a batch's lines (doc, h1, h2) that repeat; its new keys join the runs.
 
-        A document drops a line if a run, or a document of this batch with a
-        smaller id, has its key. last: no batch follows, nothing is added.
+        A key repeats if a run holds it, or more than one document of this
+        batch; first is the document with the smallest id then. Documents of
+        later batches have larger ids. last: no batch follows, nothing is added.
         """
-        lines = stored(_keyed_lines(docs, id_col, text_col, min_chars), "lines-batch")
-        keys = self.first_seen(lines.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("to")))
-        keys = stored(keys, "lines-keys")
-        repeated = keys.filter(F.col("seen").isNotNull() | (F.col("doc") < F.col("to"))).select("h1", "h2", F.coalesce("seen", "doc").alias("first"))
-        if not last:
-            self.add(keys.filter(F.col("seen").isNull()).select("h1", "h2", "doc"))
-        return lines.join(repeated, ["h1", "h2"]).filter(F.col("doc") > F.col("first")).select("doc", "row", "pos")
+        with self._planned():
+            keys = self.first_seen(lines.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("to")))
+            keys = self._write(keys, "lines-keys")
+            if not last:
+                self.add(keys.filter(F.col("seen").isNull()).select("h1", "h2", "doc"))
+        return keys.filter(F.col("seen").isNotNull() | (F.col("doc") < F.col("to"))).select("h1", "h2", F.coalesce("seen", "doc").alias("first"))
+
+    def close(self) -> None:
+        for name, table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            release(table)
+        self._tables, self.levels = [], []
 
 
 def _batch_bounds(docs: DataFrame, id_col: str, batches: int) -> list[int]:
@@ -107,6 +153,32 @@ def _batch_bounds(docs: DataFrame, id_col: str, batches: int) -> list[int]:
     return sorted(set(found or []))
 
 
+def _dropped(docs: DataFrame, id_col: str, text_col: str, min_chars: int, batches: int, fanout: int) -> DataFrame:
+    """(doc, row, gone): the places of the lines to drop."""
+    spark = docs.sparkSession
+    bounds = _batch_bounds(docs, id_col, batches)
+    lines = keyed_lines(docs, id_col, text_col, min_chars).filter("doc IS NOT NULL")
+    batch = sum(((F.col("doc") > bound).cast("int") for bound in bounds), F.lit(0))
+    where = shared_dir(spark, "lines")
+    lines.withColumn("batch", batch).write.partitionBy("batch").parquet(where)
+    lines = kept_at(spark.read.schema("doc long, row long, pos int, h1 long, h2 long, batch int").parquet(where), where)
+    buckets = max(spark.sparkContext.defaultParallelism, -(-lines.count() // BUCKET_LINES))
+    with _settings(spark, spark__sql__shuffle__partitions=str(buckets)):
+        # The number that holds, if it may not be changed.
+        runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
+    parts = []
+    for k in range(len(bounds) + 1):
+        repeated = runs.add_batch(lines.filter(F.col("batch") == k), last=k == len(bounds))
+        parts.append(repeated.withColumn("batch", F.lit(k)))
+    # A line that very many documents hold makes one key heavy: here its rows may be split, as no bucket holds them together.
+    with _settings(spark, spark__sql__sources__bucketing__enabled="false"):
+        gone = lines.join(reduce(DataFrame.unionByName, parts), ["batch", "h1", "h2"]).filter(F.col("doc") > F.col("first"))
+        found = stored(gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("gone")), "lines-gone")
+    runs.close()
+    release(lines)
+    return found
+
+
 def with_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with a struct column line_dedup: n_lines, n_dropped (long) and text, the lines that stay joined by \\n.
 
@@ -118,21 +190,15 @@ def with_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their names (the struct's name gets underscores until it is new); an empty
     table gives an empty table.
     """
-    spark = docs.sparkSession
     name, key, row, gone, lines = fresh(docs, "line_dedup", "_doc", "_row", "_gone", "_lines")
     keep = [F.col(f"`{c}`") for c in docs.columns]
-    runs = LineRuns(spark, fanout)
     ids = F.col(f"`{id_col}`").cast("long")
-    bounds = [None, *_batch_bounds(docs, id_col, batches), None]
-    drops = []
-    for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        inside = ids.isNotNull()
-        inside = inside & (ids > low) if low is not None else inside
-        inside = inside & (ids <= high) if high is not None else inside
-        drops.append(runs.add_batch(docs.filter(inside), id_col, text_col, min_chars, last=k == len(bounds) - 2))
-    dropped = reduce(DataFrame.unionByName, drops).groupBy(F.col("doc").alias(key), F.col("row").alias(row)).agg(F.collect_set("pos").alias(gone))
+    found = _dropped(docs, id_col, text_col, min_chars, batches, fanout)
+    places = found.agg(F.sum(F.size("gone") + 4).alias("n")).first()["n"] or 0
+    dropped = found.select(F.col("doc").alias(key), F.col("row").alias(row), F.col("gone").alias(gone))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    joined = docs.select(*keep, ids.alias(key), _row(text).alias(row)).join(dropped, [key, row], "left")
+    # Few enough places are sent to the texts; otherwise texts and places are shuffled together.
+    joined = docs.select(*keep, ids.alias(key), _row(text).alias(row)).join(F.broadcast(dropped) if places <= SENT_PLACES else dropped, [key, row], "left")
     joined = joined.select(*keep, gone, F.split(text, "\n", -1).alias(lines))
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(places, lambda i: F.get(F.col(lines), i)), "\n"))

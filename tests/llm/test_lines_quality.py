@@ -3,8 +3,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from plazaworks.llm.linededup import LineRuns, line_dedup, with_line_dedup
+from plazaworks.llm import linededup
+from plazaworks.llm.linededup import LineRuns, keyed_lines, line_dedup, with_line_dedup
 from plazaworks.llm.quality import RULES, STOP_WORDS, Rule, quality_filter, with_quality
 
 SPACE = " \t\n\x0b\f\r"
@@ -71,14 +73,30 @@ def test_lines_equal_brute_force(spark, rows, batches, fanout):
     assert found == plain_lines(rows)
 
 
-def test_runs_are_levelled(spark):
-    runs = LineRuns(spark, fanout=2)
+def test_runs_are_levelled_and_stay_sorted(spark):
+    runs = LineRuns(spark, 5, fanout=2)
     docs = spark.createDataFrame([(k, f"common line of all\nonly line of {k} here") for k in range(7)], "doc_id long, text string")
     for k in range(7):
-        runs.add_batch(docs.filter(f"doc_id = {k}"))
+        repeated = runs.add_batch(keyed_lines(docs.filter(f"doc_id = {k}")))
+        assert [r["first"] for r in repeated.collect()] == [0] * (k > 0)
     assert [len(level) for level in runs.levels] == [1, 1, 1]
     keys = [r for level in runs.levels for run in level for r in run.collect()]
     assert len(keys) == 8 and len({(r.h1, r.h2) for r in keys}) == 8
+    with runs._planned():
+        # The batch's keys are shuffled and sorted once, the runs not at all.
+        plan = runs.first_seen(keyed_lines(docs).groupBy("h1", "h2").agg(F.min("doc").alias("doc")))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1, plan
+        merge = runs._merged([run for level in runs.levels for run in level][:2])._jdf.queryExecution().executedPlan().toString()
+        assert merge.count("SortMergeJoin") == 1 and "Exchange" not in merge and "Sort [" not in merge, merge
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    runs.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_many_places_are_shuffled(spark, rows, monkeypatch):
+    monkeypatch.setattr(linededup, "SENT_PLACES", 0)
+    found = with_line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: tuple(r.line_dedup) for r in found.collect()} == plain_lines(rows)
 
 
 def test_line_dedup_of_odd_rows(spark):
