@@ -108,12 +108,110 @@ SIGNATURES = {
     "all-rights-reserved": (["all rights reserved"], [], None),
 }
 
+#: Sentences of licences' own texts and of the headers that files carry, as words. They are what the licences say.
+_GNU = "free software you can redistribute it and or modify it under the terms of the gnu"
+_FSF = "as published by the free software foundation"
+_COPY = "you should have received a copy of the gnu"
+NOTICES = {
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ],
+    "x11": ["except as contained in this notice the name of the x consortium shall not be used in advertising"],
+    "isc": ["permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "0bsd": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"],
+    "icu": ["provided that the above copyright notices? and this permission notice appear in all copies of the software and that both the above copyright notices? and this permission notice appear in supporting documentation"],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ],
+    "bsd-3": ["nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-4": ["all advertising materials mentioning features or use of this software must display the following acknowledge?ment"],
+    "ncsa": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers", "to deal with the software without restriction"],
+    "apache-1.1": ["this product includes software developed by the apache software foundation"],
+    "apache-2": [
+        "licensed under the apache license version 2 0(?: the license)? you may not use this file except in compliance with the license",
+        "licensed to the apache software foundation(?: asf)? under one or more contributor license agreements",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "apache license version 2 0 january 2004",
+    ],
+    "gpl-1": [f"{_GNU} general public license {_FSF} either version 1(?: 0)?(?: of the license)?"],
+    "gpl-2": [f"{_GNU} general public license {_FSF} either version 2(?: 0)?(?: of the license)?", f"{_GNU} general public license version 2(?: 0)? {_FSF}", "gnu general public license version 2 june 1991"],
+    "gpl-3": [f"{_GNU} general public license {_FSF} either version 3(?: 0)?(?: of the license)?", f"{_GNU} general public license version 3(?: 0)? {_FSF}", "gnu general public license version 3 29 june 2007"],
+    "gpl": [f"{_COPY} general public license along with this (?:program|library|software|package|file)", f"{_GNU} general public license"],
+    "lgpl-2": [f"{_GNU} library general public license {_FSF} either version 2(?: 0)?(?: of the license)?"],
+    "lgpl-2.1": [f"{_GNU} lesser general public license {_FSF} either version 2 1(?: of the license)?", "gnu lesser general public license version 2 1 february 1999"],
+    "lgpl-3": [f"{_GNU} lesser general public license {_FSF} either version 3(?: 0)?(?: of the license)?", "gnu lesser general public license version 3 29 june 2007"],
+    "lgpl": [f"{_COPY} (?:lesser|library) general public license along with this (?:program|library|software|package|file)", f"{_GNU} (?:lesser|library) general public license"],
+    "agpl-3": [f"{_GNU} affero general public license {_FSF} either version 3(?: 0)?(?: of the license)?", "gnu affero general public license version 3 19 november 2007"],
+    "agpl": [f"{_COPY} affero general public license along with this (?:program|library|software|package|file)"],
+    "gnu-text": ["everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"],
+    "gfdl": ["permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"],
+    "classpath-exception": ["as a special exception the copyright holders of this library give you permission to link this library with independent modules"],
+    "gcc-exception": ["as a special exception you may use this file as part of a free software library without restriction", "gcc runtime library exception"],
+    "autoconf-exception": ["if you distribute this file as part of a program that contains a configuration script generated by autoconf"],
+    "bison-exception": ["as a special exception you may create a larger work that contains part or all of the bison parser skeleton"],
+    "openssl-exception": ["permission to link the code of portions of this program with the openssl library"],
+    "font-exception": ["if you create a document which uses this font and embed this font or unaltered portions of this font into the document"],
+    "mpl-1.1": ["the contents of this file are subject to the mozilla public license version 1 1", "the contents of this file are subject to the mozilla public license"],
+    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "epl-1": ["this program and the accompanying materials are made available under the terms of the eclipse public license v ?1 0"],
+    "epl-2": ["this program and the accompanying materials are made available under the terms of the eclipse public license(?: v)? ?2 0"],
+    "cpl-1": ["the accompanying program is provided under the terms of this common public license"],
+    "cddl-1": ["the contents of this file are subject to the terms of the common development and distribution license"],
+    "boost": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "distributed under the boost software license version 1 0 see accompanying file"],
+    "zlib": ["the origin of this software must not be misrepresented you must not claim that you wrote the original software", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"],
+    "libpng": ["this copy of the libpng notices is provided for your convenience"],
+    "bzip2": ["this program bzip2 the associated library libbzip2 and all documentation"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"],
+    "wtfpl": ["everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"],
+    "blessing": ["the author disclaims copyright to this source code in place of a legal notice here is a blessing"],
+    "cc0": ["waived all copyright and related or neighbou?ring rights to this work", "the person who associated a work with this deed has dedicated the work to the public domain"],
+    "cc-by-nc-nd": ["licensed under (?:a|the) creative commons attribution non ?commercial no ?deriv(?:s|atives|ative works)"],
+    "cc-by-nc-sa": ["licensed under (?:a|the) creative commons attribution non ?commercial share ?alike"],
+    "cc-by-nc": ["licensed under (?:a|the) creative commons attribution non ?commercial [1-4] [05]"],
+    "cc-by-nd": ["licensed under (?:a|the) creative commons attribution no ?deriv(?:s|atives|ative works)"],
+    "cc-by-sa": ["licensed under (?:a|the) creative commons attribution share ?alike"],
+    "cc-by": ["licensed under (?:a|the) creative commons attribution [1-4] [05]"],
+    "public-domain": ["this (?:file|code|software|work|program|document) is(?: hereby)?(?: placed| released)? in(?:to)? the public domain", "no copyright is claimed", "has been put in the public domain"],
+    "ofl": ["this font software is licensed under the sil open font license", "to use study copy merge embed modify redistribute and sell modified and unmodified copies of the font software"],
+    "artistic-1": ["you may make and give away verbatim copies of the source form of the standard version of this package without restriction"],
+    "perl": ["you can redistribute it and or modify it under the same terms as perl itself", "under the same terms as the perl 5 programming language system itself"],
+    "ruby": ["you may make and give away verbatim copies of the source form of the software without restriction"],
+    "php-3": ["this source file is subject to version 3 0 of the php license", "this source file is subject to version 3 01 of the php license"],
+    "psf-2": ["psf is making python available to licensee on an as is basis"],
+    "postgresql": ["permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"],
+    "hpnd": ["permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"],
+    "openssl": ["this product includes software developed by the openssl project for use in the openssl toolkit"],
+    "zpl-2": ["this software is subject to the provisions of the zope public license version 2"],
+    "afl-3": ["licensed under the academic free license version 3 0"],
+    "osl-3": ["licensed under the open software license version 3 0"],
+    "eupl-1.1": ["licensed under the eupl version 1 1"],
+    "eupl-1.2": ["licensed under the eupl version 1 2"],
+    "lppl": ["this work may be distributed and or modified under the conditions of the latex project public license"],
+    "odbl": ["this database is made available under the open database license", "is made available under the open database license"],
+    "ms-pl": ["this license governs use of the accompanying software if you use the software you accept this license"],
+    "json": ["the software shall be used for good not evil"],
+    "upl": ["permission is hereby granted to any person obtaining a copy of this software associated documentation and or data"],
+    "mulan": ["you can use this software according to the terms and conditions of the mulan psl v2"],
+    "w3c": ["by obtaining using and or copying this work you the licensee agree that you have read understood and will comply with the following terms and conditions"],
+    "vim": ["there are no restrictions on distributing unmodified copies of vim"],
+    "elastic-2": ["you may not provide the software to third parties as a hosted or managed service"],
+    "sspl": ["under the terms of the server side public license version 1"],
+    "busl": ["the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"],
+    "commons-clause": ["the license does not grant to you and you are not granted the right to sell the software", "the grant of rights under the license will not include and the license does not grant to you the right to sell the software"],
+    "proprietary": ["proprietary and confidential", "confidential and proprietary", "unauthorized copying of this (?:file|software|work) via any medium is strictly prohibited"],
+    "see-license": ["see the licen[cs]e file(?: in the project root)?(?: for(?: the)? (?:details|full licen[cs]e|more information|terms))?", "see licen[cs]e(?: txt| md) for(?: the)? (?:details|full licen[cs]e|more information|terms)", "see the accompanying licen[cs]e file"],
+}
+
 _GRANT = "(?:licen[cs]ed|released|distributed|available|published|provided|governed|covered|redistributed) (?:under|by|according to) (?:the )?(?:terms of )?(?:the )?"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """priority: 4 identifiers, 3 addresses, 2 grants, 1 bare names."""
+    """priority: 4 identifiers, 3 addresses and notices, 2 grants, 1 bare names."""
 
     label: str
     keyword: str
@@ -123,26 +221,34 @@ class Rule:
 
 
 def _keyword(name: str) -> str:
-    """The longest literal part that every match of a name has: what stands outside groups, sets and repeated characters."""
+    """The longest literal part that every match of an expression has: what stands outside groups, sets and repeated characters."""
     name = re.sub(r"\(\?:[^()]*\)[?*]?|\[[^]]*\][?*]?|.[?*]", "|", name)
     return max(name.split("|"), key=len)
 
 
 def _rules() -> tuple[Rule, ...]:
+    """Each expression stands between blanks, so that it neither starts nor ends within a word."""
     found = []
     for label, (names, ids, address) in SIGNATURES.items():
-        found += [Rule(label, f"spdx license identifier {x}", f"spdx license identifier {x}(?= )", 4, 1.0) for x in ids]
-        found += [Rule(label, address, f"(?:https? )?(?:www )?{address}(?: [0-9] [0-9])?(?= )", 3, 0.95)] * bool(address)
+        found += [Rule(label, f"spdx license identifier {x}", f"(?<= )spdx license identifier {x}(?= )", 4, 1.0) for x in ids]
+        found += [Rule(label, address, f"(?<= )(?:https? )?(?:www )?{address}(?: [0-9] [0-9])?(?= )", 3, 0.95)] * bool(address)
         for x in names:
             keyword = _keyword(x)
-            found += [Rule(label, keyword, f"{_GRANT}{x}(?= )", 2, 0.9), Rule(label, keyword, f"(?<= ){x}(?= )", 1, 0.6)]
-    return tuple(found)
+            found += [Rule(label, keyword, f"(?<= ){_GRANT}{x}(?= )", 2, 0.9), Rule(label, keyword, f"(?<= ){x}(?= )", 1, 0.6)]
+    notices = [Rule(label, _keyword(x), f"(?<= ){x}(?= )", 3, 0.95) for label, xs in NOTICES.items() for x in xs]
+    return tuple(found + notices)
 
 
 #: In order: of equal detections the earlier rule's stays.
 RULES = _rules()
 
 
+#: Words that any text may have: no gates.
+_PROSE = frozenset(
+    "accompanying all along also and any anyone appear are associated away basis binary can change changing claim claimed clear clearly code condition conditions configuration contains convenience copies copy create created creative distribute distributed do document documentation embed everyone fee file files following for form free from general generated give granted has have http https in independent into its itself just language larger library list made make making materials may merge misrepresented modifications modified modify modules must net not notice notices object obtain obtaining of one open or part org origin original other parser permission permitted person portions product products program programming project provided public received redistribute reproduced restriction retain right rights runtime same scripts see shall should skeleton source special standard study stuff style subject system term terms text that the their this to unaltered under university use used using version want was what whatever which whole with without work works www you".split()
+)
+
+
 def gates(rules: tuple[Rule, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Strings and regular expressions (in any case) of which each text that matches a rule or a base phrase has one.
 
@@ -150,10 +256,10 @@ def gates(rules: tuple[Rule, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
     one, and those that most keywords have first; keywords of words too short
     for that are expressions.
     """
-    left = {k: {w for w in re.findall("[a-z0-9]+", k) if len(w) > 2} for k in (*(r.keyword for r in rules), *BASE)}
+    left = {k: {w for w in re.findall("[a-z0-9]+", k) if len(w) > 2} - _PROSE for k in (*(r.keyword for r in rules), *BASE)}
     short = {" ".join(k.split()) for k, words in left.items() if not words}
     short = {k for k in short if not any(x != k and x in k for x in short)}
-    left = {k: {w for w in words if len(w) > 4} or words for k, words in left.items() if words}
+    left = {k: {w for w in words if len(w) > 4} or {max(sorted(words), key=len)} for k, words in left.items() if words}
     strings = []
     while left:
         # In words alone, as a keyword may end within a word of the text.

@@ -2,7 +2,7 @@ import random
 import re
 from re import _parser
 
-from plazaworks.llm.licenses import BASE, BASE_SCORE, RULES, SIGNATURES, gates, with_licenses
+from plazaworks.llm.licenses import BASE, BASE_SCORE, NOTICES, RULES, SIGNATURES, gates, with_licenses
 
 
 def plain(text):
@@ -100,6 +100,7 @@ def test_every_name_and_address_alone_is_found_as_by_all_rules_without_gates(spa
     texts = {t for names, ids, address in SIGNATURES.values() for x in names for t in samples(x)}
     texts |= {address for _, _, address in SIGNATURES.values() if address}
     texts |= {f"spdx license identifier {x}" for _, ids, _ in SIGNATURES.values() for x in ids}
+    texts |= {t for xs in NOTICES.values() for x in xs for t in samples(x)}
     texts |= {"https://www.wtfpl.net/", "https://mozilla.org/MPL/2.0/", "https://www.eclipse.org/legal/epl-2.0/", "https://scripts.sil.org/OFL", "https://www.latex-project.org/lppl/", "GNU GPL", "ASL 2.0", "X Consortium License"}
     df = spark.createDataFrame([(t,) for t in sorted(texts)], "text string")
     for r in with_licenses(df, name="result").collect():
@@ -112,6 +113,22 @@ def test_every_name_and_address_alone_is_found_as_by_all_rules_without_gates(spa
         assert sorted((x.start, x.stop, x.label) for x in r.result.found) == sorted((x[0], x[1], x[4].label) for x in left), r.text
 
 
+def test_rules_keep_to_whole_words(spark):
+    texts = {"unlicensed under the BSD license": "bsd", "xspdx-license-identifier: MIT": "", "nothttps://www.gnu.org/licenses/gpl": "gpl", "subgnu.org/licenses/gpl": "", "licensed under the BSD licensee": "", "a redistributions of source code must retain": ""}
+    rows = {r.text: r.result for r in with_licenses(spark.createDataFrame([(t,) for t in texts], "text string"), name="result").collect()}
+    assert {t: r.labels for t, r in rows.items()} == texts
+    # A bare name, not a grant.
+    assert rows["unlicensed under the BSD license"].score == 0.6
+
+
+def test_a_header_counts_as_a_whole(spark):
+    header = """/* This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+ License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. */"""
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    rows = {r.k: r.result for r in with_licenses(spark.createDataFrame([(1, header), (2, bsd)], "k int, text string"), name="result").collect()}
+    assert [(x.label, x.priority) for x in rows[1].found] == [("gpl-2", 3)] and rows[2].labels == "bsd" and rows[1].score == 0.95
+
+
 def test_keywords_stand_in_every_match_and_gates_in_every_keyword():
     strings, expressions = gates(RULES)
     for r in RULES:
