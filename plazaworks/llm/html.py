@@ -221,6 +221,8 @@ class _Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end_line()
+        if not self._around:
+            return
         # What a wrapper holds counts for those around it; they were opened before it.
         high = high_lines(self.lines)
         share = dict.fromkeys(self._around, 0)
@@ -266,7 +268,8 @@ def high_lines(lines: list[Line], sigma: float = SIGMA, threshold: float = THRES
     if not lines:
         return []
     level = smoothed(ratios_of(lines), sigma)
-    return [bool(y >= threshold * level.std()) and not x.hidden and 2 * x.linked < len(x.text) for x, y in zip(lines, level, strict=True)]
+    reached = (level >= threshold * level.std()).tolist()
+    return [y and not x.hidden and 2 * x.linked < len(x.text) for x, y in zip(lines, reached, strict=True)]
 
 
 def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
