@@ -8,9 +8,12 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from html import unescape
+from typing import BinaryIO
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: A larger file's text isn't read; texts are cut to so many characters.
@@ -70,45 +73,93 @@ def rtf_text(data: bytes) -> str:
 
 def text_of(data: bytes, kind: str) -> tuple[str | None, str | None]:
     """(text, note): the note says what is missing and why."""
-    if len(data) > MOST_BYTES:
-        return None, f"larger than {MOST_BYTES} bytes"
     try:
         if kind in ("docx", "odt"):
             text = office_text(data, kind)
         elif kind == "rtf":
             text = rtf_text(data)
         elif kind == "text":
-            text = decoded(data)
+            text = data.decode("utf-8", "replace")
         else:
             return None, f"no reader for {kind} files here"
-    except (KeyError, zipfile.BadZipFile) as error:
-        return None, f"unreadable: {error}"
+    except Exception as error:  # noqa: BLE001 - whatever a file has wrong is said of that file
+        return None, f"unreadable: {type(error).__name__}: {error}"
     return text[:MOST_CHARS], f"cut to {MOST_CHARS} characters" if len(text) > MOST_CHARS else None
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each file in the archives at path, with its text as far as it can be read.
+@contextmanager
+def opened(uri: str) -> Iterator[BinaryIO]:
+    """A file to read from anywhere: only what is asked for is read."""
+    system, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    with system.open_input_file(path) as file:
+        yield file
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pd.DataFrame(rows, columns=list(names)).astype({n: "Int64" for n, k in zip(names, kinds, strict=True) if k == "long"})
+
+
+_MEMBER = "archive string, ordinal long, path string, byte_len long, note string"
 
-    An archive that can't be opened is one row with a note and no path.
+
+def listed_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, ordinal, path, byte_len, note): a row for each wanted member of the archives at path.
+
+    Only the archives' directories are read. One that can't be opened is one
+    row with a note and no path.
     """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content in frame[["path", "content"]].itertuples(index=False):
-                rows = []
+            for name in frame["path"]:
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        for info in archive.infolist():
-                            entry = entry_name(info)
-                            if not wanted(entry):
-                                continue
-                            if info.file_size > MOST_BYTES:
-                                rows.append((name, entry, info.file_size, None, kind_of(entry), None, f"larger than {MOST_BYTES} bytes"))
-                                continue
-                            data = archive.read(info)
-                            rows.append((name, entry, len(data), hashlib.sha256(data).hexdigest(), kind_of(entry), *text_of(data, kind_of(entry))))
-                except zipfile.BadZipFile as error:
-                    rows.append((name, None, None, None, None, None, f"unreadable: {error}"))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")]).astype({"byte_len": "Int64"})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, READ)
+                    with opened(name) as file, zipfile.ZipFile(file) as archive:
+                        rows = [(name, k, entry_name(info), info.file_size, None) for k, info in enumerate(archive.infolist()) if wanted(entry_name(info))]
+                except Exception as error:  # noqa: BLE001 - an archive that is no archive is a row
+                    rows = [(name, None, None, None, f"unreadable: {type(error).__name__}: {error}")]
+                yield _frame(rows, _MEMBER)
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(work, _MEMBER)
+
+
+def read_members(members: DataFrame) -> DataFrame:
+    """(archive, path, byte_len, sha256, kind, text, note) of members listed by listed_archives(), any selection of them.
+
+    Each member is a row of its own, dealt over all tasks, and read from its
+    archive by its place. What is wrong with one (encrypted, damaged, too
+    large, whatever its header claims) is its note.
+    """
+
+    def read(archive: zipfile.ZipFile, row) -> tuple:
+        entry, kind = row.path, kind_of(row.path)
+        try:
+            with archive.open(archive.infolist()[int(row.ordinal)]) as file:
+                data = file.read(MOST_BYTES + 1)
+        except Exception as error:  # noqa: BLE001
+            return row.archive, entry, row.byte_len, None, kind, None, f"unreadable: {type(error).__name__}: {error}"
+        if len(data) > MOST_BYTES:
+            return row.archive, entry, row.byte_len, None, kind, None, f"larger than {MOST_BYTES} bytes"
+        return row.archive, entry, len(data), hashlib.sha256(data).hexdigest(), kind, *text_of(data, kind)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, rows in frame.groupby("archive", sort=False):
+                broken = rows[rows["ordinal"].isna()]
+                if len(broken):
+                    yield _frame([(name, None, None, None, None, None, note) for note in broken["note"]], READ)
+                rows = rows[rows["ordinal"].notna()]
+                if len(rows):
+                    with opened(name) as file, zipfile.ZipFile(file) as archive:
+                        for row in rows.itertuples(index=False):
+                            yield _frame([read(archive, row)], READ)
+
+    return members.repartition("archive", "ordinal").mapInPandas(work, READ)
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file in the archives at path, with its text as far as it can be read.
+
+    Archives of many GB are never held whole: see listed_archives() and read_members().
+    """
+    return read_members(listed_archives(spark, path))

@@ -24,6 +24,17 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+def vectors_in_order(items: list[tuple[int, list[float]]], expected: int, dim: int) -> list[list[float]]:
+    """The vectors of a service's answer, (index, vector) in any order, by their index; another number, index or length is an error."""
+    ordered = sorted(items, key=lambda item: item[0])
+    if [index for index, _ in ordered] != list(range(expected)):
+        raise ValueError(f"embeddings of {[index for index, _ in ordered]} for {expected} texts")
+    for _, vector in ordered:
+        if len(vector) != dim:
+            raise ValueError(f"an embedding has {len(vector)} numbers, not {dim}")
+    return [vector for _, vector in ordered]
+
+
 class HashEmbedder:
     """Unit vectors from hashes of words: alike texts are near, the same text is the same vector."""
 

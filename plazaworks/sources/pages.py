@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +14,45 @@ from plazaworks.functions import geo
 from plazaworks.functions.text import address_line, first_filled
 from plazaworks.operators.library import place_kind
 
+
+class Geocoder(Protocol):
+    """Answers a search with the map service's JSON; called in tasks with the fields of geocoder_query()."""
+
+    def search(self, fields: dict[str, str]) -> str: ...
+
+
+#: Characters of a search that are sent, and answers asked for.
+MOST_QUERY, ANSWERS = 180, 5
+
+
+def geocoder_query(text: str) -> dict[str, str] | None:
+    """The fields of a search within the region; None for a blank text."""
+    south, north, west, east = geo.REGION
+    text = text.strip()[:MOST_QUERY]
+    box = f"{west},{north},{east},{south}"
+    return {"format": "jsonv2", "addressdetails": "1", "limit": str(ANSWERS), "countrycodes": "pl", "bounded": "1", "accept-language": "pl", "viewbox": box, "q": text} if text else None
+
+
+def geocoded(searches: DataFrame, geocoder: Geocoder, text: str = "query") -> DataFrame:
+    """searches with columns answer (JSON) and error: of a blank search, or what went wrong."""
+
+    def ask(query: str | None) -> tuple[str | None, str | None]:
+        fields = geocoder_query(query or "")
+        if fields is None:
+            return None, "empty query"
+        try:
+            return geocoder.search(fields), None
+        except Exception as error:  # noqa: BLE001 - a search that fails is that row's
+            return None, f"{type(error).__name__}: {error}"
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            answers = [ask(x) for x in frame[text]]
+            yield frame.assign(answer=[a for a, _ in answers], error=[e for _, e in answers])
+
+    return searches.mapInPandas(work, searches.select("*", F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error")).schema)
+
+
 #: (status, body or None) of an address.
 Fetcher = Callable[[str], tuple[int, str | None]]
 TRIES, WAIT_S = 3, 0.4
@@ -64,3 +104,13 @@ def places_found(answers: DataFrame, key: str, answer: str, most: int = 3) -> Da
     public = found.filter((F.col("kind") != "private") & (F.col("name") != "") & geo.in_region(F.col("latitude"), F.col("longitude")))
     firsts = public.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "name", "address", "latitude", "longitude", "kind"))), 1, most).alias("p"))
     return firsts.select(key, F.inline("p"))
+
+
+def rejected_private(answers: DataFrame, key: str, answer: str) -> DataFrame:
+    """(key, rejected_private): whether an answer has private places and no public one to show for it."""
+    read = answers.select(key, F.explode_outer(F.from_json(answer, PLACE)).alias("p"))
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    private = F.col("p").isNotNull() & (place_kind(blank(F.col("p.category")), blank(F.col("p.type"))) == "private")
+    some = read.groupBy(key).agg(F.max(private.cast("int")).alias("_private"))
+    shown = places_found(answers, key, answer).select(key).distinct().withColumn("_shown", F.lit(True))
+    return some.join(shown, key, "left").select(key, ((F.col("_private") == 1) & F.col("_shown").isNull()).alias("rejected_private"))
