@@ -7,11 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def page_before(messages: DataFrame, cursor: tuple, size: int = 3) -> DataFrame:
-    """The newest size messages before the cursor (created, id)."""
-    at = F.struct(F.lit(cursor[0]).cast("long").alias("created"), F.lit(cursor[1]).cast("long").alias("id"))
-    before = F.struct(F.col("created").cast("long").alias("created"), F.col("id").cast("long").alias("id")) < at
-    return messages.filter(before).orderBy(F.desc("created"), F.desc("id")).limit(size)
+def page_before(messages: DataFrame, cursor: tuple | None, size: int = 3) -> DataFrame:
+    """The newest size messages before the cursor (created, id), or of all without one; the oldest of them first."""
+    found = messages
+    if cursor is not None:
+        at = F.struct(F.lit(cursor[0]).cast("long").alias("created"), F.lit(cursor[1]).cast("long").alias("id"))
+        found = messages.filter(F.struct(F.col("created").cast("long").alias("created"), F.col("id").cast("long").alias("id")) < at)
+    return found.orderBy(F.desc("created"), F.desc("id")).limit(max(0, size)).orderBy("created", "id")
+
+
+def history(messages: DataFrame) -> DataFrame:
+    """All messages of each user, the oldest first: what paging backwards to the start would give."""
+    return messages.orderBy("user_id", "created", "id")
 
 
 def _user_turns_after(messages: DataFrame) -> DataFrame:
@@ -38,6 +45,19 @@ def assembled(deltas: DataFrame, key: str, order: str, part: str) -> DataFrame:
     return deltas.groupBy(key).agg(whole.alias("text"))
 
 
+def assembled_calls(deltas: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, index, id, name, arguments, whole): tool calls of each key from their parts.
+
+    Parts have order, index, id, name and arguments. The last id and name that
+    aren't empty count, arguments are joined in order; whole says whether there
+    is an id and a name.
+    """
+    last = lambda c: F.coalesce(F.max_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(order))), F.lit("")).alias(c)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "arguments"))), lambda x: F.coalesce(x["arguments"], F.lit(""))), "")
+    calls = deltas.groupBy(key, "index").agg(last("id"), last("name"), joined.alias("arguments"))
+    return calls.withColumn("whole", (F.col("id") != "") & (F.col("name") != ""))
+
+
 def after(log: DataFrame, cursor: int, kinds: list[str] | None = None) -> DataFrame:
     """Rows of the log with a larger id, of known kinds only."""
     found = log.filter(F.col("id") > cursor)

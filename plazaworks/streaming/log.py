@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plazaworks.operators.paging import assembled_calls
+
 SCHEMA = "id long, user_id string, turn_id string, kind string, payload string, created_at timestamp"
 #: Kinds that readers know.
 KINDS = ("turn.started", "reply.delta", "reply.done", "tool.started", "tool.done", "places", "people", "event", "error", "turn.done")
@@ -52,31 +54,69 @@ def parsed_frames(text: str) -> Iterator[dict[str, str]]:
             yield {k: "\n".join(v) for k, v in fields.items()}
 
 
-def _assemble(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, text, done = state.get if state.exists else (-1, "", False)
-    rows = pd.concat(batches).drop_duplicates("id").sort_values("id")
-    for id_, kind, part in rows[["id", "kind", "part"]].itertuples(index=False):
-        if id_ <= last or done:
-            continue
-        last, text, done = int(id_), part if kind == "reply.done" else text + part, kind == "reply.done"
-    state.update((last, text, done))
-    yield pd.DataFrame({"turn_id": [key[0]], "text": [text], "done": [done]})
+#: State of a turn is dropped when nothing came for so long: of a finished one, and of one that never finished.
+DONE_FOR, OPEN_FOR = "10 minutes", "1 day"
+_STATE = "ids array<long>, parts array<string>, text string, done boolean"
+
+
+def _assembler(done_ms: int, open_ms: int):
+    def assemble(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ids, parts, text, done = state.get if state.exists else ([], [], "", False)
+        known, was = dict(zip(ids, parts, strict=True)), (text, done) if state.exists else None
+        for rows in batches:
+            for id_, kind, part in rows[["id", "kind", "part"]].itertuples(index=False):
+                if done:
+                    continue
+                if kind == "reply.done":
+                    text, done, known = part, True, {}
+                else:
+                    known[int(id_)] = part
+        if not done:
+            text = "".join(known[k] for k in sorted(known))
+        state.update((sorted(known), [known[k] for k in sorted(known)], text, done))
+        state.setTimeoutDuration(done_ms if done else open_ms)
+        if (text, done) != was:
+            yield pd.DataFrame({"turn_id": [key[0]], "text": [text], "done": [done]})
+
+    return assemble
+
 
+def _ms(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
 
-def assembled_replies(log: DataFrame) -> DataFrame:
-    """(turn_id, text, done) whenever a turn's reply grows: deltas are appended, a finished reply replaces them.
 
-    A row that comes again changes nothing.
+def assembled_replies(log: DataFrame, done_for: str = DONE_FOR, open_for: str = OPEN_FOR) -> DataFrame:
+    """(turn_id, text, done) whenever a turn's reply changes: deltas in the order of their ids, a finished reply in their place.
+
+    A delta that comes late, its id below those seen, goes where it belongs; a
+    row that comes again changes nothing. The parts of a turn are kept until it
+    is done. What is kept of a turn goes when nothing has come for it for
+    done_for after its end, or for open_for without one.
     """
     text = F.coalesce(F.get_json_object("payload", "$.text"), F.lit(""))
     deltas = log.filter(F.col("kind").isin("reply.delta", "reply.done")).select("turn_id", "id", "kind", text.alias("part"))
-    return deltas.groupBy("turn_id").applyInPandasWithState(_assemble, "turn_id string, text string, done boolean", "last long, text string, done boolean", "update", GroupStateTimeout.NoTimeout)
+    work = _assembler(_ms(done_for), _ms(open_for))
+    return deltas.groupBy("turn_id").applyInPandasWithState(work, "turn_id string, text string, done boolean", _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def calls_in_log(log: DataFrame) -> DataFrame:
+    """(turn_id, index, id, name, arguments, whole) of the tool calls whose parts a log of turns holds, see paging.assembled_calls()."""
+    part = F.from_json("payload", "index int, id string, name string, arguments string")
+    parts = log.filter(F.col("kind") == "tool.delta").select("turn_id", F.col("id").alias("seq"), part.alias("p"))
+    return assembled_calls(parts.select("turn_id", "seq", F.coalesce("p.index", F.lit(0)).alias("index"), "p.id", "p.name", "p.arguments"), "turn_id", "seq")
 
 
 def fill_in_batches(stale: DataFrame, embed: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):
-    """Vectors for the rows of a stream of stale ones, as far as it goes now, appended to a Parquet table."""
+    """Vectors for the rows of a stream of stale ones, as far as it goes now, in a Parquet table with a folder for each batch.
+
+    A batch that is run again after a failure overwrites its own folder, so
+    each row is there once. Readers find the folder's number in column batch.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
-        embed(batch).write.mode("append").parquet(sink)
+    def write(batch: DataFrame, number: int) -> None:
+        embed(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return stale.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,7 @@
 import json
+import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def test_frames_round_trip(spark):
 
 
 def test_replies_are_assembled_once_across_restarts(spark, tmp_path):
-    path, out, checkpoint = (str(tmp_path / x) for x in ("log", "out", "checkpoint"))
+    path, checkpoint = (str(tmp_path / x) for x in ("log", "checkpoint"))
     got = {}
 
     def keep(batch, _):
@@ -47,7 +49,48 @@ def test_replies_are_assembled_once_across_restarts(spark, tmp_path):
     write(spark, [row(2, "u", "a", "reply.delta", "lo"), row(5, "u", "a", "reply.delta", "!"), row(6, "u", "b", "reply.done", "whole"), row(7, "u", "b", "reply.delta", "late")], path)
     run()
     assert got == {"a": ("hello!", False), "b": ("whole", True)}
-    assert out
+    # A delta with a smaller id that comes late goes where it belongs, until the reply is done.
+    write(spark, [row(0, "u", "a", "reply.delta", "> "), row(3, "u", "b", "reply.delta", "late")], path)
+    run()
+    assert got == {"a": ("> hello!", False), "b": ("whole", True)}
+
+
+class State:
+    """What a task sees of a group's state."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_state_of_a_turn_expires():
+    work, state = log._assembler(600_000, 86_400_000), State()
+    feed = lambda *rows: [tuple(f.iloc[0]) for f in work(("t",), iter([pd.DataFrame(rows, columns=["id", "kind", "part"])]), state)]
+    assert feed((2, "reply.delta", "b")) == [("t", "b", False)] and state.timeout == 86_400_000
+    assert feed((1, "reply.delta", "a")) == [("t", "ab", False)] and feed((1, "reply.delta", "a")) == []
+    assert feed((3, "reply.done", "whole"), (4, "reply.delta", "x")) == [("t", "whole", True)] and state.timeout == 600_000
+    assert state.value == ([], [], "whole", True) and feed((5, "reply.delta", "y")) == []
+    state.hasTimedOut = True
+    assert list(work(("t",), iter([]), state)) == [] and not state.exists
+
+
+def test_tool_calls_in_a_log(spark):
+    part = lambda i, turn, **p: (i, "u", turn, "tool.delta", json.dumps(p), None)
+    rows = [part(1, "a", index=0, id="c1", name="find", arguments='{"q":'), part(3, "a", index=0, id="", arguments='"tea"}'), part(2, "a", index=1, id="c2", arguments="{}"), part(4, "a", index=1, name="join"), part(5, "b", index=0, arguments="x"), row(6, "u", "a", "reply.delta", "t")]
+    df = spark.createDataFrame(rows, log.SCHEMA.replace("timestamp", "string"))
+    found = sorted(map(tuple, log.calls_in_log(df).collect()))
+    assert found == [("a", 0, "c1", "find", '{"q":"tea"}', True), ("a", 1, "c2", "join", "{}", True), ("b", 0, "", "", "x", False)]
 
 
 def test_readers_see_their_own_known_kinds(spark, tmp_path):
@@ -63,6 +106,10 @@ def test_vectors_are_filled_in_batches(spark, tmp_path):
     spark.createDataFrame([(1, "Tea and walks"), (2, " "), (3, None), (4, "tea and walks")], "id long, body string").write.parquet(path)
     stream = spark.readStream.schema("id long, body string").parquet(path)
     log.fill_in_batches(stream, lambda b: with_vectors(b, HashEmbedder(8)), sink, checkpoint).awaitTermination(120)
+    # The same batch again, as after a failure before it was noted as done, leaves one copy.
+    shutil.rmtree(checkpoint)
+    log.fill_in_batches(stream, lambda b: with_vectors(b, HashEmbedder(8)), sink, checkpoint).awaitTermination(120)
+    assert spark.read.parquet(sink).count() == 4
     found = {r.id: (r.embedding, r.embedding_model) for r in spark.read.parquet(sink).collect()}
     assert found[1] == found[4] and len(found[1][0]) == 8 and found[2] == found[3] == (None, "hash-1")
 
