@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,15 @@ REGION = (49.15, 50.52, 19.05, 21.50)
 _DEGREE_M = 111_000.0
 
 
+class Box(NamedTuple):
+    """Degrees; west > east wraps around the antimeridian."""
+
+    south: float
+    west: float
+    north: float
+    east: float
+
+
 def _finite(*values: Column) -> Column:
     found = F.lit(True)
     for v in values:
@@ -35,11 +47,16 @@ def viewport_radius_m(lat: Column, zoom: Column) -> Column:
 def within_radius(lat: Column, lon: Column, center_lat: float, center_lon: float, radius_m: float) -> Column:
     """Within the radius, its edge included; coordinates that aren't finite never are.
 
-    A box of latitudes around the circle comes first: Parquet's statistics can
-    rule out row groups by it, as they can't by the distance.
+    A box around the circle comes first: Parquet's statistics can rule out row
+    groups by it, as they can't by the distance. Near a pole or the
+    antimeridian it is one of latitudes only.
     """
     reach = radius_m / _DEGREE_M
     box = lat.between(center_lat - reach, center_lat + reach)
+    if abs(center_lat) + reach < 89:
+        wide = reach / math.cos(math.radians(abs(center_lat) + reach))
+        if abs(center_lon) + wide < 180:
+            box = box & lon.between(center_lon - wide, center_lon + wide)
     return box & _finite(lat, lon) & (haversine_m(lat, lon, F.lit(center_lat), F.lit(center_lon)) <= radius_m)
 
 
@@ -58,5 +75,12 @@ def distance_band(meters: Column) -> Column:
     return F.when(meters < 500, "within_500m").when(meters < 2000, "within_2km").when(meters < 5000, "within_5km").otherwise("farther")
 
 
+def box_of(text: Column) -> Column:
+    """A struct (south, west, north, east) of "west,south,east,north"; null unless it is four finite numbers."""
+    parts = F.transform(F.split(text, ",", -1), lambda x: F.trim(x).try_cast("double"))
+    sound = (F.size(parts) == 4) & F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(sound, F.struct(*[F.get(parts, F.lit(k)).alias(name) for name, k in (("south", 1), ("west", 0), ("north", 3), ("east", 2))]))
+
+
 def same_coordinates(lat1: Column, lon1: Column, lat2: Column, lon2: Column, tolerance: float = 0.002) -> Column:
     return (F.abs(lat1 - lat2) <= tolerance) & (F.abs(lon1 - lon2) <= tolerance)

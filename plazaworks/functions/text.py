@@ -109,6 +109,56 @@ def html_to_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
+#: Lines of a page that are its chrome, and beginnings of lines that end or are left out of an introduction. The site's own words.
+CHROME = (
+    "się więcej", "zobacz", "film", "pobierz", "materiały", "wykorzystania", "w telefonie", "powrót", "drukuj", "dowiedz się więcej",
+    "zobacz film", "pobierz materiały", "otwórz w telefonie", "sprawdź zasady", "sprawdź zasady wykorzystania",
+)
+
+
+def _character(entity: Column) -> Column:
+    """What a character reference, without & and ;, stands for; null if it is none that is known."""
+    number = F.conv(F.regexp_extract(entity, "^#[xX]([0-9a-fA-F]{1,8})$", 1), 16, 10).try_cast("long")
+    number = F.coalesce(F.when(entity.rlike("^#[xX]"), number), F.regexp_extract(entity, "^#([0-9]{1,9})$", 1).try_cast("long"))
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    coded = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32")
+    named = F.when(entity == "amp", "&").when(entity == "lt", "<").when(entity == "gt", ">").when(entity == "quot", '"').when(entity.isin("apos", "#39"), "'").when(entity == "nbsp", " ")
+    return named.when(entity.startswith("#"), coded)
+
+
+def decoded_references(text: Column) -> Column:
+    """Named and numeric character references once; what is none stays as it is."""
+
+    def piece(p: Column, i: Column) -> Column:
+        entity = F.regexp_extract(p, "^([^;]{0,11});", 1)
+        char = _character(entity)
+        return F.when(i == 0, p).when(char.isNotNull(), F.concat(char, F.substr(p, F.length(entity) + 2))).otherwise(F.concat(F.lit("&"), p))
+
+    return F.array_join(F.transform(F.split(text, "&", -1), piece), "")
+
+
+def page_text(html: Column) -> Column:
+    """Text of a part of a page: some ends of blocks end lines, list items start with a dash, tags go, blanks and empty lines are collapsed, chrome lines dropped."""
+    text = F.regexp_replace(html, "<br>|<br/>|<br />|</p>|</div>|</li>|</h4>|</tr>", "\n")
+    text = decoded_references(strip_tags(F.replace(text, F.lit("<li>"), F.lit("\n- "))))
+    blank = r"[\s\u00A0]+"
+    lines = F.transform(F.split(text, "\r?\n", -1), lambda x: F.trim(F.regexp_replace(x, blank, " ")))
+    # Empty lines stand between others, one at a time.
+    kept = F.filter(lines, lambda x, i: (x != "") | (i > 0) & (F.get(lines, i - 1) != ""))
+    text = F.regexp_replace(F.array_join(kept, "\n"), r"\A\n+|\n+\z", "")
+    bare = lambda x: F.lower(F.trim(F.regexp_replace(x, r"^[^\p{L}\p{N} ]+|[^\p{L}\p{N} ]+$", "")))
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~bare(x).isin(*CHROME)), "\n")
+
+
+def language_of(locale: Column) -> Column:
+    """The locale, Polish where none is given; see is_english()."""
+    return F.coalesce(F.nullif(F.trim(locale), F.lit("")), F.lit("pl"))
+
+
+def is_english(locale: Column) -> Column:
+    return F.lower(F.trim(locale)).eqNullSafe(F.lit("en"))
+
+
 def media_kind(path: Column) -> Column:
     ext = F.element_at(F.split(F.lower(path), r"\."), -1)
     return F.when(ext.isin("pdf", "docx", "odt", "rtf"), ext).when(ext.isin("txt", "md", "html", "htm"), "text").otherwise("other")

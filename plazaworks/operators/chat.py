@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plazaworks.operators.filters import contains_text
+
 
 def _trigrams(text: str) -> list[str]:
     return [f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", text.lower()) for i in range(len(w) + 1)]
@@ -43,3 +45,14 @@ def word_similarity(query: str, body: Column) -> Column:
         return texts.fillna("").map(lambda t: word_similarity_of(query, t))
 
     return rated(body)
+
+
+def search(messages: DataFrame, query: str, user_id=None) -> DataFrame:
+    """Messages that hold the query, with score: the most alike first, then the oldest; of one user or, without one, of all.
+
+    A blank query finds nothing. Only messages that hold it are rated.
+    """
+    query = query.strip()
+    found = messages if user_id is None else messages.filter(F.col("user_id") == user_id)
+    found = found.filter(contains_text(F.col("body"), query) if query else F.lit(False))
+    return found.withColumn("score", word_similarity(query, F.col("body"))).orderBy("user_id", F.desc("score"), "created", "id")

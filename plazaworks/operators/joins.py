@@ -27,6 +27,22 @@ def missing(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     return parents.join(children.select(key).distinct(), key, "left_anti")
 
 
+def missing_chunks(documents: DataFrame, chunks: DataFrame, key: str = "doc") -> DataFrame:
+    """Digested documents that lack a card chunk, or have sections and lack a chunk of one.
+
+    documents has key, digest and sections (an array), chunks key and field.
+    """
+    has = chunks.groupBy(key).agg(F.max((F.col("field") == "card").cast("int")).alias("_card"), F.max((F.col("field") == "section").cast("int")).alias("_section"))
+    joined = documents.filter(F.col("digest").isNotNull()).join(has, key, "left")
+    lacks = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    return joined.filter(lacks("_card") | (F.coalesce(F.size("sections"), F.lit(0)) > 0) & lacks("_section")).drop("_card", "_section")
+
+
+def visible_in_session(events: DataFrame, attending: DataFrame) -> DataFrame:
+    """Events with a capacity that aren't full (they have signed_count), of those that the session attends."""
+    return events.filter(F.col("capacity").isNotNull() & (F.col("signed_count") < F.col("capacity"))).join(attending.select("event_id"), "event_id", "left_semi")
+
+
 def with_any(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     return parents.join(children.select(key), key, "left_semi")
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plazaworks.functions import geo, similarity, text, time
+from plazaworks.operators.filters import not_full
 
 #: Weights of the parts of an event's score, the bonus of promoted ones, and the distance at which nearness falls to 1/e.
 WEIGHTS = {"people": 0.45, "distance": 0.25, "text": 0.20, "time": 0.10}
@@ -68,33 +70,36 @@ def _score(viewer: Viewer, people: Column, distance: Column, match: Column, minu
     return similarity.weighted_present(*[(w, parts[k]) for k, w in WEIGHTS.items()]) + F.when(promoted, PROMOTED).otherwise(0.0)
 
 
-def _near(events: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column) -> DataFrame:
-    near = events.filter(as_of_filter).filter(geo.within_radius(F.col("lat"), F.col("lon"), viewer.lat, viewer.lon, radius_m))
+def _near(events: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column, bounds: geo.Box | None) -> DataFrame:
+    lat, lon = F.col("lat"), F.col("lon")
+    where = geo.within_bbox(lat, lon, *bounds) if bounds else geo.within_radius(lat, lon, viewer.lat, viewer.lon, radius_m)
+    near = events.filter(as_of_filter).filter(where)
     return near.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(viewer.lat), F.lit(viewer.lon)))
 
 
-def scored_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column) -> DataFrame:
-    """The events near the viewer that nothing rules out, with distance and score.
+def scored_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column, bounds: geo.Box | None = None) -> DataFrame:
+    """The events near the viewer that nothing rules out, with distance, score and signed_count, how many go.
 
     events has event_id, lat, lon, starts_at, tags, title, women_only,
     promoted, and may have embedding, which is compared with what the viewer
-    wants. Only attendances of these events are read on.
+    wants. A box takes the place of the radius. Only attendances of these
+    events are read on, once for likeness and count.
     """
-    near = _near(events, viewer, radius_m, as_of_filter)
+    near = _near(events, viewer, radius_m, as_of_filter, bounds)
     minute = time.warsaw_minute(F.col("starts_at"))
     for drop in drop_conditions(viewer, F.col("tags"), F.col("women_only"), F.concat(F.col("tags"), F.array("title")), minute):
         near = near.filter(~drop)
-    near = near.join(attendee_likeness(people, attendances.join(near.select("event_id"), "event_id", "left_semi"), viewer), "event_id", "left")
+    near = near.join(attendee_stats(people, attendances.join(near.select("event_id"), "event_id", "left_semi"), viewer), "event_id", "left").withColumn("signed_count", F.coalesce("signed_count", F.lit(0)))
     match = similarity.cosine(_given(near, "embedding", "array<double>"), _vector(viewer.want or viewer.embedding))
     score = _score(viewer, F.col("people"), F.col("distance_m"), match, minute, F.col("promoted"))
     return near.withColumn("score", F.round(score, 6))
 
 
-def rank_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column) -> DataFrame:
-    """The best events near the viewer: a cold viewer's by time, others' by score. Ties end at the id, so the order is total."""
+def rank_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column, bounds: geo.Box | None = None) -> DataFrame:
+    """The best events near the viewer, or in the box: a cold viewer's by time, others' by score. Ties end at the id, so the order is total."""
     if viewer.cold:
-        return _near(events, viewer, radius_m, as_of_filter).withColumn("score", F.lit(0.0)).orderBy("starts_at", "distance_m", "event_id").limit(COLD_LIMIT)
-    scored = scored_events(events, people, attendances, viewer, radius_m, as_of_filter)
+        return _near(events, viewer, radius_m, as_of_filter, bounds).withColumn("score", F.lit(0.0)).orderBy("starts_at", "distance_m", "event_id").limit(COLD_LIMIT)
+    scored = scored_events(events, people, attendances, viewer, radius_m, as_of_filter, bounds)
     return scored.orderBy(F.desc("score"), "distance_m", "starts_at", "event_id").limit(WARM_LIMIT)
 
 
@@ -107,10 +112,16 @@ def likeness(people: DataFrame, viewer: Viewer) -> Column:
     return similarity.profile_similarity((F.lit(viewer.age_band).cast("string"), F.col("age_band")), (F.lit(viewer.sportiness).cast("int"), F.col("sportiness")), (likes, F.col("tags")), vectors, complements)
 
 
+def attendee_stats(people: DataFrame, attendances: DataFrame, viewer: Viewer) -> DataFrame:
+    """(event_id, people, signed_count): of those who go the mean likeness, as far as they are known, and the number."""
+    rated = people.select("user_id", likeness(people, viewer).alias("like"))
+    going = attendances.filter("status = 'going'").join(rated, "user_id", "left")
+    return going.groupBy("event_id").agg(F.avg("like").alias("people"), F.count("*").alias("signed_count"))
+
+
 def attendee_likeness(people: DataFrame, attendances: DataFrame, viewer: Viewer) -> DataFrame:
     """(event_id, people): the mean likeness of those who go."""
-    rated = people.select("user_id", likeness(people, viewer).alias("like"))
-    return attendances.filter("status = 'going'").join(rated, "user_id").groupBy("event_id").agg(F.avg("like").alias("people"))
+    return attendee_stats(people, attendances, viewer).filter("people IS NOT NULL").select("event_id", "people")
 
 
 def rank_people(people: DataFrame, locations: DataFrame, viewer: Viewer) -> DataFrame:
@@ -131,6 +142,13 @@ def rank_people(people: DataFrame, locations: DataFrame, viewer: Viewer) -> Data
     return rated.orderBy(F.desc_nulls_last("profile_cosine"), F.desc("similarity"), "distance_m", "user_id")
 
 
+def rank_people_for(people: DataFrame, locations: DataFrame, viewers: dict[str, Viewer]) -> DataFrame:
+    """rank_people() for each of a stated, small number of viewers, told apart by column viewer."""
+    found = [rank_people(people, locations, viewer).withColumn("viewer", F.lit(name)) for name, viewer in viewers.items()]
+    order = [F.col("viewer"), F.desc_nulls_last("profile_cosine"), F.desc("similarity"), F.col("distance_m"), F.col("user_id")]
+    return reduce(DataFrame.unionByName, found).orderBy(*order)
+
+
 def text_shared(viewer: Viewer) -> Column:
     return similarity.shared_tags(F.col("tags"), _strings(viewer.likes))
 
@@ -141,10 +159,7 @@ def constraints_passed(viewer: Viewer) -> Column:
     return _strings(tuple(name for given, name in named if given))
 
 
-def first_open(ranked: DataFrame, signed: DataFrame, order: list[Column]) -> DataFrame:
-    """The first of the ranked events that isn't full."""
-    joined = ranked.join(signed, "event_id", "left").withColumn("signed_count", F.coalesce("signed_count", F.lit(0)))
-    return joined.filter(F.col("capacity").isNull() | (F.col("signed_count") < F.col("capacity"))).orderBy(*order).limit(1)
-
-
+def first_open(ranked: DataFrame, order: list[Column]) -> DataFrame:
+    """The first of the ranked events, which have capacity and signed_count, that isn't full."""
+    return ranked.filter(not_full()).orderBy(*order).limit(1)
 

@@ -13,14 +13,19 @@ from plazaworks.operators.joins import best_per_group
 VECTOR_HIT, NAME_HIT, FALLBACK_HIT = 0.75, 0.5, 0.4
 
 
-def hybrid(documents: DataFrame, chunks: DataFrame, query_text: str, query_vector: list[float] | None, vector_hit: float = VECTOR_HIT, name_hit: float = NAME_HIT, fallback_hit: float = FALLBACK_HIT) -> DataFrame:
+def hybrid(documents: DataFrame, chunks: DataFrame, query_text: str, query_vector: list[float] | None, vector_hit: float = VECTOR_HIT, name_hit: float = NAME_HIT, fallback_hit: float = FALLBACK_HIT, categories: DataFrame | None = None, category: str | None = None) -> DataFrame:
     """(doc, url, title, score, chunk), the best first.
 
-    documents has doc, url, title, digest; chunks doc, chunk, embedding. A
+    documents has doc, url, title, digest, chunks doc, chunk, embedding, and
+    categories doc, slug: with a category only documents in it are searched.
+    Documents without a digest aren't found, and a blank query finds none. A
     document is hit by its best chunk's cosine, by its title, or both (the
     larger counts); one without vectors by title or digest. Of documents with
     one address the best stays.
     """
+    documents = documents.filter(F.col("digest").isNotNull() if query_text.strip() else F.lit(False))
+    if category is not None:
+        documents = documents.join(categories.filter(F.col("slug") == category).select("doc"), "doc", "left_semi")
     title = F.round(trigram_similarity(F.col("title"), F.lit(query_text)), 6)
     digest = F.round(trigram_similarity(F.col("digest"), F.lit(query_text)), 6)
     named = documents.withColumns({"title_score": title, "digest_score": digest})

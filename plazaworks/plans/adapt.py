@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plazaworks.operators.mutations import latest_wins
 from plazaworks.plans.registry import table
 
 #: The moment the queries take place, and where the viewer is.
@@ -45,13 +46,13 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 def attendances(spark: SparkSession, d: str) -> DataFrame:
     """The latest status of each (event, user).
 
-    Order and status share one number, so that the aggregate keeps fixed-width
-    buffers and hashes; with a struct in its buffer it would sort.
+    Statuses are three, so the log holds their number: all its columns are of
+    fixed width then, and the aggregate hashes.
     """
-    code = F.expr("CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END")
-    last = F.max((F.col("l_linenumber") * F.lit(1_000_000_000_000) + F.col("l_partkey")) * 4 + code).alias("last")
-    latest = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("user_id")).agg(last)
-    return latest.select("event_id", "user_id", F.expr("CASE last % 4 WHEN 0 THEN 'going' WHEN 1 THEN 'cancelled' ELSE 'completed' END").alias("status"))
+    code = F.expr("CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END").alias("code")
+    log = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("user_id"), code, "l_linenumber", "l_partkey")
+    latest = latest_wins(log, ["event_id", "user_id"], ["l_linenumber", "l_partkey"])
+    return latest.select("event_id", "user_id", F.expr("CASE code WHEN 0 THEN 'going' WHEN 1 THEN 'cancelled' ELSE 'completed' END").alias("status"))
 
 
 def people(spark: SparkSession, d: str) -> DataFrame:

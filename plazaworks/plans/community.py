@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plazaworks.functions import geo, similarity, time
-from plazaworks.operators import filters, joins, mutations, ranking
+from plazaworks.operators import filters, joins, mutations, ranking, validation
 from plazaworks.plans import adapt
 from plazaworks.plans.adapt import AS_OF, CENTER, canon, contains, ctes, distance, tag_set, tokens, warsaw
 from plazaworks.plans.registry import query, table
@@ -74,9 +75,16 @@ def signed_count(spark, d):
     return joins.signed_counts(adapt.attendances(spark, d))
 
 
+@query("email_lookup", "SELECT c_custkey FROM customer WHERE lower(replace(c_name, '#', '.')) || '@mail.example' = 'customer.000000007@mail.example'")
+def email_lookup(spark, d):
+    """By an address as someone might type it."""
+    users = table(spark, d, "customer").select("c_custkey", F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@mail.example")).alias("email"))
+    return filters.by_email(users, "  Customer.000000007@Mail.Example ").select("c_custkey")
+
+
 @query("point_lookup", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey = 7")
 def point_lookup(spark, d):
-    return table(spark, d, "orders").filter("o_orderkey = 7").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return filters.by_key(table(spark, d, "orders"), "o_orderkey", 7).select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
 @query("my_events", f"{ctes('evs', 'attendances')} SELECT a.user_id, event_id, a.status, title FROM evs JOIN attendances a USING (event_id) WHERE a.user_id = 3")
@@ -89,8 +97,8 @@ def attendee_rows(spark, d):
     return adapt.attendances(spark, d).filter("status = 'going'").join(adapt.people(spark, d), "user_id", "left").select("event_id", "user_id", "age_band", "sportiness")
 
 
-@query("mean_attendee_sim", f"{ctes('attendances', 'people')} SELECT event_id, round(avg({profile_sql('''CAST('25-34' AS VARCHAR)''', 'age_band', '1', 'sportiness', '''['walks','coffee','wants company']''', 'tags')}), 6) AS people FROM attendances JOIN people USING (user_id) WHERE status = 'going' GROUP BY 1")
-def mean_attendee_sim(spark, d):
+@query("mean_attendee_sim_bare", f"{ctes('attendances', 'people')} SELECT event_id, round(avg({profile_sql('''CAST('25-34' AS VARCHAR)''', 'age_band', '1', 'sportiness', '''['walks','coffee','wants company']''', 'tags')}), 6) AS people FROM attendances JOIN people USING (user_id) WHERE status = 'going' GROUP BY 1")
+def mean_attendee_sim_bare(spark, d):
     found = ranking.attendee_likeness(adapt.people(spark, d), adapt.attendances(spark, d), VIEWER)
     return found.select("event_id", F.round("people", 6).alias("people"))
 
@@ -111,13 +119,13 @@ def _warm(spark, d):
     return ranking.rank_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), VIEWER, RADIUS, filters.live(AS_OF))
 
 
-@query("rank_events_warm", f"{_WARM} SELECT event_id, score, round(distance_m, 3) AS distance_m FROM top")
-def rank_events_warm(spark, d):
+@query("rank_events_bare", f"{_WARM} SELECT event_id, score, round(distance_m, 3) AS distance_m FROM top")
+def rank_events_bare(spark, d):
     return _warm(spark, d).select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query("event_score", f"{_WARM} SELECT event_id, score FROM warm")
-def event_score(spark, d):
+@query("event_score_bare", f"{_WARM} SELECT event_id, score FROM warm")
+def event_score_bare(spark, d):
     """The score of every event that isn't ruled out, without the limit of a page."""
     placed = adapt.events(spark, d).join(adapt.places(spark, d), "place_id")
     return ranking.scored_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), VIEWER, RADIUS, filters.live(AS_OF)).select("event_id", "score")
@@ -130,10 +138,10 @@ def rank_events_cold(spark, d):
     return found.select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query("first_open_offer", f"{_WARM} SELECT event_id, coalesce(n, 0) AS signed_count FROM top LEFT JOIN signed USING (event_id) WHERE capacity IS NULL OR coalesce(n, 0) < capacity ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 1")
-def first_open_offer(spark, d):
+@query("first_open_offer_bare", f"{_WARM} SELECT event_id, coalesce(n, 0) AS signed_count FROM top LEFT JOIN signed USING (event_id) WHERE capacity IS NULL OR coalesce(n, 0) < capacity ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 1")
+def first_open_offer_bare(spark, d):
     order = [F.desc("score"), C("distance_m"), C("starts_at"), C("event_id")]
-    return ranking.first_open(_warm(spark, d), joins.signed_counts(adapt.attendances(spark, d)), order).select("event_id", "signed_count")
+    return ranking.first_open(_warm(spark, d), order).select("event_id", "signed_count")
 
 
 @query("visible_events", f"{ctes('evs', 'attendances', 'signed')} SELECT event_id FROM evs LEFT JOIN signed USING (event_id) WHERE capacity IS NOT NULL AND coalesce(n, 0) < capacity")
@@ -142,6 +150,12 @@ def visible_events(spark, d):
     return read.filter(C("capacity").isNotNull() & filters.not_full()).select("event_id")
 
 
+@query("visible_in_session", f"{ctes('evs', 'attendances', 'signed')} SELECT event_id FROM evs LEFT JOIN signed USING (event_id) WHERE capacity IS NOT NULL AND coalesce(n, 0) < capacity AND event_id IN (SELECT event_id FROM attendances WHERE user_id = 3)")
+def visible_in_session(spark, d):
+    counted = adapt.events(spark, d).join(joins.signed_counts(adapt.attendances(spark, d)), "event_id", "left").withColumn("signed_count", F.coalesce("signed_count", F.lit(0)))
+    return joins.visible_in_session(counted, adapt.attendances(spark, d).filter("user_id = 3")).select("event_id")
+
+
 @query("hosted_by_me", f"{ctes('evs')} SELECT event_id, host_id = 7 AS hosted_by_me FROM evs")
 def hosted_by_me(spark, d):
     return adapt.events(spark, d).select("event_id", (C("host_id") == 7).alias("hosted_by_me"))
@@ -168,8 +182,8 @@ def _people(spark, d):
     return ranking.rank_people(adapt.people(spark, d), located, VIEWER)
 
 
-@query("rank_people", f"{_RANKED} SELECT user_id, similarity, CASE WHEN m < 500 THEN 'within_500m' WHEN m < 2000 THEN 'within_2km' WHEN m < 5000 THEN 'within_5km' ELSE 'farther' END AS band, shared FROM ranked")
-def rank_people(spark, d):
+@query("rank_people_bare", f"{_RANKED} SELECT user_id, similarity, CASE WHEN m < 500 THEN 'within_500m' WHEN m < 2000 THEN 'within_2km' WHEN m < 5000 THEN 'within_5km' ELSE 'farther' END AS band, shared FROM ranked")
+def rank_people_bare(spark, d):
     return _people(spark, d).select("user_id", "similarity", "band", "shared")
 
 
@@ -178,7 +192,7 @@ def people_text_filter(spark, d):
     return _people(spark, d).filter(filters.contains_text(C("first_name"), "Walk") | filters.contains_text(C("shared"), "Walk")).select("user_id")
 
 
-# The same with vectors and notes.
+# With vectors and notes; the queries above named ..._bare rank tables without them.
 
 _NOTES = "CASE user_id % 5 WHEN 0 THEN {a}'mood', 'Lives alone'{b} WHEN 1 THEN {a}'asks', 'wants company'{b} END"
 
@@ -221,42 +235,79 @@ _RICH_LIKE = f"coalesce(list_avg(list_filter([{_RICH_PARTS}], lambda x: x IS NOT
 _RICH = f"""{ctes('evs', 'places', 'live', 'attendances', 'people', 'signed')},
 rich AS (SELECT people.*, embedding, {_NOTES.format(a='[', b=']')} AS notes FROM people LEFT JOIN embeddings ON vec_id = user_id),
 likes AS (SELECT event_id, avg({_RICH_LIKE}) AS people FROM attendances JOIN rich USING (user_id) WHERE status = 'going' GROUP BY 1)"""
-_RICH_WARM = f"""{_RICH},
-near AS (SELECT live.*, {_cos(1)} AS match, {distance()} AS distance_m, {warsaw('starts_at')} AS minute FROM live LEFT JOIN embeddings ON vec_id = event_id WHERE {distance()} <= 30000),
+_BOX = geo.Box(49.9, 21.2, 50.4, 20.0)
+
+
+def _rich_warm_sql(where: str) -> str:
+    return f"""{_RICH},
+near AS (SELECT live.*, {_cos(1)} AS match, {distance()} AS distance_m, {warsaw('starts_at')} AS minute FROM live LEFT JOIN embeddings ON vec_id = event_id WHERE {where}),
 warm AS (SELECT near.*, round((coalesce(0.45 * people, 0) + 0.25 * exp(-distance_m / 2500) + coalesce(0.20 * match, 0) + 0.10 * ({_FIT})) / (0.35 + CASE WHEN people IS NULL THEN 0 ELSE 0.45 END + CASE WHEN match IS NULL THEN 0 ELSE 0.20 END) + CASE WHEN promoted THEN 0.05 ELSE 0 END, 6) AS score
          FROM near LEFT JOIN likes USING (event_id) WHERE NOT ({_DROPPED}) AND {contains('480', '1320', 'minute')}),
 top AS (SELECT * FROM warm ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 50)"""
 
 
-@query("mean_attendee_sim_vectors", f"{_RICH} SELECT event_id, round(people, 6) AS people FROM likes")
-def mean_attendee_sim_vectors(spark, d):
+_RICH_WARM = _rich_warm_sql(f"{distance()} <= 30000")
+
+
+@query("mean_attendee_sim", f"{_RICH} SELECT event_id, round(people, 6) AS people FROM likes")
+def mean_attendee_sim(spark, d):
     return ranking.attendee_likeness(_rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d)).select("event_id", F.round("people", 6).alias("people"))
 
 
-@query("event_score_vectors", f"{_RICH_WARM} SELECT event_id, score FROM warm")
-def event_score_vectors(spark, d):
+@query("event_score", f"{_RICH_WARM} SELECT event_id, score FROM warm")
+def event_score(spark, d):
     return ranking.scored_events(_rich_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF)).select("event_id", "score")
 
 
-def _rich_warm(spark, d):
-    return ranking.rank_events(_rich_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF))
+def _rich_warm(spark, d, bounds=None):
+    return ranking.rank_events(_rich_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF), bounds)
 
 
-@query("rank_events_vectors", f"{_RICH_WARM} SELECT event_id, score, round(distance_m, 3) AS distance_m FROM top")
-def rank_events_vectors(spark, d):
+@query("rank_events_warm", f"{_RICH_WARM} SELECT event_id, score, round(distance_m, 3) AS distance_m FROM top")
+def rank_events_warm(spark, d):
     return _rich_warm(spark, d).select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query("first_open_offer_vectors", f"{_RICH_WARM} SELECT event_id, coalesce(n, 0) AS signed_count FROM top LEFT JOIN signed USING (event_id) WHERE capacity IS NULL OR coalesce(n, 0) < capacity ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 1")
-def first_open_offer_vectors(spark, d):
+@query("rank_events_bbox", _rich_warm_sql("lat BETWEEN 49.9 AND 50.4 AND (lon >= 21.2 OR lon <= 20.0)") + " SELECT event_id, score, round(distance_m, 3) AS distance_m FROM top")
+def rank_events_bbox(spark, d):
+    """A box, here one that wraps, in place of the radius."""
+    return _rich_warm(spark, d, _BOX).select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query("rank_events_bbox_cold", f"{ctes('evs', 'places', 'live')} SELECT event_id, 0e0 AS score, round({distance()}, 3) AS distance_m FROM live WHERE lat BETWEEN 49.5 AND 50 AND lon BETWEEN 19.5 AND 20.5 ORDER BY starts_at, {distance()}, event_id LIMIT 40")
+def rank_events_bbox_cold(spark, d):
+    placed = adapt.events(spark, d).join(adapt.places(spark, d), "place_id")
+    found = ranking.rank_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), COLD, RADIUS, filters.live(AS_OF), geo.Box(49.5, 19.5, 50.0, 20.5))
+    return found.select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query("first_open_offer", f"{_RICH_WARM} SELECT event_id, coalesce(n, 0) AS signed_count FROM top LEFT JOIN signed USING (event_id) WHERE capacity IS NULL OR coalesce(n, 0) < capacity ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 1")
+def first_open_offer(spark, d):
     order = [F.desc("score"), C("distance_m"), C("starts_at"), C("event_id")]
-    return ranking.first_open(_rich_warm(spark, d), joins.signed_counts(adapt.attendances(spark, d)), order).select("event_id", "signed_count")
+    return ranking.first_open(_rich_warm(spark, d), order).select("event_id", "signed_count")
 
 
-@query("rank_people_vectors", f"{_RICH}, {_LOCATIONS} SELECT user_id, round({_RICH_LIKE}, 6) AS similarity, round({_cos(0)}, 6) AS profile_cosine FROM rich JOIN located USING (user_id) WHERE NOT women_only AND len(list_intersect({_WORDS_OF('tags')}, ['golf', 'club'])) = 0 AND ({_MEETS})")
-def rank_people_vectors(spark, d):
-    located = person_location(spark, d).join(adapt.places(spark, d), "place_id").select("user_id", "lat", "lon")
-    return ranking.rank_people(_rich_people(spark, d), located, _rich_viewer(spark, d)).select("user_id", "similarity", F.round("profile_cosine", 6).alias("profile_cosine"))
+_RICH_PEOPLE = f"""{_RICH}, {_LOCATIONS}, ranked AS (SELECT user_id, round({_RICH_LIKE}, 6) AS similarity, {_cos(0)} AS profile_cosine, {distance()} AS m
+FROM rich JOIN located USING (user_id) JOIN places USING (place_id) WHERE NOT women_only AND len(list_intersect({_WORDS_OF('tags')}, ['golf', 'club'])) = 0 AND ({_MEETS}))"""
+
+
+def _located(spark, d):
+    return person_location(spark, d).join(adapt.places(spark, d), "place_id").select("user_id", "lat", "lon")
+
+
+@query("rank_people", f"{_RICH_PEOPLE} SELECT user_id, similarity, round(profile_cosine, 6) AS profile_cosine, row_number() OVER (ORDER BY profile_cosine DESC NULLS LAST, similarity DESC, m, user_id) AS place FROM ranked")
+def rank_people(spark, d):
+    """With each person's place in the order; numbering all in one window is this query's, not the operator's."""
+    ranked = ranking.rank_people(_rich_people(spark, d), _located(spark, d), _rich_viewer(spark, d))
+    order = Window.orderBy(F.desc_nulls_last("profile_cosine"), F.desc("similarity"), "distance_m", "user_id")
+    return ranked.select("user_id", "similarity", F.round("profile_cosine", 6).alias("profile_cosine"), F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("rank_people_for", f"{_RICH_PEOPLE} SELECT 'warm' AS viewer, user_id, similarity, round(profile_cosine, 6) AS profile_cosine FROM ranked UNION ALL SELECT 'cold', user_id, 0e0, NULL FROM people JOIN located USING (user_id)")
+def rank_people_for(spark, d):
+    """A stated set of viewers: one about whom nothing is known, and one who is known."""
+    found = ranking.rank_people_for(_rich_people(spark, d), _located(spark, d), {"cold": COLD, "warm": _rich_viewer(spark, d)})
+    return found.select("viewer", "user_id", "similarity", F.round("profile_cosine", 6).alias("profile_cosine"))
 
 
 @query("constraints_passed", f"{ctes('people')} SELECT user_id, 'dislikes,time_window' AS passed FROM people")
@@ -267,15 +318,8 @@ def constraints_passed(spark, d):
 _SHIFT = "(place_id % 5) * 0.001e0"
 
 
-@query("coord_match", f"{ctes('places')} SELECT place_id, abs(lat - (lat + {_SHIFT})) <= 0.002 AND abs(lon - (lon + {_SHIFT} / 2)) <= 0.002 AS same FROM places WHERE place_id % 5 <> 2")
+@query("coord_match", f"{ctes('places')} SELECT place_id, abs(lat - (lat + {_SHIFT})) <= 0.002 AND abs(lon - (lon + {_SHIFT} / 2)) <= 0.002 AS same FROM places")
 def coord_match(spark, d):
-    """Off the bound itself, where the last bits of a double would decide."""
-    shift = F.expr(_SHIFT)
-    return adapt.places(spark, d).filter("place_id % 5 <> 2").select("place_id", geo.same_coordinates(C("lat"), C("lon"), C("lat") + shift, C("lon") + shift / 2).alias("same"))
-
-
-@query("coord_match_all", f"{ctes('places')} SELECT place_id, abs(lat - (lat + {_SHIFT})) <= 0.002 AND abs(lon - (lon + {_SHIFT} / 2)) <= 0.002 AS same FROM places")
-def coord_match_all(spark, d):
     """All places, those whose shift is the bound among them: both engines add and compare the same doubles."""
     shift = F.expr(_SHIFT)
     return adapt.places(spark, d).select("place_id", geo.same_coordinates(C("lat"), C("lon"), C("lat") + shift, C("lon") + shift / 2).alias("same"))
@@ -291,8 +335,7 @@ def suffix_match(spark, d):
 
 @query("latest_wins", ctes("attendances") + "SELECT * FROM attendances")
 def latest_wins(spark, d):
-    log = table(spark, d, "lineitem").select(C("l_orderkey").alias("event_id"), C("l_suppkey").alias("user_id"), F.expr("CASE l_returnflag WHEN 'N' THEN 'going' WHEN 'R' THEN 'cancelled' ELSE 'completed' END").alias("status"), "l_linenumber", "l_partkey")
-    return mutations.latest_wins(log, ["event_id", "user_id"], ["l_linenumber", "l_partkey"]).select("event_id", "user_id", "status")
+    return adapt.attendances(spark, d)
 
 
 @query(
@@ -319,10 +362,10 @@ def replace_children(spark, d):
     return mutations.replace_children(old, new, "parent")
 
 
-@query("mark_failed_case", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'digested' ELSE 'failed' END AS status, substring(p_name, 1, 12) AS error FROM part")
+@query("mark_failed_case", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'digested' ELSE 'failed' END AS status, substring(repeat(p_name || ' ', 120), 1, 2000) AS error FROM part")
 def mark_failed_case(spark, d):
-    digest = F.when(C("p_partkey") % 3 == 0, C("p_name"))
-    return table(spark, d, "part").select("p_partkey", F.when(digest.isNull(), "failed").otherwise("digested").alias("status"), F.substring("p_name", 1, 12).alias("error"))
+    rows = table(spark, d, "part").select("p_partkey", "p_name", F.when(C("p_partkey") % 3 == 0, C("p_name")).alias("digest_text"), F.lit("digested").alias("status"))
+    return mutations.failed(rows, F.repeat(F.concat("p_name", F.lit(" ")), F.lit(120))).select("p_partkey", "status", "error")
 
 
 @query("sparse_patch", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'patched' ELSE s_name END AS name, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 1 ELSE s_nationkey END AS nation FROM supplier")
@@ -375,3 +418,27 @@ def guarded_update(spark, d):
 @query("host_backfill", f"{ctes('evs', 'attendances', 'signed')} SELECT e.event_id, e.host_id AS user_id FROM evs e LEFT JOIN signed s USING (event_id) WHERE NOT EXISTS (SELECT 1 FROM attendances a WHERE a.event_id = e.event_id AND a.user_id = e.host_id) AND (capacity IS NULL OR coalesce(n, 0) < capacity)")
 def host_backfill(spark, d):
     return mutations.host_backfill(adapt.events(spark, d), adapt.attendances(spark, d))
+
+
+_NEW = "SELECT o_orderkey AS event_id, o_custkey AS host_id, o_orderkey + 1000000 AS place_id, CASE o_orderkey % 4 WHEN 0 THEN 'home' WHEN 1 THEN 'cafe' ELSE 'park' END AS kind, CASE o_orderkey % 5 WHEN 0 THEN NULL ELSE o_orderkey % 5 - 1 END AS capacity FROM orders"
+_TAKEN = f"SELECT * FROM ({_NEW}) WHERE kind <> 'home' AND (capacity IS NULL OR capacity >= 1)"
+
+
+@query("create_events", f"SELECT 'place' AS row_of, place_id AS id, kind AS what FROM ({_TAKEN}) UNION ALL SELECT 'event', event_id, CAST(capacity AS VARCHAR) FROM ({_TAKEN}) UNION ALL SELECT 'attendance', event_id, 'going' FROM ({_TAKEN})")
+def create_events(spark, d):
+    """Place, event and the host's attendance of each new event that is in order."""
+    k = C("o_orderkey")
+    new = table(spark, d, "orders").select(
+        k.alias("event_id"), C("o_custkey").alias("host_id"), (k + 1_000_000).alias("place_id"), F.lit("P").alias("place_name"), F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'home' WHEN 1 THEN 'cafe' ELSE 'park' END").alias("kind"),
+        F.lit(50.0).alias("lat"), F.lit(20.0).alias("lon"), F.expr("CASE o_orderkey % 5 WHEN 0 THEN NULL ELSE o_orderkey % 5 - 1 END").alias("capacity"),
+    )
+    places, events, going = mutations.created_events(new)
+    rows = [places.select(F.lit("place").alias("row_of"), C("place_id").alias("id"), C("kind").alias("what")), events.select(F.lit("event"), "event_id", C("capacity").cast("string")), going.select(F.lit("attendance"), "event_id", "status")]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@query("event_errors", f"SELECT c_custkey, CASE WHEN c_custkey % 7 IN (0, 1) THEN 'coordinates' WHEN c_custkey % 5 = 0 THEN 'capacity' WHEN c_custkey % 3 = 0 THEN 'kind' END AS error FROM customer")
+def event_errors(spark, d):
+    k = C("c_custkey")
+    lat = F.when(k % 7 == 0, float("nan")).when(k % 7 == 1, float("inf")).otherwise(50.0)
+    return table(spark, d, "customer").select("c_custkey", validation.event_error(lat, F.lit(20.0), F.when(k % 2 == 0, k % 5).otherwise(F.nullif(k % 5, F.lit(1))), F.when(k % 3 == 0, "home").otherwise("park")).alias("error"))

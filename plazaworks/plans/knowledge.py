@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plazaworks.operators import filters, joins, library, mutations, paging, search
+from plazaworks.operators import chat, filters, joins, library, mutations, paging, search
 from plazaworks.plans import adapt
 from plazaworks.plans.adapt import ctes
 from plazaworks.plans.registry import query, table
@@ -55,6 +55,24 @@ def hybrid_search(spark, d):
     return search.hybrid(docs, chunks, title, _vector(spark, d), 0.25, 0.12, 0.12)
 
 
+@query(
+    "hybrid_search_category",
+    f"""WITH docs AS ({_DOCS} WHERE item_id % 3 = 1 AND item_id % 4 <> 0), best AS (SELECT label AS doc, chunk, score AS cosine FROM (SELECT e.label, e.vec_id AS chunk, {_COS} AS score FROM embeddings e, {_QUERY} q) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, chunk) = 1),
+n AS (SELECT docs.*, cosine, chunk, round({trigram_sql('title', _TITLE)}, 6) AS t, round({trigram_sql('digest', _TITLE)}, 6) AS g FROM docs LEFT JOIN best USING (doc)),
+h AS (SELECT *, CASE WHEN cosine IS NULL THEN CASE WHEN greatest(t, g) >= 0.12 THEN greatest(t, g) END WHEN cosine >= 0.25 AND t >= 0.12 THEN greatest(cosine, t) WHEN t >= 0.12 THEN t WHEN cosine >= 0.25 THEN cosine END AS score FROM n)
+SELECT doc, score, CASE WHEN cosine >= 0.25 THEN chunk END AS chunk FROM h WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, title, doc) = 1""",
+)
+def hybrid_search_category(spark, d):
+    """Within one category; documents without a digest aren't found."""
+    items = table(spark, d, "benchmark")
+    digest = F.when(C("item_id") % 4 != 0, F.expr("substring(text, 20)"))
+    docs = items.select(C("item_id").alias("doc"), C("text").alias("title"), digest.alias("digest"), F.concat(F.lit("u"), (C("item_id") % 30).cast("string")).alias("url"))
+    title = items.filter("item_id = 3").first()["text"]  # the query's words: one row
+    categories = items.select(C("item_id").alias("doc"), F.concat(F.lit("c"), (C("item_id") % 3).cast("string")).alias("slug"))
+    chunks = adapt.chunks(spark, d).withColumn("doc", C("doc").cast("long"))
+    return search.hybrid(docs, chunks, title, _vector(spark, d), 0.25, 0.12, 0.12, categories, "c1").select("doc", "score", "chunk")
+
+
 @query("stale_embeddings", "SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0 OR CASE WHEN vec_id % 3 = 0 THEN NULL WHEN vec_id % 2 = 0 THEN 'new' ELSE 'old' END IS DISTINCT FROM 'new'")
 def stale_embeddings(spark, d):
     model = F.when(C("vec_id") % 3 == 0, F.lit(None)).when(C("vec_id") % 2 == 0, "new").otherwise("old")
@@ -74,6 +92,17 @@ def anti_missing_chunks(spark, d):
     return joins.missing(table(spark, d, "part").select("p_partkey"), children, "p_partkey")
 
 
+_CHUNKED = "SELECT l_partkey AS doc, CASE l_linenumber WHEN 1 THEN 'card' WHEN 2 THEN 'section' ELSE 'other' END AS field FROM lineitem WHERE l_quantity > 40"
+
+
+@query("missing_chunks", f"WITH c AS ({_CHUNKED}) SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0 AND (NOT EXISTS (SELECT 1 FROM c WHERE doc = p_partkey AND field = 'card') OR p_partkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM c WHERE doc = p_partkey AND field = 'section'))")
+def missing_chunks(spark, d):
+    chunks = table(spark, d, "lineitem").filter("l_quantity > 40").select(C("l_partkey").alias("doc"), F.expr("CASE l_linenumber WHEN 1 THEN 'card' WHEN 2 THEN 'section' ELSE 'other' END").alias("field"))
+    sections = F.when(C("p_partkey") % 2 == 0, F.array(F.lit("s"))).when(C("p_partkey") % 3 == 0, F.array().cast("array<string>"))
+    docs = table(spark, d, "part").select(C("p_partkey").alias("doc"), F.when(C("p_partkey") % 10 != 0, C("p_name")).alias("digest"), sections.alias("sections"))
+    return joins.missing_chunks(docs, chunks).select(C("doc").alias("p_partkey"))
+
+
 @query("ordered_collect", "SELECT l_orderkey AS k, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1")
 def ordered_collect(spark, d):
     return joins.ordered_lists(table(spark, d, "lineitem").select(C("l_orderkey").alias("k"), "l_linenumber", "l_partkey"), "k", ["l_linenumber", "l_partkey"], "l_partkey", "parts")
@@ -101,6 +130,18 @@ def catalog_merge(spark, d):
     return library.merged_cards(table(spark, d, "part").select(C("p_brand").alias("slug"), C("p_partkey").alias("seq"), C("p_type").alias("category"), C("p_name").alias("summary")))
 
 
+@query("outcome_counts", "SELECT count(*) FILTER (o_orderstatus = 'F') AS digested, count(*) FILTER (o_orderstatus = 'O') AS skipped, count(*) FILTER (o_orderstatus = 'P') AS failed FROM orders")
+def outcome_counts(spark, d):
+    outcome = F.when(C("o_orderstatus") == "F", "digested").when(C("o_orderstatus") == "O", "skipped")
+    return library.outcome_counts(table(spark, d, "orders").select(outcome.alias("outcome")))
+
+
+@query("catalog_links", "SELECT slug, url, row_number() OVER (PARTITION BY slug ORDER BY seq) AS n FROM (SELECT p_brand AS slug, p_type AS url, min(p_partkey) AS seq FROM part GROUP BY 1, 2)")
+def catalog_links(spark, d):
+    links = table(spark, d, "part").select(C("p_brand").alias("slug"), C("p_partkey").alias("seq"), C("p_type").alias("url"))
+    return library.merged_links(links, "slug", ["seq"]).select("slug", "url", C("n").cast("long").alias("n"))
+
+
 _LINKS = "SELECT l_orderkey AS owner, 'u' || (l_partkey % 9) AS url, CASE l_suppkey % 7 WHEN 0 THEN 'zip' WHEN 1 THEN 'video' WHEN 2 THEN 'pdf' WHEN 3 THEN 'licence' WHEN 4 THEN 'qr' WHEN 5 THEN 'page' ELSE 'other' END AS kind FROM lineitem"
 _LINK_RANK = "CASE kind WHEN 'zip' THEN 0 WHEN 'video' THEN 1 WHEN 'pdf' THEN 2 WHEN 'licence' THEN 3 WHEN 'qr' THEN 4 WHEN 'page' THEN 5 ELSE 6 END"
 
@@ -131,6 +172,34 @@ def profile_paragraph(spark, d):
     return table(spark, d, "supplier").select(C("s_suppkey").alias("k"), library.profile_text(bio, likes, F.array().cast("array<string>"), note).alias("body"))
 
 
+@query("event_passage", "SELECT o_orderkey, concat_ws(chr(10), o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN 'about ' || o_orderstatus END, CASE WHEN o_orderkey % 2 = 0 THEN 'tea, walks' END) AS body FROM orders")
+def event_passage(spark, d):
+    k = C("o_orderkey")
+    about = F.when(k % 3 == 0, F.concat(F.lit(" about "), C("o_orderstatus"))).when(k % 3 == 1, "  ")
+    tags = F.when(k % 2 == 0, F.array(F.lit("tea"), F.lit("walks"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "orders").select("o_orderkey", library.event_passage(C("o_orderpriority"), about, tags).alias("body"))
+
+
+_BRIEF_SQL = "p_name || chr(10) || chr(10) || 'Źródło: Biblioteka Innowacji Społecznych, ROPS Kraków' || chr(10) || 'Strona: u' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'Kategorie: ' || p_brand || ', ' || p_type ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || 'Licencja: CC BY 4.0' ELSE '' END || chr(10) || chr(10) || p_type || chr(10) || chr(10) || 'Odnośniki:' || chr(10) || '- film: v' || chr(10) || '- zip: z' || chr(10)"
+
+
+@query("brief_text", f"SELECT p_partkey, {_BRIEF_SQL} AS body FROM part")
+def brief_text(spark, d):
+    k = C("p_partkey")
+    links = F.array(F.struct(F.lit("video").alias("kind"), F.lit("v").alias("url"), F.lit("film").alias("label")), F.struct(F.lit("zip").alias("kind"), F.lit("z").alias("url"), F.lit(None).cast("string").alias("label")))
+    categories = F.when(k % 2 == 0, F.array("p_brand", "p_type")).otherwise(F.array().cast("array<string>"))
+    body = library.brief_text(C("p_name"), F.concat(F.lit("u"), k.cast("string")), categories, F.when(k % 3 == 0, "CC BY 4.0"), F.concat(F.lit(" "), C("p_type"), F.lit(" ")), links)
+    return table(spark, d, "part").select("p_partkey", body.alias("body"))
+
+
+@query("language", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'EN' WHEN 1 THEN 'de' ELSE 'pl' END AS locale, s_suppkey % 4 = 0 AS english FROM supplier")
+def language(spark, d):
+    from plazaworks.functions import text
+
+    given = F.when(C("s_suppkey") % 4 == 0, " EN ").when(C("s_suppkey") % 4 == 1, "de").when(C("s_suppkey") % 4 == 2, "  ")
+    return table(spark, d, "supplier").select("s_suppkey", text.language_of(given).alias("locale"), text.is_english(given).alias("english"))
+
+
 @query("resolve_path", "SELECT DISTINCT p_brand || '/' || p_name AS asked, 'Docs/' || p_brand || '/' || upper(p_name) AS path FROM part")
 def resolve_path(spark, d):
     part = table(spark, d, "part")
@@ -170,19 +239,19 @@ def ilike_search(spark, d):
     return adapt.messages(spark, d).filter(filters.contains_text(C("body"), "THE")).select("id")
 
 
-@query("chat_search", f"{ctes('messages')} SELECT id, round({trigram_sql('body', repr('the and or'))}, 6) AS score FROM messages WHERE contains(lower(body), 'the') ORDER BY position('the' IN lower(body)), created, id LIMIT 20")
+@query("chat_search")
 def chat_search(spark, d):
-    """Messages with the words, the earliest place first; the score is the trigrams' likeness."""
-    from plazaworks.functions.text import trigram_similarity
+    """Every user's messages that hold the word, rated by the most alike stretch of each.
 
-    found = adapt.messages(spark, d).filter(filters.contains_text(C("body"), "the"))
-    rated = found.orderBy(F.instr(F.lower("body"), "the"), "created", "id").limit(20)
-    return rated.select("id", F.round(trigram_similarity(C("body"), F.lit("the and or")), 6).alias("score"))
+    SQL would have to list all stretches of every message, which takes minutes
+    on small tables: tests hold it against brute force instead.
+    """
+    return chat.search(adapt.messages(spark, d), "Thing ").select("user_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("chat_search_all", f"{ctes('messages')} SELECT id, position('the' IN lower(body)) AS place, round({trigram_sql('body', repr('the and or'))}, 6) AS score FROM messages WHERE contains(lower(body), 'the')")
-def chat_search_all(spark, d):
-    """Every message with the words, with the place it is ordered by; chat_search is the first page of these."""
+@query("chat_search_place", f"{ctes('messages')} SELECT id, position('the' IN lower(body)) AS place, round({trigram_sql('body', repr('the and or'))}, 6) AS score FROM messages WHERE contains(lower(body), 'the')")
+def chat_search_place(spark, d):
+    """Every message with a word, by the place where it first stands; the score is the whole text's likeness."""
     from plazaworks.functions.text import trigram_similarity
 
     found = adapt.messages(spark, d).filter(filters.contains_text(C("body"), "the")).withColumn("place", F.instr(F.lower("body"), "the"))
@@ -194,6 +263,35 @@ def keyset_page(spark, d):
     return paging.page_before(adapt.messages(spark, d), (2, 40002), 100).select("id", "created")
 
 
+@query("history", f"{ctes('messages')} SELECT user_id, id, created FROM messages")
+def history(spark, d):
+    return paging.history(adapt.messages(spark, d)).select("user_id", "id", "created")
+
+
+@query("append_messages", f"{ctes('messages')} SELECT (SELECT max(id) FROM messages) < min(id) AS after_all, count(DISTINCT id) AS n, count(*) AS rows FROM (SELECT id + 10000000 AS id FROM messages WHERE role = 'user')")
+def append_messages(spark, d):
+    """New rows get ids after the largest; which ones isn't fixed, so their properties are the result."""
+    log = adapt.messages(spark, d)
+    new = mutations.appended(log, log.filter("role = 'user'"), ["created", "id"])
+    last = log.agg(F.max("id").alias("last"))
+    return new.agg(F.min("id").alias("first"), F.count_distinct("id").alias("n"), F.count("*").alias("rows")).join(F.broadcast(last)).select((C("first") > C("last")).alias("after_all"), "n", "rows")
+
+
+_FOLD = "SELECT user_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'done' WHEN 'view' THEN 'running' END AS status, CASE WHEN event_id % 3 = 0 THEN props END AS checkpoint FROM events"
+
+
+@query("turn_states", f"SELECT user_id, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, arg_max(checkpoint, seq) FILTER (checkpoint IS NOT NULL) AS checkpoint FROM ({_FOLD}) GROUP BY 1")
+def turn_states(spark, d):
+    log = table(spark, d, "events").select("user_id", C("event_id").alias("seq"), F.when(C("event_type") == "click", "done").when(C("event_type") == "view", "running").alias("status"), F.when(C("event_id") % 3 == 0, C("props")).alias("checkpoint"))
+    return mutations.folded(log, "user_id", "seq", ["status", "checkpoint"])
+
+
+@query("pending_values", "SELECT user_id, field, value FROM (SELECT user_id, CASE event_id % 2 WHEN 0 THEN 'place' ELSE 'event' END AS field, arg_max_null(CASE WHEN event_id % 5 <> 0 THEN props END, event_id) AS value FROM events GROUP BY 1, 2) WHERE value IS NOT NULL")
+def pending_values(spark, d):
+    log = table(spark, d, "events").select("user_id", C("event_id").alias("seq"), F.when(C("event_id") % 2 == 0, "place").otherwise("event").alias("field"), F.when(C("event_id") % 5 != 0, C("props")).alias("value"))
+    return mutations.pending(log, "user_id", "seq", "field", "value")
+
+
 _TURNS = "SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY created DESC, id DESC ROWS UNBOUNDED PRECEDING) - CASE WHEN role = 'user' THEN 1 ELSE 0 END AS newer FROM messages"
 
 
@@ -234,15 +332,8 @@ def prime_cursor(spark, d):
     return _log(spark, d).groupBy("user_id").agg(F.max("id").alias("cursor"))
 
 
-@query("stream_frames", "SELECT event_id AS id, 'id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events WHERE user_id % 3 = 0 AND event_type IN ('click', 'view')")
+@query("stream_frames", "SELECT user_id, event_id AS id, 'id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events WHERE event_type IN ('click', 'view')")
 def stream_frames(spark, d):
-    from plazaworks.streaming.log import frame
-
-    return paging.after(_log(spark, d), -1, ["click", "view"]).filter("user_id % 3 = 0").select("id", frame(C("id"), C("kind"), C("props")).alias("frame"))
-
-
-@query("stream_frames_all", "SELECT user_id, event_id AS id, 'id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events WHERE event_type IN ('click', 'view')")
-def stream_frames_all(spark, d):
     """Frames of all users, each with its user."""
     from plazaworks.streaming.log import frame
 
@@ -261,3 +352,16 @@ def reply_fold(spark, d):
     read = adapt.messages(spark, d)
     done = read.groupBy("user_id").agg(F.max_by(F.when(F.length("body") > 400, C("body")), F.when(F.length("body") > 400, C("id"))).alias("done"))
     return paging.assembled(read, "user_id", "id", "body").join(done, "user_id").select("user_id", F.md5(F.coalesce("done", "text")).alias("digest"))
+
+
+_CALLS = "SELECT user_id, CAST(event_id % 3 AS INT) AS index, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 'c' || event_id WHEN event_id % 4 = 1 THEN '' END AS id, CASE WHEN event_id % 5 = 0 THEN event_type END AS name, CASE WHEN event_id % 7 <> 0 THEN event_type || ' ' END AS part FROM events"
+
+
+@query("call_assemble", f"SELECT user_id, index, coalesce(arg_max(id, seq) FILTER (id <> ''), '') AS id, coalesce(arg_max(name, seq) FILTER (name <> ''), '') AS name, md5(string_agg(coalesce(part, ''), '' ORDER BY seq)) AS arguments, count(*) FILTER (id <> '') > 0 AND count(*) FILTER (name <> '') > 0 AS whole FROM ({_CALLS}) GROUP BY 1, 2")
+def call_assemble(spark, d):
+    k = C("event_id")
+    parts = table(spark, d, "events").select(
+        "user_id", (k % 3).cast("int").alias("index"), k.alias("seq"), F.when(k % 4 == 0, F.concat(F.lit("c"), k.cast("string"))).when(k % 4 == 1, "").alias("id"),
+        F.when(k % 5 == 0, C("event_type")).alias("name"), F.when(k % 7 != 0, F.concat("event_type", F.lit(" "))).alias("arguments"),
+    )
+    return paging.assembled_calls(parts, "user_id", "seq").withColumn("arguments", F.md5("arguments"))

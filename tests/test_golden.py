@@ -2,6 +2,7 @@
 
 import dataclasses
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,14 +72,83 @@ def test_warsaw_windows(spark):
     assert one(spark, time.time_fit(L(None).cast("int"), L(None).cast("int"), L(5))) == 1.0
 
 
-def test_rank_people_drops(spark):
-    rows = [("1", "Anna", ["coffee"], False), ("2", "Beata", ["tea"], False), ("3", "Celina", ["padel"], False), ("4", "Dorota", ["tea"], True), ("5", "Ewa", ["golf"], False)]
-    people = spark.createDataFrame([(*r, None, None, None, None) for r in rows], "user_id string, first_name string, tags array<string>, women_only boolean, age_band string, sportiness int, start_minute int, end_minute int")
-    places = spark.createDataFrame([(r[0], 50.0, 20.0) for r in rows], "user_id string, lat double, lon double")
-    viewer = ranking.Viewer(50.0, 20.0, mobility="wheelchair", likes=("coffee",), dislikes=("golf",))
-    assert [r.first_name for r in ranking.rank_people(people, places, viewer).collect()] == ["Anna", "Beata"]
-    assert one(spark, F.array_join(ranking.constraints_passed(viewer), ",")) == "mobility,dislikes"
-    assert ranking.Viewer(0, 0).cold and not viewer.cold
+PERSON = "user_id string, first_name string, tags array<string>, women_only boolean, age_band string, sportiness int, start_minute int, end_minute int"
+
+
+def crowd(spark, **people):
+    """People of these tags, each in the same place."""
+    rows = [(k, k.title(), tags, flag, None, None, None, None) for k, (tags, flag) in people.items()]
+    return spark.createDataFrame(rows, PERSON), spark.createDataFrame([(k, 51.1, 17.0) for k in people], "user_id string, lat double, lon double")
+
+
+@pytest.mark.parametrize("given,left", [
+    ({}, {"cyclist", "chess", "squash", "choir", "mixed"}),  # cold: nothing is ruled out
+    ({"likes": ("choir",)}, {"cyclist", "chess", "squash", "mixed"}),
+    ({"women_only": True}, {"cyclist", "chess", "squash", "choir", "mixed"}),
+    ({"likes": ("x",), "mobility": "uses a WHEELCHAIR"}, {"cyclist", "chess"}),
+    ({"likes": ("x",), "mobility": "walking stick"}, {"cyclist", "chess", "squash", "mixed"}),
+    ({"likes": ("x",), "dislikes": ("Blitz chess!", "old")}, {"cyclist", "squash", "mixed"}),
+    ({"women_only": True, "dislikes": ("road bikes",)}, {"chess", "squash", "choir", "mixed"}),
+])
+def test_people_are_ruled_out(spark, given, left):
+    people, places = crowd(spark, cyclist=(["road cycling"], False), chess=(["chess club"], False), squash=(["Squash at noon"], False), choir=(["choir"], True), mixed=(["tea", "beach volleyball"], None))
+    viewer = ranking.Viewer(51.1, 17.0, **given)
+    found = {r.user_id for r in ranking.rank_people(people, places, viewer).collect()}
+    assert found == (left - {"cyclist"} if "road bikes" in given.get("dislikes", ()) else left)
+
+
+def test_passed_constraints_are_named_in_order(spark):
+    viewer = ranking.Viewer(51.1, 17.0, window=(0, 60), women_only=True, dislikes=("noise",), mobility="cane")
+    assert one(spark, F.array_join(ranking.constraints_passed(viewer), ",")) == "mobility,dislikes,women_only,time_window"
+    assert one(spark, F.array_join(ranking.constraints_passed(ranking.Viewer(0, 0)), ",")) == "" and ranking.Viewer(0, 0).cold and not viewer.cold
+
+
+def test_several_viewers_at_once(spark):
+    people, places = crowd(spark, near=(["tea"], False), other=(["chess"], False))
+    found = ranking.rank_people_for(people, places, {"b": ranking.Viewer(51.1, 17.0), "a": ranking.Viewer(51.1, 17.0, likes=("chess",), dislikes=("tea",))}).collect()
+    assert [(r.viewer, r.user_id) for r in found] == [("a", "other"), ("b", "near"), ("b", "other")]
+
+
+EVENT = "event_id long, lat double, lon double, tags array<string>, title string, women_only boolean, promoted boolean, embedding array<float>"
+
+
+def meetings(spark, *rows):
+    events = spark.createDataFrame([(k, lat, lon, ["tea"], "t", False, promoted, vector) for k, lat, lon, promoted, vector in rows], EVENT)
+    return events.withColumn("starts_at", L("2026-01-10 12:00:00").cast("timestamp_ntz"))
+
+
+def test_a_box_takes_the_place_of_the_radius(spark):
+    events = meetings(spark, (1, 51.1, 17.0, False, None), (2, 51.1, 179.9, False, None), (3, 51.1, -179.9, False, None), (4, 53.0, 17.0, False, None))
+    people, _ = crowd(spark, near=(["tea"], False))
+    going = spark.createDataFrame([(1, "near", "going"), (1, "unknown", "going"), (4, "near", "cancelled")], "event_id long, user_id string, status string")
+    for viewer in (ranking.Viewer(51.1, 17.0), ranking.Viewer(51.1, 17.0, likes=("tea",))):
+        at = lambda *how: sorted(r.event_id for r in ranking.rank_events(events, people, going, viewer, 1000.0, L(True), *how).collect())  # noqa: B023, E731
+        assert at() == [1] and at(geo.Box(50, 170, 52, -170)) == [2, 3] and at(geo.Box(50, 16, 54, 18)) == [1, 4] and at(geo.Box(0, 0, 1, 1)) == []
+    counted = {r.event_id: (r.people, r.signed_count) for r in ranking.scored_events(events, people, going, viewer, 1000.0, L(True), geo.Box(50, 16, 54, 18)).collect()}
+    # Who isn't known counts as one who goes, and says nothing about likeness.
+    assert counted == {1: (1.0, 2), 4: (None, 0)}
+
+
+def test_scores_of_what_is_known(spark):
+    """Distance 0 and no window: both parts are 1. What is missing isn't 0."""
+    people, _ = crowd(spark, near=(["tea"], False), far=(["golf"], False))
+    events = meetings(spark, (1, 51.1, 17.0, False, None), (2, 51.1, 17.0, True, None), (3, 51.1, 17.0, False, [0.0, 1.0]), (4, 51.1, 17.0, False, None))
+    going = spark.createDataFrame([(4, "near", "going"), (4, "far", "going")], "event_id long, user_id string, status string")
+    viewer = ranking.Viewer(51.1, 17.0, likes=("tea",), want=(1.0, 0.0))
+    found = {r.event_id: r.score for r in ranking.scored_events(events, people, going, viewer, 1000.0, L(True)).collect()}
+    assert found == {1: 1.0, 2: 1.05, 3: round(0.35 / 0.55, 6), 4: round((0.45 * 0.5 + 0.35) / 0.8, 6)}
+    full = meetings(spark, (1, 51.1, 17.0, False, None), (2, 51.1, 17.0, True, None)).withColumn("capacity", F.when(F.col("event_id") == 2, 0)).withColumn("signed_count", L(0))
+    assert [r.event_id for r in ranking.first_open(full, [F.col("event_id").desc()]).collect()] == [1]
+    assert ranking.first_open(full.filter("event_id = 2"), [F.col("event_id")]).count() == 0
+
+
+def test_boxes_around_circles_hold_them(spark):
+    rng = random.Random(3)
+    for lat, lon, radius in ((0.0, 0.0, 5e5), (60.0, 20.0, 3e5), (-70.0, -100.0, 8e5), (88.9, 10.0, 2e5), (10.0, 179.9, 1e5)):
+        points = [(lat + rng.uniform(-9, 9), lon + rng.uniform(-40, 40)) for _ in range(300)]
+        df = spark.createDataFrame(points, "lat double, lon double").filter("abs(lat) <= 90")
+        inside = geo.haversine_m(F.col("lat"), F.col("lon"), L(lat), L(lon)) <= radius
+        assert df.filter(inside).count() == df.filter(geo.within_radius(F.col("lat"), F.col("lon"), lat, lon, radius)).count() > 0
 
 
 def library(spark):
@@ -94,6 +164,10 @@ def test_hybrid_search(spark):
     assert rows == [(2, 1.0, None), (1, 1.0, 11), (3, 0.454545, None)]
     assert [r.doc for r in search.hybrid(docs, chunks.limit(0), "tea house walks about", None).collect()] == [3, 2]
     assert search.hybrid(docs, chunks, "zzz", [0.5, -0.87]).count() == 0
+    assert search.hybrid(docs, chunks, "  ", [0.8, 0.6]).count() == 0 and search.hybrid(docs.withColumn("digest", L(None).cast("string")), chunks, "Tea house", [0.8, 0.6]).count() == 0
+    kinds = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "a")], "doc long, slug string")
+    of = lambda category: [r.doc for r in search.hybrid(docs, chunks, "Tea house", [0.8, 0.6], categories=kinds, category=category).collect()]
+    assert of("b") == [2] and of("a") == [1, 3] and of("none") == [] and of(None) == [2, 1, 3]
 
 
 def test_zero_and_missing_vectors_are_no_best(spark):
@@ -102,11 +176,14 @@ def test_zero_and_missing_vectors_are_no_best(spark):
 
 
 def test_turns_and_pages(spark):
-    rows = [(k, 1, role, body, k) for k, (role, body) in enumerate([("user", "one"), ("assistant", "r1"), ("user", "two"), ("assistant", "r2"), ("user", "three"), ("assistant", "r3")])]
+    # A greeting, three questions, two of them answered twice, and a last word.
+    said = "Ahoj b, q1 u, a1 b, a1' b, q2 u, q3 u, a3 b, bye b".split(", ")
+    rows = [(10 * k, 5, {"u": "user", "b": "assistant"}[x.split()[1]], x.split()[0], k // 2) for k, x in enumerate(said)]
     df = spark.createDataFrame(rows, "id long, user_id long, role string, body string, created long")
-    assert [r.body for r in paging.recent_turns(df, 2).orderBy("id").collect()] == ["two", "r2", "three", "r3"]
-    assert [r.body for r in paging.page_before(df, (4, 4), 2).orderBy("id").collect()] == ["two", "r2"]
-    assert [tuple(r) for r in paging.older_than_recent(df, 2).collect()] == [(1, 2, 1)]
+    of = lambda found: [r.body for r in found.collect()]
+    assert of(paging.recent_turns(df, 2).orderBy("id")) == ["q2", "q3", "a3", "bye"] and of(paging.recent_turns(df, 9).orderBy("id")) == of(paging.history(df))
+    assert of(paging.page_before(df, None, 3)) == ["q3", "a3", "bye"] and of(paging.page_before(df, (2, 50), 2)) == ["a1'", "q2"] and of(paging.page_before(df, (0, 0))) == [] == of(paging.page_before(df, None, 0))
+    assert [tuple(r) for r in paging.older_than_recent(df, 2).collect()] == [(5, 4, 30)]
 
 
 def test_admission(spark):
@@ -117,6 +194,33 @@ def test_admission(spark):
     assert found == {(1, 8): "going", (1, 9): "full", (1, 7): "already", (2, 1): "going", (3, 6): "full"}
 
 
+def test_admission_of_very_many(spark):
+    rng = random.Random(4)
+    asked = [(e, u, rng.randrange(50)) for e in (1, 2, 3) for u in rng.sample(range(1000), 400)]
+    events, going = {1: 30, 2: 400, 3: 2}, [(1, u) for u in range(20)] + [(3, 1), (3, 2), (3, 3)]
+    found = {(r.event_id, r.user_id): r.outcome for r in mutations.admitted(spark.createDataFrame(asked, "event_id long, user_id long, seq int"), spark.createDataFrame(list(events.items()), "event_id long, capacity int"), spark.createDataFrame(going, "event_id long, user_id long")).collect()}
+    wanted = {}
+    for e, room in events.items():
+        free = room - sum(x == e for x, _ in going)
+        for _, u in sorted((s, u) for x, u, s in asked if x == e):
+            wanted[e, u] = "already" if (e, u) in going else "going" if free > 0 else "full"
+            free -= wanted[e, u] == "going"
+    assert found == wanted
+
+
+def test_latest_rows_by_one_number_or_a_struct(spark):
+    rows = [("a", 1, None, 10, "x"), ("a", None, 9, 11, "y"), ("a", 1, -(2**63), 12, "z"), ("b", -5, 3, 13, "p"), ("b", -5, 4, 14, "q"), ("c", None, None, 15, "r")]
+    df = spark.createDataFrame(rows, "k string, i int, j long, v int, t string")
+    for part in (df.drop("t"), df, df.drop("t").withColumn("i", F.col("i").cast("long")), df.drop("t").withColumn("j", F.col("j").cast("int"))):
+        if dict(part.dtypes)["j"] == "int":
+            part = df.drop("t").withColumn("j", F.when(F.col("j") > 0, F.col("j")).cast("int"))
+        found = mutations.latest_wins(part, ["k"], ["i", "j"])
+        last = {r.k: r.v for r in found.collect()}
+        assert last == {"a": 12, "b": 14, "c": 15} or dict(part.dtypes)["j"] == "int" and last == {"a": 10, "b": 14, "c": 15}  # a tie
+    plan = mutations.latest_wins(df.drop("t"), ["k"], ["i", "j"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
 def test_word_similarity(spark):
     assert word_similarity_of("word", "two words") == pytest.approx(0.8) and word_similarity_of("", "a") == 0 and word_similarity_of("tea", "a tea house") == 1.0
     df = spark.createDataFrame([("a tea house",), (None,)], "body string")
@@ -163,7 +267,7 @@ def test_the_bound_of_same_coordinates_is_inclusive(spark):
     at = lambda lat, lon: one(spark, geo.same_coordinates(L(0.0), L(0.0), L(lat), L(lon)))
     assert at(0.002, -0.002) and not at(math.nextafter(0.002, 1), 0.0) and not at(0.0, -math.nextafter(0.002, 1))
     folder = "/root/testdata/sf0.001"
-    assert catalogue.QUERIES["coord_match_all"](spark, folder).count() == spark.read.parquet(f"{folder}/customer.parquet").count()
+    assert catalogue.QUERIES["coord_match"](spark, folder).count() == spark.read.parquet(f"{folder}/customer.parquet").count()
 
 
 def test_cards_are_merged_by_category_before_they_are_collected(spark):

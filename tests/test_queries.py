@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -31,10 +32,34 @@ def con():
 
 
 def test_each_query_has_sql():
-    assert len(catalogue.QUERIES) >= 100 and catalogue.QUERIES.keys() == catalogue.ORACLES.keys()
+    assert len(catalogue.QUERIES) >= 120 and catalogue.QUERIES.keys() - catalogue.ORACLES.keys() == {"chat_search"}
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+def test_chat_search_equals_brute_force(spark):
+    """All stretches that begin and end with a trigram of the word; others are less alike than those within them."""
+    def trigrams(text):
+        return [f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", text.lower()) for i in range(len(w) + 1)]
+
+    def likeness(body):
+        ordered, wanted = trigrams(body), set(trigrams("thing"))
+        best = 0.0
+        for start in (i for i, t in enumerate(ordered) if t in wanted):
+            seen, shared = set(), set()
+            for t in ordered[start:]:
+                seen.add(t)
+                if t in wanted:
+                    shared.add(t)
+                    best = max(best, len(shared) / len(seen | wanted))
+        return round(best, 6)
+
+    rows = spark.read.parquet(f"{FOLDER}/conversations.parquet").filter("role <> 'system'").collect()
+    wanted = {r.conv_id * 1000 + r.turn: (r.conv_id, likeness(r.text)) for r in rows if "thing" in r.text.lower()}
+    found = catalogue.QUERIES["chat_search"](spark, FOLDER).collect()
+    assert len(wanted) > 10 and {r.id: (r.user_id, r.score) for r in found} == wanted
+    assert [(r.user_id, -r.score) for r in found] == sorted((r.user_id, -r.score) for r in found)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, con, name):
     found = catalogue.QUERIES[name](spark, FOLDER)
     wanted = con.execute(catalogue.ORACLES[name])
