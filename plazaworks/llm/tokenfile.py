@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from plazaworks.llm.pretokens import worker_ids
 from plazaworks.llm.shared import filesystem, shared_dir, stored
@@ -30,6 +31,8 @@ from plazaworks.llm.shared import filesystem, shared_dir, stored
 MAGIC = b"TOKENEF1"
 #: The id that ends a document.
 END = 2
+#: Bytes of ids that reading a whole shard takes at once, unless one document is longer.
+READ = 4 << 20
 _SAMPLE = 64
 
 
@@ -110,6 +113,8 @@ def write_shard(uri: str, docs: Iterator[tuple[int | None, np.ndarray]], width:
     with system.open_output_stream(path) as out:
         out.write(MAGIC)
         for doc, ids in (x for source in ((first,), docs) for x in source):
+            if len(ids) and int(ids.max()) >= 1 << 8 * width:
+                raise ValueError(f"id {int(ids.max())} of document {doc} doesn't fit into {width} bytes")
             out.write(ids.astype(f"<u{width}").tobytes())
             total += len(ids)
             ends.append(total)
@@ -154,25 +159,37 @@ class Shard:
 
     def docs(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(id, ids before it in the shard, ids) of each document in order."""
-        names, begin = iter(self.names), 0
+        names, begin, most = iter(self.names), 0, READ // self.about["width"]
+        held, low, high = np.zeros(0), 0, 0
         for i, end in enumerate(self.ends):
+            if end > high:
+                low, high = begin, min(max(begin + most, end), self.about["ids"])
+                held = self._ids(low, high)
             doc = None if i < self.about["nulls"] else self.about["first"] + next(names)
-            yield doc, begin, self._ids(begin, end)
+            yield doc, begin, held[begin - low : end - low]
             begin = end
 
     def close(self) -> None:
         self._file.close()
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, vocabulary: int = 1 << 16) -> DataFrame:
+def id_width(path: str, end: int = END) -> int:
+    """Bytes an id takes by the largest one of the vocabulary file at path, added tokens included."""
+    largest = max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+    return 2 if max(largest, end) < 1 << 16 else 4
+
+
+def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """Writes docs in ascending id order; gives (shard, file, docs, ids, base), base the ids in all shards before.
 
     Ids come from the tokenizers library with the vocabulary file at path, the
-    end id after each document's. Null texts are empty, null ids come first,
+    end id after each document's; they take 2 bytes where the largest id of the
+    file and the end id fit, else 4. Null texts are empty, null ids come first,
     rows that repeat an id keep all their texts. A task that is run again
-    writes a file of another name; only files in the table returned count.
+    writes a file of another name; only files in the table returned count. No
+    other columns are read; an empty table gives a table without shards.
     """
-    width = 2 if vocabulary <= 1 << 16 else 4
+    width = id_width(path, end)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = worker_ids(path)
@@ -190,7 +207,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ordered = text.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     shards = stored(ordered.mapInArrow(work, "shard long, file string, docs long, ids long"), "shards")
-    # One row a file: few enough for one task.
+    # One row a file, about 100 bytes: a million files are 100 MB, which one task sums up.
     before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return shards.withColumn("base", F.coalesce(before, F.lit(0)))
 
@@ -219,7 +236,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def token_file_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents written to the shared folder and read back from there."""
+    """Documents written to the shared folder and read back from there: (doc_id, start, n_tokens, ids_crc32).
+
+    Odd rows as write_token_files() has them: each row of docs gives one,
+    whatever its id and text, and other columns don't matter; an empty table
+    gives an empty table.
+    """
     folder = shared_dir(docs.sparkSession, "tokens")
     system, where = filesystem(folder)
     system.create_dir(where, recursive=True)
