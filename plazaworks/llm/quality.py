@@ -126,7 +126,11 @@ def with_quality(df: DataFrame, text: str = "text", name: str = "quality", rules
 
 
 def quality_filter(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of df whose text passes; columns as they were."""
+    """The rows of df whose text passes; columns as they were, whatever their names.
+
+    A null or empty text fails. Each row is judged by itself, so repeated rows
+    and null ids fare alike; an empty table gives an empty table.
+    """
     name, verdict = fresh(df, "_quality", "_verdict")
     keep = [F.col(f"`{c}`") for c in df.columns]
     # A filter is pushed below projections and would take all measures into its condition; it isn't pushed below explode.
