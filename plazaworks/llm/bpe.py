@@ -3,7 +3,9 @@
 Leaf p of a pre-token's tree holds the rank of the pair that starts at symbol
 p, joined with p itself, so that the root is the leftmost pair of the lowest
 rank. A merge changes three leaves and their ancestors. Trees of equal size
-are kept as rows of one array and take their merges in step.
+are kept as rows of one array and take their merges in step. The tree of a very
+long pre-token takes all merges of the root's rank in one step, from left to
+right, where no merge of a lower rank can come of them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,8 +24,8 @@ from plazaworks.llm.pretokens import CachedIds, byte_letters, special_tokens
 from plazaworks.llm.shared import fresh
 
 _NEVER = np.int64(1) << 62
-#: Trees that merge in step hold at most so many leaves together.
-_LEAVES = 1 << 21
+#: Trees that merge in step hold at most so many leaves together, and a tree of so many takes merges of one rank at once.
+_LEAVES, _LONG = 1 << 21, 1 << 12
 
 
 class Merges:
@@ -39,6 +42,12 @@ class Merges:
         self._keys, self._ranks = keys[order], order
         self._made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self._bytes = np.array([vocab[letter] for letter in byte_letters()], dtype=np.int64)
+        # The lowest rank of a merge that takes a token; a merge whose token goes into none of a lower rank than its own
+        # can't bring about one that comes before its equals.
+        lowest = np.full(max(vocab.values()) + 1, _NEVER)
+        for side in (0, 1):
+            np.minimum.at(lowest, np.array([vocab[p[side]] for p in pairs], dtype=np.int64), np.arange(len(pairs)))
+        self._together = lowest[self._made] > np.arange(len(pairs))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; _NEVER for pairs that don't merge or lack a side (-1)."""
@@ -54,6 +63,10 @@ class Merges:
         out: list[np.ndarray] = [None] * len(raw)
         for width in np.unique(leaves).tolist():
             of = np.flatnonzero(leaves == width)
+            if width >= _LONG:
+                for i in of.tolist():
+                    out[i] = self._merged_long(raw[i], width)
+                continue
             step = max(1, _LEAVES // width)
             for k in range(0, len(of), step):
                 part = of[k : k + step]
@@ -95,6 +108,52 @@ class Merges:
         left = symbol[:, :width] >= 0
         return np.split(symbol[:, :width][left], np.cumsum(left.sum(axis=1))[:-1])
 
+    def _merged_long(self, word: bytes, width: int) -> np.ndarray:
+        """As _merged() for one word: each step takes the pairs of the root's rank that don't overlap, or the leftmost alone."""
+        size = len(word)
+        symbol = np.full(width + 1, -1, dtype=np.int64)  # the last one stands for the end
+        symbol[:size] = self._bytes[np.frombuffer(word, dtype=np.uint8)]
+        places = np.arange(width + 1)
+        after, before = np.minimum(places + 1, width), places - 1
+        after[size - 1 :] = width
+        tree = np.full(2 * width, _NEVER, dtype=np.int64)
+        tree[width:] = self._rank(symbol[:width], symbol[after[:width]])
+        at = width
+        while at > 1:
+            tree[at // 2 : at] = np.minimum(tree[at : 2 * at : 2], tree[at + 1 : 2 * at : 2])
+            at //= 2
+        while (rank := int(tree[1])) < _NEVER:
+            found = np.ones(1, dtype=np.int64)
+            if self._together[rank]:
+                while found[0] < width:
+                    found = np.stack((2 * found, 2 * found + 1), axis=1).ravel()
+                    found = found[tree[found] == rank]
+                p = found - width
+                # Of a chain of pairs that share symbols (aaaa) every second one is taken, from its left end.
+                chained = np.zeros(len(p), dtype=bool)
+                chained[1:] = after[p[:-1]] == p[1:]
+                begin = np.maximum.accumulate(np.where(chained, 0, np.arange(len(p))))
+                p = p[(np.arange(len(p)) - begin) % 2 == 0]
+            else:
+                while found[0] < width:
+                    found = 2 * found + (tree[2 * found] != rank)
+                p = found - width
+            q = after[p]
+            r = after[q]
+            symbol[p], symbol[q] = self._made[rank], -1
+            after[p], before[r] = r, p
+            o = before[p]
+            changed = np.concatenate((p, o[o >= 0]))
+            leaves = np.concatenate((changed, q))
+            tree[width + leaves] = np.concatenate((self._rank(symbol[changed], symbol[after[changed]]), np.full(len(q), _NEVER)))
+            up = np.unique(leaves + width >> 1)
+            while up[0]:
+                tree[up] = np.minimum(tree[2 * up], tree[2 * up + 1])
+                up = up >> 1
+                if len(up) > 1:
+                    up = up[np.concatenate(([True], up[1:] != up[:-1]))]
+        return symbol[:width][symbol[:width] >= 0]
+
     def _renew(self, tree: np.ndarray, symbol: np.ndarray, after: np.ndarray, rows: np.ndarray, p: np.ndarray, width: int) -> None:
         rank = self._rank(symbol[rows, p], symbol[rows, after[rows, p]])
         self._set(tree, rows, p, np.where(rank < _NEVER, rank * width + p, _NEVER), width)
@@ -155,9 +214,11 @@ def _with_column(batch: pa.RecordBatch, column: pa.Array, name: str) -> pa.Recor
 
 
 def encode(df: DataFrame, path: str, text: str = "text", name: str = "ids") -> DataFrame:
-    """df with a column of token ids (array<int>) of the whole text; null counts as empty and has none.
+    """df with a column of token ids (array<int>) of the whole text; a null or empty text has none.
 
-    Rows and other columns stay as they are; name gets underscores until it is new.
+    Rows and other columns, null and repeated ids among them, stay as they
+    are; name gets underscores until it is new; an empty table gives an empty
+    table.
     """
     (name,) = fresh(df, name)
     at = df.columns.index(text)
@@ -177,7 +238,13 @@ def encode(df: DataFrame, path: str, text: str = "text", name: str = "ids") -> D
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """df with the text of a column of token ids; null ids give the empty text, bytes that aren't UTF-8 the replacement character."""
+    """df with the text of a column of token ids.
+
+    A null list and an empty one give the empty text; ids that are no token's
+    and null ids within a list give nothing, bytes that aren't UTF-8 the
+    replacement character. Rows and other columns stay as they are; name gets
+    underscores until it is new; an empty table gives an empty table.
+    """
     (name,) = fresh(df, name)
     at = df.columns.index(ids)
 
@@ -187,7 +254,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") ->
             for k in range(0, len(whole), _ROWS):
                 batch = whole.slice(k, _ROWS)
                 lists = batch.column(at)
-                flat = lists.values.to_numpy(zero_copy_only=False)
+                flat = pc.fill_null(lists.values, -1).to_numpy(zero_copy_only=False)
                 ends = lists.offsets.to_numpy()
                 texts = [text_of(flat[a:b]) if valid else "" for a, b, valid in zip(ends.tolist(), ends[1:].tolist(), lists.is_valid().to_pylist(), strict=False)]
                 yield _with_column(batch, pa.array(texts, pa.string()), name)

@@ -42,6 +42,63 @@ def test_segment_tree_ids_and_decoding(texts, tokenizer):
         assert pieces(np.array(some, dtype=np.int64)) == tokenizer.decode(some, skip_special_tokens=False)
 
 
+def test_long_pre_tokens_take_equal_merges_at_once(tokenizer):
+    rng = random.Random(7)
+    words = [rng.choice(["a", "aa", "the", "ing", "é", "漢", "ab", "zq"]) for _ in range(9000)]
+    long = ["".join(words), "a" * 8191, "ab" * 5000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "=" * 6000 + "-" * 5000, "".join(rng.choice("ACGT") for _ in range(9000))]
+    assert [x.tolist() for x in bpe.merge_ids(PATH)(long)] == [x.ids for x in tokenizer.encode_batch(long, add_special_tokens=False)]
+
+
+def test_merges_that_bring_about_lower_ranks_stay_one_by_one(tmp_path):
+    """In this vocabulary a merge of rank 1 makes a token that goes into one of rank 0."""
+    from tokenizers import models, pre_tokenizers
+
+    merges = [("ab", "c"), ("a", "b"), ("b", "c"), ("c", "a"), ("abc", "ab")]
+    vocab = {letter: k for k, letter in enumerate(bpe.byte_letters())}
+    for a, b in merges:
+        vocab.setdefault(a + b, len(vocab))
+    made = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    path = str(tmp_path / "vocabulary.json")
+    made.save(path)
+    ours = bpe.Merges(path)
+    assert not ours._together[1] and ours._together[2]
+    rng = random.Random(8)
+    for n in (4097, 6000):
+        word = "".join(rng.choice("abc") for _ in range(n))
+        assert ours([word])[0].tolist() == made.encode(word).ids
+
+
+def test_ids_of_large_vocabularies_take_four_bytes(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    vocab = {letter: k for k, letter in enumerate(bpe.byte_letters())} | {"ab": 70_000}
+    made = Tokenizer(models.BPE(vocab=vocab, merges=[("a", "b")]))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    path = str(tmp_path / "vocabulary.json")
+    made.save(path)
+    assert tokenfile.id_width(path) == 4 and tokenfile.id_width(PATH) == 2 and tokenfile.id_width(PATH, end=1 << 16) == 4
+    (row,) = tokenfile.token_file_round_trip(spark.createDataFrame([(1, "abab")], "doc_id long, text string"), path).collect()
+    assert tuple(row) == (1, 0, 3, zlib.crc32(np.array([70_000, 70_000, 2], dtype="<u4")))
+    with pytest.raises(ValueError, match="doesn't fit"):
+        tokenfile.write_shard(f"file://{tmp_path}/x.tok", iter([(1, np.array([1 << 16]))]), 2)
+
+
+def test_whole_shards_are_read_in_stretches(tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    docs = [(k, rng.integers(0, 60_000, n)) for k, n in enumerate([0, 5, 3000, 1, 0, 0, 700, 700, 20_000, 2, 0])]
+    uri = f"file://{tmp_path}/x.tok"
+    tokenfile.write_shard(uri, iter(docs), 2)
+    for size in (2, 1000, 1 << 20):
+        monkeypatch.setattr(tokenfile, "READ", size)
+        shard, reads = tokenfile.Shard(uri), []
+        of = shard._ids
+        monkeypatch.setattr(shard, "_ids", lambda a, b: reads.append((a, b)) or of(a, b))  # noqa: B023
+        assert [(k, ids.tolist()) for k, _, ids in shard.docs()] == [(k, ids.tolist()) for k, ids in docs]
+        assert len(reads) == {2: 7, 1000: 7, 1 << 20: 1}[size] and all(b - a <= max(size // 2, 20_000) for a, b in reads)
+        shard.close()
+
+
 def test_cache_starts_anew(texts):
     few = library_ids(PATH)
     few._most = 50
