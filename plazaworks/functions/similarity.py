@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,14 +20,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(product, F.lit(0.0), lambda total, x: total + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors, 0 where it isn't defined; null if one is missing."""
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+
+
+def _cosine(a: Column, b: Column, norm_b: Column) -> Column:
     fits = (F.size(a) == F.size(b)) & (F.size(a) > 0)
-    value = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    value = F.try_divide(dot(a, b), norm(a) * norm_b)
     found = F.when(fits, F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0))).otherwise(F.lit(0.0))
     return F.when(a.isNotNull() & b.isNotNull(), found)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors, 0 where it isn't defined; null if one is missing."""
+    return _cosine(a, b, norm(b))
+
+
+def cosine_with(a: Column, vector: Sequence[float]) -> Column:
+    """Cosine with a known vector, whose norm is computed once; null if either is missing, as an empty one is here."""
+    known = F.array(*[F.lit(float(x)) for x in vector])
+    return _cosine(a, known, F.lit(math.sqrt(sum(float(x) ** 2 for x in vector)))) if len(vector) else F.lit(None).cast("double")
+
+
 def age_index(band: Column) -> Column:
     name = F.regexp_replace(F.replace(F.lower(F.trim(band)), F.lit("-"), F.lit("_")), r"\+$", "plus")
     found = F.when(name.isin("65_plus", "65plus"), 5)

@@ -90,7 +90,7 @@ def scored_events(events: DataFrame, people: DataFrame, attendances: DataFrame,
     for drop in drop_conditions(viewer, F.col("tags"), F.col("women_only"), F.concat(F.col("tags"), F.array("title")), minute):
         near = near.filter(~drop)
     near = near.join(attendee_stats(people, attendances.join(near.select("event_id"), "event_id", "left_semi"), viewer), "event_id", "left").withColumn("signed_count", F.coalesce("signed_count", F.lit(0)))
-    match = similarity.cosine(_given(near, "embedding", "array<double>"), _vector(viewer.want or viewer.embedding))
+    match = similarity.cosine_with(_given(near, "embedding", "array<double>"), viewer.want or viewer.embedding)
     score = _score(viewer, F.col("people"), F.col("distance_m"), match, minute, F.col("promoted"))
     return near.withColumn("score", F.round(score, 6))
 
@@ -137,7 +137,7 @@ def rank_people(people: DataFrame, locations: DataFrame, viewer: Viewer) -> Data
         if viewer.window:
             meets = time.windows_overlap(F.lit(viewer.window[0]), F.lit(viewer.window[1]), F.col("start_minute"), F.col("end_minute"))
             near = near.filter(F.coalesce(meets, F.lit(True)))
-    rated = near.withColumn("profile_cosine", similarity.cosine(_vector(viewer.embedding), _given(near, "embedding", "array<double>")))
+    rated = near.withColumn("profile_cosine", similarity.cosine_with(_given(near, "embedding", "array<double>"), viewer.embedding))
     rated = rated.withColumn("similarity", F.round(likeness(near, viewer), 6)).withColumn("band", geo.distance_band(F.col("distance_m"))).withColumn("shared", F.array_join(text_shared(viewer), ","))
     return rated.orderBy(F.desc_nulls_last("profile_cosine"), F.desc("similarity"), "distance_m", "user_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plazaworks.functions.similarity import cosine
+from plazaworks.functions.similarity import cosine_with
 from plazaworks.functions.text import trigram_similarity
 from plazaworks.operators.joins import best_per_group
 
@@ -29,9 +29,8 @@ def hybrid(documents: DataFrame, chunks: DataFrame, query_text: str, query_vecto
     title = F.round(trigram_similarity(F.col("title"), F.lit(query_text)), 6)
     digest = F.round(trigram_similarity(F.col("digest"), F.lit(query_text)), 6)
     named = documents.withColumns({"title_score": title, "digest_score": digest})
-    vector = F.array(*[F.lit(float(x)) for x in query_vector or []]).cast("array<double>")
     with_vectors = chunks.filter(F.col("embedding").isNotNull())
-    best = best_per_group(with_vectors, "doc", F.round(cosine(F.col("embedding"), vector), 6), "chunk") if query_vector else with_vectors.select("doc", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("chunk")).limit(0)
+    best = best_per_group(with_vectors, "doc", F.round(cosine_with(F.col("embedding"), query_vector), 6), "chunk") if query_vector else with_vectors.select("doc", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("chunk")).limit(0)
     joined = named.join(best.withColumnRenamed("score", "cosine"), "doc", "left")
     by_vector, by_name = F.col("cosine") >= vector_hit, F.col("title_score") >= name_hit
     score = (
@@ -47,6 +46,5 @@ def hybrid(documents: DataFrame, chunks: DataFrame, query_text: str, query_vecto
 
 def nearest(chunks: DataFrame, vector: list[float], k: int, key: str = "chunk") -> DataFrame:
     """The k rows with the largest cosine; the smallest key among equals."""
-    query = F.array(*[F.lit(float(x)) for x in vector])
-    rated = chunks.select(key, F.round(cosine(F.col("embedding"), query), 6).alias("score"))
+    rated = chunks.select(key, F.round(cosine_with(F.col("embedding"), vector), 6).alias("score"))
     return rated.orderBy(F.desc("score"), key).limit(k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plazaworks.functions.similarity import cosine_with
 from plazaworks.operators import chat, filters, joins, library, mutations, paging, search
 from plazaworks.plans import adapt
 from plazaworks.plans.adapt import ctes
@@ -22,18 +23,12 @@ def _vector(spark, d) -> list[float]:
 
 @query("best_chunk_per_group", f"SELECT label AS doc, chunk, score FROM (SELECT e.label, e.vec_id AS chunk, {_COS} AS score FROM embeddings e, {_QUERY} q) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, chunk) = 1")
 def best_chunk_per_group(spark, d):
-    from plazaworks.functions.similarity import cosine
-
-    vector = F.array(*[F.lit(float(x)) for x in _vector(spark, d)])
-    return joins.best_per_group(adapt.chunks(spark, d), "doc", F.round(cosine(C("embedding"), vector), 6), "chunk").select("doc", "chunk", "score")
+    return joins.best_per_group(adapt.chunks(spark, d), "doc", F.round(cosine_with(C("embedding"), _vector(spark, d)), 6), "chunk").select("doc", "chunk", "score")
 
 
 @query("hybrid_threshold", f"SELECT e.vec_id AS chunk FROM embeddings e, {_QUERY} q WHERE {_COS} >= 0.25")
 def hybrid_threshold(spark, d):
-    from plazaworks.functions.similarity import cosine
-
-    vector = F.array(*[F.lit(float(x)) for x in _vector(spark, d)])
-    return adapt.chunks(spark, d).filter(F.round(cosine(C("embedding"), vector), 6) >= 0.25).select("chunk")
+    return adapt.chunks(spark, d).filter(F.round(cosine_with(C("embedding"), _vector(spark, d)), 6) >= 0.25).select("chunk")
 
 
 _TITLE = "(SELECT text FROM benchmark WHERE item_id = 3)"
