@@ -9,6 +9,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from plazaworks.functions import geo
 from plazaworks.functions.text import address_line, first_filled
@@ -58,20 +59,54 @@ Fetcher = Callable[[str], tuple[int, str | None]]
 TRIES, WAIT_S = 3, 0.4
 
 
+def _asked(address: str, fetch: Fetcher, wait_s: float) -> tuple[int, str | None]:
+    for k in range(1, TRIES + 1):
+        status, body = fetch(address)
+        if status != 429 and status < 500 or k == TRIES:
+            break
+        time.sleep(wait_s * k)
+    return status, body
+
+
+def page_source(fetch: Fetcher, wait_s: float = WAIT_S) -> type[DataSource]:
+    """A data source "pages" to register: spark.read.format("pages").option("urls", addresses, one a line).load().
+
+    Rows are (url, status, html); each task fetches up to option "together"
+    (16) addresses, busy or failing servers again.
+    """
+
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict[str, str]):
+            self._urls = [x.strip() for x in options.get("urls", "").splitlines() if x.strip()]
+            self._together = int(options.get("together", "16"))
+
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(self._urls[k : k + self._together]) for k in range(0, len(self._urls), self._together)] or [InputPartition([])]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            for address in partition.value:
+                yield (address, *_asked(address, fetch, wait_s))
+
+    class Pages(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "pages"
+
+        def schema(self) -> str:
+            return "url string, status int, html string"
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader(self.options)
+
+    return Pages
+
+
 def fetched(urls: DataFrame, fetch: Fetcher, url: str = "url", wait_s: float = WAIT_S) -> DataFrame:
     """urls with columns status and html; busy or failing servers (429, 5xx) are asked again, each time later."""
 
-    def ask(address: str) -> tuple[int, str | None]:
-        for k in range(1, TRIES + 1):
-            status, body = fetch(address)
-            if status != 429 and status < 500 or k == TRIES:
-                break
-            time.sleep(wait_s * k)
-        return status, body
-
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers = [ask(x) for x in frame[url]]
+            answers = [_asked(x, fetch, wait_s) for x in frame[url]]
             yield frame.assign(status=[s for s, _ in answers], html=[b for _, b in answers])
 
     return urls.mapInPandas(work, urls.select("*", F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("html")).schema)

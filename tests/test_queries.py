@@ -3,6 +3,9 @@
 import math
 import os
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -35,6 +38,13 @@ def test_each_query_has_sql():
     assert len(catalogue.QUERIES) >= 120 and catalogue.QUERIES.keys() - catalogue.ORACLES.keys() == {"chat_search"}
 
 
+@pytest.mark.parametrize("missing", ["public_tokenizers", "tokenizers", "corpus_pipeline", "plazaworks.llm"])
+def test_the_entry_stands_without_what_only_the_corpus_operators_need(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.catalogue.QUERIES), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == ["True", str(len(catalogue.ORACLES))], said.stderr[-500:]
+
+
 def test_chat_search_equals_brute_force(spark):
     """All stretches that begin and end with a trigram of the word; others are less alike than those within them."""
     def trigrams(text):

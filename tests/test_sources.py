@@ -8,7 +8,7 @@ import pytest
 
 from plazaworks.sources import archives, downloads
 from plazaworks.sources.embed import vectors_in_order
-from plazaworks.sources.pages import fetched, geocoded, places_found, rejected_private
+from plazaworks.sources.pages import fetched, geocoded, page_source, places_found, rejected_private
 from plazaworks.sources.pins import read_pins
 
 
@@ -135,6 +135,13 @@ def test_fetching_asks_again(spark):
     assert calls.value == 5
 
 
+def test_pages_as_a_data_source(spark):
+    spark.dataSource.register(page_source(lambda url: (200, f"<p>{url}") if "ok" in url else (404, None), wait_s=0))
+    read = spark.read.format("pages").option("urls", "http://ok/1\n\n http://ok/2 \nhttp://gone\n").option("together", "2").load()
+    assert read.rdd.getNumPartitions() == 2 and {tuple(r) for r in read.collect()} == {("http://ok/1", 200, "<p>http://ok/1"), ("http://ok/2", 200, "<p>http://ok/2"), ("http://gone", 404, None)}
+    assert spark.read.format("pages").load().count() == 0
+
+
 def test_places(spark):
     of = lambda category, kind, name="N", lat="50.0", lon=" 20.0", **address: {"category": category, "type": kind, "name": name, "display_name": "Shown, far", "lat": lat, "lon": lon, "address": address}
     answer = [of("building", "yes"), of("leisure", "stadium", "Arena", road="Long", house_number="7", town="Town"), of("amenity", "cafe", "", amenity="Cafe X"), of("amenity", "cafe", lat="x"), of("shop", "toys", "Far", lat="10"), of("shop", "toys", "", city="C"), of("place", "square", "Fourth")]
