@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plazaworks.llm.shared import filesystem, shared_dir, stored
+from plazaworks.llm.shared import filesystem, release, shared_dir, stored
 
 #: Payloads of fewer bytes are always written out.
 MIN_BYTES = 1000
@@ -30,6 +30,8 @@ MIN_BYTES = 1000
 FILE_BYTES = 512 << 20
 #: Ranges with at most so many bytes between them are one read, of at most so many bytes unless one record is longer.
 GAP, READ = 64 << 10, 8 << 20
+#: Payloads with copies up to which their digests (about 100 bytes each) are sent to all pages, and parts that one payload's pages are dealt into beyond.
+SENT_COPIES, PARTS = 100_000, 16
 DATE = "1970-01-01T00:00:00Z"
 
 _INDEX = "page_id long, url string, record_type string, refers_to long, digest string, file string, offset long, length long"
@@ -114,16 +116,28 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     largest id is written as response, the others as revisits of it; rows that
     repeat the largest id are responses all. A null payload is empty. A page
     without id revisits one that has an id; where no page of a payload has
-    one, all are responses. Null URLs stay null.
+    one, all are responses. Null URLs stay null. Other columns of pages are
+    not read; an empty table gives an empty index.
+
+    The pages themselves are shuffled only if more than SENT_COPIES payloads
+    have copies.
     """
     read = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     read = read.withColumns({"digest": F.sha1(F.coalesce("html", F.lit(""))), "size": F.octet_length(F.coalesce("html", F.lit("")))})
     copies = read.filter(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1 AND top IS NOT NULL")
-    joined = read.join(copies.drop("n"), ["digest", "size"], "left")
+    copies = stored(copies.drop("n"), "warc-copies")
+    if copies.count() <= SENT_COPIES:
+        joined = read.join(F.broadcast(copies), ["digest", "size"], "left")
+    else:
+        # A payload that very many pages have is met in parts.
+        parted = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = read.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")).join(parted, ["digest", "size", "part"], "left")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
     system, where = filesystem(folder)
     system.create_dir(where, recursive=True)
-    return stored(joined.select("page_id", "url", "html", "digest", refers_to.alias("refers_to")).mapInArrow(_writer(folder, file_bytes), _INDEX), "warc-index")
+    index = stored(joined.select("page_id", "url", "html", "digest", refers_to.alias("refers_to")).mapInArrow(_writer(folder, file_bytes), _INDEX), "warc-index")
+    release(copies)
+    return index
 
 
 def _ranges(rows: Iterator[dict]) -> Iterator[list[dict]]:
@@ -184,7 +198,10 @@ def with_payloads(records: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Pages written to archives in the shared folder and read back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
+    """Pages written to archives in the shared folder and read back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
+
+    A row for each row of pages; odd rows as write_archives() has them.
+    """
     index = write_archives(pages, shared_dir(pages.sparkSession, "warc"))
     records = stored(read_archives(index, payloads=False), "warc-read")
     return with_payloads(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

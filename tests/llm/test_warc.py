@@ -33,6 +33,11 @@ def test_round_trip_equals_brute_force(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_many_copies_are_met_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SENT_COPIES", 0)
+    assert Counter(map(tuple, warc.archive_round_trip(frame(spark, ROWS)).collect())) == plain(ROWS)
+
+
 def test_archives_and_selected_reads(spark):
     df = frame(spark, ROWS)
     folder = shared_dir(spark, "test-warc")
