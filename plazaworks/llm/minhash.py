@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plazaworks.llm.components import components
-from plazaworks.llm.shared import fresh, stored
+from plazaworks.llm.shared import fresh, release, stored
 from plazaworks.llm.shingles import lists_of, mixed, shingle_sets
 
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -102,12 +102,11 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(share >= bound).select("a", "b")
 
 
-def _met_by_prefix(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that full sets may link: exact.
+def _prefixes(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc, n, v, rest, component): each set under the rarest of its shingles, and how many come from there on.
 
     In one order of all shingles, rarest first, linked sets share one of the
-    first n - ceil(0.75 n) + 1; from the places where they first meet follows
-    how much they can share at most.
+    first n - ceil(0.75 n) + 1.
     """
     each = sets.select("doc", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
     df = each.groupBy("v").agg(F.count("*").alias("df"))
@@ -115,8 +114,14 @@ def _met_by_prefix(sets: DataFrame, labels: DataFrame) -> DataFrame:
     alone = F.col("n") - F.size("values")
     reach = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
     ranked = ranked.filter(reach > alone).select("doc", "n", alone.alias("alone"), F.posexplode(F.slice("values", 1, reach - alone)).alias("p", "x"))
-    lists = ranked.select("doc", "n", "x.v", (F.col("n") - F.col("alone") - F.col("p")).alias("rest")).join(labels, "doc", "left").select("doc", "n", "v", "rest", F.coalesce("component", "doc").alias("component"))
-    lists = stored(lists, "prefixes")
+    return ranked.select("doc", "n", "x.v", (F.col("n") - F.col("alone") - F.col("p")).alias("rest")).join(labels, "doc", "left").select("doc", "n", "v", "rest", F.coalesce("component", "doc").alias("component"))
+
+
+def _met_by_prefix(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that full sets may link: exact.
+
+    From the places where they first meet follows how much they can share at most.
+    """
     x, y = lists.alias("x"), lists.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     may = (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & _linked(F.least("x.rest", "y.rest"), n, m)
@@ -141,14 +146,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = stored(_postings(classes), "postings")
     needed = stored(postings.select("doc").distinct(), "needed")
     sets = stored(text.join(needed, "doc", "left_semi").mapInArrow(_full_sets, "doc long, shingles array<long>"), "sets")
-    near = stored(_verified(stored(_estimated(_met_leaders(postings), classes), "pairs"), sets), "links")
+    pairs = stored(_estimated(_met_leaders(postings), classes), "pairs")
+    near = stored(_verified(pairs, sets), "links")
     labels = components(near)
 
     of_lists = postings.join(labels, postings.doc == labels.node, "left").select("v", "doc", F.coalesce("component", "doc").alias("component"))
     open_ = of_lists.groupBy("v").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
     rest = stored(of_lists.join(open_, "v").select("doc", F.col("component")).distinct(), "open")
-    more = _verified(stored(_met_by_prefix(sets.join(rest, "doc", "left_semi"), rest), "pairs"), sets)
-    labels = components(near.unionByName(more))
+    release(postings, needed, pairs, labels)
+    lists = stored(_prefixes(sets.join(rest, "doc", "left_semi"), rest), "prefixes")
+    pairs = stored(_met_by_prefix(lists), "pairs")
+    release(lists, rest)
+    labels = components(near.unionByName(_verified(pairs, sets)))
+    release(sets, near, pairs)
 
     by_set = classes.join(labels, classes.doc == labels.node, "left").select("n", "s1", "s2", F.coalesce("component", "doc").alias("component"))
     outcome = sketches.select("doc", "n", "s1", "s2").join(by_set, ["n", "s1", "s2"], "left")
@@ -163,7 +173,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, columns as they were, with one document of each component: that of the smallest id.
 
-    Of rows that repeat an id one stays; rows without id all stay.
+    Null and empty texts are near nothing: their rows stay. Of rows that repeat
+    an id one stays; rows without id all stay. An empty table gives an empty
+    table.
     """
     found = near_components(docs, id_col, text_col)
     gone = stored(found.filter("NOT kept").select(F.col("doc").alias("_gone")).distinct(), "gone")
