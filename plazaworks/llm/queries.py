@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazaworks.llm import bpe, html, lattice, licenses, linededup, minhash, packing, quality, tokenfile, warc
+from plazaworks.llm import bpe, html, lattice, licenses, linededup, minhash, packing, periods, quality, tokenfile, warc, whitening
 from plazaworks.session import shipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_warc", warc.ORACLE_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+@_query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(_table(spark, sf_dir, "embeddings"))
