@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazaworks.llm import bpe, html, lattice, licenses, linededup, minhash, packing, periods, quality, tokenfile, warc, whitening
+from plazaworks.llm import bpe, html, lattice, licenses, linededup, minhash, packing, periods, quality, secrets, tokenfile, warc, whitening
 from plazaworks.session import shipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_embedding_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_secret_scan", secrets.ORACLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    read = secrets.with_secrets(docs.select("doc_id", "text"), secrets.model_of(docs))
+    return read.select("doc_id", *[f"secrets.{c}" for c in ("n_assign", "n_access", "n_hex")], F.sha2(secrets.joined(F.col("secrets.base")), 256).alias("base_sha256"), secrets.joined(F.col("secrets.spans")).alias("spans"))
