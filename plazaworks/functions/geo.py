@@ -14,7 +14,7 @@ PIXEL_M, HALF_VIEW, LEAST_M, MOST_M = 156_543.03, 600.0, 400.0, 30_000.0
 #: The region that is served: south, north, west, east.
 REGION = (49.15, 50.52, 19.05, 21.50)
 #: Metres a degree of latitude spans at least; for boxes that safely hold a circle.
-_DEGREE_M = 111_000.0
+DEGREE_M = 111_000.0
 
 
 class Box(NamedTuple):
@@ -26,7 +26,8 @@ class Box(NamedTuple):
     east: float
 
 
-def _finite(*values: Column) -> Column:
+def finite(*values: Column) -> Column:
+    """None of the values is null, NaN or infinite."""
     found = F.lit(True)
     for v in values:
         found = found & v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
@@ -51,19 +52,19 @@ def within_radius(lat: Column, lon: Column, center_lat: float, center_lon: float
     groups by it, as they can't by the distance. Near a pole or the
     antimeridian it is one of latitudes only.
     """
-    reach = radius_m / _DEGREE_M
+    reach = radius_m / DEGREE_M
     box = lat.between(center_lat - reach, center_lat + reach)
     if abs(center_lat) + reach < 89:
         wide = reach / math.cos(math.radians(abs(center_lat) + reach))
         if abs(center_lon) + wide < 180:
             box = box & lon.between(center_lon - wide, center_lon + wide)
-    return box & _finite(lat, lon) & (haversine_m(lat, lon, F.lit(center_lat), F.lit(center_lon)) <= radius_m)
+    return box & finite(lat, lon) & (haversine_m(lat, lon, F.lit(center_lat), F.lit(center_lon)) <= radius_m)
 
 
 def within_bbox(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
     """Within the box, edges included; west > east wraps around the antimeridian."""
     across = lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)
-    return _finite(lat, lon) & lat.between(south, north) & across
+    return finite(lat, lon) & lat.between(south, north) & across
 
 
 def in_region(lat: Column, lon: Column) -> Column:

@@ -39,10 +39,20 @@ def canonical_tag(tag: Column) -> Column:
     return F.when(low == "paddle", F.lit("padel")).otherwise(low)
 
 
+def ordered_trigrams(text: Column) -> Column:
+    """The three-letter parts of words in their order, each word with two blanks before and one after."""
+    padded = F.transform(words(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))))
+
+
 def trigrams(text: Column) -> Column:
-    """The set of three-letter parts of words, each word with two blanks before and one after."""
-    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(words(text), of)))
+    """The set of ordered_trigrams()."""
+    return F.array_distinct(ordered_trigrams(text))
+
+
+def trigrams_of(text: str) -> list[str]:
+    """The ordered trigrams of a known text, as ordered_trigrams() has them."""
+    return [f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", text.lower()) for i in range(len(w) + 1)]
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

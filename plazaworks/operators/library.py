@@ -182,39 +182,81 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *parts), 256)
 
 
+_BLANK = r"(?U)\s"
+
+
+def _asked_path(asked: Column) -> Column:
+    """A path as someone names it, without blanks and then quotes around it."""
+    return F.regexp_replace(F.regexp_replace(asked, rf"{_BLANK}+\z|\A{_BLANK}+", ""), r'\A"+|"+\z', "")
+
+
+def _folded_path(path: Column) -> Column:
+    return F.lower(F.regexp_replace(path, _BLANK, ""))
+
+
+def names_one(asked: Column, known: Column) -> Column:
+    """Whether a path names one of an array of paths, as resolved_paths() resolves it."""
+    want = _asked_path(asked)
+    end = _folded_path(want)
+    fits = F.filter(known, lambda path: F.endswith(_folded_path(path), end) | F.endswith(end, _folded_path(path)))
+    return F.array_contains(known, want) | (F.size(fits) == 1)
+
+
 def brief_error(brief: Column, had_text: Column, known: Column) -> Column:
-    """The first thing wrong with a brief in JSON; null if nothing is."""
+    """The first thing wrong with a brief in JSON; null if nothing is. known: paths of the document's files, each once.
+
+    A brief without a list of files has read none; paths it has read are
+    resolved as resolved_paths() does.
+    """
     b = F.from_json(brief, BRIEF_SCHEMA)
     text = F.trim(b["knowledge_text"])
+    files = F.coalesce(b["files_read"], F.array().cast("array<string>"))
     least = F.when(had_text, 700).otherwise(250)
-    missing = b.isNull() | b["files_read"].isNull()
+    missing = b.isNull()
     for f in ("knowledge_text", *BRIEF_FIELDS):
         missing = missing | b[f].isNull()
     found = (
         F.when(missing, "missing fields")
         .when(F.length(text) < least, "too short")
         .when(text.contains("http://") | text.contains("https://"), "urls")
-        .when(had_text & (F.size(b["files_read"]) == 0), "files_read is empty")
-        .when(F.size(F.array_except(b["files_read"], known)) > 0, "unknown path")
+        .when(had_text & (F.size(files) == 0), "files_read is empty")
+        .when(F.exists(files, lambda x: ~F.coalesce(names_one(x, known), F.lit(False))), "unknown path")
     )
     for f in BRIEF_FIELDS:
         found = found.when(F.trim(b[f]) == "", F.lit(f"{f} is empty"))
     return found
 
 
-def resolved_paths(asked: DataFrame, entries: DataFrame) -> DataFrame:
-    """(asked, path): the entry of that path, else the only one that ends in it, in any case and spacing.
+def resolved_paths(asked: DataFrame, entries: DataFrame, of: list[str]) -> DataFrame:
+    """(of, asked, path): the entry that each asked path names among those of the same owner (the columns of).
+
+    It is the entry of just that path, else the only one that ends in the asked
+    path, or that the asked path ends in, without regard to case and white
+    space; an end may start within a name. Nothing is asked of where several
+    entries fit.
 
-    Entries are counted by each end of their paths before asked paths meet
-    them, so that a common file name is one row.
+    Of folded paths written backwards, those that begin with the asked one stand
+    together in their order, so the first two from there tell whether there is
+    one. Entries that the asked path ends in are looked up by each of its ends.
+    Only an owner's entries meet in a task.
     """
-    folded = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
-    parts = F.split(folded(F.col("path")), "/")
-    ends = F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "/"))
-    known = entries.select("path", F.explode(ends).alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.min("path").alias("one"))
-    exact = entries.select(F.col("path").alias("asked"), F.col("path").alias("exact")).distinct()
-    found = asked.select("asked").distinct().withColumn("f", folded(F.col("asked"))).join(known, "f", "left").join(exact, "asked", "left")
-    return found.select("asked", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("path")).filter("path IS NOT NULL")
+    key = [F.col(f"`{c}`") for c in of]
+    entry = entries.select(*key, "path", F.reverse(_folded_path(F.col("path"))).alias("back"))
+    falling = W.partitionBy(*of).orderBy(F.desc("back"), F.desc("path"))
+    entry = entry.withColumn("here", F.struct("back", "path")).withColumn("next", F.lag("here").over(falling))
+    want = asked.select(*key, "asked").distinct().withColumn("want", _asked_path(F.col("asked"))).withColumn("back", F.reverse(_folded_path(F.col("want"))))
+    none = F.lit(None)
+    rows = want.select(*key, "asked", "back", F.lit(1).alias("late"), none.cast("string").alias("path"), none.alias("pair")).unionByName(
+        entry.select(*key, none.cast("string").alias("asked"), "back", F.lit(0).alias("late"), "path", F.struct("here", "next").alias("pair")))
+    before = W.partitionBy(*of).orderBy(F.desc("back"), "late", F.desc("path"), "asked").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = rows.withColumn("pair", F.last("pair", ignorenulls=True).over(before)).filter("late = 1")
+    longer = met.select(*key, "asked", "back", F.explode(F.array("pair.here", "pair.next")).alias("x")).filter(F.startswith("x.back", F.col("back"))).select(*of, "asked", "x.path")
+    ends = want.select(*key, "asked", F.explode(F.transform(F.sequence(F.lit(0), F.length("back")), lambda n: F.substring("back", F.lit(1), n))).alias("back"))
+    shorter = ends.join(entry.select(*key, "back", "path"), [*of, "back"]).select(*of, "asked", "path")
+    fits = longer.unionByName(shorter).groupBy(*of, "asked").agg(F.min("path").alias("one"), F.max("path").alias("other"))
+    exact = want.join(entries.select(*key, F.col("path").alias("want")), [*of, "want"]).select(*of, "asked", F.col("want").alias("exact")).distinct()
+    found = want.select(*key, "asked").join(exact, [*of, "asked"], "left").join(fits, [*of, "asked"], "left")
+    return found.select(*key, "asked", F.coalesce("exact", F.when(F.col("one") == F.col("other"), F.col("one"))).alias("path")).filter("path IS NOT NULL")
 
 
 #: Kinds of mapped things by category and type; the first that fits counts. The map's own names.

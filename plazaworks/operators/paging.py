@@ -6,14 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Turns of a user that stay as they are, and how many turns there are between summaries of what is older.
+RECENT_TURNS, SUMMARY_EVERY = 3, 3
 
-def page_before(messages: DataFrame, cursor: tuple | None, size: int = 3) -> DataFrame:
-    """The newest size messages before the cursor (created, id), or of all without one; the oldest of them first."""
-    found = messages
-    if cursor is not None:
-        at = F.struct(F.lit(cursor[0]).cast("long").alias("created"), F.lit(cursor[1]).cast("long").alias("id"))
-        found = messages.filter(F.struct(F.col("created").cast("long").alias("created"), F.col("id").cast("long").alias("id")) < at)
-    return found.orderBy(F.desc("created"), F.desc("id")).limit(max(0, size)).orderBy("created", "id")
+
+def pages_before(messages: DataFrame, cursors: DataFrame, size: int = 3) -> DataFrame:
+    """For each cursor (user_id, before) the user's newest size messages before the message of that id; with before null, the newest of all.
+
+    The message is looked up among the user's own: another's id, or one that
+    isn't there, gives no page. Times and ids are compared in their own types,
+    times first. Of a user with a long history each task passes on no more
+    than size messages. A user's second cursor, if there is one, counts as well.
+    """
+    asked = cursors.select("user_id", F.col("before").alias("_before")).distinct()
+    marks = messages.select("user_id", F.col("id").alias("_before"), F.struct("created", "id").alias("_mark"))
+    placed = asked.join(marks, ["user_id", "_before"], "left").filter(F.col("_before").isNull() | F.col("_mark").isNotNull())
+    older = messages.join(placed, "user_id").filter(F.col("_mark").isNull() | (F.struct("created", "id") < F.col("_mark")))
+    newest = W.partitionBy("user_id", "_before").orderBy(F.desc("created"), F.desc("id"))
+    page = older.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= max(0, size))
+    return page.withColumnRenamed("_before", "before").drop("_mark", "_n").orderBy("user_id", "before", "created", "id")
+
+
+def page_before(messages: DataFrame, user_id, before=None, size: int = 3) -> DataFrame:
+    """The newest size messages of a user before the one of that id, or of all without one; the oldest of them first. See pages_before()."""
+    own = messages.filter(F.col("user_id") == user_id)
+    if before is not None:
+        # An id is one row's, so this is one row at most.
+        mark = own.filter(F.col("id") == before).select("user_id", F.struct("created", "id").alias("_mark")).limit(1)
+        own = own.join(F.broadcast(mark), "user_id").filter(F.struct("created", "id") < F.col("_mark")).drop("_mark")
+    return own.orderBy(F.desc("created"), F.desc("id")).limit(max(0, size)).orderBy("created", "id")
 
 
 def history(messages: DataFrame) -> DataFrame:
@@ -32,10 +53,16 @@ def recent_turns(messages: DataFrame, turns: int) -> DataFrame:
     return seen.filter(F.col("_turn") - F.col("_own") < turns).drop("_turn", "_own")
 
 
-def older_than_recent(messages: DataFrame, turns: int) -> DataFrame:
-    """For each user how many messages lie before the last turns, and the last of them."""
-    seen = _user_turns_after(messages)
-    old = seen.filter(F.col("_turn") - F.col("_own") >= turns)
+def older_than_recent(messages: DataFrame, turns: int = RECENT_TURNS, every: int = 1) -> DataFrame:
+    """For each user how many messages lie before the last turns, and the last of them: what is to be summed up.
+
+    Users with no more than that many turns have none, nor do those whose
+    number of turns isn't a multiple of every.
+    """
+    said = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(W.partitionBy("user_id"))
+    seen = _user_turns_after(messages).withColumn("_said", said)
+    due = (F.col("_said") > turns) & (F.col("_said") % every == 0)
+    old = seen.filter(due & (F.col("_turn") - F.col("_own") >= turns))
     return old.groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("id", F.struct("created", "id")).alias("through"))
 
 

@@ -6,9 +6,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plazaworks.functions import geo, similarity, text, time
+from plazaworks.operators import nearby
 from plazaworks.operators.filters import not_full
 
 #: Weights of the parts of an event's score, the bonus of promoted ones, and the distance at which nearness falls to 1/e.
@@ -77,29 +79,32 @@ def _near(events: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Colu
     return near.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(viewer.lat), F.lit(viewer.lon)))
 
 
-def scored_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column, bounds: geo.Box | None = None) -> DataFrame:
+def scored_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column, bounds: geo.Box | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """The events near the viewer that nothing rules out, with distance, score and signed_count, how many go.
 
     events has event_id, lat, lon, starts_at, tags, title, women_only,
     promoted, and may have embedding, which is compared with what the viewer
-    wants. A box takes the place of the radius. Only attendances of these
-    events are read on, once for likeness and count.
+    wants; vectors (event_id, embedding) is joined to the events that are left
+    instead. A box takes the place of the radius. Only attendances of these
+    events are read on, and only who attends is rated.
     """
     near = _near(events, viewer, radius_m, as_of_filter, bounds)
     minute = time.warsaw_minute(F.col("starts_at"))
     for drop in drop_conditions(viewer, F.col("tags"), F.col("women_only"), F.concat(F.col("tags"), F.array("title")), minute):
         near = near.filter(~drop)
-    near = near.join(attendee_stats(people, attendances.join(near.select("event_id"), "event_id", "left_semi"), viewer), "event_id", "left").withColumn("signed_count", F.coalesce("signed_count", F.lit(0)))
+    going = attendances.join(near.select("event_id"), "event_id", "left_semi")
+    if vectors is not None:
+        near = near.join(vectors.select("event_id", "embedding"), "event_id", "left")
+    near = near.join(attendee_stats(people, going, viewer), "event_id", "left").withColumn("signed_count", F.coalesce("signed_count", F.lit(0)))
     match = similarity.cosine_with(_given(near, "embedding", "array<double>"), viewer.want or viewer.embedding)
-    score = _score(viewer, F.col("people"), F.col("distance_m"), match, minute, F.col("promoted"))
-    return near.withColumn("score", F.round(score, 6))
+    return near.withColumn("score", _score(viewer, F.col("people"), F.col("distance_m"), match, minute, F.col("promoted")))
 
 
-def rank_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column, bounds: geo.Box | None = None) -> DataFrame:
+def rank_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column, bounds: geo.Box | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """The best events near the viewer, or in the box: a cold viewer's by time, others' by score. Ties end at the id, so the order is total."""
     if viewer.cold:
         return _near(events, viewer, radius_m, as_of_filter, bounds).withColumn("score", F.lit(0.0)).orderBy("starts_at", "distance_m", "event_id").limit(COLD_LIMIT)
-    scored = scored_events(events, people, attendances, viewer, radius_m, as_of_filter, bounds)
+    scored = scored_events(events, people, attendances, viewer, radius_m, as_of_filter, bounds, vectors)
     return scored.orderBy(F.desc("score"), "distance_m", "starts_at", "event_id").limit(WARM_LIMIT)
 
 
@@ -114,9 +119,10 @@ def likeness(people: DataFrame, viewer: Viewer) -> Column:
 
 def attendee_stats(people: DataFrame, attendances: DataFrame, viewer: Viewer) -> DataFrame:
     """(event_id, people, signed_count): of those who go the mean likeness, as far as they are known, and the number."""
-    rated = people.select("user_id", likeness(people, viewer).alias("like"))
-    going = attendances.filter("status = 'going'").join(rated, "user_id", "left")
-    return going.groupBy("event_id").agg(F.avg("like").alias("people"), F.count("*").alias("signed_count"))
+    going = attendances.filter("status = 'going'").select("event_id", "user_id")
+    attending = people.join(going.select("user_id"), "user_id", "left_semi")
+    rated = attending.select("user_id", likeness(attending, viewer).alias("like"))
+    return going.join(rated, "user_id", "left").groupBy("event_id").agg(F.avg("like").alias("people"), F.count("*").alias("signed_count"))
 
 
 def attendee_likeness(people: DataFrame, attendances: DataFrame, viewer: Viewer) -> DataFrame:
@@ -138,7 +144,7 @@ def rank_people(people: DataFrame, locations: DataFrame, viewer: Viewer) -> Data
             meets = time.windows_overlap(F.lit(viewer.window[0]), F.lit(viewer.window[1]), F.col("start_minute"), F.col("end_minute"))
             near = near.filter(F.coalesce(meets, F.lit(True)))
     rated = near.withColumn("profile_cosine", similarity.cosine_with(_given(near, "embedding", "array<double>"), viewer.embedding))
-    rated = rated.withColumn("similarity", F.round(likeness(near, viewer), 6)).withColumn("band", geo.distance_band(F.col("distance_m"))).withColumn("shared", F.array_join(text_shared(viewer), ","))
+    rated = rated.withColumn("similarity", likeness(near, viewer)).withColumn("band", geo.distance_band(F.col("distance_m"))).withColumn("shared", F.array_join(text_shared(viewer), ","))
     return rated.orderBy(F.desc_nulls_last("profile_cosine"), F.desc("similarity"), "distance_m", "user_id")
 
 
@@ -149,6 +155,108 @@ def rank_people_for(people: DataFrame, locations: DataFrame, viewers: dict[str,
     return reduce(DataFrame.unionByName, found).orderBy(*order)
 
 
+#: Columns of a table of viewers besides viewer (its key), lat and lon: what Viewer has of each.
+VIEWER_COLUMNS = {
+    "age_band": "string", "sportiness": "int", "mobility": "string", "likes": "array<string>", "dislikes": "array<string>", "women_only": "boolean", "start_minute": "int",
+    "end_minute": "int", "embedding": "array<double>", "notes": "array<string>", "want": "array<double>",
+}
+
+
+def _viewers(viewers: DataFrame) -> DataFrame:
+    """viewers with all columns (null where there is none) and cold: nothing is known of them."""
+    given = viewers.select("viewer", "lat", "lon", *[_given(viewers, c, kind).cast(kind).alias(c) for c, kind in VIEWER_COLUMNS.items()])
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    said = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    known = said("age_band") | F.col("sportiness").isNotNull() | said("mobility") | some("likes") | some("dislikes") | F.coalesce("women_only", F.lit(False)) | F.col("start_minute").isNotNull() | some("embedding")
+    return given.withColumn("cold", ~known)
+
+
+def _near_viewers(events: DataFrame, viewers: DataFrame, vectors: DataFrame | None, radius_m: float) -> DataFrame:
+    """(viewer, event_id, cold, distance_m, starts_at, promoted, fit, match) of events near viewers that nothing rules out; numbers and flags only."""
+    words = lambda texts: F.array_distinct(F.flatten(F.transform(texts, text.tokens)))
+    asks = viewers.select(
+        "viewer", "lat", "lon", "cold", "start_minute", "end_minute", F.coalesce("women_only", F.lit(False)).alias("women"),
+        F.coalesce(F.array_contains(text.tokens(F.col("mobility")), "wheelchair"), F.lit(False)).alias("wheels"), F.coalesce(words(F.col("dislikes")), _strings(())).alias("disliked"),
+    )
+    offers = events.select(
+        "event_id", "lat", "lon", "starts_at", "promoted", F.coalesce("women_only", F.lit(False)).alias("for_women"), words(F.concat("tags", F.array("title"))).alias("words"),
+        F.coalesce(F.arrays_overlap(words(F.col("tags")), _strings(similarity.BLOCKED)), F.lit(False)).alias("blocked"), time.warsaw_minute(F.col("starts_at")).alias("minute"),
+    )
+    near = nearby.within(asks, offers, radius_m, "event_id")
+    outside = F.col("start_minute").isNotNull() & ~time.window_contains(F.col("start_minute"), F.col("end_minute"), F.col("minute"))
+    dropped = F.col("wheels") & F.col("blocked") | F.arrays_overlap("disliked", "words") | F.col("for_women") & ~F.col("women") | outside
+    near = near.filter(F.col("cold") | ~F.coalesce(dropped, F.lit(False)))
+    near = near.select("viewer", "event_id", "cold", "distance_m", "starts_at", "promoted", time.time_fit(F.col("start_minute"), F.col("end_minute"), F.col("minute")).alias("fit"))
+    if vectors is None:
+        return near.withColumn("match", F.lit(None).cast("double"))
+    filled = lambda c: F.when(F.size(c) > 0, F.col(c))
+    wants = viewers.select("viewer", F.coalesce(filled("want"), filled("embedding")).alias("_want"))
+    met = near.join(vectors.select("event_id", "embedding"), "event_id", "left").join(wants, "viewer")
+    return met.withColumn("match", similarity.cosine(F.col("embedding"), F.col("_want"))).drop("embedding", "_want")
+
+
+def rank_events_for(events: DataFrame, people: DataFrame, attendances: DataFrame, viewers: DataFrame, radius_m: float, as_of_filter: Column, vectors: DataFrame | None = None) -> DataFrame:
+    """rank_events() for each row of a table of viewers: (viewer, place, event_id, score, distance_m, signed_count), place from 1.
+
+    viewers has viewer, lat and lon and any of VIEWER_COLUMNS; vectors
+    (event_id, embedding) if events have any. Viewers meet the events of their
+    own and the neighbouring cells; attendances are met by event and rated for
+    each viewer they matter to. Before an event's row is shuffled to its
+    viewer, a task keeps no more of a viewer's rows than a page has.
+    """
+    known = _viewers(viewers)
+    near = _near_viewers(events.filter(as_of_filter), known, vectors, radius_m)
+    going = attendances.filter("status = 'going'").select("event_id", "user_id").join(near.select("event_id"), "event_id", "left_semi")
+    attending = people.join(going.select("user_id"), "user_id", "left_semi")
+    theirs = attending.select("user_id", F.struct("age_band", "sportiness", "tags", _given(people, "embedding", "array<double>").alias("embedding"), _given(people, "notes", "array<string>").alias("notes")).alias("_them"))
+    own = known.filter("NOT cold").select("viewer", F.struct(*VIEWER_COLUMNS).alias("_me"))
+    met = near.join(going, "event_id", "left").join(theirs, "user_id", "left").join(own, "viewer", "left")
+    me, them = F.col("_me"), F.col("_them")
+    none = _strings(())
+    likes, notes = F.coalesce(me["likes"], none), F.coalesce(me["notes"], none)
+    complements = similarity.company_complement(likes, notes, them["tags"], F.coalesce(them["notes"], none))
+    vector = F.when(F.size(me["embedding"]) > 0, me["embedding"])
+    like = similarity.profile_similarity((me["age_band"], them["age_band"]), (me["sportiness"], them["sportiness"]), (likes, them["tags"]), (vector, them["embedding"]), complements)
+    met = met.withColumn("like", F.when(me.isNotNull() & them.isNotNull(), like))
+    # Of an event's row all but the key are numbers and flags, so the aggregate hashes.
+    rest = ["cold", "distance_m", "starts_at", "promoted", "fit", "match"]
+    rated = met.groupBy("viewer", "event_id").agg(*[F.any_value(c).alias(c) for c in rest], F.avg("like").alias("people"), F.count("user_id").alias("signed_count"))
+    parts = {"people": F.col("people"), "distance": F.exp(-F.col("distance_m") / DECAY_M), "text": F.col("match"), "time": F.col("fit")}
+    score = similarity.weighted_present(*[(w, parts[k]) for k, w in WEIGHTS.items()]) + F.when(F.col("promoted"), PROMOTED).otherwise(0.0)
+    rated = rated.withColumn("score", F.when(F.col("cold"), 0.0).otherwise(score))
+    # A cold viewer's score is 0 throughout: time comes first. One limit for both lets the first of each task be kept before the shuffle.
+    order = [F.desc("score"), F.when(F.col("cold"), F.col("starts_at")), F.col("distance_m"), F.col("starts_at"), F.col("event_id")]
+    ranked = rated.withColumn("place", F.row_number().over(W.partitionBy("viewer").orderBy(*order))).filter(F.col("place") <= max(WARM_LIMIT, COLD_LIMIT))
+    return ranked.filter(~F.col("cold") | (F.col("place") <= COLD_LIMIT)).select("viewer", "place", "event_id", "score", "distance_m", "signed_count")
+
+
+def rank_people_near(people: DataFrame, locations: DataFrame, viewers: DataFrame, radius_m: float) -> DataFrame:
+    """For each of a table of viewers the people within the radius whom nothing rules out: (viewer, user_id, profile_cosine, similarity, distance_m, band, shared).
+
+    rank_people() has all people for one viewer; for a table of viewers the
+    radius bounds whom each meets. Rows of a viewer are in rank_people()'s order.
+    """
+    known = _viewers(viewers)
+    words = lambda texts: F.array_distinct(F.flatten(F.transform(texts, text.tokens)))
+    named = ["age_band", "sportiness", "tags", "women_only", "start_minute", "end_minute"]
+    placed = people.join(locations.select("user_id", "lat", "lon"), "user_id")
+    them = placed.select("user_id", "lat", "lon", F.struct(*named, _given(placed, "embedding", "array<double>").alias("embedding"), _given(placed, "notes", "array<string>").alias("notes")).alias("_them"))
+    near = nearby.within(known.select("viewer", "lat", "lon", "cold", F.struct(*VIEWER_COLUMNS).alias("_me")), them, radius_m, "user_id")
+    me, them = F.col("_me"), F.col("_them")
+    none, no = _strings(()), F.lit(False)
+    wheels = F.array_contains(text.tokens(me["mobility"]), "wheelchair") & F.arrays_overlap(words(them["tags"]), _strings(similarity.BLOCKED))
+    apart = ~time.windows_overlap(me["start_minute"], me["end_minute"], them["start_minute"], them["end_minute"])
+    disliked = F.arrays_overlap(words(me["dislikes"]), words(them["tags"]))
+    ruled_out = F.coalesce(wheels, no) | F.coalesce(disliked, no) | F.coalesce(them["women_only"], no) & ~F.coalesce(me["women_only"], no) | F.coalesce(apart, no)
+    near = near.filter(F.col("cold") | ~ruled_out)
+    likes, notes = F.coalesce(me["likes"], none), F.coalesce(me["notes"], none)
+    vector = F.when(F.size(me["embedding"]) > 0, me["embedding"])
+    complements = similarity.company_complement(likes, notes, them["tags"], F.coalesce(them["notes"], none))
+    like = similarity.profile_similarity((me["age_band"], them["age_band"]), (me["sportiness"], them["sportiness"]), (likes, them["tags"]), (vector, them["embedding"]), complements)
+    found = near.select("viewer", "user_id", similarity.cosine(vector, them["embedding"]).alias("profile_cosine"), like.alias("similarity"), "distance_m", geo.distance_band(F.col("distance_m")).alias("band"), F.array_join(similarity.shared_tags(them["tags"], likes), ",").alias("shared"))
+    return found.repartition("viewer").sortWithinPartitions("viewer", F.desc_nulls_last("profile_cosine"), F.desc("similarity"), "distance_m", "user_id")
+
+
 def text_shared(viewer: Viewer) -> Column:
     return similarity.shared_tags(F.col("tags"), _strings(viewer.likes))
 

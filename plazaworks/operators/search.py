@@ -26,11 +26,11 @@ def hybrid(documents: DataFrame, chunks: DataFrame, query_text: str, query_vecto
     documents = documents.filter(F.col("digest").isNotNull() if query_text.strip() else F.lit(False))
     if category is not None:
         documents = documents.join(categories.filter(F.col("slug") == category).select("doc"), "doc", "left_semi")
-    title = F.round(trigram_similarity(F.col("title"), F.lit(query_text)), 6)
-    digest = F.round(trigram_similarity(F.col("digest"), F.lit(query_text)), 6)
+    title = trigram_similarity(F.col("title"), F.lit(query_text))
+    digest = trigram_similarity(F.col("digest"), F.lit(query_text))
     named = documents.withColumns({"title_score": title, "digest_score": digest})
     with_vectors = chunks.filter(F.col("embedding").isNotNull())
-    best = best_per_group(with_vectors, "doc", F.round(cosine_with(F.col("embedding"), query_vector), 6), "chunk") if query_vector else with_vectors.select("doc", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("chunk")).limit(0)
+    best = best_per_group(with_vectors, "doc", cosine_with(F.col("embedding"), query_vector), "chunk") if query_vector else with_vectors.select("doc", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("chunk")).limit(0)
     joined = named.join(best.withColumnRenamed("score", "cosine"), "doc", "left")
     by_vector, by_name = F.col("cosine") >= vector_hit, F.col("title_score") >= name_hit
     score = (
@@ -46,5 +46,5 @@ def hybrid(documents: DataFrame, chunks: DataFrame, query_text: str, query_vecto
 
 def nearest(chunks: DataFrame, vector: list[float], k: int, key: str = "chunk") -> DataFrame:
     """The k rows with the largest cosine; the smallest key among equals."""
-    rated = chunks.select(key, F.round(cosine_with(F.col("embedding"), vector), 6).alias("score"))
+    rated = chunks.select(key, cosine_with(F.col("embedding"), vector).alias("score"))
     return rated.orderBy(F.desc("score"), key).limit(k)

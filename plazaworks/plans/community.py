@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plazaworks.functions import geo, similarity, time
-from plazaworks.operators import filters, joins, mutations, ranking, validation
+from plazaworks.operators import filters, joins, mutations, nearby, ranking, validation
 from plazaworks.plans import adapt
 from plazaworks.plans.adapt import AS_OF, CENTER, canon, contains, ctes, distance, tag_set, tokens, warsaw
 from plazaworks.plans.registry import query, table
@@ -109,7 +108,7 @@ _DROPPED = f"women_only OR len(list_intersect({_WORDS_OF('list_append(tags, titl
 _WARM = f"""{ctes('evs', 'places', 'live', 'attendances', 'people', 'signed')},
 near AS (SELECT *, {distance()} AS distance_m, {warsaw('starts_at')} AS minute FROM live WHERE {distance()} <= 30000),
 likes AS ({_PEOPLE}),
-warm AS (SELECT near.*, round((coalesce(0.45 * people, 0) + 0.25 * exp(-distance_m / 2500) + 0.10 * ({_FIT})) / (CASE WHEN people IS NULL THEN 0.35 ELSE 0.8 END) + CASE WHEN promoted THEN 0.05 ELSE 0 END, 6) AS score
+warm AS (SELECT near.*, (coalesce(0.45 * people, 0) + 0.25 * exp(-distance_m / 2500) + 0.10 * ({_FIT})) / (CASE WHEN people IS NULL THEN 0.35 ELSE 0.8 END) + CASE WHEN promoted THEN 0.05 ELSE 0 END AS score
          FROM near LEFT JOIN likes USING (event_id) WHERE NOT ({_DROPPED}) AND {contains('480', '1320', 'minute')}),
 top AS (SELECT * FROM warm ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 50)"""
 
@@ -119,23 +118,23 @@ def _warm(spark, d):
     return ranking.rank_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), VIEWER, RADIUS, filters.live(AS_OF))
 
 
-@query("rank_events_bare", f"{_WARM} SELECT event_id, score, round(distance_m, 3) AS distance_m FROM top")
+@query("rank_events_bare", f"{_WARM} SELECT event_id, round(score, 6) AS score, round(distance_m, 3) AS distance_m FROM top")
 def rank_events_bare(spark, d):
-    return _warm(spark, d).select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
+    return _warm(spark, d).select("event_id", F.round("score", 6).alias("score"), F.round("distance_m", 3).alias("distance_m"))
 
 
-@query("event_score_bare", f"{_WARM} SELECT event_id, score FROM warm")
+@query("event_score_bare", f"{_WARM} SELECT event_id, round(score, 6) AS score FROM warm")
 def event_score_bare(spark, d):
     """The score of every event that isn't ruled out, without the limit of a page."""
     placed = adapt.events(spark, d).join(adapt.places(spark, d), "place_id")
-    return ranking.scored_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), VIEWER, RADIUS, filters.live(AS_OF)).select("event_id", "score")
+    return ranking.scored_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), VIEWER, RADIUS, filters.live(AS_OF)).select("event_id", F.round("score", 6).alias("score"))
 
 
 @query("rank_events_cold", f"{ctes('evs', 'places', 'live')} SELECT event_id, 0e0 AS score, round({distance()}, 3) AS distance_m FROM live WHERE {distance()} <= 30000 ORDER BY starts_at, {distance()}, event_id LIMIT 40")
 def rank_events_cold(spark, d):
     placed = adapt.events(spark, d).join(adapt.places(spark, d), "place_id")
     found = ranking.rank_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), COLD, RADIUS, filters.live(AS_OF))
-    return found.select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
+    return found.select("event_id", F.round("score", 6).alias("score"), F.round("distance_m", 3).alias("distance_m"))
 
 
 @query("first_open_offer_bare", f"{_WARM} SELECT event_id, coalesce(n, 0) AS signed_count FROM top LEFT JOIN signed USING (event_id) WHERE capacity IS NULL OR coalesce(n, 0) < capacity ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 1")
@@ -173,7 +172,7 @@ def person_location(spark, d):
 _LIKE = profile_sql("CAST('25-34' AS VARCHAR)", "age_band", "1", "sportiness", "['walks','coffee','wants company']", "tags")
 _MEETS = f"start_minute IS NULL OR (SELECT bool_or({contains('480', '1320', 'x')} AND {contains('start_minute', 'end_minute', 'x')}) FROM range(1440) r(x))"
 _MINE = tag_set("['walks','coffee','wants company']")
-_RANKED = f"""{ctes('evs', 'attendances', 'people', 'places')}, {_LOCATIONS}, ranked AS (SELECT user_id, first_name, round({_LIKE}, 6) AS similarity, {distance()} AS m, array_to_string(list_transform(list_sort(list_filter(list_transform(tags, lambda t: {{'c': {canon('t')}, 'raw': t}}), lambda p: list_contains({_MINE}, p.c))), lambda p: p.raw), ',') AS shared
+_RANKED = f"""{ctes('evs', 'attendances', 'people', 'places')}, {_LOCATIONS}, ranked AS (SELECT user_id, first_name, {_LIKE} AS similarity, {distance()} AS m, array_to_string(list_transform(list_sort(list_filter(list_transform(tags, lambda t: {{'c': {canon('t')}, 'raw': t}}), lambda p: list_contains({_MINE}, p.c))), lambda p: p.raw), ',') AS shared
 FROM people JOIN located USING (user_id) JOIN places USING (place_id) WHERE NOT women_only AND len(list_intersect({_WORDS_OF('tags')}, ['golf', 'club'])) = 0 AND ({_MEETS}))"""
 
 
@@ -182,9 +181,9 @@ def _people(spark, d):
     return ranking.rank_people(adapt.people(spark, d), located, VIEWER)
 
 
-@query("rank_people_bare", f"{_RANKED} SELECT user_id, similarity, CASE WHEN m < 500 THEN 'within_500m' WHEN m < 2000 THEN 'within_2km' WHEN m < 5000 THEN 'within_5km' ELSE 'farther' END AS band, shared FROM ranked")
+@query("rank_people_bare", f"{_RANKED} SELECT user_id, round(similarity, 6) AS similarity, CASE WHEN m < 500 THEN 'within_500m' WHEN m < 2000 THEN 'within_2km' WHEN m < 5000 THEN 'within_5km' ELSE 'farther' END AS band, shared FROM ranked")
 def rank_people_bare(spark, d):
-    return _people(spark, d).select("user_id", "similarity", "band", "shared")
+    return _people(spark, d).select("user_id", F.round("similarity", 6).alias("similarity"), "band", "shared")
 
 
 @query("people_text_filter", f"{_RANKED} SELECT user_id FROM ranked WHERE contains(lower(first_name), 'walk') OR contains(lower(shared), 'walk')")
@@ -205,8 +204,8 @@ def _rich_people(spark, d):
     return adapt.people(spark, d).join(_vectors(spark, d, "user_id"), "user_id", "left").withColumn("notes", F.expr(_NOTES.format(a="array(", b=")")))
 
 
-def _rich_events(spark, d):
-    return adapt.events(spark, d).join(_vectors(spark, d, "event_id"), "event_id", "left").join(adapt.places(spark, d), "place_id")
+def _placed_events(spark, d):
+    return adapt.events(spark, d).join(adapt.places(spark, d), "place_id")
 
 
 def _rich_viewer(spark, d) -> ranking.Viewer:
@@ -241,7 +240,7 @@ _BOX = geo.Box(49.9, 21.2, 50.4, 20.0)
 def _rich_warm_sql(where: str) -> str:
     return f"""{_RICH},
 near AS (SELECT live.*, {_cos(1)} AS match, {distance()} AS distance_m, {warsaw('starts_at')} AS minute FROM live LEFT JOIN embeddings ON vec_id = event_id WHERE {where}),
-warm AS (SELECT near.*, round((coalesce(0.45 * people, 0) + 0.25 * exp(-distance_m / 2500) + coalesce(0.20 * match, 0) + 0.10 * ({_FIT})) / (0.35 + CASE WHEN people IS NULL THEN 0 ELSE 0.45 END + CASE WHEN match IS NULL THEN 0 ELSE 0.20 END) + CASE WHEN promoted THEN 0.05 ELSE 0 END, 6) AS score
+warm AS (SELECT near.*, (coalesce(0.45 * people, 0) + 0.25 * exp(-distance_m / 2500) + coalesce(0.20 * match, 0) + 0.10 * ({_FIT})) / (0.35 + CASE WHEN people IS NULL THEN 0 ELSE 0.45 END + CASE WHEN match IS NULL THEN 0 ELSE 0.20 END) + CASE WHEN promoted THEN 0.05 ELSE 0 END AS score
          FROM near LEFT JOIN likes USING (event_id) WHERE NOT ({_DROPPED}) AND {contains('480', '1320', 'minute')}),
 top AS (SELECT * FROM warm ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 50)"""
 
@@ -254,31 +253,32 @@ def mean_attendee_sim(spark, d):
     return ranking.attendee_likeness(_rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d)).select("event_id", F.round("people", 6).alias("people"))
 
 
-@query("event_score", f"{_RICH_WARM} SELECT event_id, score FROM warm")
+@query("event_score", f"{_RICH_WARM} SELECT event_id, round(score, 6) AS score FROM warm")
 def event_score(spark, d):
-    return ranking.scored_events(_rich_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF)).select("event_id", "score")
+    scored = ranking.scored_events(_placed_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF), vectors=_vectors(spark, d, "event_id"))
+    return scored.select("event_id", F.round("score", 6).alias("score"))
 
 
 def _rich_warm(spark, d, bounds=None):
-    return ranking.rank_events(_rich_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF), bounds)
+    return ranking.rank_events(_placed_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF), bounds, _vectors(spark, d, "event_id"))
 
 
-@query("rank_events_warm", f"{_RICH_WARM} SELECT event_id, score, round(distance_m, 3) AS distance_m FROM top")
+@query("rank_events_warm", f"{_RICH_WARM} SELECT event_id, round(score, 6) AS score, round(distance_m, 3) AS distance_m FROM top")
 def rank_events_warm(spark, d):
-    return _rich_warm(spark, d).select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
+    return _rich_warm(spark, d).select("event_id", F.round("score", 6).alias("score"), F.round("distance_m", 3).alias("distance_m"))
 
 
-@query("rank_events_bbox", _rich_warm_sql("lat BETWEEN 49.9 AND 50.4 AND (lon >= 21.2 OR lon <= 20.0)") + " SELECT event_id, score, round(distance_m, 3) AS distance_m FROM top")
+@query("rank_events_bbox", _rich_warm_sql("lat BETWEEN 49.9 AND 50.4 AND (lon >= 21.2 OR lon <= 20.0)") + " SELECT event_id, round(score, 6) AS score, round(distance_m, 3) AS distance_m FROM top")
 def rank_events_bbox(spark, d):
     """A box, here one that wraps, in place of the radius."""
-    return _rich_warm(spark, d, _BOX).select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
+    return _rich_warm(spark, d, _BOX).select("event_id", F.round("score", 6).alias("score"), F.round("distance_m", 3).alias("distance_m"))
 
 
 @query("rank_events_bbox_cold", f"{ctes('evs', 'places', 'live')} SELECT event_id, 0e0 AS score, round({distance()}, 3) AS distance_m FROM live WHERE lat BETWEEN 49.5 AND 50 AND lon BETWEEN 19.5 AND 20.5 ORDER BY starts_at, {distance()}, event_id LIMIT 40")
 def rank_events_bbox_cold(spark, d):
     placed = adapt.events(spark, d).join(adapt.places(spark, d), "place_id")
     found = ranking.rank_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), COLD, RADIUS, filters.live(AS_OF), geo.Box(49.5, 19.5, 50.0, 20.5))
-    return found.select("event_id", "score", F.round("distance_m", 3).alias("distance_m"))
+    return found.select("event_id", F.round("score", 6).alias("score"), F.round("distance_m", 3).alias("distance_m"))
 
 
 @query("first_open_offer", f"{_RICH_WARM} SELECT event_id, coalesce(n, 0) AS signed_count FROM top LEFT JOIN signed USING (event_id) WHERE capacity IS NULL OR coalesce(n, 0) < capacity ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 1")
@@ -287,7 +287,7 @@ def first_open_offer(spark, d):
     return ranking.first_open(_rich_warm(spark, d), order).select("event_id", "signed_count")
 
 
-_RICH_PEOPLE = f"""{_RICH}, {_LOCATIONS}, ranked AS (SELECT user_id, round({_RICH_LIKE}, 6) AS similarity, {_cos(0)} AS profile_cosine, {distance()} AS m
+_RICH_PEOPLE = f"""{_RICH}, {_LOCATIONS}, ranked AS (SELECT user_id, {_RICH_LIKE} AS similarity, {_cos(0)} AS profile_cosine, {distance()} AS m
 FROM rich JOIN located USING (user_id) JOIN places USING (place_id) WHERE NOT women_only AND len(list_intersect({_WORDS_OF('tags')}, ['golf', 'club'])) = 0 AND ({_MEETS}))"""
 
 
@@ -295,19 +295,91 @@ def _located(spark, d):
     return person_location(spark, d).join(adapt.places(spark, d), "place_id").select("user_id", "lat", "lon")
 
 
-@query("rank_people", f"{_RICH_PEOPLE} SELECT user_id, similarity, round(profile_cosine, 6) AS profile_cosine, row_number() OVER (ORDER BY profile_cosine DESC NULLS LAST, similarity DESC, m, user_id) AS place FROM ranked")
+@query("rank_people", f"{_RICH_PEOPLE} SELECT user_id, round(similarity, 6) AS similarity, round(profile_cosine, 6) AS profile_cosine FROM ranked")
 def rank_people(spark, d):
-    """With each person's place in the order; numbering all in one window is this query's, not the operator's."""
-    ranked = ranking.rank_people(_rich_people(spark, d), _located(spark, d), _rich_viewer(spark, d))
-    order = Window.orderBy(F.desc_nulls_last("profile_cosine"), F.desc("similarity"), "distance_m", "user_id")
-    return ranked.select("user_id", "similarity", F.round("profile_cosine", 6).alias("profile_cosine"), F.row_number().over(order).cast("long").alias("place"))
+    return ranking.rank_people(_rich_people(spark, d), _located(spark, d), _rich_viewer(spark, d)).select("user_id", F.round("similarity", 6).alias("similarity"), F.round("profile_cosine", 6).alias("profile_cosine"))
 
 
-@query("rank_people_for", f"{_RICH_PEOPLE} SELECT 'warm' AS viewer, user_id, similarity, round(profile_cosine, 6) AS profile_cosine FROM ranked UNION ALL SELECT 'cold', user_id, 0e0, NULL FROM people JOIN located USING (user_id)")
+@query("rank_people_for", f"{_RICH_PEOPLE} SELECT 'warm' AS viewer, user_id, round(similarity, 6) AS similarity, round(profile_cosine, 6) AS profile_cosine FROM ranked UNION ALL SELECT 'cold', user_id, 0e0, NULL FROM people JOIN located USING (user_id)")
 def rank_people_for(spark, d):
     """A stated set of viewers: one about whom nothing is known, and one who is known."""
     found = ranking.rank_people_for(_rich_people(spark, d), _located(spark, d), {"cold": COLD, "warm": _rich_viewer(spark, d)})
-    return found.select("viewer", "user_id", "similarity", F.round("profile_cosine", 6).alias("profile_cosine"))
+    return found.select("viewer", "user_id", F.round("similarity", 6).alias("similarity"), F.round("profile_cosine", 6).alias("profile_cosine"))
+
+
+# A table of viewers: all people as viewers, each at a place of their own; one in nine is cold.
+
+_VIEWER = """SELECT user_id AS viewer, 49.9e0 + ((user_id * 37) % 100) / 100e0 * 0.4e0 AS lat, 19.7e0 + ((user_id * 91) % 100) / 100e0 * 0.6e0 AS lon, {warm} AS warm,
+CASE WHEN {warm} THEN age_band END AS age_band, CASE WHEN {warm} THEN sportiness END AS sportiness, CASE WHEN {warm} AND user_id % 7 = 0 THEN 'Wheelchair user' END AS mobility, CASE WHEN {warm} THEN tags END AS likes,
+CASE WHEN {warm} AND user_id % 3 = 0 THEN {a}'Golf club'{b} END AS dislikes, {warm} AND user_id % 5 = 0 AS women_only, CASE WHEN {warm} THEN start_minute END AS start_minute, CASE WHEN {warm} THEN end_minute END AS end_minute,
+CASE WHEN {warm} THEN embedding END AS embedding, CASE WHEN {warm} THEN notes END AS notes, CASE WHEN {warm} AND user_id % 2 = 0 THEN other END AS want FROM {source}"""
+_WARM_ROW = "user_id % 9 <> 0"
+_VIEWERS = _VIEWER.format(warm=_WARM_ROW, a="[", b="]", source="rich LEFT JOIN (SELECT vec_id - 1 AS user_id, embedding AS other FROM embeddings) USING (user_id)")
+_APART = adapt.HAVERSINE.format(a="p.lat", b="p.lon", c="v.lat", d="v.lon")
+
+
+def _viewers(spark, d):
+    other = table(spark, d, "embeddings").select((C("vec_id") - 1).alias("user_id"), C("embedding").alias("other"))
+    made = _VIEWER.format(warm=_WARM_ROW, a="array(", b=")", source="{people}")
+    return spark.sql(made, people=_rich_people(spark, d).join(other, "user_id", "left"))
+
+
+def _cos2(a: str, b: str) -> str:
+    return f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]) END"
+
+
+_SAYS2 = "coalesce(list_bool_or(list_transform(list_concat(coalesce({0}, []), coalesce({1}, [])), lambda t: regexp_matches(lower(t), '{2}'))), false)"
+_LONELY, _WANTS = "lonely|lives alone|samotn", "wants company|towarzystwo"
+_MATES = " OR ".join([
+    f"{_SAYS2.format('v.likes', 'v.notes', _LONELY)} AND {_SAYS2.format('t.tags', 't.notes', _WANTS)}", f"{_SAYS2.format('t.tags', 't.notes', _LONELY)} AND {_SAYS2.format('v.likes', 'v.notes', _WANTS)}",
+    f"{_SAYS2.format('v.likes', 'v.notes', _WANTS)} AND {_SAYS2.format('t.tags', 't.notes', _WANTS)} AND len(list_intersect({tag_set('coalesce(v.likes, [])')}, {tag_set('t.tags')})) > 0",
+])
+_ALIKE = ", ".join([f"CAST({adapt.age_similarity('v.age_band', 't.age_band')} AS DOUBLE)", adapt.sport_similarity("v.sportiness", "t.sportiness"), adapt.tag_jaccard("coalesce(v.likes, [])", "t.tags"), _cos2("v.embedding", "t.embedding"), f"CASE WHEN {_MATES} THEN 1e0 END"])
+_ALIKE = f"coalesce(list_avg(list_filter([{_ALIKE}], lambda x: x IS NOT NULL)), 0)"
+_BLOCKED_WORDS = "[" + ", ".join(repr(x) for x in similarity.BLOCKED) + "]"
+_SIZE = "((v.end_minute - v.start_minute + 1440) % 1440)"
+_FIT2 = f"CASE WHEN v.start_minute IS NULL OR {_SIZE} = 0 THEN 1e0 WHEN NOT {contains('v.start_minute', 'v.end_minute', 'minute')} THEN 0e0 ELSE 1 - abs((minute - v.start_minute + 1440) % 1440 - {_SIZE} / 2e0) / {_SIZE} END"
+_FOR_RADIUS = 15_000.0
+_RANKED_FOR = f"""{_RICH}, viewers AS ({_VIEWERS}), pool AS (SELECT live.*, embedding, {warsaw('starts_at')} AS minute FROM live LEFT JOIN embeddings ON vec_id = event_id),
+pairs AS (SELECT viewer, warm, p.event_id, {_APART} AS m, p.starts_at, p.promoted, CASE WHEN warm THEN {_cos2('p.embedding', 'coalesce(v.want, v.embedding)')} END AS match, {_FIT2} AS fit FROM pool p, viewers v
+  WHERE {_APART} <= {_FOR_RADIUS} AND (NOT warm OR (NOT (coalesce(v.mobility, '') <> '' AND len(list_intersect({_WORDS_OF('p.tags')}, {_BLOCKED_WORDS})) > 0) AND NOT (v.dislikes IS NOT NULL AND len(list_intersect({_WORDS_OF('list_append(p.tags, p.title)')}, ['golf', 'club'])) > 0)
+    AND (v.women_only OR NOT p.women_only) AND (v.start_minute IS NULL OR {contains('v.start_minute', 'v.end_minute', 'minute')})))),
+liked AS (SELECT viewer, event_id, avg(CASE WHEN warm THEN {_ALIKE} END) AS people FROM pairs JOIN attendances a USING (event_id) JOIN rich t ON t.user_id = a.user_id JOIN viewers v USING (viewer, warm) WHERE a.status = 'going' GROUP BY 1, 2),
+rated AS (SELECT pairs.*, coalesce(n, 0) AS signed_count, CASE WHEN warm THEN (coalesce(0.45 * people, 0) + 0.25 * exp(-m / 2500) + coalesce(0.20 * match, 0) + 0.10 * fit) / (0.35 + CASE WHEN people IS NULL THEN 0 ELSE 0.45 END + CASE WHEN match IS NULL THEN 0 ELSE 0.20 END) + CASE WHEN promoted THEN 0.05 ELSE 0 END ELSE 0 END AS score
+  FROM pairs LEFT JOIN liked USING (viewer, event_id) LEFT JOIN signed USING (event_id))
+SELECT viewer, event_id, round(score, 6) AS score, round(m, 3) AS distance_m, signed_count FROM rated QUALIFY row_number() OVER (PARTITION BY viewer ORDER BY score DESC, CASE WHEN NOT warm THEN starts_at END, m, starts_at, event_id) <= CASE WHEN warm THEN 50 ELSE 40 END"""
+
+
+@query("rank_events_for", _RANKED_FOR)
+def rank_events_for(spark, d):
+    """The best events near each of all people."""
+    found = ranking.rank_events_for(_placed_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _viewers(spark, d), _FOR_RADIUS, filters.live(AS_OF), _vectors(spark, d, "event_id"))
+    return found.select("viewer", "event_id", F.round("score", 6).alias("score"), F.round("distance_m", 3).alias("distance_m"), "signed_count")
+
+
+_MEETS2 = f"v.start_minute IS NULL OR t.start_minute IS NULL OR (SELECT bool_or({contains('v.start_minute', 'v.end_minute', 'x')} AND {contains('t.start_minute', 't.end_minute', 'x')}) FROM range(1440) r(x))"
+
+
+@query(
+    "rank_people_near",
+    f"""{_RICH}, {_LOCATIONS}, viewers AS ({_VIEWERS}) SELECT viewer, t.user_id, round({_ALIKE}, 6) AS similarity, round({_cos2('v.embedding', 't.embedding')}, 6) AS profile_cosine, round({_APART}, 3) AS distance_m FROM rich t JOIN located USING (user_id) JOIN places p USING (place_id), viewers v
+WHERE {_APART} <= {_FOR_RADIUS} AND (NOT warm OR (NOT (coalesce(v.mobility, '') <> '' AND len(list_intersect({_WORDS_OF('t.tags')}, {_BLOCKED_WORDS})) > 0) AND NOT (v.dislikes IS NOT NULL AND len(list_intersect({_WORDS_OF('t.tags')}, ['golf', 'club'])) > 0) AND (v.women_only OR NOT t.women_only) AND ({_MEETS2})))""",
+)
+def rank_people_near(spark, d):
+    """The people near each of all people, who are their own neighbours too."""
+    found = ranking.rank_people_near(_rich_people(spark, d), _located(spark, d), _viewers(spark, d), _FOR_RADIUS)
+    return found.select("viewer", "user_id", F.round("similarity", 6).alias("similarity"), F.round("profile_cosine", 6).alias("profile_cosine"), F.round("distance_m", 3).alias("distance_m"))
+
+
+_PROPOSED = "SELECT {k} AS proposed, {lat} + ({k} % 5) * 0.001e0 AS lat, {lon} + ({k} % 7) * 0.0005e0 AS lon FROM {source}"
+
+
+@query("same_place", f"{ctes('places')}, proposed AS ({_PROPOSED.format(k='place_id', lat='lat', lon='lon', source='places')}) SELECT proposed, place_id FROM proposed q, places p WHERE abs(q.lat - p.lat) <= 0.002 AND abs(q.lon - p.lon) <= 0.002")
+def same_place(spark, d):
+    """Known places that each of a table of proposed ones may be; shifts reach the bound."""
+    known = adapt.places(spark, d).select("place_id", "lat", "lon")
+    proposed = spark.sql(_PROPOSED.format(k="place_id", lat="lat", lon="lon", source="{places}"), places=known)
+    return nearby.same_place(proposed, known, "place_id").select("proposed", "place_id")
 
 
 @query("constraints_passed", f"{ctes('people')} SELECT user_id, 'dislikes,time_window' AS passed FROM people")

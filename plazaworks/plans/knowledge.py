@@ -12,7 +12,7 @@ from plazaworks.plans.registry import query, table
 from plazaworks.plans.scalars import trigram_sql
 
 C = F.col
-_COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _QUERY = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 
 
@@ -21,14 +21,14 @@ def _vector(spark, d) -> list[float]:
     return adapt.chunks(spark, d).filter("chunk = 0").first()["embedding"]
 
 
-@query("best_chunk_per_group", f"SELECT label AS doc, chunk, score FROM (SELECT e.label, e.vec_id AS chunk, {_COS} AS score FROM embeddings e, {_QUERY} q) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, chunk) = 1")
+@query("best_chunk_per_group", f"SELECT label AS doc, chunk, round(score, 6) AS score FROM (SELECT e.label, e.vec_id AS chunk, {_COS} AS score FROM embeddings e, {_QUERY} q) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, chunk) = 1")
 def best_chunk_per_group(spark, d):
-    return joins.best_per_group(adapt.chunks(spark, d), "doc", F.round(cosine_with(C("embedding"), _vector(spark, d)), 6), "chunk").select("doc", "chunk", "score")
+    return joins.best_per_group(adapt.chunks(spark, d), "doc", cosine_with(C("embedding"), _vector(spark, d)), "chunk").select("doc", "chunk", F.round("score", 6).alias("score"))
 
 
 @query("hybrid_threshold", f"SELECT e.vec_id AS chunk FROM embeddings e, {_QUERY} q WHERE {_COS} >= 0.25")
 def hybrid_threshold(spark, d):
-    return adapt.chunks(spark, d).filter(F.round(cosine_with(C("embedding"), _vector(spark, d)), 6) >= 0.25).select("chunk")
+    return adapt.chunks(spark, d).filter(cosine_with(C("embedding"), _vector(spark, d)) >= 0.25).select("chunk")
 
 
 _TITLE = "(SELECT text FROM benchmark WHERE item_id = 3)"
@@ -38,24 +38,24 @@ _DOCS = "SELECT item_id AS doc, text AS title, substring(text, 20) AS digest, 'u
 @query(
     "hybrid_search",
     f"""WITH docs AS ({_DOCS}), best AS (SELECT label AS doc, chunk, score AS cosine FROM (SELECT e.label, e.vec_id AS chunk, {_COS} AS score FROM embeddings e, {_QUERY} q) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, chunk) = 1),
-n AS (SELECT docs.*, cosine, chunk, round({trigram_sql('title', _TITLE)}, 6) AS t, round({trigram_sql('digest', _TITLE)}, 6) AS g FROM docs LEFT JOIN best USING (doc)),
+n AS (SELECT docs.*, cosine, chunk, {trigram_sql('title', _TITLE)} AS t, {trigram_sql('digest', _TITLE)} AS g FROM docs LEFT JOIN best USING (doc)),
 h AS (SELECT *, CASE WHEN cosine IS NULL THEN CASE WHEN greatest(t, g) >= 0.12 THEN greatest(t, g) END WHEN cosine >= 0.25 AND t >= 0.12 THEN greatest(cosine, t) WHEN t >= 0.12 THEN t WHEN cosine >= 0.25 THEN cosine END AS score FROM n)
-SELECT doc, url, title, score, CASE WHEN cosine >= 0.25 THEN chunk END AS chunk FROM h WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, title, doc) = 1""",
+SELECT doc, url, title, round(score, 6) AS score, CASE WHEN cosine >= 0.25 THEN chunk END AS chunk FROM h WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, title, doc) = 1""",
 )
 def hybrid_search(spark, d):
     items = table(spark, d, "benchmark")
     docs = items.select(C("item_id").alias("doc"), C("text").alias("title"), F.expr("substring(text, 20)").alias("digest"), F.concat(F.lit("u"), (C("item_id") % 30).cast("string")).alias("url"))
     title = items.filter("item_id = 3").first()["text"]  # the query's words: one row
     chunks = adapt.chunks(spark, d).withColumn("doc", C("doc").cast("long"))
-    return search.hybrid(docs, chunks, title, _vector(spark, d), 0.25, 0.12, 0.12)
+    return search.hybrid(docs, chunks, title, _vector(spark, d), 0.25, 0.12, 0.12).withColumn("score", F.round("score", 6))
 
 
 @query(
     "hybrid_search_category",
     f"""WITH docs AS ({_DOCS} WHERE item_id % 3 = 1 AND item_id % 4 <> 0), best AS (SELECT label AS doc, chunk, score AS cosine FROM (SELECT e.label, e.vec_id AS chunk, {_COS} AS score FROM embeddings e, {_QUERY} q) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, chunk) = 1),
-n AS (SELECT docs.*, cosine, chunk, round({trigram_sql('title', _TITLE)}, 6) AS t, round({trigram_sql('digest', _TITLE)}, 6) AS g FROM docs LEFT JOIN best USING (doc)),
+n AS (SELECT docs.*, cosine, chunk, {trigram_sql('title', _TITLE)} AS t, {trigram_sql('digest', _TITLE)} AS g FROM docs LEFT JOIN best USING (doc)),
 h AS (SELECT *, CASE WHEN cosine IS NULL THEN CASE WHEN greatest(t, g) >= 0.12 THEN greatest(t, g) END WHEN cosine >= 0.25 AND t >= 0.12 THEN greatest(cosine, t) WHEN t >= 0.12 THEN t WHEN cosine >= 0.25 THEN cosine END AS score FROM n)
-SELECT doc, score, CASE WHEN cosine >= 0.25 THEN chunk END AS chunk FROM h WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, title, doc) = 1""",
+SELECT doc, round(score, 6) AS score, CASE WHEN cosine >= 0.25 THEN chunk END AS chunk FROM h WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, title, doc) = 1""",
 )
 def hybrid_search_category(spark, d):
     """Within one category; documents without a digest aren't found."""
@@ -65,7 +65,7 @@ def hybrid_search_category(spark, d):
     title = items.filter("item_id = 3").first()["text"]  # the query's words: one row
     categories = items.select(C("item_id").alias("doc"), F.concat(F.lit("c"), (C("item_id") % 3).cast("string")).alias("slug"))
     chunks = adapt.chunks(spark, d).withColumn("doc", C("doc").cast("long"))
-    return search.hybrid(docs, chunks, title, _vector(spark, d), 0.25, 0.12, 0.12, categories, "c1").select("doc", "score", "chunk")
+    return search.hybrid(docs, chunks, title, _vector(spark, d), 0.25, 0.12, 0.12, categories, "c1").select("doc", F.round("score", 6).alias("score"), "chunk")
 
 
 @query("stale_embeddings", "SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0 OR CASE WHEN vec_id % 3 = 0 THEN NULL WHEN vec_id % 2 = 0 THEN 'new' ELSE 'old' END IS DISTINCT FROM 'new'")
@@ -195,12 +195,27 @@ def language(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", text.language_of(given).alias("locale"), text.is_english(given).alias("english"))
 
 
-@query("resolve_path", "SELECT DISTINCT p_brand || '/' || p_name AS asked, 'Docs/' || p_brand || '/' || upper(p_name) AS path FROM part")
+_FOLDED = r"lower(regexp_replace({}, '[\s\x0B\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]', '', 'g'))"
+_ENTRIES = "SELECT DISTINCT p_brand AS doc, 'Docs/' || p_type || '/' || upper(p_name) || CASE p_size % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN ' 2.PDF' ELSE '' END AS path FROM part"
+#: Whole paths in quotes, ends of names that start anywhere, paths with more before them, and names that more than one entry ends in.
+_ASKED = "SELECT DISTINCT p_brand AS doc, CASE p_partkey % 5 WHEN 0 THEN '\"Docs/' || p_type || '/' || upper(p_name) || '\" ' WHEN 1 THEN ' ' || substring(p_name, 4) || CASE p_size % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '2 .pdf' ELSE '' END WHEN 2 THEN 'archive.zip/docs/' || p_type || ' / ' || p_name || CASE p_size % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN ' 2.pdf' ELSE '' END WHEN 3 THEN '.pdf' ELSE p_type || 'x' END AS asked FROM part"
+
+
+@query(
+    "resolve_path",
+    f"""WITH e AS (SELECT *, {_FOLDED.format('path')} AS f FROM ({_ENTRIES})), a AS (SELECT *, trim(trim(asked), '"') AS want FROM ({_ASKED})), w AS (SELECT *, {_FOLDED.format('want')} AS g FROM a),
+x AS (SELECT w.doc, asked, path FROM w JOIN e ON e.doc = w.doc AND e.path = want),
+m AS (SELECT w.doc, asked, count(*) AS n, min(path) AS path FROM w JOIN e ON e.doc = w.doc AND (ends_with(f, g) OR ends_with(g, f)) GROUP BY ALL)
+SELECT w.doc, w.asked, coalesce(x.path, m.path) AS path FROM w LEFT JOIN x USING (doc, asked) LEFT JOIN (FROM m WHERE n = 1) m USING (doc, asked) WHERE coalesce(x.path, m.path) IS NOT NULL""",
+)
 def resolve_path(spark, d):
     part = table(spark, d, "part")
-    asked = part.select(F.concat("p_brand", F.lit("/"), "p_name").alias("asked")).distinct()
-    entries = part.select(F.concat(F.lit("Docs/"), C("p_brand"), F.lit("/"), F.upper("p_name")).alias("path")).distinct()
-    return library.resolved_paths(asked, entries)
+    end = lambda spaced: F.when(C("p_size") % 3 == 0, ".pdf").when(C("p_size") % 3 == 1, spaced).otherwise("")
+    entries = part.select(C("p_brand").alias("doc"), F.concat(F.lit("Docs/"), "p_type", F.lit("/"), F.upper("p_name"), end(" 2.PDF")).alias("path")).distinct()
+    asked = F.when(C("p_partkey") % 5 == 0, F.concat(F.lit('"Docs/'), "p_type", F.lit("/"), F.upper("p_name"), F.lit('" ')))
+    asked = asked.when(C("p_partkey") % 5 == 1, F.concat(F.lit(" "), F.substr("p_name", F.lit(4)), end("2 .pdf")))
+    asked = asked.when(C("p_partkey") % 5 == 2, F.concat(F.lit("archive.zip/docs/"), "p_type", F.lit(" / "), "p_name", end(" 2.pdf"))).when(C("p_partkey") % 5 == 3, ".pdf").otherwise(F.concat("p_type", F.lit("x")))
+    return library.resolved_paths(part.select(C("p_brand").alias("doc"), asked.alias("asked")), entries, ["doc"])
 
 
 _BRIEF_TEXT = "CASE WHEN s_suppkey % 5 = 0 THEN 'short' WHEN s_suppkey % 5 = 1 THEN repeat('see http://x ', 80) ELSE repeat('brief text ', 80) END"
@@ -208,15 +223,16 @@ _BRIEF_TEXT = "CASE WHEN s_suppkey % 5 = 0 THEN 'short' WHEN s_suppkey % 5 = 1 T
 
 @query(
     "brief_validate",
-    f"SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN 'missing fields' WHEN length(trim({_BRIEF_TEXT})) < CASE WHEN s_suppkey % 2 = 0 THEN 700 ELSE 250 END THEN 'too short' WHEN s_suppkey % 5 = 1 THEN 'urls' WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 'files_read is empty' WHEN s_suppkey % 3 = 1 THEN 'unknown path' WHEN s_suppkey % 7 = 0 THEN 'evidence is empty' END AS error FROM supplier",
+    f"SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN 'missing fields' WHEN length(trim({_BRIEF_TEXT})) < CASE WHEN s_suppkey % 2 = 0 THEN 700 ELSE 250 END THEN 'too short' WHEN s_suppkey % 5 = 1 THEN 'urls' WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 'files_read is empty' WHEN s_suppkey % 9 = 1 THEN 'unknown path' WHEN s_suppkey % 7 = 0 THEN 'evidence is empty' END AS error FROM supplier",
 )
 def brief_validate(spark, d):
     k = C("s_suppkey")
-    files = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("other.pdf"))).otherwise(F.array(F.lit("a.pdf")))
+    asked = F.when(k % 9 == 1, "other.pdf").when(k % 9 == 4, '"Docs/a b.PDF"').otherwise("zip/docs/ab.pdf")
+    files = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(asked)).otherwise(F.array(F.lit("b.pdf"), F.lit("c.txt")))
     filled = {f: F.lit("x") for f in library.BRIEF_FIELDS} | {"evidence": F.when(k % 7 == 0, " ").otherwise("x")}
     whole = F.to_json(F.struct(F.expr(_BRIEF_TEXT).alias("knowledge_text"), files.alias("files_read"), *[v.alias(f) for f, v in filled.items()]))
     brief = F.when(k % 11 == 0, F.lit('{"knowledge_text": "no more"}')).otherwise(whole)
-    return table(spark, d, "supplier").select("s_suppkey", library.brief_error(brief, k % 2 == 0, F.array(F.lit("a.pdf"))).alias("error"))
+    return table(spark, d, "supplier").select("s_suppkey", library.brief_error(brief, k % 2 == 0, F.array(F.lit("Docs/a b.pdf"), F.lit("c.txt"))).alias("error"))
 
 
 @query("place_classify", "SELECT c_custkey, CASE WHEN a = 'building' AND k IN ('house', 'yes') THEN 'private' WHEN a = 'highway' THEN 'private' WHEN a = 'amenity' AND k = 'cafe' THEN 'cafe' WHEN a = 'leisure' AND k = 'park' THEN 'park' WHEN a = 'building' AND k = 'civic' THEN 'hall' WHEN a = 'place' AND k = 'house' THEN 'private' WHEN a = 'place' AND k = 'square' THEN 'square' ELSE 'other_public' END AS kind FROM (SELECT c_custkey, ['building', 'highway', 'amenity', 'leisure', 'place', 'shop'][c_custkey % 6 + 1] AS a, ['house', 'yes', 'cafe', 'park', 'civic', 'square', 'x'][c_custkey % 7 + 1] AS k FROM customer)")
@@ -244,18 +260,21 @@ def chat_search(spark, d):
     return chat.search(adapt.messages(spark, d), "Thing ").select("user_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("chat_search_place", f"{ctes('messages')} SELECT id, position('the' IN lower(body)) AS place, round({trigram_sql('body', repr('the and or'))}, 6) AS score FROM messages WHERE contains(lower(body), 'the')")
-def chat_search_place(spark, d):
-    """Every message with a word, by the place where it first stands; the score is the whole text's likeness."""
-    from plazaworks.functions.text import trigram_similarity
-
-    found = adapt.messages(spark, d).filter(filters.contains_text(C("body"), "the")).withColumn("place", F.instr(F.lower("body"), "the"))
-    return found.orderBy("place", "created", "id").select("id", "place", F.round(trigram_similarity(C("body"), F.lit("the and or")), 6).alias("score"))
+_MARKS = "SELECT user_id, arg_max(id, {'c': created, 'i': id}) AS before FROM messages WHERE role = 'assistant' GROUP BY 1"
 
 
-@query("keyset_page", f"{ctes('messages')} SELECT id, created FROM messages WHERE (created, id) < (2, 40002) ORDER BY created DESC, id DESC LIMIT 100")
+@query("keyset_page", f"{ctes('messages')}, marks AS ({_MARKS}) SELECT m.user_id, before, m.id, m.created FROM messages m JOIN marks USING (user_id) JOIN messages c ON c.user_id = m.user_id AND c.id = before WHERE (m.created, m.id) < (c.created, c.id) QUALIFY row_number() OVER (PARTITION BY m.user_id ORDER BY m.created DESC, m.id DESC) <= 3")
 def keyset_page(spark, d):
-    return paging.page_before(adapt.messages(spark, d), (2, 40002), 100).select("id", "created")
+    """Every user's page before their last answer."""
+    read = adapt.messages(spark, d)
+    last = read.filter("role = 'assistant'").groupBy("user_id").agg(F.max_by("id", F.struct("created", "id")).alias("before"))
+    return paging.pages_before(read, last).select("user_id", "before", "id", "created")
+
+
+@query("page_of_one", f"{ctes('messages')} SELECT m.id, m.created FROM messages m, (SELECT created, id FROM messages WHERE user_id = 40 AND id = 40004) c WHERE m.user_id = 40 AND (m.created, m.id) < (c.created, c.id) ORDER BY m.created DESC, m.id DESC LIMIT 3")
+def page_of_one(spark, d):
+    """One user's page before one of their messages; the filter reaches the scan."""
+    return paging.page_before(adapt.messages(spark, d), 40, 40004).select("id", "created")
 
 
 @query("history", f"{ctes('messages')} SELECT user_id, id, created FROM messages")
@@ -295,11 +314,17 @@ def recent_turns(spark, d):
     return paging.recent_turns(adapt.messages(spark, d), 2).select("user_id", "id")
 
 
-@query("compaction_cut", f"{ctes('messages')} SELECT user_id, count(*) AS n, arg_max(id, {{'c': created, 'i': id}}) AS through FROM ({_TURNS}) WHERE newer >= 2 GROUP BY 1")
+@query("compaction_cut", f"{ctes('messages')}, said AS (SELECT user_id FROM messages GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 2) SELECT user_id, count(*) AS n, arg_max(id, {{'c': created, 'i': id}}) AS through FROM ({_TURNS}) WHERE newer >= 2 AND user_id IN (FROM said) GROUP BY 1")
 def compaction_cut(spark, d):
     return paging.older_than_recent(adapt.messages(spark, d), 2)
 
 
+@query("compaction_due", f"{ctes('messages')}, said AS (SELECT user_id FROM messages GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 2 AND count(*) FILTER (role = 'user') % 3 = 0) SELECT user_id, count(*) AS n, arg_max(id, {{'c': created, 'i': id}}) AS through FROM ({_TURNS}) WHERE newer >= 2 AND user_id IN (FROM said) GROUP BY 1")
+def compaction_due(spark, d):
+    """Only users whose turns are a multiple of three are summed up now."""
+    return paging.older_than_recent(adapt.messages(spark, d), 2, paging.SUMMARY_EVERY)
+
+
 @query("confirm_gate", f"{ctes('messages')} SELECT id, coalesce(max(CASE WHEN role = 'assistant' AND length(body) > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY created, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS blocked FROM messages")
 def confirm_gate(spark, d):
     return filters.blocked_after(adapt.messages(spark, d), ["user_id"], ["created", "id"], (C("role") == "assistant") & (F.length("body") > 200)).select("id", "blocked")

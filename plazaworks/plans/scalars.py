@@ -279,13 +279,13 @@ def json_pairs(spark, d):
     return notes
 
 
-@query("cosine_topk", "SELECT e.vec_id AS chunk, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY 2 DESC, 1 LIMIT 10")
+@query("cosine_topk", "SELECT e.vec_id AS chunk, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, 1 LIMIT 10")
 def cosine_topk(spark, d):
     from plazaworks.operators.search import nearest
 
     chunks = adapt.chunks(spark, d)
     vector = chunks.filter("chunk = 0").first()["embedding"]  # the query's vector: one row
-    return nearest(chunks, vector, 10)
+    return nearest(chunks, vector, 10).select("chunk", F.round("score", 6).alias("score"))
 
 
 @query("in_region", f"{ctes('places')} SELECT place_id, lat + 0.2e0 BETWEEN 49.15 AND 50.52 AND lon BETWEEN 19.05 AND 21.50 AS inside FROM places")
