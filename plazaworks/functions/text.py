@@ -61,6 +61,11 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y)).cast("double")), F.lit(0.0))
 
 
+def runs_of(text: str) -> list[tuple[str, bool, bool]]:
+    """The words of a known text, each with whether something that is no letter or digit stands before and after it within the text."""
+    return [(m[0], m.start() > 0, m.end() < len(text)) for m in re.finditer(r"[^\W_]+", text.lower())]
+
+
 def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}\s]", ""), r"\s+", " "))
 

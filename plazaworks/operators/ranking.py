@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -79,7 +80,17 @@ def _near(events: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Colu
     return near.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(viewer.lat), F.lit(viewer.lon)))
 
 
-def scored_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column, bounds: geo.Box | None = None, vectors: DataFrame | None = None) -> DataFrame:
+#: Attendances (event_id, user_id, status), or what gives those of a table of event_ids: a log is best reduced to these before the last status of each is looked for.
+Attendances = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def attendances_of(attendances: Attendances, events: DataFrame) -> DataFrame:
+    """The attendances of the events."""
+    ids = events.select("event_id")
+    return attendances.join(ids, "event_id", "left_semi") if isinstance(attendances, DataFrame) else attendances(ids)
+
+
+def scored_events(events: DataFrame, people: DataFrame, attendances: Attendances, viewer: Viewer, radius_m: float, as_of_filter: Column, bounds: geo.Box | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """The events near the viewer that nothing rules out, with distance, score and signed_count, how many go.
 
     events has event_id, lat, lon, starts_at, tags, title, women_only,
@@ -92,7 +103,7 @@ def scored_events(events: DataFrame, people: DataFrame, attendances: DataFrame,
     minute = time.warsaw_minute(F.col("starts_at"))
     for drop in drop_conditions(viewer, F.col("tags"), F.col("women_only"), F.concat(F.col("tags"), F.array("title")), minute):
         near = near.filter(~drop)
-    going = attendances.join(near.select("event_id"), "event_id", "left_semi")
+    going = attendances_of(attendances, near)
     if vectors is not None:
         near = near.join(vectors.select("event_id", "embedding"), "event_id", "left")
     near = near.join(attendee_stats(people, going, viewer), "event_id", "left").withColumn("signed_count", F.coalesce("signed_count", F.lit(0)))
@@ -100,7 +111,7 @@ def scored_events(events: DataFrame, people: DataFrame, attendances: DataFrame,
     return near.withColumn("score", _score(viewer, F.col("people"), F.col("distance_m"), match, minute, F.col("promoted")))
 
 
-def rank_events(events: DataFrame, people: DataFrame, attendances: DataFrame, viewer: Viewer, radius_m: float, as_of_filter: Column, bounds: geo.Box | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def rank_events(events: DataFrame, people: DataFrame, attendances: Attendances, viewer: Viewer, radius_m: float, as_of_filter: Column, bounds: geo.Box | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """The best events near the viewer, or in the box: a cold viewer's by time, others' by score. Ties end at the id, so the order is total."""
     if viewer.cold:
         return _near(events, viewer, radius_m, as_of_filter, bounds).withColumn("score", F.lit(0.0)).orderBy("starts_at", "distance_m", "event_id").limit(COLD_LIMIT)
@@ -118,16 +129,20 @@ def likeness(people: DataFrame, viewer: Viewer) -> Column:
 
 
 def attendee_stats(people: DataFrame, attendances: DataFrame, viewer: Viewer) -> DataFrame:
-    """(event_id, people, signed_count): of those who go the mean likeness, as far as they are known, and the number."""
+    """(event_id, people, signed_count) of the events of a page: of those who go the mean likeness, as far as they are known, and the number."""
     going = attendances.filter("status = 'going'").select("event_id", "user_id")
-    attending = people.join(going.select("user_id"), "user_id", "left_semi")
-    rated = attending.select("user_id", likeness(attending, viewer).alias("like"))
-    return going.join(rated, "user_id", "left").groupBy("event_id").agg(F.avg("like").alias("people"), F.count("*").alias("signed_count"))
+    # Likeness is computed above the join, of who attends, and not of all people below it.
+    profile = [c for c in ("age_band", "sportiness", "tags", "embedding", "notes") if c in people.columns]
+    met = going.join(people.select("user_id", *profile, F.lit(True).alias("_known")), "user_id", "left")
+    rated = met.select("event_id", F.when(F.col("_known"), likeness(met, viewer)).alias("like"))
+    return rated.groupBy("event_id").agg(F.avg("like").alias("people"), F.count("*").alias("signed_count"))
 
 
 def attendee_likeness(people: DataFrame, attendances: DataFrame, viewer: Viewer) -> DataFrame:
-    """(event_id, people): the mean likeness of those who go."""
-    return attendee_stats(people, attendances, viewer).filter("people IS NOT NULL").select("event_id", "people")
+    """(event_id, people): the mean likeness of those who go, for any number of events: each person is rated once."""
+    rated = people.select("user_id", likeness(people, viewer).alias("like"))
+    going = attendances.filter("status = 'going'").select("event_id", "user_id")
+    return going.join(rated, "user_id").groupBy("event_id").agg(F.avg("like").alias("people"))
 
 
 def rank_people(people: DataFrame, locations: DataFrame, viewer: Viewer) -> DataFrame:
@@ -206,9 +221,8 @@ def rank_events_for(events: DataFrame, people: DataFrame, attendances: DataFrame
     """
     known = _viewers(viewers)
     near = _near_viewers(events.filter(as_of_filter), known, vectors, radius_m)
-    going = attendances.filter("status = 'going'").select("event_id", "user_id").join(near.select("event_id"), "event_id", "left_semi")
-    attending = people.join(going.select("user_id"), "user_id", "left_semi")
-    theirs = attending.select("user_id", F.struct("age_band", "sportiness", "tags", _given(people, "embedding", "array<double>").alias("embedding"), _given(people, "notes", "array<string>").alias("notes")).alias("_them"))
+    going = attendances.filter("status = 'going'").select("event_id", "user_id")
+    theirs = people.select("user_id", F.struct("age_band", "sportiness", "tags", _given(people, "embedding", "array<double>").alias("embedding"), _given(people, "notes", "array<string>").alias("notes")).alias("_them"))
     own = known.filter("NOT cold").select("viewer", F.struct(*VIEWER_COLUMNS).alias("_me"))
     met = near.join(going, "event_id", "left").join(theirs, "user_id", "left").join(own, "viewer", "left")
     me, them = F.col("_me"), F.col("_them")

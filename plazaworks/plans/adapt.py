@@ -43,14 +43,16 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def attendances(spark: SparkSession, d: str) -> DataFrame:
-    """The latest status of each (event, user).
+def attendances(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """The latest status of each (event, user), or of those of a table of event_ids, to which the log is reduced first.
 
     Statuses are three, so the log holds their number: all its columns are of
     fixed width then, and the aggregate hashes.
     """
     code = F.expr("CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END").alias("code")
     log = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("user_id"), code, "l_linenumber", "l_partkey")
+    if of is not None:
+        log = log.join(of, "event_id", "left_semi")
     latest = latest_wins(log, ["event_id", "user_id"], ["l_linenumber", "l_partkey"])
     return latest.select("event_id", "user_id", F.expr("CASE code WHEN 0 THEN 'going' WHEN 1 THEN 'cancelled' ELSE 'completed' END").alias("status"))
 

@@ -113,9 +113,13 @@ warm AS (SELECT near.*, (coalesce(0.45 * people, 0) + 0.25 * exp(-distance_m / 2
 top AS (SELECT * FROM warm ORDER BY score DESC, distance_m, starts_at, event_id LIMIT 50)"""
 
 
+def _attended(spark, d):
+    return lambda ids: adapt.attendances(spark, d, ids)
+
+
 def _warm(spark, d):
     placed = adapt.events(spark, d).join(adapt.places(spark, d), "place_id")
-    return ranking.rank_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), VIEWER, RADIUS, filters.live(AS_OF))
+    return ranking.rank_events(placed, adapt.people(spark, d), _attended(spark, d), VIEWER, RADIUS, filters.live(AS_OF))
 
 
 @query("rank_events_bare", f"{_WARM} SELECT event_id, round(score, 6) AS score, round(distance_m, 3) AS distance_m FROM top")
@@ -127,7 +131,7 @@ def rank_events_bare(spark, d):
 def event_score_bare(spark, d):
     """The score of every event that isn't ruled out, without the limit of a page."""
     placed = adapt.events(spark, d).join(adapt.places(spark, d), "place_id")
-    return ranking.scored_events(placed, adapt.people(spark, d), adapt.attendances(spark, d), VIEWER, RADIUS, filters.live(AS_OF)).select("event_id", F.round("score", 6).alias("score"))
+    return ranking.scored_events(placed, adapt.people(spark, d), _attended(spark, d), VIEWER, RADIUS, filters.live(AS_OF)).select("event_id", F.round("score", 6).alias("score"))
 
 
 @query("rank_events_cold", f"{ctes('evs', 'places', 'live')} SELECT event_id, 0e0 AS score, round({distance()}, 3) AS distance_m FROM live WHERE {distance()} <= 30000 ORDER BY starts_at, {distance()}, event_id LIMIT 40")
@@ -255,12 +259,12 @@ def mean_attendee_sim(spark, d):
 
 @query("event_score", f"{_RICH_WARM} SELECT event_id, round(score, 6) AS score FROM warm")
 def event_score(spark, d):
-    scored = ranking.scored_events(_placed_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF), vectors=_vectors(spark, d, "event_id"))
+    scored = ranking.scored_events(_placed_events(spark, d), _rich_people(spark, d), _attended(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF), vectors=_vectors(spark, d, "event_id"))
     return scored.select("event_id", F.round("score", 6).alias("score"))
 
 
 def _rich_warm(spark, d, bounds=None):
-    return ranking.rank_events(_placed_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF), bounds, _vectors(spark, d, "event_id"))
+    return ranking.rank_events(_placed_events(spark, d), _rich_people(spark, d), _attended(spark, d), _rich_viewer(spark, d), RADIUS, filters.live(AS_OF), bounds, _vectors(spark, d, "event_id"))
 
 
 @query("rank_events_warm", f"{_RICH_WARM} SELECT event_id, round(score, 6) AS score, round(distance_m, 3) AS distance_m FROM top")

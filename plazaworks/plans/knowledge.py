@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plazaworks.functions.similarity import cosine_with
-from plazaworks.operators import chat, filters, joins, library, mutations, paging, search
+from plazaworks.operators import chat, filters, joins, library, mutations, paging, search, trigrams
 from plazaworks.plans import adapt
 from plazaworks.plans.adapt import ctes
-from plazaworks.plans.registry import query, table
+from plazaworks.plans.registry import ORACLES, query, table
 from plazaworks.plans.scalars import trigram_sql
 
 C = F.col
@@ -50,6 +50,58 @@ def hybrid_search(spark, d):
     return search.hybrid(docs, chunks, title, _vector(spark, d), 0.25, 0.12, 0.12).withColumn("score", F.round("score", 6))
 
 
+def _library(spark, d):
+    """(documents, title of the third): the query's words are one row."""
+    items = table(spark, d, "benchmark")
+    docs = items.select(C("item_id").alias("doc"), C("text").alias("title"), F.expr("substring(text, 20)").alias("digest"), F.concat(F.lit("u"), (C("item_id") % 30).cast("string")).alias("url"))
+    return docs, items.filter("item_id = 3").first()["text"]
+
+
+@query("hybrid_search_listed", ORACLES["hybrid_search"])
+def hybrid_search_listed(spark, d):
+    """By lists of trigrams instead of a scan of all titles and digests."""
+    docs, title = _library(spark, d)
+    chunks = adapt.chunks(spark, d).withColumn("doc", C("doc").cast("long"))
+    indexes = {"titles": trigrams.listed(docs, "doc", "title"), "digests": trigrams.listed(docs, "doc", "digest")}
+    return search.hybrid(docs, chunks, title, _vector(spark, d), 0.25, 0.12, 0.12, **indexes).withColumn("score", F.round("score", 6))
+
+
+@query("title_search", f"WITH docs AS ({_DOCS}) SELECT doc, round(t, 6) AS score FROM (SELECT doc, {trigram_sql('title', _TITLE)} AS t FROM docs) WHERE t >= 0.12")
+def title_search(spark, d):
+    docs, title = _library(spark, d)
+    return trigrams.similar(trigrams.listed(docs, "doc", "title"), docs, "doc", "title", title, 0.12).select("doc", F.round("score", 6).alias("score"))
+
+
+@query("substring_search", f"{ctes('messages')} SELECT id FROM messages WHERE contains(lower(body), 'ing th')")
+def substring_search(spark, d):
+    """Messages that hold a part of a text, found by the lists of its trigrams."""
+    read = adapt.messages(spark, d)
+    return trigrams.holding(trigrams.listed(read, "id", "body"), read, "id", "body", "ing Th").select("id")
+
+
+_SHOWN_DOCS = "SELECT item_id AS doc, CASE WHEN item_id % 2 = 0 THEN 'CC BY 4.0' END AS licence FROM benchmark"
+_HIT_CTES = ORACLES["hybrid_search"].rpartition("\nSELECT doc, url")[0]
+
+
+@query(
+    "library_hits",
+    f"""{_HIT_CTES}, hit AS (SELECT doc, url, title, digest, score, CASE WHEN cosine >= 0.25 THEN chunk END AS chunk FROM h WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, title, doc) = 1)
+SELECT doc, round(score, 6) AS score, licence, CASE WHEN chunk IS NULL THEN digest ELSE 'chunk ' || chunk END AS snippet, CASE WHEN doc % 4 = 0 THEN '' ELSE 'A' || doc % 4 || ',B' || doc % 5 END AS categories, CASE WHEN doc % 3 <> 0 THEN 'film/' || (doc % 7 + 1) END AS film_url FROM hit JOIN ({_SHOWN_DOCS}) USING (doc)""",
+)
+def library_hits(spark, d):
+    docs, title = _library(spark, d)
+    chunks = adapt.chunks(spark, d).withColumn("doc", C("doc").cast("long"))
+    hits = search.hybrid(docs, chunks, title, _vector(spark, d), 0.25, 0.12, 0.12)
+    k = C("doc")
+    named = lambda slug, letter, n: docs.filter(k % 4 != 0).select("doc", F.lit(slug).alias("slug"), F.concat(F.lit(letter), (k % n).cast("string")).alias("name"))
+    link = lambda i, kind, step: docs.select("doc", F.lit(i).alias("id"), F.when(k % 3 == 0, "page").otherwise(kind).alias("kind"), F.concat(F.lit("film/"), (k % 7 + step).cast("string")).alias("url"))
+    links = link(2, "video", 2).unionByName(link(1, "video", 1)).unionByName(link(0, "zip", 0))
+    described = docs.withColumn("licence", F.when(k % 2 == 0, "CC BY 4.0"))
+    bodies = chunks.select("chunk", F.concat(F.lit("chunk "), C("chunk").cast("string")).alias("body"))
+    found = search.shown(hits, described, bodies, named("b", "B", 5).unionByName(named("a", "A", 4)), links)
+    return found.select("doc", F.round("score", 6).alias("score"), "licence", "snippet", F.array_join("categories", ",").alias("categories"), "film_url")
+
+
 @query(
     "hybrid_search_category",
     f"""WITH docs AS ({_DOCS} WHERE item_id % 3 = 1 AND item_id % 4 <> 0), best AS (SELECT label AS doc, chunk, score AS cosine FROM (SELECT e.label, e.vec_id AS chunk, {_COS} AS score FROM embeddings e, {_QUERY} q) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, chunk) = 1),
