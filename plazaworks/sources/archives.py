@@ -8,7 +8,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from html import unescape
 from typing import BinaryIO
 
@@ -149,10 +149,17 @@ def read_members(members: DataFrame) -> DataFrame:
                 if len(broken):
                     yield _frame([(name, None, None, None, None, None, note) for note in broken["note"]], READ)
                 rows = rows[rows["ordinal"].notna()]
-                if len(rows):
-                    with opened(name) as file, zipfile.ZipFile(file) as archive:
-                        for row in rows.itertuples(index=False):
-                            yield _frame([read(archive, row)], READ)
+                if not len(rows):
+                    continue
+                with ExitStack() as stack:
+                    try:
+                        archive = stack.enter_context(zipfile.ZipFile(stack.enter_context(opened(name))))
+                    except Exception as error:  # noqa: BLE001 - gone or changed since it was listed
+                        note = f"unreadable: {type(error).__name__}: {error}"
+                        yield _frame([(name, row.path, row.byte_len, None, kind_of(row.path), None, note) for row in rows.itertuples(index=False)], READ)
+                        continue
+                    for row in rows.itertuples(index=False):
+                        yield _frame([read(archive, row)], READ)
 
     return members.repartition("archive", "ordinal").mapInPandas(work, READ)
 

@@ -59,23 +59,27 @@ class HashEmbedder:
 def with_vectors(df: DataFrame, embedder: Embedder, text: str = "body", kind: str = "passage", batch: int = 64) -> DataFrame:
     """df with columns embedding and embedding_model; a blank or null text has a model but no vector.
 
-    A result of the wrong number or length fails the task.
+    Texts of a batch that the embedder fails on, or answers with vectors of
+    another number or length, have neither: they stay stale and are tried again.
     """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame[text].fillna("").str.strip()
             vectors: list[list[float] | None] = [None] * len(frame)
+            models: list[str | None] = [embedder.model] * len(frame)
             filled = [i for i, t in enumerate(texts) if t]
             for k in range(0, len(filled), batch):
                 part = filled[k : k + batch]
-                found = embedder.embed([PREFIX[kind] + texts.iloc[i] for i in part])
-                if len(found) != len(part) or any(len(v) != embedder.dim for v in found):
-                    raise ValueError(f"{embedder.model} gave vectors of another number or length")
-                for i, v in zip(part, found, strict=True):
-                    vectors[i] = v
-            yield frame.assign(embedding=vectors, embedding_model=embedder.model)
+                try:
+                    found = embedder.embed([PREFIX[kind] + texts.iloc[i] for i in part])
+                except Exception:  # noqa: BLE001 - whatever a service fails with concerns its texts only
+                    found = []
+                sound = len(found) == len(part) and all(len(v) == embedder.dim for v in found)
+                for i, v in zip(part, found if sound else [None] * len(part), strict=True):
+                    vectors[i], models[i] = v, embedder.model if sound else None
+            yield frame.assign(embedding=vectors, embedding_model=models)
 
     bare = df.drop("embedding", "embedding_model")
-    schema = bare.select("*", F.lit(None).cast("array<float>").alias("embedding"), F.lit("").alias("embedding_model")).schema
+    schema = bare.select("*", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model")).schema
     return bare.mapInPandas(work, schema)
