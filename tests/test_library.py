@@ -111,7 +111,31 @@ def test_appended_ids_ascend_after_the_largest(spark):
     assert mutations.appended(old.limit(0), new.limit(1), ["body"]).first().id == 1 and mutations.appended(old, new.limit(0), ["body"]).count() == 0
 
 
-def test_common_file_names_stay_apart(spark):
-    entries = spark.createDataFrame([(f"pack{k}/readme.txt",) for k in range(50)] + [("Docs/A  b.PDF",), ("deep/er/x.doc",), ("x.doc",)], "path string")
-    asked = spark.createDataFrame([("readme.txt",), ("pack7/README.txt",), ("a b.pdf",), ("x.doc",), ("er/x.doc",), ("none",), ("ocs/a b.pdf",), ("readme.txt",)], "asked string")
-    assert {r.asked: r.path for r in library.resolved_paths(asked, entries).collect()} == {"pack7/README.txt": "pack7/readme.txt", "a b.pdf": "Docs/A  b.PDF", "x.doc": "x.doc", "er/x.doc": "deep/er/x.doc"}
+def test_paths_are_resolved_from_both_ends(spark):
+    files = {1: [f"pack{k}/readme.txt" for k in range(50)] + ["Docs/Raport kon cowy.pdf", "a/b.txt", "Docs/A  b.PDF", "deep/er/x.doc", "x.doc"], 2: ["only.txt"], 3: ["A.txt", "a.TXT", "c d.txt"], 4: []}
+    asked = {
+        1: ["readme.txt", "pack7/README.txt", "ocs/raportkoncowy.pdf", "raport koncowy.pdf", '"a/b.txt"', " zip/a/b.txt ", "a b.pdf", "ocs/a b.pdf", "x.doc", "er/x.doc", "none", "readme.txt", ".pdf", "", "my/x.doc", None],
+        2: ["", "ly.t xt", '""', "the only.txt", "only.txt.bak"], 3: ["a.txt", "A.txt", "z/a.txt", "d.txt"], 4: ["x"], 5: ["x"],
+    }
+    wanted = {
+        (1, "pack7/README.txt"): "pack7/readme.txt", (1, "ocs/raportkoncowy.pdf"): "Docs/Raport kon cowy.pdf", (1, "raport koncowy.pdf"): "Docs/Raport kon cowy.pdf", (1, '"a/b.txt"'): "a/b.txt", (1, " zip/a/b.txt "): "a/b.txt",
+        (1, "a b.pdf"): "Docs/A  b.PDF", (1, "ocs/a b.pdf"): "Docs/A  b.PDF", (1, "x.doc"): "x.doc", (2, ""): "only.txt", (2, '""'): "only.txt", (2, "ly.t xt"): "only.txt", (2, "the only.txt"): "only.txt", (3, "A.txt"): "A.txt", (3, "d.txt"): "c d.txt",
+        (1, "my/x.doc"): "x.doc",
+    }
+    entries = spark.createDataFrame([(k, p) for k, ps in files.items() for p in ps], "doc int, path string")
+    found = library.resolved_paths(spark.createDataFrame([(k, p) for k, ps in asked.items() for p in ps], "doc int, asked string"), entries, ["doc"])
+    rows = {(r.doc, r.asked): r.path for r in found.collect()}
+
+    def plain(k, path):
+        want = path.strip().strip('"')
+        if want in files.get(k, []):
+            return want
+        fold = lambda x: "".join(x.split()).lower()
+        fits = [p for p in files.get(k, []) if fold(p).endswith(fold(want)) or fold(want).endswith(fold(p))]
+        return fits[0] if len(fits) == 1 else None
+
+    assert rows == wanted == {(k, p): x for k, ps in asked.items() for p in ps if p is not None and (x := plain(k, p))}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    known = spark.createDataFrame([(k, p, files[k]) for k in (1, 2, 3, 4) for p in asked[k] if p is not None], "doc int, asked string, known array<string>")
+    assert {(r.doc, r.asked) for r in known.filter(library.names_one(F.col("asked"), F.col("known"))).collect()} == wanted.keys()
