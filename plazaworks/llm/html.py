@@ -40,12 +40,14 @@ _HIDDEN_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related reply replies respond searchbox share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 #: Those of them whose elements may well hold more text than the page's article; its share of high lines says nothing for them.
-_NEVER_WRAPPERS = frozenset("ad ads adsense advert adverts advertisement advertising adbox comment comments consent cookie cookies disclaimer disqus gdpr notice notices promo promoted promotion recommended related reply replies respond sponsor sponsored".split())
+_NEVER_WRAPPERS = frozenset("ad ads adsense advert adverts advertisement advertising adbox comment comments consent cookie cookies disclaimer disqus gdpr notice notices popup promo promoted promotion recommended related reply replies respond share sharing sponsor sponsored".split())
+#: Words that, anywhere in a class or an id, name a notice that asks for consent.
+_CONSENT = frozenset("cookie cookies consent gdpr".split())
 #: The same for an article, which may well be free of ads.
 _OTHER_ARTICLES = frozenset("advert advertisement comment comments promo recommended related replies reply sponsored teaser".split())
 #: Words that make a class or id tell of a state or a kind, before or at the end of it; and words for what only holds the word before it.
 _STATES, _ENDS_OF_STATES = frozenset("has with without no non not is category tag format type status".split()), frozenset("open opened closed off none free less enabled disabled on".split())
-_HOLDERS = frozenset("area bar block body box container content form group holder inner item items left link links list panel right section slot text unit widget wrap wrapper".split())
+_HOLDERS = frozenset("area bar block body box button buttons container content form group holder inner item items left link links list overlay panel right section slot text unit widget wrap wrapper".split())
 #: Open elements that a start tag ends, besides a paragraph, and those it doesn't look beyond.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "body": {"html"}}
@@ -89,6 +91,8 @@ def head_of(name: str) -> str:
     That is the name's last word (comments of post-comments), or the one before a word for what holds it (comment of comment-list).
     """
     words = [x for x in re.findall(r"[a-z]+|[0-9]+(?=[a-z])", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if x]
+    if _CONSENT & set(words) and words[-1] in _CONSENT | _HOLDERS | {"banner", "notice", "popup", "modal", "dialog", "message"}:
+        return "consent"
     if not words or _STATES & set(words[:-1]) or len(words) > 1 and words[-1] in _ENDS_OF_STATES:
         return ""
     return words[0] if len(words) == 2 and words[1] in _HOLDERS else words[-1]
@@ -245,8 +249,8 @@ class _Lines(HTMLParser):
 
 def lines_of(html: str, names: bool = True) -> list[Line]:
     parser = _Lines(names)
-    for k in range(0, len(html), 1 << 16):
-        parser.feed(html[k : k + (1 << 16)])
+    # At once: of a tag that doesn't end the parser keeps nothing, and would begin it anew with each part.
+    parser.feed(html)
     parser.close()
     return parser.lines
 
@@ -272,17 +276,32 @@ def high_lines(lines: list[Line], sigma: float = SIGMA, threshold: float = THRES
     return [y and not x.hidden and 2 * x.linked < len(x.text) for x, y in zip(lines, reached, strict=True)]
 
 
+#: An article that begins with a link is another story's teaser if the largest article is so many times its size.
+TEASER = 3
+
+
+def _teasers(lines: list[Line], regions: dict[int, int], content: set[int]) -> set[int]:
+    sizes, firsts = dict.fromkeys(content, 0), {}
+    for i, region in regions.items():
+        if region in content:
+            sizes[region] += len(lines[i].text)
+            firsts.setdefault(region, lines[i])
+    largest = max(sizes.values())
+    return {r for r, x in firsts.items() if 2 * x.linked >= len(x.text) and TEASER * sizes[r] < largest}
+
+
 def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
     """The main text of a page, its blocks joined by \\n; empty if there is none.
 
     Regions are the page's articles, without any its main element, without that its sections.
     Those with a high line that isn't mostly links are content and stay whole;
-    if there is no such line, all.
+    if there is no such line, all. Of several articles a small one that begins
+    with a link tells of another page's story, and isn't content.
     White space in a block is one blank. Where names of classes and ids hide
     every line, they hide none.
     """
     lines = lines_of(html or "")
-    if all(x.hidden for x in lines):
+    if lines and all(x.hidden for x in lines):
         lines = lines_of(html or "", names=False)
     shown = [i for i, x in enumerate(lines) if not x.hidden]
     if not shown:
@@ -290,6 +309,8 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     regions = {i: lines[i].article for i in shown if lines[i].article} or {i: 0 for i in shown if lines[i].main} or {i: lines[i].section for i in shown}
     high = high_lines(lines, sigma, threshold)
     content = {regions[i] for i in regions if high[i]} or set(regions.values())
+    if len(content) > 1 and any(x.article for x in lines):
+        content -= _teasers(lines, regions, content)
     return "\n".join(lines[i].text for i in regions if regions[i] in content)
 
 

@@ -33,14 +33,14 @@ SIGNATURES = {
     "apache-1.1": (["apache (?:software )?licen[cs]e (?:version |v )?1 1"], ["apache 1 1"], "apache org licenses license 1 1"),
     "apache-2": (["apache (?:software )?licen[cs]e(?: version| v)? ?2(?: 0)?", "apache 2(?: 0)? licen[cs]e", "asl 2(?: 0)?"], ["apache 2 0"], "apache org licenses license 2 0"),
     "gpl-1": (["gnu general public licen[cs]e(?: version| v)? ?1(?: 0)?"], ["gpl 1 0", "gpl 1 0 only", "gpl 1 0 or later"], None),
-    "gpl-2": (["(?:gnu )?general public licen[cs]e(?: version| v)? ?2(?: 0)?"], ["gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"], "gnu org licenses old licenses gpl 2 0"),
-    "gpl-3": (["(?:gnu )?general public licen[cs]e(?: version| v)? ?3(?: 0)?"], ["gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"], "gnu org licenses gpl 3 0"),
+    "gpl-2": (["(?:gnu )?general public licen[cs]e(?: version| v)? ?2(?: 0)?", "(?:gnu )?gpl ?v(?:ersion)? ?2(?: 0)?(?: only| or later)?", "gpl 2 0(?: only| or later)?"], ["gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"], "gnu org licenses old licenses gpl 2 0"),
+    "gpl-3": (["(?:gnu )?general public licen[cs]e(?: version| v)? ?3(?: 0)?", "(?:gnu )?gpl ?v(?:ersion)? ?3(?: 0)?(?: only| or later)?", "gpl 3 0(?: only| or later)?"], ["gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"], "gnu org licenses gpl 3 0"),
     "gpl": (["gnu general public licen[cs]e", "gnu gpl"], ["gpl"], "gnu org licenses gpl"),
     "lgpl-2": (["gnu library general public licen[cs]e(?: version| v)? ?2(?: 0)?"], ["lgpl 2 0", "lgpl 2 0 only", "lgpl 2 0 or later"], None),
-    "lgpl-2.1": (["gnu lesser general public licen[cs]e(?: version| v)? ?2 1"], ["lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later"], "gnu org licenses old licenses lgpl 2 1"),
-    "lgpl-3": (["gnu lesser general public licen[cs]e(?: version| v)? ?3(?: 0)?"], ["lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"], "gnu org licenses lgpl 3 0"),
+    "lgpl-2.1": (["gnu lesser general public licen[cs]e(?: version| v)? ?2 1", "(?:gnu )?lgpl ?v(?:ersion)? ?2 1(?: only| or later)?", "lgpl 2 1(?: only| or later)?"], ["lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later"], "gnu org licenses old licenses lgpl 2 1"),
+    "lgpl-3": (["gnu lesser general public licen[cs]e(?: version| v)? ?3(?: 0)?", "(?:gnu )?lgpl ?v(?:ersion)? ?3(?: 0)?(?: only| or later)?", "lgpl 3 0(?: only| or later)?"], ["lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"], "gnu org licenses lgpl 3 0"),
     "lgpl": (["gnu (?:lesser|library) general public licen[cs]e"], ["lgpl"], "gnu org licenses lgpl"),
-    "agpl-3": (["gnu affero general public licen[cs]e(?: version| v)? ?3(?: 0)?"], ["agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"], "gnu org licenses agpl 3 0"),
+    "agpl-3": (["gnu affero general public licen[cs]e(?: version| v)? ?3(?: 0)?", "(?:gnu )?agpl ?v(?:ersion)? ?3(?: 0)?(?: only| or later)?", "agpl 3 0(?: only| or later)?"], ["agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"], "gnu org licenses agpl 3 0"),
     "agpl": (["(?:gnu )?affero general public licen[cs]e"], ["agpl 1 0"], "gnu org licenses agpl"),
     "gfdl": (["gnu free documentation licen[cs]e(?: version 1 [123])?"], ["gfdl 1 1", "gfdl 1 2", "gfdl 1 3"], "gnu org licenses fdl"),
     "bsd-2": (["(?:simplified|freebsd|2 clause|two clause) bsd licen[cs]e", "bsd 2 clause(?: licen[cs]e)?"], ["bsd 2 clause"], "opensource org licenses bsd 2 clause"),
@@ -209,6 +209,10 @@ NOTICES = {
 _GRANT = "(?:licen[cs]ed|released|distributed|available|published|provided|governed|covered|redistributed) (?:under|by|according to) (?:the )?(?:terms of )?(?:the )?"
 
 
+#: What an SPDX expression follows, and identifiers before one in it, which bounds how far a rule looks back.
+_SPDX, MOST_IDS = "spdx license identifier", 6
+
+
 @dataclass(frozen=True)
 class Rule:
     """priority: 4 identifiers, 3 addresses and notices, 2 grants, 1 bare names."""
@@ -229,8 +233,12 @@ def _keyword(name: str) -> str:
 def _rules() -> tuple[Rule, ...]:
     """Each expression stands between blanks, so that it neither starts nor ends within a word."""
     found = []
+    known = "|".join(sorted({x for _, ids, _ in SIGNATURES.values() for x in ids}, key=lambda x: (-len(x), x)))
+    before = f"(?:(?:{known})(?: with [a-z0-9 ]{{1,40}} exception(?: [0-9] [0-9])?)? (?:and|or) ){{1,{MOST_IDS}}}"
     for label, (names, ids, address) in SIGNATURES.items():
         found += [Rule(label, f"spdx license identifier {x}", f"(?<= )spdx license identifier {x}(?= )", 4, 1.0) for x in ids]
+        # An identifier later in an expression is a detection of its own, so that none lies within another.
+        found += [Rule(label, _SPDX, f"(?<= ){x}(?= )(?<= {_SPDX} {before}{x})", 4, 1.0) for x in ids]
         found += [Rule(label, address, f"(?<= )(?:https? )?(?:www )?{address}(?: [0-9] [0-9])?(?= )", 3, 0.95)] * bool(address)
         for x in names:
             keyword = _keyword(x)
