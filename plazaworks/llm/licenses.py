@@ -209,8 +209,8 @@ NOTICES = {
 _GRANT = "(?:licen[cs]ed|released|distributed|available|published|provided|governed|covered|redistributed) (?:under|by|according to) (?:the )?(?:terms of )?(?:the )?"
 
 
-#: What an SPDX expression follows, and identifiers before one in it, which bounds how far a rule looks back.
-_SPDX, MOST_IDS = "spdx license identifier", 6
+#: What an SPDX expression follows, and a mark, no part of any word, in place of the blank before its later identifiers.
+_SPDX, _MARK = "spdx license identifier", "|"
 
 
 @dataclass(frozen=True)
@@ -233,12 +233,8 @@ def _keyword(name: str) -> str:
 def _rules() -> tuple[Rule, ...]:
     """Each expression stands between blanks, so that it neither starts nor ends within a word."""
     found = []
-    known = "|".join(sorted({x for _, ids, _ in SIGNATURES.values() for x in ids}, key=lambda x: (-len(x), x)))
-    before = f"(?:(?:{known})(?: with [a-z0-9 ]{{1,40}} exception(?: [0-9] [0-9])?)? (?:and|or) ){{1,{MOST_IDS}}}"
     for label, (names, ids, address) in SIGNATURES.items():
-        found += [Rule(label, f"spdx license identifier {x}", f"(?<= )spdx license identifier {x}(?= )", 4, 1.0) for x in ids]
-        # An identifier later in an expression is a detection of its own, so that none lies within another.
-        found += [Rule(label, _SPDX, f"(?<= ){x}(?= )(?<= {_SPDX} {before}{x})", 4, 1.0) for x in ids]
+        found += [Rule(label, f"{_SPDX} {x}", f"(?<= ){_SPDX} {x}(?= )", 4, 1.0) for x in ids]
         found += [Rule(label, address, f"(?<= )(?:https? )?(?:www )?{address}(?: [0-9] [0-9])?(?= )", 3, 0.95)] * bool(address)
         for x in names:
             keyword = _keyword(x)
@@ -250,6 +246,22 @@ def _rules() -> tuple[Rule, ...]:
 #: In order: of equal detections the earlier rule's stays.
 RULES = _rules()
 
+#: An identifier after the first of an expression is a detection of its own, so that none lies within another.
+LATER = tuple(Rule(label, _MARK + x, f"[{_MARK}]{x}(?= )", 4, 1.0) for label, (_, ids, _) in SIGNATURES.items() for x in ids)
+
+
+def _marked(text: Column) -> Column:
+    """Words, of the same length, with the mark before each later identifier of an SPDX expression.
+
+    An expression has known identifiers between and / or, each with an exception
+    or without. Each match begins where the last one ended, so that an expression
+    of any length is read through.
+    """
+    known = "|".join(sorted({x for _, ids, _ in SIGNATURES.values() for x in ids}, key=lambda x: (-len(x), x)))
+    exception = "(?: with (?:[a-z0-9]+ ){1,6}exception(?: [0-9] [0-9])?)?"
+    pattern = rf"(\G(?!^)|(?<= ){_SPDX} )((?:{known}){exception} (?:and|or)) (?=(?:{known})[ ])"
+    return F.when(F.contains(text, F.lit(_SPDX)), F.regexp_replace(text, pattern, rf"$1$2{_MARK}")).otherwise(text)
+
 
 #: Words that any text may have: no gates.
 _PROSE = frozenset(
@@ -262,9 +274,10 @@ def gates(rules: tuple[Rule, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
 
     For each keyword one of its words is among the strings, if possible a long
     one, and those that most keywords have first; keywords of words too short
-    for that are expressions.
+    for that are expressions. An expression's later identifiers need none, as
+    its first one is found by a rule too.
     """
-    left = {k: {w for w in re.findall("[a-z0-9]+", k) if len(w) > 2} - _PROSE for k in (*(r.keyword for r in rules), *BASE)}
+    left = {k: {w for w in re.findall("[a-z0-9]+", k) if len(w) > 2} - _PROSE for k in (*(r.keyword for r in rules if r.keyword[0] != _MARK), *BASE)}
     short = {" ".join(k.split()) for k, words in left.items() if not words}
     short = {k for k in short if not any(x != k and x in k for x in short)}
     left = {k: {w for w in words if len(w) > 4} or {max(sorted(words), key=len)} for k, words in left.items() if words}
@@ -337,13 +350,14 @@ def _without_contained(found: Column) -> Column:
     return F.aggregate(found, start, add, lambda s: s["kept"])
 
 
-def with_licenses(df: DataFrame, text: str = "text", name: str = "licenses", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def with_licenses(df: DataFrame, text: str = "text", name: str = "licenses", rules: tuple[Rule, ...] = RULES + LATER) -> DataFrame:
     """df with a struct column of what was found in the whole text.
 
     n_words, n_base, first_word and last_word (long), base_labels and labels
     (distinct, sorted, comma-joined), score, and found: the detections left,
     with start and stop as places in the text of lower-case words that begins
-    and ends with a blank. A null or empty text has no words, no labels and
+    and ends with a blank, in which a | stands before the later identifiers
+    of an SPDX expression. A null or empty text has no words, no labels and
     score 0. Rows and other columns stay as they are, whatever the names; an
     empty table gives an empty table.
     """
@@ -357,8 +371,10 @@ def with_licenses(df: DataFrame, text: str = "text", name: str = "licenses", rul
     read = read.select(*keep, t, F.size(F.array_remove(F.split(c(t), _GAP), "")).cast("long").alias(n), gate.alias(g))
     lower = F.array_remove(F.split(F.translate(c(t), UPPER, LOWER), _LOWER_GAP), "")
     read = read.select(*keep, n, F.when(c(g), lower).alias(w))
-    read = read.select(*keep, n, _base_hits(c(w)).alias(h), F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias(d))
-    read = read.select(*keep, n, h, _without_contained(_detections(c(d), _rule_table(rules))).alias(x))
+    read = read.select(*keep, n, _base_hits(c(w)).alias(h), _marked(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))).alias(d))
+    # Only marked texts can match the rules of later identifiers.
+    table = F.when(F.contains(c(d), F.lit(_MARK)), _rule_table(rules)).otherwise(_rule_table(tuple(r for r in rules if r.keyword[0] != _MARK)))
+    read = read.select(*keep, n, h, _without_contained(_detections(c(d), table)).alias(x))
     places = F.transform(c(h), lambda y: y["i"].cast("long"))
     base = F.transform(c(h), lambda y: y["label"])
     none = F.array().cast("array<string>")

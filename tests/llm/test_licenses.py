@@ -135,3 +135,21 @@ def test_keywords_stand_in_every_match_and_gates_in_every_keyword():
         texts = samples(r.pattern.replace("(?= )", "").replace("(?<= )", ""))
         assert texts and all(r.keyword in t for t in texts), r
         assert all(any(g in t for g in strings) or any(re.search(e, t) for e in expressions) for t in texts), r
+
+
+def test_short_forms_and_expressions(spark):
+    texts = {
+        "This file is GPLv2": "gpl-2",
+        "under GPLv3+ or, at your choice, LGPLv2.1+": "gpl-3,lgpl-2.1",
+        "licensed under GPL-2.0-or-later": "gpl-2",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2,mit",
+        "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND BSD-3-Clause": "bsd-3,gpl-2",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2",
+        "SPDX-License-Identifier: GPL-2.0 or later": "gpl-2",
+        "SPDX-License-Identifier: MIT or nothing": "mit",
+        "mit or apache 2 0": "",
+        "SPDX-License-Identifier: " + " OR ".join(["MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0"] * 40): "apache-2,bsd-2,bsd-3,isc,mit,mpl-2",
+    }
+    rows = {r.text: r.result for r in with_licenses(spark.createDataFrame([(t,) for t in texts], "text string"), name="result").collect()}
+    assert {t: r.labels for t, r in rows.items()} == texts
+    assert max(len(r.found) for r in rows.values()) == 240 and rows["SPDX-License-Identifier: (MIT OR Apache-2.0)"].score == 1.0
