@@ -42,15 +42,24 @@ def history(messages: DataFrame) -> DataFrame:
     return messages.orderBy("user_id", "created", "id")
 
 
-def _user_turns_after(messages: DataFrame) -> DataFrame:
-    newer = W.partitionBy("user_id").orderBy(F.desc("created"), F.desc("id"))
-    return messages.withColumn("_turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(newer)).withColumn("_own", (F.col("role") == "user").cast("int"))
+def _openers(messages: DataFrame, turns: int) -> DataFrame:
+    """(user_id, _said, _from): how many turns each user has, and the message that opens the turns-th last; the oldest of all if there are fewer.
+
+    Only the users' own messages are read, and of a user's no task passes on more than that many.
+    """
+    own = messages.filter(F.col("role") == "user").select("user_id", F.struct("created", "id").alias("_at"))
+    newest = W.partitionBy("user_id").orderBy(F.desc("_at"))
+    first = own.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= turns).groupBy("user_id").agg(F.min("_at").alias("_from"))
+    return own.groupBy("user_id").agg(F.count("*").alias("_said")).join(first, "user_id", "left")
 
 
 def recent_turns(messages: DataFrame, turns: int) -> DataFrame:
-    """Each user's last messages back to the one that opens the turns-th last turn."""
-    seen = _user_turns_after(messages)
-    return seen.filter(F.col("_turn") - F.col("_own") < turns).drop("_turn", "_own")
+    """Each user's last messages back to the one that opens the turns-th last turn; all of those who have fewer turns."""
+    if turns < 1:
+        return messages.limit(0)
+    met = messages.join(_openers(messages, turns), "user_id", "left")
+    few = F.coalesce("_said", F.lit(0)) < turns
+    return met.filter(few | (F.struct("created", "id") >= F.col("_from"))).select(*messages.columns)
 
 
 def older_than_recent(messages: DataFrame, turns: int = RECENT_TURNS, every: int = 1) -> DataFrame:
@@ -59,10 +68,9 @@ def older_than_recent(messages: DataFrame, turns: int = RECENT_TURNS, every: int
     Users with no more than that many turns have none, nor do those whose
     number of turns isn't a multiple of every.
     """
-    said = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(W.partitionBy("user_id"))
-    seen = _user_turns_after(messages).withColumn("_said", said)
-    due = (F.col("_said") > turns) & (F.col("_said") % every == 0)
-    old = seen.filter(due & (F.col("_turn") - F.col("_own") >= turns))
+    due = _openers(messages, turns).filter((F.col("_said") > turns) & (F.col("_said") % every == 0))
+    met = messages.select("user_id", "created", "id").join(due, "user_id")
+    old = met.filter(F.col("_from").isNull() | (F.struct("created", "id") < F.col("_from")))
     return old.groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("id", F.struct("created", "id")).alias("through"))
 
 

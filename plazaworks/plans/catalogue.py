@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plazaworks.plans import community, knowledge, scalars  # noqa: F401
+from plazaworks.plans import community, knowledge, scalars, snapshots  # noqa: F401
 from plazaworks.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

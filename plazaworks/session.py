@@ -1,8 +1,9 @@
-"""The package on the executors."""
+"""The package on the executors, and the folder they share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,14 @@ def shipped(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(target))
         _SHIPPED.add(context.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """The address of a new folder below spark.checkpoint.dir, which driver and executors share; a local session without it gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
+        base = "file://" + tempfile.mkdtemp(prefix="tables-")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
