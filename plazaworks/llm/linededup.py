@@ -70,6 +70,15 @@ def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def _own_session(spark: SparkSession) -> SparkSession:
+    """Another session of the application with the same settings, which may be changed without others noticing."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.get(k, None) != v:
+            own.conf.set(k, v)
+    return own
+
+
 @dataclass
 class LineRuns:
     """Levels of runs (h1, h2, doc): each key once, with the first document that has it.
@@ -77,6 +86,8 @@ class LineRuns:
     buckets: of all runs; with the session's number of shuffle partitions the
     keys of a batch fall into them without a second shuffle. Tables are made in
     the session's catalogue, their files in the shared folder; close() drops both.
+    Some settings of the session are changed while a batch is added, so it had
+    better be one of its own; batches must be of that session.
     """
 
     spark: SparkSession
@@ -131,9 +142,10 @@ class LineRuns:
         A key repeats if a run holds it, or more than one document of this
         batch; first is the document with the smallest id then. Documents of
         later batches have larger ids. last: no batch follows, nothing is added.
+        Lines without a document hold no key; an empty batch adds an empty run.
         """
         with self._planned():
-            keys = self.first_seen(lines.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("to")))
+            keys = self.first_seen(lines.filter(F.col("doc").isNotNull()).groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("to")))
             keys = self._write(keys, "lines-keys")
             if not last:
                 self.add(keys.filter(F.col("seen").isNull()).select("h1", "h2", "doc"))
@@ -161,22 +173,25 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str, min_chars: int, batche
     batch = sum(((F.col("doc") > bound).cast("int") for bound in bounds), F.lit(0))
     where = shared_dir(spark, "lines")
     lines.withColumn("batch", batch).write.partitionBy("batch").parquet(where)
-    lines = kept_at(spark.read.schema("doc long, row long, pos int, h1 long, h2 long, batch int").parquet(where), where)
-    buckets = max(spark.sparkContext.defaultParallelism, -(-lines.count() // BUCKET_LINES))
-    with _settings(spark, spark__sql__shuffle__partitions=str(buckets)):
+    own = _own_session(spark)
+    lines = kept_at(own.read.schema("doc long, row long, pos int, h1 long, h2 long, batch int").parquet(where), where)
+    buckets = max(own.sparkContext.defaultParallelism, -(-lines.count() // BUCKET_LINES))
+    with _settings(own, spark__sql__shuffle__partitions=str(buckets)):
         # The number that holds, if it may not be changed.
-        runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
-    parts = []
-    for k in range(len(bounds) + 1):
-        repeated = runs.add_batch(lines.filter(F.col("batch") == k), last=k == len(bounds))
-        parts.append(repeated.withColumn("batch", F.lit(k)))
-    # A line that very many documents hold makes one key heavy: here its rows may be split, as no bucket holds them together.
-    with _settings(spark, spark__sql__sources__bucketing__enabled="false"):
-        gone = lines.join(reduce(DataFrame.unionByName, parts), ["batch", "h1", "h2"]).filter(F.col("doc") > F.col("first"))
-        found = stored(gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("gone")), "lines-gone")
-    runs.close()
-    release(lines)
-    return found
+        runs = LineRuns(own, int(own.conf.get("spark.sql.shuffle.partitions")), fanout)
+    try:
+        parts = []
+        for k in range(len(bounds) + 1):
+            repeated = runs.add_batch(lines.filter(F.col("batch") == k), last=k == len(bounds))
+            parts.append(repeated.withColumn("batch", F.lit(k)))
+        # A line that very many documents hold makes one key heavy: here its rows may be split, as no bucket holds them together.
+        with _settings(own, spark__sql__sources__bucketing__enabled="false"):
+            gone = lines.join(reduce(DataFrame.unionByName, parts), ["batch", "h1", "h2"]).filter(F.col("doc") > F.col("first"))
+            found = stored(gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("gone")), "lines-gone")
+    finally:
+        runs.close()
+        release(lines)
+    return kept_at(spark.read.schema(found.schema).parquet(found._stored_at), found._stored_at)
 
 
 def with_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:

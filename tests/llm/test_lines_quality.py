@@ -138,3 +138,30 @@ def test_queries_on_the_small_table(spark):
     found = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in QUERIES["op3_line_dedup"](spark, folder).collect()}
     assert found == {k: (a, b, hashlib.sha256(t.encode()).hexdigest()) for k, (a, b, t) in plain_lines(docs).items()}
     assert {r.doc_id: tuple(r)[1:] for r in QUERIES["op5_quality_rules"](spark, folder).collect()} == {k: plain_quality(t) for k, t in docs}
+
+
+def test_a_failing_job_leaves_no_table_and_no_setting_behind(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a line of some length"), (2, "a line of some length\nand another")], "doc_id long, text string")
+    seen = []
+
+    def broken(df, tag):
+        seen.append(spark.conf.getAll)
+        raise RuntimeError("lost")
+
+    before = spark.conf.getAll
+    monkeypatch.setattr(linededup, "stored", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        with_line_dedup(docs, batches=2)
+    assert seen == [before] and spark.conf.getAll == before
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_settings_of_the_session_hold_for_the_work_on_lines(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7654321")
+    try:
+        own = linededup._own_session(spark)
+        assert own.conf.get("spark.sql.files.maxPartitionBytes") == "7654321"
+        own.conf.set("spark.sql.files.maxPartitionBytes", "1234567")
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "7654321"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
