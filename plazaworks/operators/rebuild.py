@@ -45,6 +45,13 @@ def planned(pages: DataFrame, state: DataFrame, key: str, version: str | int, fo
     return met.withColumn("work", work)
 
 
+def with_opened(answers: DataFrame, listed: DataFrame) -> DataFrame:
+    """Answers of sources.downloads with opened: false for those whose file sources.archives.listed_archives() couldn't open. Files have names of their own in any folder."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    broken = listed.filter("path IS NULL AND note IS NOT NULL").select(name(F.col("archive")).alias("_file"), F.lit(False).alias("opened")).distinct()
+    return answers.withColumn("_file", name(F.col("file"))).join(broken, "_file", "left").drop("_file")
+
+
 def settled(plan: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     """planned() rows with the answers for the archives: (key, page_sha256, work, zip_sha256, zip_etag, note).
 

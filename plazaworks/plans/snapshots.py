@@ -75,7 +75,7 @@ def rebuild_state(spark, d):
 def rebuild_reads(spark, d):
     """The pages that the steps after it read."""
     _, done, _ = _build(spark, d)
-    return rebuild.to_read(table(spark, d, "pages"), done, "page_id").select("page_id", F.length("html").alias("n_chars"))
+    return rebuild.to_read(table(spark, d, "pages"), done, "page_id").select("page_id", F.length("html").cast("long").alias("n_chars"))
 
 
 @query("bucket_upsert", ORACLES["upsert_coalesce"])

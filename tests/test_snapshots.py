@@ -1,13 +1,16 @@
 """Builds that skip what hasn't changed, tables changed by buckets, and histories laid out for paging."""
 
+import io
 import os
 import random
+import zipfile
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from plazaworks.operators import buckets, library, mutations, paging, rebuild, timeline
+from plazaworks.sources import archives, downloads
 
 STATE = "k int, page_sha256 string, digested boolean, agent_version string, zip_sha256 string, zip_etag string"
 PAGES = "k int, page_sha256 string, zip_url string"
@@ -91,6 +94,52 @@ def test_answers_and_the_state_after_a_build(spark, build):
     done.unpersist()
 
 
+def site_page(n, intro):
+    zipped = f'<a href="/files/{n}.zip">all files</a>' if n != 1 else ""
+    return f'<h2 class="page-title">Garden {n}</h2><div class="text-content"><p>{intro}</p><h4>Who</h4><p>Neighbours {n}.</p>{zipped}<h2'
+
+
+def test_builds_from_pages_and_archives(spark, tmp_path):
+    """Three builds one after the other, from the pages' HTML and a server's answers to what a later step reads."""
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        archive.writestr("a.txt", "words")
+    bodies = {"2": packed.getvalue(), "3": packed.getvalue() + b" ", "4": b"no archive"}
+
+    def fetch(url, etag):
+        n = url.rpartition("/")[2][0]
+        return downloads.Answer(304) if n == "2" and etag == "tag 2" else downloads.Answer(200, iter((bodies[n],)), None if n == "3" else f"tag {n}")
+
+    def build(pages, state, number):
+        read = spark.createDataFrame([(k, f"https://x.test/{k}", html) for k, html in pages.items()], "k int, url string, html string")
+        details = read.join(library.detail_pages(read, "https://x.test"), "url")
+        now = details.select("k", rebuild.page_fingerprint(F.col("title"), F.col("intro"), F.col("sections")).alias("page_sha256"), "zip_url")
+        plan = rebuild.planned(now, state, "k", "v1")
+        folder = f"file://{tmp_path}/{number}"
+        (tmp_path / str(number)).mkdir()
+        urls = plan.filter("work = 'download'").select("k", F.col("zip_url").alias("url"), "etag")
+        downloads.downloaded(urls, fetch, folder, wait_s=0).write.parquet(f"{folder}-answers")
+        answers = spark.read.parquet(f"{folder}-answers")
+        kept = [r.file for r in answers.filter("file IS NOT NULL").collect()]
+        listed = archives.listed_archives(spark, folder) if kept else spark.createDataFrame([], archives._MEMBER)
+        done = rebuild.settled(plan, rebuild.with_opened(answers, listed), "k")
+        none = spark.createDataFrame([], "k int")
+        work = {r.k: r.work for r in done.collect()}
+        assert {r.k for r in rebuild.to_read(read, done, "k").collect()} == {k for k in work if work[k] in ("page", "archive")}
+        rows = rebuild.state_after(state, done, none, "k", "v1").collect()
+        return work, spark.createDataFrame(rows, STATE)
+
+    pages = {n: site_page(n, f"About {n}") for n in (1, 2, 3, 4)}
+    work, state = build(pages, spark.createDataFrame([], STATE), 1)
+    assert work == {1: "page", 2: "archive", 3: "archive", 4: "page"}
+    # The same again: one is the same by its page, one by its ETag, two by their digests, be they archives or not.
+    work, state = build(pages, state, 2)
+    assert set(work.values()) == {"skip"}
+    # A changed page is digested, and its archive asked for without an ETag.
+    work, state = build(pages | {2: site_page(2, "Other words")}, state, 3)
+    assert work == {1: "skip", 2: "archive", 3: "skip", 4: "skip"}
+
+
 def test_a_build_of_nothing(spark):
     pages, state = spark.createDataFrame([], PAGES), spark.createDataFrame([], STATE)
     done = rebuild.settled(rebuild.planned(pages, state, "k", "v"), spark.createDataFrame([], ANSWERS), "k")
