@@ -213,7 +213,11 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; start counts the ids of all documents before it."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; start counts the ids of all documents before it.
+
+    Ids of documents that were null are null; a table without files gives no
+    rows. Rows of shards that repeat are read as often.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

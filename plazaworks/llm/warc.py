@@ -185,13 +185,19 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that rows of an index name, of any selection of them: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     A revisit has its digest from its own record, but no bytes; with_payloads() gives it those of its response.
+    Ids and URLs that were null are null, an empty payload is b''. Rows of the
+    index that repeat are read as often; an empty index gives no records.
     """
     ordered = index.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
     return ordered.select("file", "offset", "length", "url", "digest").mapInArrow(_reader(payloads), _RECORD)
 
 
 def with_payloads(records: DataFrame) -> DataFrame:
-    """records in which revisits have size and payload of the response they refer to, which must be among them."""
+    """records in which revisits have size and payload of the response they refer to, which must be among them.
+
+    Where it isn't, both stay null. A response without id is nobody's; several
+    of one id and digest have the same payload. No records give none.
+    """
     of = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("_of"), F.col("payload_digest").alias("_digest")).agg(F.first("payload_bytes").alias("_bytes"), F.first("payload").alias("_payload"))
     joined = records.join(of, (F.col("refers_to") == F.col("_of")) & (F.col("payload_digest") == F.col("_digest")), "left")
     return joined.select("page_id", "url", "record_type", "refers_to", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", F.coalesce("payload", "_payload").alias("payload"))

@@ -107,3 +107,17 @@ def test_unclosed_tags_take_linear_time():
         seconds(part * 500)
         small, large = (min(seconds("<p><div>" + "<i>" * 3 + part * n) for _ in range(3)) for n in (3000, 24000))
         assert large < 24 * small + 0.05, part
+
+
+def test_markup_that_never_ends_takes_linear_time():
+    import time
+
+    def seconds(page):
+        began = time.perf_counter()
+        assert main_text(page).startswith("Text")
+        return time.perf_counter() - began
+
+    for broken in ("<a x x x ", '<a href="', "<!-- ", "</p ", "<![CDATA[", "<?x "):
+        pages = ["<article><p>Text</p>" + broken + "y z " * n for n in (10_000, 80_000)]
+        small, large = (min(seconds(page) for _ in range(2)) for page in pages)
+        assert large < 24 * small + 0.1, broken

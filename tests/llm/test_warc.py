@@ -65,3 +65,13 @@ def test_ranges_are_joined_and_bounded():
     assert [len(run) for run in warc._ranges(iter(rows))] == [50, 1, 1]
     long = [{"file": "f", "offset": k * warc.READ, "length": warc.READ} for k in range(3)]
     assert [len(run) for run in warc._ranges(iter(long))] == [1, 1, 1]
+
+
+def test_empty_indexes_and_pages_without_ids(spark, tmp_path):
+    schema = "page_id long, url string, html string"
+    empty = warc.write_archives(spark.createDataFrame([], schema), f"file://{tmp_path}/empty")
+    assert empty.count() == 0 and warc.read_archives(empty).count() == 0 and warc.with_payloads(warc.read_archives(empty)).count() == 0
+    pages = spark.createDataFrame([(None, "u", "x" * 2000), (5, None, "x" * 2000), (None, None, None), (None, "v", "y" * 2000)], schema)
+    index = warc.write_archives(pages, f"file://{tmp_path}/pages")
+    read = {(r.page_id, r.url, r.record_type, r.refers_to, r.payload_bytes, len(r.payload)) for r in warc.with_payloads(warc.read_archives(index)).collect()}
+    assert read == {(None, "u", "revisit", 5, 2000, 2000), (5, None, "response", None, 2000, 2000), (None, None, "response", None, 0, 0), (None, "v", "response", None, 2000, 2000)}
