@@ -43,14 +43,14 @@ def history(messages: DataFrame) -> DataFrame:
 
 
 def _openers(messages: DataFrame, turns: int) -> DataFrame:
-    """(user_id, _said, _from): how many turns each user has, and the message that opens the turns-th last; the oldest of all if there are fewer.
+    """(user_id, _turns, _from) of each user who has turns: how many, but at most as many as asked for, and the message that opens the first of these last ones.
 
     Only the users' own messages are read, and of a user's no task passes on more than that many.
     """
     own = messages.filter(F.col("role") == "user").select("user_id", F.struct("created", "id").alias("_at"))
     newest = W.partitionBy("user_id").orderBy(F.desc("_at"))
-    first = own.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= turns).groupBy("user_id").agg(F.min("_at").alias("_from"))
-    return own.groupBy("user_id").agg(F.count("*").alias("_said")).join(first, "user_id", "left")
+    last = own.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= turns)
+    return last.groupBy("user_id").agg(F.count("*").alias("_turns"), F.min("_at").alias("_from"))
 
 
 def recent_turns(messages: DataFrame, turns: int) -> DataFrame:
@@ -58,7 +58,7 @@ def recent_turns(messages: DataFrame, turns: int) -> DataFrame:
     if turns < 1:
         return messages.limit(0)
     met = messages.join(_openers(messages, turns), "user_id", "left")
-    few = F.coalesce("_said", F.lit(0)) < turns
+    few = F.coalesce("_turns", F.lit(0)) < turns
     return met.filter(few | (F.struct("created", "id") >= F.col("_from"))).select(*messages.columns)
 
 
@@ -68,7 +68,8 @@ def older_than_recent(messages: DataFrame, turns: int = RECENT_TURNS, every: int
     Users with no more than that many turns have none, nor do those whose
     number of turns isn't a multiple of every.
     """
-    due = _openers(messages, turns).filter((F.col("_said") > turns) & (F.col("_said") % every == 0))
+    said = messages.filter(F.col("role") == "user").groupBy("user_id").agg(F.count("*").alias("_said"))
+    due = said.filter((F.col("_said") > turns) & (F.col("_said") % every == 0)).join(_openers(messages, turns), "user_id", "left")
     met = messages.select("user_id", "created", "id").join(due, "user_id")
     old = met.filter(F.col("_from").isNull() | (F.struct("created", "id") < F.col("_from")))
     return old.groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("id", F.struct("created", "id")).alias("through"))

@@ -23,7 +23,7 @@ Period = Callable[[Column], Column]
 
 
 def days(n: int) -> Period:
-    """Periods of n days since 1970, the same in all time zones for timestamps with one."""
+    """Periods of n days since 1970, the same in all time zones; times without a zone are the session's, which must be the same for writers and readers then."""
     return lambda created: F.floor(F.unix_seconds(created.cast("timestamp")) / (n * 86400)).cast("int")
 
 
