@@ -299,9 +299,10 @@ def _located(spark, d):
     return person_location(spark, d).join(adapt.places(spark, d), "place_id").select("user_id", "lat", "lon")
 
 
-@query("rank_people", f"{_RICH_PEOPLE} SELECT user_id, round(similarity, 6) AS similarity, round(profile_cosine, 6) AS profile_cosine FROM ranked")
+@query("rank_people", f"{_RICH_PEOPLE} SELECT user_id, round(similarity, 6) AS similarity, round(profile_cosine, 6) AS profile_cosine, row_number() OVER (ORDER BY profile_cosine DESC NULLS LAST, similarity DESC, m, user_id) AS place FROM ranked")
 def rank_people(spark, d):
-    return ranking.rank_people(_rich_people(spark, d), _located(spark, d), _rich_viewer(spark, d)).select("user_id", F.round("similarity", 6).alias("similarity"), F.round("profile_cosine", 6).alias("profile_cosine"))
+    ranked = ranking.placed_people(_rich_people(spark, d), _located(spark, d), _rich_viewer(spark, d))
+    return ranked.select("user_id", F.round("similarity", 6).alias("similarity"), F.round("profile_cosine", 6).alias("profile_cosine"), "place")
 
 
 @query("rank_people_for", f"{_RICH_PEOPLE} SELECT 'warm' AS viewer, user_id, round(similarity, 6) AS similarity, round(profile_cosine, 6) AS profile_cosine FROM ranked UNION ALL SELECT 'cold', user_id, 0e0, NULL FROM people JOIN located USING (user_id)")
