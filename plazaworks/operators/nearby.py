@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,39 @@ from plazaworks.functions import geo
 
 #: Rows of one cell up to which they meet in one task; fuller cells are dealt into parts.
 HOT_ROWS = 100_000
+#: Pairs that a part of a cell makes at most, and a task in the mean where there are many.
+MOST_PAIRS = 10_000_000
+#: Tasks' worth of pairs up to which Spark divides the join as it sees fit.
+FEW_TASKS = 4
 #: Coordinates that differ by no more than this, in degrees, are of one place.
 SAME_PLACE = 0.002
 
 
-def cell_join(probes: DataFrame, rows: DataFrame, key: list[str], part_by: Column, hot: int = HOT_ROWS) -> DataFrame:
-    """probes with the rows of the same key. Rows of a key with more than hot of them are dealt into parts by part_by; its probes meet each part."""
-    full = rows.groupBy(*key).count().filter(F.col("count") > hot).select(*key, F.ceil(F.col("count") / hot).cast("int").alias("_parts"))
-    parts = F.coalesce("_parts", F.lit(1))
-    dealt = rows.join(full, key, "left").withColumn("_part", F.pmod(F.xxhash64(part_by), parts).cast("int")).drop("_parts")
-    met = probes.join(full, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return met.join(dealt, [*key, "_part"]).drop("_part")
+def cell_join(probes: DataFrame, rows: DataFrame, key: list[str], part_by: Column, hot: int = HOT_ROWS, most: int = MOST_PAIRS) -> DataFrame:
+    """probes with the rows of the same key.
+
+    A key with more than hot rows, or more than most pairs, is dealt into
+    parts: rows by part_by, probes by all their columns, most often the side
+    that has more; the other side meets each part. Cells have few bytes and
+    many pairs, so a job of its own counts the pairs first, and the join gets
+    as many tasks as they fill, whatever its size.
+    """
+    n, m = F.col("_rows"), F.col("_probes")
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_rows")).join(probes.groupBy(*key).agg(F.count("*").alias("_probes")), key)
+    need = F.ceil(m.cast("double") * n / most)
+    by_row = F.greatest(F.ceil(n / hot), F.when(n > m, need).otherwise(1)).cast("int")
+    dealt = counts.select(*key, by_row.alias("_by_row"), F.greatest(F.ceil(need / by_row), F.lit(1)).cast("int").alias("_by_probe"))
+    full = dealt.filter((F.col("_by_row") > 1) | (F.col("_by_probe") > 1))
+    tasks = math.ceil((counts.agg(F.sum(m.cast("double") * n)).first()[0] or 0) / most)
+    by_row, by_probe = F.coalesce("_by_row", F.lit(1)), F.coalesce("_by_probe", F.lit(1))
+    part = lambda by, parts: F.pmod(F.xxhash64(*by), parts).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    some = rows.join(full, key, "left").withColumn("_row_part", part([part_by], by_row)).withColumn("_probe_part", each(by_probe)).drop("_by_row", "_by_probe")
+    met = probes.join(full, key, "left").withColumn("_probe_part", part(probes.columns, by_probe)).withColumn("_row_part", each(by_row)).drop("_by_row", "_by_probe")
+    on = [*key, "_row_part", "_probe_part"]
+    if tasks > FEW_TASKS:
+        some, met = (df.repartition(tasks, *on) for df in (some, met))
+    return met.join(some, on).drop("_row_part", "_probe_part")
 
 
 def _in_band(band: Column, lon: Column, reach: float, steps: tuple[int, ...] = (0,)) -> Column:
@@ -49,7 +73,7 @@ def circle_cells(lat: Column, lon: Column, radius_m: float) -> Column:
     return F.flatten(F.transform(bands, lambda b: _in_band(b, lon, reach, (-1, 0, 1))))
 
 
-def within(centres: DataFrame, places: DataFrame, radius_m: float, place_id: str, hot: int = HOT_ROWS) -> DataFrame:
+def within(centres: DataFrame, places: DataFrame, radius_m: float, place_id: str, hot: int = HOT_ROWS, most: int = MOST_PAIRS) -> DataFrame:
     """Each of centres with each of places within the radius (its edge included), and distance_m.
 
     Both have lat and lon; other columns must have different names. Coordinates
@@ -59,12 +83,12 @@ def within(centres: DataFrame, places: DataFrame, radius_m: float, place_id: str
     probes = sound(centres).withColumn("_cell", F.explode(circle_cells(F.col("lat"), F.col("lon"), radius_m)))
     probes = probes.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}).select("*", "_cell.band", "_cell.cell").drop("_cell")
     keyed = sound(places).withColumn("_at", circle_cell(F.col("lat"), F.col("lon"), radius_m)).select("*", "_at.band", "_at.cell").drop("_at")
-    met = cell_join(probes, keyed, ["band", "cell"], F.col(place_id), hot).drop("band", "cell")
+    met = cell_join(probes, keyed, ["band", "cell"], F.col(place_id), hot, most).drop("band", "cell")
     met = met.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
     return met.filter(F.col("distance_m") <= radius_m).drop("_lat", "_lon")
 
 
-def same_place(proposed: DataFrame, known: DataFrame, known_id: str, tolerance: float = SAME_PLACE, hot: int = HOT_ROWS) -> DataFrame:
+def same_place(proposed: DataFrame, known: DataFrame, known_id: str, tolerance: float = SAME_PLACE, hot: int = HOT_ROWS, most: int = MOST_PAIRS) -> DataFrame:
     """Each of proposed with each of known whose lat and lon both differ by no more than the tolerance; each pair once.
 
     known's lat and lon are known_lat and known_lon in the result; other
@@ -77,5 +101,5 @@ def same_place(proposed: DataFrame, known: DataFrame, known_id: str, tolerance:
     sound = lambda df: df.filter(geo.finite(F.col("lat"), F.col("lon")))
     probes = sound(proposed).withColumn("_cell", F.explode(around)).select("*", "_cell.row", "_cell.column").drop("_cell")
     keyed = sound(known).withColumns({"row": at("lat"), "column": at("lon")}).withColumnsRenamed({"lat": "known_lat", "lon": "known_lon"})
-    met = cell_join(probes, keyed, ["row", "column"], F.col(known_id), hot).drop("row", "column")
+    met = cell_join(probes, keyed, ["row", "column"], F.col(known_id), hot, most).drop("row", "column")
     return met.filter(geo.same_coordinates(F.col("lat"), F.col("lon"), F.col("known_lat"), F.col("known_lon"), tolerance))
