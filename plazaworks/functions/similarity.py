@@ -90,6 +90,37 @@ def profile_similarity(age: tuple[Column, Column], sport: tuple[Column, Column],
     return mean_of_present(age_similarity(*age), sport_similarity(*sport), tag_jaccard(*tags), cosine(*vectors), F.when(complements, F.lit(1.0)))
 
 
+def traits(age: Column, sport: Column, tags: Column, vector: Column, notes: Column) -> Column:
+    """What traits_similarity() compares of a profile, made once for each, not for each pair."""
+    lonely, company = company_signals(F.concat(tags, notes))
+    kept = tag_set(tags)
+    no = F.lit(False)
+    return F.struct(
+        canonical_tag(age).alias("age"), age_index(age).alias("band"), F.when(sport.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(3), sport))).cast("double").alias("level"), kept.alias("tags"), F.size(kept).alias("n_tags"),
+        vector.cast("array<double>").alias("vector"), norm(vector).alias("norm"), F.coalesce(lonely, no).alias("lonely"), F.coalesce(company, no).alias("company"),
+    )
+
+
+def traits_similarity(a: Column, b: Column) -> Column:
+    """profile_similarity() of two profiles by their traits()."""
+    gap = F.abs(a["band"] - b["band"])
+    same = F.when(gap.isNull(), F.when(a["age"] == b["age"], 1.0).otherwise(0.0)).when(gap == 0, 1.0).when(gap == 1, 0.5).otherwise(0.0)
+    age = F.when(a["age"].isNotNull() & b["age"].isNotNull(), same)
+    sport = 1 - F.abs(a["level"] - b["level"]) / 3
+    both = F.size(F.array_intersect(a["tags"], b["tags"])).cast("double")
+    jaccard = F.when((a["n_tags"] > 0) & (b["n_tags"] > 0), both / (a["n_tags"] + b["n_tags"] - both))
+    shared = F.coalesce(F.arrays_overlap(a["tags"], b["tags"]), F.lit(False))
+    complement = (a["lonely"] & b["company"]) | (b["lonely"] & a["company"]) | (a["company"] & b["company"] & shared)
+    return mean_of_present(age, sport, jaccard, cosine_of(a["vector"], a["norm"], b["vector"], b["norm"]), F.when(complement, F.lit(1.0)))
+
+
+def cosine_of(a: Column, norm_a: Column, b: Column, norm_b: Column) -> Column:
+    """cosine() of vectors whose norms are known."""
+    value = F.try_divide(dot(a, b), norm_a * norm_b)
+    fits = (F.size(a) == F.size(b)) & (F.size(a) > 0)
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(fits, F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0)))
+
+
 def mobility_conflict(mobility: Column, tags: Column) -> Column:
     blocked = F.exists(tags, lambda t: F.exists(tokens(t), lambda w: w.isin(*BLOCKED)))
     return F.coalesce(F.array_contains(tokens(mobility), "wheelchair") & blocked, F.lit(False))

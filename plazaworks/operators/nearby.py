@@ -19,14 +19,15 @@ FEW_TASKS = 4
 SAME_PLACE = 0.002
 
 
-def cell_join(probes: DataFrame, rows: DataFrame, key: list[str], part_by: Column, hot: int = HOT_ROWS, most: int = MOST_PAIRS) -> DataFrame:
+def cell_join(probes: DataFrame, rows: DataFrame, key: list[str], part_by: Column, hot: int = HOT_ROWS, most: int = MOST_PAIRS, more: DataFrame | None = None, more_by: str | None = None) -> DataFrame:
     """probes with the rows of the same key.
 
     A key with more than hot rows, or more than most pairs, is dealt into
     parts: rows by part_by, probes by all their columns, most often the side
     that has more; the other side meets each part. Cells have few bytes and
     many pairs, so a job of its own counts the pairs first, and the join gets
-    as many tasks as they fill, whatever its size.
+    as many tasks as they fill, whatever its size. That job doesn't read more,
+    whose columns rows get by more_by.
     """
     n, m = F.col("_rows"), F.col("_probes")
     counts = rows.groupBy(*key).agg(F.count("*").alias("_rows")).join(probes.groupBy(*key).agg(F.count("*").alias("_probes")), key)
@@ -38,7 +39,8 @@ def cell_join(probes: DataFrame, rows: DataFrame, key: list[str], part_by: Colum
     by_row, by_probe = F.coalesce("_by_row", F.lit(1)), F.coalesce("_by_probe", F.lit(1))
     part = lambda by, parts: F.pmod(F.xxhash64(*by), parts).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
-    some = rows.join(full, key, "left").withColumn("_row_part", part([part_by], by_row)).withColumn("_probe_part", each(by_probe)).drop("_by_row", "_by_probe")
+    whole = rows if more is None else rows.join(more, more_by, "left")
+    some = whole.join(full, key, "left").withColumn("_row_part", part([part_by], by_row)).withColumn("_probe_part", each(by_probe)).drop("_by_row", "_by_probe")
     met = probes.join(full, key, "left").withColumn("_probe_part", part(probes.columns, by_probe)).withColumn("_row_part", each(by_row)).drop("_by_row", "_by_probe")
     on = [*key, "_row_part", "_probe_part"]
     if tasks > FEW_TASKS:
@@ -73,17 +75,18 @@ def circle_cells(lat: Column, lon: Column, radius_m: float) -> Column:
     return F.flatten(F.transform(bands, lambda b: _in_band(b, lon, reach, (-1, 0, 1))))
 
 
-def within(centres: DataFrame, places: DataFrame, radius_m: float, place_id: str, hot: int = HOT_ROWS, most: int = MOST_PAIRS) -> DataFrame:
+def within(centres: DataFrame, places: DataFrame, radius_m: float, place_id: str, hot: int = HOT_ROWS, most: int = MOST_PAIRS, more: DataFrame | None = None) -> DataFrame:
     """Each of centres with each of places within the radius (its edge included), and distance_m.
 
     Both have lat and lon; other columns must have different names. Coordinates
-    that are null or not finite are near nothing.
+    that are null or not finite are near nothing. more (place_id and other
+    columns) is joined to places, which get a row for each of its rows.
     """
     sound = lambda df: df.filter(geo.finite(F.col("lat"), F.col("lon")))
     probes = sound(centres).withColumn("_cell", F.explode(circle_cells(F.col("lat"), F.col("lon"), radius_m)))
     probes = probes.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}).select("*", "_cell.band", "_cell.cell").drop("_cell")
     keyed = sound(places).withColumn("_at", circle_cell(F.col("lat"), F.col("lon"), radius_m)).select("*", "_at.band", "_at.cell").drop("_at")
-    met = cell_join(probes, keyed, ["band", "cell"], F.col(place_id), hot, most).drop("band", "cell")
+    met = cell_join(probes, keyed, ["band", "cell"], F.col(place_id), hot, most, more, place_id).drop("band", "cell")
     met = met.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
     return met.filter(F.col("distance_m") <= radius_m).drop("_lat", "_lon")
 

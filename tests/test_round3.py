@@ -6,8 +6,10 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from plazaworks.functions import similarity
 from plazaworks.operators import nearby, ranking
 from plazaworks.plans import catalogue
+from tests.test_nearby import as_table, world
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -53,3 +55,24 @@ def test_same_place_deals_one_coordinate_out_to_many_tasks(spark):
         assert len(pairs) == len({x[:2] for x in pairs}) == n * 400
         sizes = [sum(1 for _ in group) for _, group in itertools.groupby(sorted(pairs, key=lambda x: x[2]), key=lambda x: x[2])]
         assert len(sizes) > n * 400 / 1000 / 3 and max(sizes) < 20_000
+
+
+def above_the_pairs(df):
+    """The part of the plan above the join of pairs."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan[: plan.index("_row_part")]
+
+
+def test_rank_events_for_rates_pairs_by_traits_and_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MOST_GOERS", 1)
+    events, vectors, people, going, viewers = world(spark)
+    chosen = {k: viewers[k] for k in "ab"}
+    found = ranking.rank_events_for(events, people, going, as_table(spark, chosen), 9000.0, F.lit(True), vectors)
+    assert "RLIKE" not in above_the_pairs(found)
+    rows = found.orderBy("viewer", "place").collect()
+    for name, viewer in chosen.items():
+        wanted = ranking.rank_events(events, people, going, viewer, 9000.0, F.lit(True), vectors=vectors).collect()
+        assert [r.event_id for r in rows if r.viewer == name] == [r.event_id for r in wanted]
+    signed = {r.event_id: r["count"] for r in going.filter("status = 'going'").groupBy("event_id").count().collect()}
+    assert max(signed.values()) > 1 and all(r.signed_count == signed.get(r.event_id, 0) for r in rows)
+
