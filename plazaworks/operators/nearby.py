@@ -15,6 +15,9 @@ HOT_ROWS = 100_000
 MOST_PAIRS = 10_000_000
 #: Tasks' worth of pairs up to which Spark divides the join as it sees fit.
 FEW_TASKS = 4
+#: The columns that tell blocks of rows apart, which meet in one task, and the tasks that blocks have at most.
+BLOCK = ["band", "cell", "part", "slice"]
+MOST_TASKS = 8192
 #: Coordinates that differ by no more than this, in degrees, are of one place.
 SAME_PLACE = 0.002
 
@@ -71,8 +74,8 @@ def circle_cell(lat: Column, lon: Column, radius_m: float) -> Column:
 def circle_cells(lat: Column, lon: Column, radius_m: float) -> Column:
     """The cells, each once, in which all places within the radius lie: the own one and its neighbours, across the antimeridian and around a pole too."""
     reach = radius_m / geo.DEGREE_M
-    bands = F.array(*[_band(lat, reach) + k for k in (-1, 0, 1)])
-    return F.flatten(F.transform(bands, lambda b: _in_band(b, lon, reach, (-1, 0, 1))))
+    # No lambda, so that it stays within generated code.
+    return F.flatten(F.array(*[_in_band(_band(lat, reach) + k, lon, reach, (-1, 0, 1)) for k in (-1, 0, 1)]))
 
 
 def within(centres: DataFrame, places: DataFrame, radius_m: float, place_id: str, hot: int = HOT_ROWS, most: int = MOST_PAIRS, more: DataFrame | None = None) -> DataFrame:
@@ -91,6 +94,45 @@ def within(centres: DataFrame, places: DataFrame, radius_m: float, place_id: str
     return met.filter(F.col("distance_m") <= radius_m).drop("_lat", "_lon")
 
 
+def blocks(centres: DataFrame, places: DataFrame, radius_m: float, centre_id: str, place_id: str, most: int, pairs: float) -> tuple[DataFrame, DataFrame, int, bool]:
+    """(centres, places, number of blocks, whether each centre is in one only), both with columns BLOCK and once for each block they are in.
+
+    A centre meets in its blocks all places within the radius, and others, each
+    in one of them. A block has the centres of a cell, or a part of them so
+    that they are hardly more than most; where it would make more than pairs,
+    its places are dealt to several. Places are repeated for each block near
+    them, of which there are the fewer the larger most is. A job of its own
+    counts both by cells.
+    """
+    sound = lambda df: df.filter(geo.finite(F.col("lat"), F.col("lon")))
+    apart = lambda df, cells: df.withColumn("_cell", cells).select(*df.columns, "_cell.band", "_cell.cell")
+    around = F.explode(circle_cells(F.col("lat"), F.col("lon"), radius_m))
+    own = apart(sound(centres), circle_cell(F.col("lat"), F.col("lon"), radius_m))
+    m, n = F.col("_centres"), F.col("_places")
+    cells = own.groupBy("band", "cell").agg(F.count("*").alias("_centres"))
+    # Many places may be at one spot, whose cells are found once; those of no centre go.
+    near = apart(sound(places).groupBy("lat", "lon").agg(F.count("*").alias("_n")), around).join(cells, ["band", "cell"]).persist()
+    counts = near.groupBy("band", "cell").agg(F.sum("_n").alias("_places"), F.max("_centres").alias("_centres"))
+    slices = F.ceil(F.least(m, F.lit(most)).cast("double") * n / pairs).cast("int")
+    dealt = counts.select("band", "cell", F.ceil(m / most).cast("int").alias("_parts"), slices.alias("_slices"))
+    number, widest = dealt.agg(F.sum(F.col("_parts").cast("long") * F.col("_slices")), F.max("_slices")).first()
+    met = sound(places).join(near.select("lat", "lon", "band", "cell").join(dealt, ["band", "cell"]), ["lat", "lon"])
+    one = lambda key, of: F.pmod(F.xxhash64(key), F.col(of)).cast("long")
+    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of).cast("long") - 1))
+    own = own.join(dealt, ["band", "cell"]).withColumn("part", one(centre_id, "_parts")).withColumn("slice", each("_slices"))
+    met = met.withColumn("part", each("_parts")).withColumn("slice", one(place_id, "_slices"))
+    return own.drop("_parts", "_slices"), met.drop("_parts", "_slices"), number or 0, (widest or 0) <= 1
+
+
+def in_blocks(first: DataFrame, then: DataFrame, number: int, order: list[str]) -> DataFrame:
+    """(columns BLOCK, kind, first, then): the rows of both, each as a struct, a block's in one task; first's (kind 0) come before then's (kind 1), which come in an order of their columns."""
+    row = lambda df: F.struct(*[c for c in df.columns if c not in BLOCK])
+    none = lambda df: F.lit(None).cast(df.select(row(df).alias("row")).schema["row"].dataType)
+    both = first.select(*BLOCK, F.lit(0).cast("long").alias("kind"), row(first).alias("first"), none(then).alias("then")).unionByName(then.select(*BLOCK, F.lit(1).cast("long").alias("kind"), none(first).alias("first"), row(then).alias("then")))
+    # More tasks than blocks, so that few have two.
+    return both.repartition(min(max(1, 2 * number), MOST_TASKS), *BLOCK).sortWithinPartitions(*BLOCK, "kind", *[f"then.{c}" for c in order])
+
+
 def same_place(proposed: DataFrame, known: DataFrame, known_id: str, tolerance: float = SAME_PLACE, hot: int = HOT_ROWS, most: int = MOST_PAIRS) -> DataFrame:
     """Each of proposed with each of known whose lat and lon both differ by no more than the tolerance; each pair once.
 

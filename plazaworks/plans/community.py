@@ -358,7 +358,7 @@ SELECT viewer, event_id, round(score, 6) AS score, round(m, 3) AS distance_m, si
 @query("rank_events_for", _RANKED_FOR)
 def rank_events_for(spark, d):
     """The best events near each of all people."""
-    found = ranking.rank_events_for(_placed_events(spark, d), _rich_people(spark, d), adapt.attendances(spark, d), _viewers(spark, d), _FOR_RADIUS, filters.live(AS_OF), _vectors(spark, d, "event_id"))
+    found = ranking.rank_events_for(_placed_events(spark, d), _rich_people(spark, d), _attended(spark, d), _viewers(spark, d), _FOR_RADIUS, filters.live(AS_OF), _vectors(spark, d, "event_id"))
     return found.select("viewer", "event_id", F.round("score", 6).alias("score"), F.round("distance_m", 3).alias("distance_m"), "signed_count")
 
 

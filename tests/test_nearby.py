@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plazaworks.functions import geo
-from plazaworks.operators import nearby, ranking
+from plazaworks.operators import nearby, pairs, ranking
 
 L = F.lit
 
@@ -89,6 +89,32 @@ def test_a_table_of_viewers_ranks_events_as_one_viewer_does(spark):
         assert bool(mine) == (name != "f")
 
 
+def test_pages_are_whole_however_viewers_and_events_are_dealt(spark, monkeypatch):
+    events, vectors, people, going, viewers = world(spark)
+    key = lambda: sorted((r.viewer, r.place, r.event_id, round(r.score, 9), r.signed_count) for r in ranking.rank_events_for(events, people, going, as_table(spark, viewers), 9000.0, L(True), vectors).collect())
+    monkeypatch.setattr(ranking, "WARM_LIMIT", 5)
+    whole = key()
+    for name, value in (("BLOCK_VIEWERS", 1), ("BLOCK_PAIRS", 20.0), ("MOST_GOERS", 1)):
+        monkeypatch.setattr(ranking, name, value)
+    monkeypatch.setattr(pairs, "GROUP", 1)
+    # Events come two at a time, so that most pages are full when others come.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert key() == whole and len(whole) > 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(r.signed_count for r in ranking.rank_events_for(events, people, going, as_table(spark, viewers), 9000.0, L(True)).collect()) > 1
+
+
+def test_viewers_are_not_repeated_for_pairs(spark):
+    """A block's tasks get each viewer once, and each event once, however many pairs they make."""
+    spots = spark.range(300).select(F.col("id").alias("k"), L(51.0).alias("lat"), L(17.0).alias("lon"))
+    some, others, number, whole = nearby.blocks(spots, spots.withColumnRenamed("k", "p"), 9000.0, "k", "p", 1000, 1e6)
+    assert (some.count(), others.count(), number, whole) == (300, 300, 1, True)
+    some, others, number, whole = nearby.blocks(spots, spots.withColumnRenamed("k", "p"), 9000.0, "k", "p", 100, 1e4)
+    assert (some.count(), others.count(), number, whole) == (900, 900, 9, False)
+
+
 def test_a_page_is_cut_as_for_one_viewer(spark, monkeypatch):
     monkeypatch.setattr(ranking, "WARM_LIMIT", 7)
     monkeypatch.setattr(ranking, "COLD_LIMIT", 4)
